@@ -109,3 +109,251 @@ SQL["rows_any_null"] = f"""SELECT ts, ESTACAO, round(precipitation, 4) AS precip
   FROM ({WEATHER}) WHERE precipitation IS NULL OR radiation IS NULL"""
 SQL["unit_convert"] = f"""SELECT CAST(l_shipdate AS DATE) AS DateValueCET, r_name AS Location,
   round(l_quantity * 1000.0, 4) AS value_mwh, 'MWh' AS unit FROM ({LI_SUPP})"""
+
+
+def rs(inner: str, keep: list[str], n: int = 4) -> str:
+    """Keep the listed columns as they are and round every other column."""
+    if not keep:
+        return f"SELECT round(COLUMNS(*), {n}) FROM ({inner})"
+    names = ", ".join(f"'{k}'" for k in keep)
+    return (f"SELECT COLUMNS(lambda c: c IN ({names})), "
+            f"round(COLUMNS(lambda c: c NOT IN ({names})), {n}) FROM ({inner})")
+
+
+CODE_R = REGION_CODE.format(c="r_name")
+
+SOLAR_LONG = f"""SELECT CAST(l_shipdate AS DATE) AS DateTime, {CODE_R} AS Region,
+  coalesce(sum(l_extendedprice / 1000.0), 0) AS s, avg(l_extendedprice / 1000.0) AS m
+  FROM ({LI_SUPP}) WHERE CAST(l_shipdate AS DATE) >= DATE '1996-01-01' GROUP BY 1, 2"""
+SOLAR = f"""SELECT *, {row_sum('solar_sum_')} AS daily_sum_solar FROM (
+  SELECT DateTime, {pivot_cols('s', 'Region', 'solar_sum_')}, {pivot_cols('m', 'Region', 'solar_mean_')}
+  FROM ({SOLAR_LONG}) GROUP BY DateTime)"""
+
+WIND_LONG = f"""SELECT CAST(l_shipdate AS DATE) AS DateTime, {CODE_R} AS Region,
+  coalesce(sum(CASE WHEN l_returnflag = 'R' THEN NULL ELSE l_quantity END), 0) AS generation
+  FROM ({LI_SUPP}) GROUP BY 1, 2"""
+WIND = f"""SELECT *, {row_sum('wind_generation_')} AS wind_generation_sum FROM (
+  SELECT DateTime, {pivot_cols('generation', 'Region', 'wind_generation_')} FROM ({WIND_LONG}) GROUP BY DateTime)"""
+
+REGISTRY = f"""SELECT {CODE_R} AS region, l.l_returnflag AS ptype,
+  least(CAST(o.o_orderdate AS DATE), CAST(l.l_shipdate AS DATE)) AS s,
+  CASE WHEN l.l_linestatus = 'O' THEN NULL
+       ELSE greatest(CAST(o.o_orderdate AS DATE), CAST(l.l_shipdate AS DATE)) END AS e,
+  l.l_quantity AS cap
+  FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey JOIN ({SUPP_REGION}) sr ON l.l_suppkey = sr.s_suppkey"""
+CAL = "SELECT CAST(range AS DATE) AS DateTime FROM range(DATE '1997-01-01', DATE '2000-01-01', INTERVAL 1 DAY)"
+CAP_LONG = f"""SELECT c.DateTime, r.ptype, r.region, sum(r.cap) AS capacity FROM ({CAL}) c
+  JOIN ({REGISTRY}) r ON r.s <= c.DateTime AND (r.e IS NULL OR r.e > c.DateTime) GROUP BY 1, 2, 3"""
+_CAP_COLS = [(p, v, n) for p in ("A", "N", "R") for v, n in REGIONS]
+CAPACITY = f"""SELECT *, {", ".join(
+    " + ".join(f"{p}_capacity_{n}" for p in ("A", "N", "R")) + f" AS total_capacity_{n}" for _, n in REGIONS)}
+  FROM (SELECT c.DateTime, {", ".join(
+    f"coalesce(sum(capacity) FILTER (WHERE ptype = '{p}' AND region = '{v}'), 0) AS {p}_capacity_{n}"
+    for p, v, n in _CAP_COLS)}
+  FROM ({CAL}) c LEFT JOIN ({CAP_LONG}) USING (DateTime) GROUP BY c.DateTime)"""
+
+CONS_RAW = f"""SELECT CAST(o.o_orderdate AS DATE) AS issue, CAST(l.l_shipdate AS DATE) AS valid,
+  l.l_quantity AS consumption, {REGION_CODE.format(c='cr.r_name')} AS Region, l.l_orderkey, l.l_linenumber
+  FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey JOIN ({CUST_REGION}) cr ON o.o_custkey = cr.c_custkey"""
+CONS_LAST_ALL = f"""SELECT valid, Region, consumption, issue FROM (
+  SELECT *, row_number() OVER (PARTITION BY valid, Region ORDER BY issue DESC, l_orderkey DESC, l_linenumber DESC) AS rn
+  FROM ({CONS_RAW}) WHERE issue <= valid) WHERE rn = 1"""
+CONS_LAST = CONS_LAST_ALL.replace("WHERE issue <= valid",
+                                  "WHERE issue <= valid AND issue >= DATE '1996-01-01' AND valid >= DATE '1996-01-01'")
+CONS_EXP = f"""SELECT Region, CAST(unnest(generate_series(valid, coalesce(nxt, valid + 1) - 1, INTERVAL 1 DAY)) AS DATE) AS DateTime,
+  consumption / coalesce(datediff('day', valid, nxt), 7) AS daily_consumption
+  FROM (SELECT *, lead(valid) OVER (PARTITION BY Region ORDER BY valid) AS nxt FROM ({CONS_LAST}))"""
+CONSUMPTION = f"""SELECT *, {row_sum('consumption_')} AS daily_sum_consumption FROM (
+  SELECT DateTime, {pivot_cols('dc', 'Region', 'consumption_')} FROM (
+    SELECT DateTime, Region, coalesce(sum(daily_consumption), 0) AS dc FROM ({CONS_EXP}) GROUP BY 1, 2)
+  GROUP BY DateTime)"""
+
+# ================================================================ 2.3 joins =
+
+SQL["join_left_chain"] = rs(f"""SELECT * FROM ({FORWARD}) LEFT JOIN ({SETTLEMENT}) USING (DateTime)
+  LEFT JOIN ({HYDRO}) USING (DateTime)""", ["DateTime", "delivery_start"])
+SQL["join_inner"] = rs(f"SELECT * FROM ({SETTLEMENT}) JOIN ({HYDRO}) USING (DateTime)", ["DateTime"])
+SQL["join_index_chain"] = rs(f"""SELECT * FROM ({SETTLEMENT}) JOIN ({HYDRO}) USING (DateTime)
+  JOIN ({WIND}) USING (DateTime) JOIN ({SOLAR}) USING (DateTime) JOIN ({CONSUMPTION}) USING (DateTime)""",
+                             ["DateTime"])
+SQL["join_full_outer"] = rs(f"SELECT * FROM ({SETTLEMENT}) FULL JOIN ({HYDRO}) USING (DateTime)", ["DateTime"])
+HOURLY_AREA = f"""SELECT CAST(e.ts AS DATE) AS date, CAST(hour(e.ts) AS INTEGER) AS hour, cr.r_name AS area,
+  e.value, e.event_type FROM events e JOIN ({CUST_REGION}) cr ON e.user_id = cr.c_custkey"""
+SQL["join_multi_key"] = f"""SELECT a.date, a.hour, a.area, round(a.mean_value, 4) AS mean_value, b.views FROM
+  (SELECT date, hour, area, avg(value) AS mean_value FROM ({HOURLY_AREA}) GROUP BY 1, 2, 3) a JOIN
+  (SELECT date, hour, area, count(*) AS views FROM ({HOURLY_AREA}) WHERE event_type = 'view' GROUP BY 1, 2, 3) b
+  USING (date, hour, area)"""
+WEATHER_HOURLY = f"""SELECT CAST(DATA AS TIMESTAMP) + to_hours(CAST(substr(Hora_UTC, 1, 2) AS BIGINT)) AS DateTime,
+  {{m}}, ESTACAO, CASE st.r_name WHEN 'MIDDLE EAST' THEN 'ASIA' ELSE st.r_name END AS region
+  FROM ({WEATHER}) w LEFT JOIN ({CUST_REGION}) st ON w.ESTACAO = st.c_custkey
+  WHERE DATA IS NOT NULL AND Hora_UTC IS NOT NULL AND {{m}} IS NOT NULL AND ESTACAO IS NOT NULL"""
+SQL["join_dim_lookup"] = rs(WEATHER_HOURLY.format(m="radiation"), ["DateTime", "ESTACAO", "region"])
+SQL["join_self_prev_friday"] = f"""WITH f AS ({FORWARD}),
+  w AS (SELECT *, DateTime - CAST(isodow(DateTime) - 1 - 4 AS INTEGER) AS fri FROM f WHERE isodow(DateTime) >= 6),
+  j AS (SELECT w.forward_price AS a, f.forward_price AS b FROM w JOIN f ON f.DateTime = w.fri)
+  SELECT (SELECT count(*) FROM w) AS weekend_rows, count(*) AS pairs,
+         CAST(coalesce(sum(CASE WHEN a = b THEN 1 ELSE 0 END), 0) AS BIGINT) AS matches,
+         round(coalesce(sum(CASE WHEN a = b THEN 1 ELSE 0 END), 0) * 100.0 / count(*), 6) AS match_pct FROM j"""
+TEMP_HOURLY = f"""SELECT date_trunc('hour', e.ts) AS DateTime, cr.r_name AS PowerPriceAreaCode, avg(e.value) AS hourly_value
+  FROM events e JOIN ({CUST_REGION}) cr ON e.user_id = cr.c_custkey GROUP BY 1, 2"""
+SQL["join_agg_back"] = f"""SELECT CAST(DateTime AS DATE) AS Date, PowerPriceAreaCode, DateTime,
+  round(hourly_value, 4) AS hourly_value,
+  round(avg(hourly_value) OVER (PARTITION BY CAST(DateTime AS DATE), PowerPriceAreaCode), 4) AS daily_average_value
+  FROM ({TEMP_HOURLY})"""
+SQL["join_interval_active"] = f"""SELECT ptype, region, DateTime, round(capacity, 4) AS capacity
+  FROM ({CAP_LONG}) WHERE capacity <> 0"""
+SQL["semi_anti_dates"] = rs(f"""SELECT f.*, 'semi' AS kind FROM ({FORWARD}) f
+  WHERE EXISTS (SELECT 1 FROM ({SETTLEMENT}) s WHERE s.DateTime = f.DateTime)
+  UNION ALL SELECT f.*, 'anti' AS kind FROM ({FORWARD}) f
+  WHERE NOT EXISTS (SELECT 1 FROM ({SETTLEMENT}) s WHERE s.DateTime = f.DateTime)""",
+                            ["DateTime", "delivery_start", "kind"])
+P0P1 = f"""SELECT DateTime,
+  max(CASE WHEN delivery_start = date_trunc('month', DateTime) THEN forward_price END) AS P0,
+  max(CASE WHEN delivery_start = date_trunc('month', DateTime) + INTERVAL 1 MONTH THEN forward_price END) AS P1
+  FROM ({FORWARD}) GROUP BY DateTime"""
+SQL["join_p0_p1"] = rs(f"""SELECT * EXCLUDE (P0), coalesce(P0, P1) AS P0 FROM ({P0P1})
+  LEFT JOIN ({SETTLEMENT}) USING (DateTime) LEFT JOIN ({HYDRO}) USING (DateTime)
+  WHERE P0 IS NOT NULL OR P1 IS NOT NULL""", ["DateTime"])
+SQL["join_p0_p1_inner"] = rs(f"""SELECT * FROM ({P0P1})
+  LEFT JOIN ({SETTLEMENT}) USING (DateTime) LEFT JOIN ({HYDRO}) USING (DateTime)
+  WHERE P0 IS NOT NULL AND P1 IS NOT NULL""", ["DateTime"])
+
+# ========================================================= 2.4 aggregates ===
+
+SQL["agg_daily_stats"] = rs("""SELECT CAST(ts AS DATE) AS DateTime, avg(value) AS mean, stddev_samp(value) AS std,
+  min(value) AS min, max(value) AS max FROM events GROUP BY 1""", ["DateTime"])
+SQL["agg_daily_stats_ext"] = rs(f"""SELECT CAST(ts AS DATE) AS DateTime, avg(p) AS mean, stddev_samp(p) AS std,
+  min(p) AS min, max(p) AS max, var_samp(p) AS var, max(p) - min(p) AS range, median(p) AS median,
+  first(p ORDER BY ts, row_id) AS first, last(p ORDER BY ts, row_id) AS last, count(p) AS count,
+  CASE WHEN count(p) >= 3 AND var_pop(p) > 0 THEN skewness(p) END AS skew
+  FROM ({SETTLE_TICKS}) WHERE area = 'AMERICA' GROUP BY 1""", ["DateTime", "count"])
+SQL["agg_sum_by_keys"] = rs(f"""SELECT CAST(l_shipdate AS DATE) AS DateTime, r_name AS region,
+  coalesce(sum(l_quantity), 0) AS inflow FROM ({LI_SUPP}) GROUP BY 1, 2""", ["DateTime", "region"])
+SQL["agg_sum_mean"] = rs(f"""SELECT CAST(l_shipdate AS DATE) AS DateTime, r_name AS region,
+  coalesce(sum(l_extendedprice / 1000.0), 0) AS solar_sum, avg(l_extendedprice / 1000.0) AS solar_mean
+  FROM ({LI_SUPP}) GROUP BY 1, 2""", ["DateTime", "region"])
+SQL["agg_sum_mean_std_peak"] = rs("""SELECT CAST(ts AS DATE) AS DateTime, event_type,
+  coalesce(sum(value), 0) AS sum, avg(value) AS mean, stddev_samp(value) AS std, max(value) AS peak
+  FROM events GROUP BY 1, 2""", ["DateTime", "event_type"])
+SQL["agg_by_calendar"] = rs(f"""SELECT CAST(isodow(e.ts) - 1 AS INTEGER) AS weekday, CAST(hour(e.ts) AS INTEGER) AS hour,
+  cr.r_name AS region, avg(e.value) AS mean, coalesce(sum(e.value), 0) AS sum, count(e.value) AS count
+  FROM events e JOIN ({CUST_REGION}) cr ON e.user_id = cr.c_custkey GROUP BY 1, 2, 3""",
+                            ["weekday", "hour", "region", "count"])
+SQL["agg_group_mean_sd"] = rs("""SELECT hour, event_type, mean, sd, mean - sd AS lower, mean + sd AS upper FROM (
+  SELECT CAST(hour(ts) AS INTEGER) AS hour, event_type, avg(value) AS mean, stddev_samp(value) AS sd
+  FROM events GROUP BY 1, 2)""", ["hour", "event_type"])
+SQL["agg_by_year_cols"] = rs(f"""SELECT CAST(year(DateTime) AS INTEGER) AS year, sum(qty_R) AS returned_sum,
+  avg(qty_R) AS returned_mean, sum(qty_A + qty_N + qty_R) AS all_sum, avg((qty_A + qty_N + qty_R) / 3) AS all_mean
+  FROM ({QTY_BY_FLAG}) GROUP BY 1""", ["year"])
+SQL["agg_last_vintage"] = rs(CONS_LAST_ALL, ["valid", "Region", "issue"])
+_DESC = [("count", "CAST(count(value) AS DOUBLE)"), ("mean", "avg(value)"), ("std", "stddev_samp(value)"),
+         ("min", "min(value)"), ("25%", "quantile_cont(value, 0.25)"), ("50%", "quantile_cont(value, 0.5)"),
+         ("75%", "quantile_cont(value, 0.75)"), ("max", "max(value)")]
+SQL["agg_describe"] = " UNION ALL ".join(
+    f"SELECT event_type, 'value' AS \"column\", '{s}' AS stat, round({e}, 4) AS value FROM events GROUP BY event_type"
+    for s, e in _DESC)
+_WCOLS = ["DATA", "Hora_UTC", "precipitation", "radiation", "wind_speed", "ESTACAO"]
+SQL["agg_missing_summary"] = " UNION ALL ".join(
+    f"""SELECT '{c}' AS "column", CAST(count(*) - count({c}) AS BIGINT) AS missing,
+    round((count(*) - count({c})) * 100.0 / count(*), 4) AS missing_pct FROM ({WEATHER})""" for c in _WCOLS)
+SQL["agg_value_counts"] = f"""SELECT cr.r_name AS region, dayname(o.o_orderdate) AS weekday, count(*) AS count
+  FROM orders o JOIN ({CUST_REGION}) cr ON o.o_custkey = cr.c_custkey GROUP BY 1, 2"""
+SQL["agg_distinct"] = """SELECT count(DISTINCT CAST(o_orderdate AS DATE)) AS n_unique,
+  min(CAST(o_orderdate AS DATE)) AS min, max(CAST(o_orderdate AS DATE)) AS max FROM orders"""
+_LI_NUM = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+SQL["agg_skewness"] = " UNION ALL ".join(f"""SELECT "column", round(skew_biased, 6) AS skew_biased,
+  round(skew_corrected, 6) AS skew_corrected,
+  CASE WHEN skew_corrected > 0.5 THEN 'right-skewed' WHEN skew_corrected < -0.5 THEN 'left-skewed'
+       WHEN skew_corrected IS NOT NULL THEN 'symmetric' END AS label FROM (
+  SELECT '{c}' AS "column",
+    CASE WHEN var_pop({c}) > 0 THEN skewness({c}) * (count({c}) - 2) / sqrt(count({c}) * (count({c}) - 1.0)) END AS skew_biased,
+    CASE WHEN count({c}) >= 3 AND var_pop({c}) > 0 THEN skewness({c}) END AS skew_corrected FROM lineitem)""" for c in _LI_NUM)
+SQL["agg_corr"] = " UNION ALL ".join(
+    f"SELECT '{c}' AS \"column\", round(corr({c}, l_extendedprice), 6) AS corr FROM lineitem"
+    for c in ["l_quantity", "l_discount", "l_tax"])
+SQL["agg_corr_grouped"] = " UNION ALL ".join(
+    f"""SELECT l_returnflag, '{a}' AS col_a, '{b}' AS col_b, round(corr({a}, {b}), 6) AS corr
+    FROM lineitem GROUP BY l_returnflag""" for i, a in enumerate(_LI_NUM) for b in _LI_NUM[i + 1:])
+SQL["agg_histogram"] = """WITH r AS (SELECT min(o_totalprice) AS lo, max(o_totalprice) AS hi FROM orders),
+  b AS (SELECT CASE WHEN hi = lo THEN 1 ELSE least(CAST(floor((o_totalprice - lo) / (hi - lo) * 50) AS BIGINT) + 1, 50) END AS bin,
+        lo, hi FROM orders, r WHERE o_totalprice IS NOT NULL)
+  SELECT bin, round(lo + (bin - 1) * ((hi - lo) / 50), 4) AS bin_lo, round(lo + bin * ((hi - lo) / 50), 4) AS bin_hi,
+         count(*) AS count FROM b GROUP BY bin, lo, hi"""
+SQL["agg_box_stats"] = """WITH base AS (SELECT CAST(isodow(o_orderdate) - 1 AS INTEGER) AS weekday, o_totalprice AS v FROM orders),
+  q AS (SELECT weekday, quantile_cont(v, 0.25) AS q1, quantile_cont(v, 0.5) AS median, quantile_cont(v, 0.75) AS q3
+        FROM base GROUP BY weekday),
+  j AS (SELECT base.*, q.q1, q.median, q.q3, q.q1 - 1.5 * (q.q3 - q.q1) AS lf, q.q3 + 1.5 * (q.q3 - q.q1) AS uf
+        FROM base JOIN q USING (weekday))
+  SELECT weekday, round(q1, 4) AS q1, round(median, 4) AS median, round(q3, 4) AS q3,
+    round(min(CASE WHEN v >= lf AND v <= uf THEN v END), 4) AS whisker_lo,
+    round(max(CASE WHEN v >= lf AND v <= uf THEN v END), 4) AS whisker_hi,
+    CAST(sum(CASE WHEN v >= lf AND v <= uf THEN 0 ELSE 1 END) AS BIGINT) AS n_outliers, count(*) AS n
+  FROM j GROUP BY weekday, q1, median, q3"""
+SQL["agg_kde"] = """WITH s AS (SELECT count(value) AS n, stddev_samp(value) AS sd, min(value) AS mn, max(value) AS mx FROM events),
+  p AS (SELECT n, sd * pow(n, -0.2) AS h, mn, mx FROM s),
+  g AS (SELECT n, h, mn - 3.0 * h AS g0, (mx - mn + 6.0 * h) / 199 AS step FROM p),
+  grid AS (SELECT CAST(range AS INTEGER) AS grid FROM range(0, 200))
+  SELECT grid, round(g0 + grid * step, 6) AS x,
+    round(sum(exp(-0.5 * pow((g0 + grid * step - e.value) / h, 2))) / (n * h * sqrt(2 * pi())) * 1e6, 4) AS density_e6
+  FROM grid, g, events e WHERE e.value IS NOT NULL GROUP BY grid, g0, step, n, h"""
+
+# ============================================================ 2.5 reshape ===
+
+SQL["pivot_region"] = rs(f"""SELECT DateTime, {pivot_cols('inflow', 'Region', 'inflow_')} FROM (
+  SELECT CAST(l_shipdate AS DATE) AS DateTime, {CODE_R} AS Region, coalesce(sum(l_quantity), 0) AS inflow
+  FROM ({LI_SUPP}) GROUP BY 1, 2) GROUP BY DateTime""", ["DateTime"])
+SQL["pivot_table_mean"] = rs(f"""SELECT CAST(hour(ts) AS INTEGER) AS hour, {", ".join(
+    f"avg(value) FILTER (WHERE isodow(ts) - 1 = {i}) AS wd_{i}" for i in range(7))} FROM events GROUP BY 1""",
+                             ["hour"])
+SQL["pivot_table_sum_multi"] = rs(f"""SELECT CAST(date_trunc('month', l_shipdate) AS DATE) AS month, {", ".join(
+    f"sum({v}) FILTER (WHERE l_returnflag = '{f}') AS {v}_{f}" for f in "ANR" for v in ["l_quantity", "l_extendedprice"])}
+  FROM lineitem GROUP BY 1""", ["month"])
+SQL["pivot_surface"] = rs(f"SELECT delivery_start, DateTime, avg(forward_price) AS forward_price FROM ({FORWARD}) GROUP BY 1, 2",
+                          ["delivery_start", "DateTime"])
+SQL["row_sum_cols"] = rs(HYDRO, ["DateTime"])
+SQL["row_mean_cols"] = rs(f"""SELECT DateTime, CASE WHEN ({" + ".join(f"CASE WHEN hydro_inflow_{n} IS NULL THEN 0 ELSE 1 END" for _, n in REGIONS)}) > 0
+  THEN ({row_sum('hydro_inflow_')}) / ({" + ".join(f"CASE WHEN hydro_inflow_{n} IS NULL THEN 0 ELSE 1 END" for _, n in REGIONS)}) END AS row_mean_inflow
+  FROM ({HYDRO})""", ["DateTime"])
+SQL["unpivot_melt"] = rs(f"""SELECT DateTime, 'avg_settlement_price' AS series, avg_settlement_price AS value FROM ({SETTLEMENT})
+  UNION ALL SELECT DateTime, 'max_settlement_price' AS series, max_settlement_price AS value FROM ({SETTLEMENT})""",
+                         ["DateTime", "series"])
+
+
+def _double_round(sql: str) -> str:
+    """Rewrite ``round(x, n)`` as ``round(round(x, 8), n)`` for n < 8 (see
+    ``queries.rr``: both engines then round the same double the same way)."""
+    out, i = [], 0
+    while True:
+        j = sql.find("round(", i)
+        if j < 0:
+            out.append(sql[i:])
+            return "".join(out)
+        if j > 0 and (sql[j - 1].isalnum() or sql[j - 1] == "_"):
+            out.append(sql[i:j + 6])
+            i = j + 6
+            continue
+        k, depth, comma = j + 6, 1, None
+        while depth:
+            ch = sql[k]
+            if ch == "(":
+                depth += 1
+            elif ch == ")":
+                depth -= 1
+            elif ch == "," and depth == 1:
+                comma = k
+            k += 1
+        inner = sql[j + 6:k - 1]
+        if comma is None:
+            out.append(sql[i:k])
+        else:
+            arg, n = sql[j + 6:comma], sql[comma + 1:k - 1].strip()
+            arg = _double_round(arg)
+            if n.isdigit() and int(n) < 8:
+                out.append(sql[i:j] + f"round(round({arg}, 8), {n})")
+            else:
+                out.append(sql[i:j] + f"round({arg}, {n})")
+        del inner
+        i = k
+
+
+SQL = {k: _double_round(v) for k, v in SQL.items()}

@@ -48,9 +48,25 @@ def q(name: str):
     return deco
 
 
+def _half_away(c, n: int):
+    m = float(10 ** n)
+    return F.signum(c) * F.floor(F.abs(c) * m + 0.5) / m
+
+
+def rr(c, n: int = 4):
+    """Round for comparison: first to 8 decimals, then to ``n``, both half away
+    from zero on the binary value (``std::round(x*10^k)/10^k``, as the SQL
+    engine does).  The first step snaps summation-order noise back onto exact
+    decimal values (a mean such as 292.47 / 8 = 36.55875), so exact ties round
+    the same way in both engines; ``F.round`` would round the shortest decimal
+    text of the double instead."""
+    c = F.col(c) if isinstance(c, str) else c
+    return F.when(F.isnan(c), c).otherwise(_half_away(_half_away(c, 8), n) if n < 8 else _half_away(c, n))
+
+
 def rnd(df: DataFrame, n: int = 4) -> DataFrame:
     """Round every floating column to ``n`` decimals (same rule as the oracle)."""
-    return df.select(*[F.round(F.col(f"`{f.name}`"), n).alias(f.name)
+    return df.select(*[rr(F.col(f"`{f.name}`"), n).alias(f.name)
                        if isinstance(f.dataType, (T.DoubleType, T.FloatType)) else F.col(f"`{f.name}`")
                        for f in df.schema.fields])
 
@@ -235,3 +251,273 @@ def q_unit_convert(spark, d):
     h = SI.hydro_raw(spark, d)
     out = C.unit_convert(h, "Value", 1000.0, out="value_mwh", unit_col="unit", unit="MWh")
     return rnd(out.select("DateValueCET", "Location", "value_mwh", "unit"))
+
+
+# ================================================================ 2.3 joins =
+
+def dailies(spark, d):
+    return [settlement(spark, d), hydro(spark, d), solar(spark, d), wind(spark, d),
+            capacity(spark, d), consumption(spark, d)]
+
+
+@q("join_left_chain")
+def q_join_left_chain(spark, d):
+    return rnd(J.join_left_chain(forward(spark, d), [settlement(spark, d), hydro(spark, d)], DT))
+
+
+@q("join_inner")
+def q_join_inner(spark, d):
+    return rnd(J.join_inner_chain([settlement(spark, d), hydro(spark, d)], DT))
+
+
+@q("join_index_chain")
+def q_join_index_chain(spark, d):
+    return rnd(J.join_inner_chain([settlement(spark, d), hydro(spark, d), wind(spark, d),
+                                   solar(spark, d), consumption(spark, d)], DT))
+
+
+@q("join_full_outer")
+def q_join_full_outer(spark, d):
+    return rnd(J.join_full_outer(settlement(spark, d), hydro(spark, d), DT))
+
+
+def hourly_by_area(spark, d, event_type=None):
+    e = t(spark, d, "events")
+    if event_type:
+        e = e.where(F.col("event_type") == event_type)
+    cr = SI.customer_region(spark, d)
+    return e.join(cr, e.user_id == cr.c_custkey).select(
+        F.to_date("ts").alias("date"), F.hour("ts").alias("hour"), F.col("r_name").alias("area"), "value")
+
+
+@q("join_multi_key")
+def q_join_multi_key(spark, d):
+    a = hourly_by_area(spark, d).groupBy("date", "hour", "area").agg(F.avg("value").alias("mean_value"))
+    b = hourly_by_area(spark, d, "view").groupBy("date", "hour", "area").agg(
+        F.count(F.lit(1)).alias("views"))
+    return rnd(a.join(b, ["date", "hour", "area"], "inner"))
+
+
+@q("join_dim_lookup")
+def q_join_dim_lookup(spark, d):
+    w, st = weather_stations(spark, d)
+    out = JB.weather_hourly(w, st, "radiation", {"MIDDLE EAST": "ASIA"})
+    return rnd(out)
+
+
+@q("join_self_prev_friday")
+def q_join_self_prev_friday(spark, d):
+    return rnd(J.weekend_friday_match(forward(spark, d), DT, "forward_price"), 6)
+
+
+@q("join_agg_back")
+def q_join_agg_back(spark, d):
+    return rnd(JB.job_temperature(SI.temperature_raw(spark, d)))
+
+
+@q("join_interval_active")
+def q_join_interval_active(spark, d):
+    reg = SI.registry_raw(spark, d).select(
+        F.col("nom_tipousina").alias("ptype"), S.map_replace("id_subsistema", REGION_MAP).alias("region"),
+        "dat_entradaoperacao", "dat_desativacao", "val_potenciaefetiva")
+    long = J.interval_activity(reg, start="dat_entradaoperacao", end="dat_desativacao",
+                               amount="val_potenciaefetiva", keys=["ptype", "region"],
+                               cal_start=CAL_START, cal_end=CAL_END)
+    return rnd(long.where(F.col("val_potenciaefetiva") != 0)
+                   .withColumnRenamed("val_potenciaefetiva", "capacity"))
+
+
+@q("semi_anti_dates")
+def q_semi_anti_dates(spark, d):
+    f = forward(spark, d)
+    s = settlement(spark, d)
+    semi = J.semi_join(f, s, DT).withColumn("kind", F.lit("semi"))
+    anti = J.anti_join(f, s, DT).withColumn("kind", F.lit("anti"))
+    return rnd(semi.unionByName(anti))
+
+
+def p0p1_features(spark, d):
+    return [settlement(spark, d), hydro(spark, d)]
+
+
+def with_features(p, feats):
+    return J.join_left_chain(p, feats, DT)
+
+
+@q("join_p0_p1")
+def q_join_p0_p1(spark, d):
+    p = JB.job_p0_p1(forward(spark, d), None)
+    return rnd(with_features(p, p0p1_features(spark, d)))
+
+
+@q("join_p0_p1_inner")
+def q_join_p0_p1_inner(spark, d):
+    p = JB.job_p0_p1(forward(spark, d), None, fill_front_from_next=False, require_both=True)
+    return rnd(with_features(p, p0p1_features(spark, d)))
+
+
+# ========================================================= 2.4 aggregates ===
+
+def events_region(spark, d):
+    e = t(spark, d, "events")
+    cr = SI.customer_region(spark, d)
+    return e.join(cr, e.user_id == cr.c_custkey).select(
+        "event_id", "ts", "event_type", "value", F.col("r_name").alias("region"))
+
+
+@q("agg_daily_stats")
+def q_agg_daily_stats(spark, d):
+    e = t(spark, d, "events").withColumn(DT, F.to_date("ts"))
+    return rnd(A.agg_daily_stats(e, [DT], "value"))
+
+
+@q("agg_daily_stats_ext")
+def q_agg_daily_stats_ext(spark, d):
+    return rnd(JB.job_settlement_ext(SI.settlement_raw(spark, d), "AM", REGION_MAP, ["ts", "row_id"]))
+
+
+@q("agg_sum_by_keys")
+def q_agg_sum_by_keys(spark, d):
+    h = SI.hydro_raw(spark, d).select(F.col("DateValueCET").alias(DT), F.col("Location").alias("region"), "Value")
+    return rnd(A.agg_sum_by_keys(h, [DT, "region"], "Value", {"Value": "inflow"}))
+
+
+@q("agg_sum_mean")
+def q_agg_sum_mean(spark, d):
+    s = SI.solar_raw(spark, d).select(F.to_date("din_instante").alias(DT),
+                                      F.col("id_subsistema").alias("region"), "val_geraenergiaconmwmed")
+    return rnd(A.agg_sum_mean(s, [DT, "region"], "val_geraenergiaconmwmed", "solar_sum", "solar_mean"))
+
+
+@q("agg_sum_mean_std_peak")
+def q_agg_sum_mean_std_peak(spark, d):
+    e = t(spark, d, "events").withColumn(DT, F.to_date("ts"))
+    return rnd(A.agg_sum_mean_std_peak(e, [DT, "event_type"], "value"))
+
+
+@q("agg_by_calendar")
+def q_agg_by_calendar(spark, d):
+    return rnd(A.agg_by_calendar(events_region(spark, d), "ts", ["weekday", "hour"], "value",
+                                 ["region"], ("mean", "sum", "count")))
+
+
+@q("agg_group_mean_sd")
+def q_agg_group_mean_sd(spark, d):
+    e = t(spark, d, "events")
+    return rnd(A.agg_group_mean_sd(e, [F.hour("ts").alias("hour"), F.col("event_type")], "value"))
+
+
+@q("agg_by_year_cols")
+def q_agg_by_year_cols(spark, d):
+    w = qty_by_flag(spark, d)
+    return rnd(A.agg_by_year_cols(w, DT, {"returned": ["qty_R"], "all": ["qty_A", "qty_N", "qty_R"]}))
+
+
+@q("agg_last_vintage")
+def q_agg_last_vintage(spark, d):
+    return rnd(consumption_last(spark, d))
+
+
+@q("agg_describe")
+def q_agg_describe(spark, d):
+    return rnd(A.agg_describe(t(spark, d, "events"), ["value"], ["event_type"]))
+
+
+@q("agg_missing_summary")
+def q_agg_missing_summary(spark, d):
+    w = SI.weather_raw(spark, d).select("DATA", "Hora_UTC", "precipitation", "radiation", "wind_speed", "ESTACAO")
+    return rnd(A.agg_missing_summary(w))
+
+
+@q("agg_value_counts")
+def q_agg_value_counts(spark, d):
+    o = t(spark, d, "orders")
+    cr = SI.customer_region(spark, d)
+    j = o.join(cr, o.o_custkey == cr.c_custkey)
+    return A.agg_value_counts(j, [F.col("r_name").alias("region"), S.day_name("o_orderdate").alias("weekday")])
+
+
+@q("agg_distinct")
+def q_agg_distinct(spark, d):
+    return A.agg_distinct(t(spark, d, "orders").select(F.to_date("o_orderdate").alias("d")), "d")
+
+
+LI_NUM = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+
+
+@q("agg_skewness")
+def q_agg_skewness(spark, d):
+    return rnd(A.agg_skewness(t(spark, d, "lineitem"), LI_NUM), 6)
+
+
+@q("agg_corr")
+def q_agg_corr(spark, d):
+    return rnd(A.agg_corr(t(spark, d, "lineitem"), ["l_quantity", "l_discount", "l_tax"], "l_extendedprice"), 6)
+
+
+@q("agg_corr_grouped")
+def q_agg_corr_grouped(spark, d):
+    return rnd(A.agg_corr_grouped(t(spark, d, "lineitem"), ["l_returnflag"], LI_NUM), 6)
+
+
+@q("agg_histogram")
+def q_agg_histogram(spark, d):
+    return rnd(A.agg_histogram(t(spark, d, "orders"), "o_totalprice", 50))
+
+
+@q("agg_box_stats")
+def q_agg_box_stats(spark, d):
+    o = t(spark, d, "orders").withColumn("weekday", F.weekday("o_orderdate"))
+    return rnd(A.agg_box_stats(o, ["weekday"], "o_totalprice"))
+
+
+@q("agg_kde")
+def q_agg_kde(spark, d):
+    out = A.agg_kde(t(spark, d, "events"), "value", 200, 3.0)
+    return out.select("grid", rr("x", 6).alias("x"), rr(F.col("density") * 1e6, 4).alias("density_e6"))
+
+
+# ============================================================ 2.5 reshape ===
+
+@q("pivot_region")
+def q_pivot_region(spark, d):
+    h = SI.hydro_raw(spark, d).select(F.col("DateValueCET").alias(DT),
+                                      S.map_replace("Location", REGION_MAP).alias("Region"), "Value")
+    agg = A.agg_sum_by_keys(h, [DT, "Region"], "Value")
+    return rnd(R.pivot_region(agg, [DT], "Region", "Value", REGIONS, prefix="inflow_"))
+
+
+@q("pivot_table_mean")
+def q_pivot_table_mean(spark, d):
+    e = t(spark, d, "events").select(F.hour("ts").alias("hour"), F.weekday("ts").alias("weekday"), "value")
+    return rnd(R.pivot_table(e, ["hour"], "weekday", "value", list(range(7)), "mean", prefix="wd_"))
+
+
+@q("pivot_table_sum_multi")
+def q_pivot_table_sum_multi(spark, d):
+    li = t(spark, d, "lineitem").withColumn("month", F.trunc(F.to_date("l_shipdate"), "MM"))
+    return rnd(R.pivot_table_sum_multi(li, ["month"], "l_returnflag", ["l_quantity", "l_extendedprice"],
+                                       ["A", "N", "R"]))
+
+
+@q("pivot_surface")
+def q_pivot_surface(spark, d):
+    return rnd(R.pivot_surface(forward(spark, d), "delivery_start", DT, "forward_price"))
+
+
+@q("row_sum_cols")
+def q_row_sum_cols(spark, d):
+    return rnd(hydro(spark, d))
+
+
+@q("row_mean_cols")
+def q_row_mean_cols(spark, d):
+    h = hydro(spark, d).drop("daily_sum_hydro_inflow")
+    cols = [c for c in h.columns if c.startswith("hydro_inflow_")]
+    return rnd(R.row_mean_cols(h, cols, "row_mean_inflow").select(DT, "row_mean_inflow"))
+
+
+@q("unpivot_melt")
+def q_unpivot_melt(spark, d):
+    s = settlement(spark, d).select(DT, "avg_settlement_price", "max_settlement_price")
+    return rnd(R.unpivot_melt(s, [DT], ["avg_settlement_price", "max_settlement_price"], "series", "value"))
