@@ -146,7 +146,10 @@ def agg_last_vintage(df: DataFrame, keys: Sequence[str], issue: str, valid: str,
     ``groupby().last()``: the last non-null value per column."""
     values = list(values) if values is not None else \
         [c for c in df.columns if c not in keys]
-    order = F.struct(_c(issue), *[_c(t) for t in tiebreak])
+    # The values themselves close the order, so exact duplicates of the
+    # tie-break keys still give one deterministic row.
+    order = F.struct(_c(issue), *[_c(t) for t in tiebreak],
+                     *[_c(v) for v in values if v not in tiebreak and v != issue])
     base = df.where(_c(issue) <= _c(valid))
     if skip_nulls:
         aggs = [F.max_by(_c(v), F.when(_c(v).isNotNull(), order)).alias(v) for v in values]

@@ -156,7 +156,7 @@ CONS_RAW = f"""SELECT CAST(o.o_orderdate AS DATE) AS issue, CAST(l.l_shipdate AS
   l.l_quantity AS consumption, {REGION_CODE.format(c='cr.r_name')} AS Region, l.l_orderkey, l.l_linenumber
   FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey JOIN ({CUST_REGION}) cr ON o.o_custkey = cr.c_custkey"""
 CONS_LAST_ALL = f"""SELECT valid, Region, consumption, issue FROM (
-  SELECT *, row_number() OVER (PARTITION BY valid, Region ORDER BY issue DESC, l_orderkey DESC, l_linenumber DESC) AS rn
+  SELECT *, row_number() OVER (PARTITION BY valid, Region ORDER BY issue DESC, l_orderkey DESC, l_linenumber DESC, consumption DESC) AS rn
   FROM ({CONS_RAW}) WHERE issue <= valid) WHERE rn = 1"""
 CONS_LAST = CONS_LAST_ALL.replace("WHERE issue <= valid",
                                   "WHERE issue <= valid AND issue >= DATE '1996-01-01' AND valid >= DATE '1996-01-01'")
@@ -223,10 +223,10 @@ SQL["join_p0_p1_inner"] = rs(f"""SELECT * FROM ({P0P1})
 SQL["agg_daily_stats"] = rs("""SELECT CAST(ts AS DATE) AS DateTime, avg(value) AS mean, stddev_samp(value) AS std,
   min(value) AS min, max(value) AS max FROM events GROUP BY 1""", ["DateTime"])
 SQL["agg_daily_stats_ext"] = rs(f"""SELECT CAST(ts AS DATE) AS DateTime, avg(p) AS mean, stddev_samp(p) AS std,
-  min(p) AS min, max(p) AS max, var_samp(p) AS var, max(p) - min(p) AS range, median(p) AS median,
+  min(p) AS min, max(p) AS max, round(var_samp(p), 0) AS var, max(p) - min(p) AS range, median(p) AS median,
   first(p ORDER BY ts, row_id) AS first, last(p ORDER BY ts, row_id) AS last, count(p) AS count,
   CASE WHEN count(p) >= 3 AND var_pop(p) > 0 THEN skewness(p) END AS skew
-  FROM ({SETTLE_TICKS}) WHERE area = 'AMERICA' GROUP BY 1""", ["DateTime", "count"])
+  FROM ({SETTLE_TICKS}) WHERE area = 'AMERICA' GROUP BY 1""", ["DateTime", "count", "var"])
 SQL["agg_sum_by_keys"] = rs(f"""SELECT CAST(l_shipdate AS DATE) AS DateTime, r_name AS region,
   coalesce(sum(l_quantity), 0) AS inflow FROM ({LI_SUPP}) GROUP BY 1, 2""", ["DateTime", "region"])
 SQL["agg_sum_mean"] = rs(f"""SELECT CAST(l_shipdate AS DATE) AS DateTime, r_name AS region,

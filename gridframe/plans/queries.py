@@ -50,7 +50,10 @@ def q(name: str):
 
 def _half_away(c, n: int):
     m = float(10 ** n)
-    return F.signum(c) * F.floor(F.abs(c) * m + 0.5) / m
+    v = F.abs(c) * m + 0.5
+    # floor() yields a long; beyond 2^53 every double is integral already.
+    fl = F.when(v >= F.lit(4.0e15), v).otherwise(F.floor(v).cast("double"))
+    return F.signum(c) * fl / m
 
 
 def rr(c, n: int = 4):
@@ -64,9 +67,11 @@ def rr(c, n: int = 4):
     return F.when(F.isnan(c), c).otherwise(_half_away(_half_away(c, 8), n) if n < 8 else _half_away(c, n))
 
 
-def rnd(df: DataFrame, n: int = 4) -> DataFrame:
-    """Round every floating column to ``n`` decimals (same rule as the oracle)."""
-    return df.select(*[rr(F.col(f"`{f.name}`"), n).alias(f.name)
+def rnd(df: DataFrame, n: int = 4, digits: dict | None = None) -> DataFrame:
+    """Round every floating column to ``n`` decimals (``digits`` overrides per
+    column), the same rule as the oracle."""
+    digits = digits or {}
+    return df.select(*[rr(F.col(f"`{f.name}`"), digits.get(f.name, n)).alias(f.name)
                        if isinstance(f.dataType, (T.DoubleType, T.FloatType)) else F.col(f"`{f.name}`")
                        for f in df.schema.fields])
 
@@ -373,7 +378,8 @@ def q_agg_daily_stats(spark, d):
 
 @q("agg_daily_stats_ext")
 def q_agg_daily_stats_ext(spark, d):
-    return rnd(JB.job_settlement_ext(SI.settlement_raw(spark, d), "AM", REGION_MAP, ["ts", "row_id"]))
+    return rnd(JB.job_settlement_ext(SI.settlement_raw(spark, d), "AM", REGION_MAP, ["ts", "row_id"]),
+               digits={"var": 0})
 
 
 @q("agg_sum_by_keys")
