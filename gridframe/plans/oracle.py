@@ -319,6 +319,114 @@ SQL["unpivot_melt"] = rs(f"""SELECT DateTime, 'avg_settlement_price' AS series,
                          ["DateTime", "series"])
 
 
+# ====================================================== 2.6 time series =====
+
+SETTLE_SERIES = f"SELECT DateTime, avg_settlement_price, max_settlement_price FROM ({SETTLEMENT})"
+SQL["win_lag"] = rs(f"""SELECT *, lag(avg_settlement_price, 7) OVER (ORDER BY DateTime) AS price_lag7,
+  lag(avg_settlement_price, 30) OVER (ORDER BY DateTime) AS price_lag30 FROM ({SETTLE_SERIES})""", ["DateTime"])
+SQL["win_lead_group"] = f"""SELECT valid, Region, lead(valid) OVER (PARTITION BY Region ORDER BY valid) AS next_valid
+  FROM ({CONS_LAST_ALL})"""
+SQL["win_rolling"] = rs(f"""SELECT DateTime, avg_settlement_price,
+  CASE WHEN count(avg_settlement_price) OVER w7 = 7 THEN avg(avg_settlement_price) OVER w7 END AS rolling_mean_7,
+  CASE WHEN count(avg_settlement_price) OVER w30 = 30 THEN stddev_samp(avg_settlement_price) OVER w30 END AS rolling_std_30
+  FROM ({SETTLE_SERIES})
+  WINDOW w7 AS (ORDER BY DateTime ROWS BETWEEN 6 PRECEDING AND CURRENT ROW),
+         w30 AS (ORDER BY DateTime ROWS BETWEEN 29 PRECEDING AND CURRENT ROW)""", ["DateTime"])
+SQL["win_group_transform_fill"] = f"""SELECT ts, ESTACAO,
+  round(coalesce(radiation, avg(radiation) OVER (PARTITION BY hour(ts))), 4) AS radiation FROM ({WEATHER})"""
+SETTLE_SPINE = f"""SELECT CAST(g AS DATE) AS DateTime, s.avg_settlement_price FROM
+  (SELECT unnest(generate_series(min(DateTime), max(DateTime), INTERVAL 1 DAY)) AS g FROM ({SETTLEMENT})) sp
+  LEFT JOIN ({SETTLEMENT}) s ON s.DateTime = CAST(sp.g AS DATE)"""
+SQL["ts_ffill_bfill"] = rs(f"""SELECT DateTime,
+  last_value(avg_settlement_price IGNORE NULLS) OVER (ORDER BY DateTime ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS price_ffill,
+  first_value(avg_settlement_price IGNORE NULLS) OVER (ORDER BY DateTime ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS price_bfill
+  FROM ({SETTLE_SPINE})""", ["DateTime"])
+ORDER_SPINE = """SELECT CAST(unnest(generate_series(min(CAST(o_orderdate AS DATE)), max(CAST(o_orderdate AS DATE)),
+  INTERVAL 1 DAY)) AS DATE) AS DateTime FROM orders"""
+SQL["ts_calendar_spine"] = ORDER_SPINE
+SQL["ts_missing_dates"] = f"""SELECT DateTime, CAST(isodow(DateTime) - 1 AS INTEGER) AS weekday, dayname(DateTime) AS day_name
+  FROM ({ORDER_SPINE}) WHERE DateTime NOT IN (SELECT CAST(o_orderdate AS DATE) FROM orders)"""
+RAD_HOURLY = f"SELECT * FROM ({WEATHER_HOURLY.format(m='radiation')}) WHERE region IS NOT NULL"
+RAD_DAILY = f"""SELECT region, CAST(DateTime AS DATE) AS DateTime, coalesce(sum(radiation), 0) AS radiation
+  FROM ({RAD_HOURLY}) GROUP BY 1, 2"""
+RAD_RESAMPLED = f"""SELECT sp.region, sp.DateTime, coalesce(d.radiation, 0) AS radiation FROM (
+    SELECT region, CAST(unnest(generate_series(min(DateTime), max(DateTime), INTERVAL 1 DAY)) AS DATE) AS DateTime
+    FROM ({RAD_DAILY}) GROUP BY region) sp
+  LEFT JOIN ({RAD_DAILY}) d ON d.region = sp.region AND d.DateTime = sp.DateTime"""
+SQL["ts_resample_daily"] = rs(RAD_RESAMPLED, ["region", "DateTime"])
+SQL["ts_expand_period"] = rs(CONS_EXP.replace(CONS_LAST, CONS_LAST_ALL), ["Region", "DateTime"])
+SQL["ts_forecast_lead_filter"] = f"""SELECT CAST(o.o_orderdate AS DATE) AS DateForecastCET, CAST(l.l_shipdate AS DATE) AS DateValueCET,
+  round(l.l_quantity, 4) AS VolumeMWh, cr.r_name AS PowerPriceAreaCode, l.l_orderkey, l.l_linenumber
+  FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey JOIN ({CUST_REGION}) cr ON o.o_custkey = cr.c_custkey
+  WHERE datediff('day', CAST(o.o_orderdate AS DATE), CAST(l.l_shipdate AS DATE)) = 1"""
+NUMBERED = f"SELECT *, row_number() OVER (ORDER BY DateTime) AS rn FROM ({SETTLE_SERIES})"
+SQL["ts_sliding_sequences"] = rs(f"""SELECT t.rn AS row_number, t.DateTime AS target_date, t.avg_settlement_price AS target,
+  CAST(w.rn - (t.rn - 7) AS INTEGER) AS step, w.avg_settlement_price, w.max_settlement_price
+  FROM ({NUMBERED}) t JOIN ({NUMBERED}) w ON w.rn BETWEEN t.rn - 7 AND t.rn - 1 WHERE t.rn > 7""",
+                                 ["row_number", "target_date", "step"])
+SQL["ts_tail_period"] = rs(f"""SELECT * FROM ({SETTLE_SERIES})
+  WHERE DateTime >= (SELECT max(DateTime) FROM ({SETTLEMENT})) - INTERVAL 2 MONTH""", ["DateTime"])
+
+# ================================================= 2.7 sort / top-k / sets ==
+
+SQL["sort_multi"] = """SELECT o_orderkey, o_orderdate, round(o_totalprice, 4) AS o_totalprice,
+  row_number() OVER (ORDER BY o_orderdate, o_totalprice DESC, o_orderkey) AS rank FROM orders"""
+SQL["topk_abs"] = """SELECT l_orderkey, l_linenumber, round((l_discount - l_tax) * l_extendedprice, 4) AS score FROM lineitem
+  ORDER BY abs((l_discount - l_tax) * l_extendedprice) DESC, l_orderkey, l_linenumber LIMIT 10"""
+SQL["set_difference"] = """SELECT CAST(o_orderdate AS DATE) AS DateTime FROM orders
+  EXCEPT SELECT CAST(l_shipdate AS DATE) FROM lineitem"""
+SQL["set_intersect"] = """SELECT CAST(o_orderdate AS DATE) AS DateTime FROM orders
+  INTERSECT SELECT CAST(l_shipdate AS DATE) FROM lineitem"""
+SQL["set_union_tagged"] = f"""SELECT DISTINCT DateTime, 'forward' AS source FROM ({FORWARD})
+  UNION ALL SELECT DateTime, 'settlement' AS source FROM ({SETTLEMENT})"""
+
+# ======================================================= 2.8 scalars ========
+
+SQL["map_replace"] = """SELECT o_orderkey, CASE o_orderpriority WHEN '1-URGENT' THEN 'U' WHEN '2-HIGH' THEN 'H'
+  ELSE o_orderpriority END AS priority FROM orders"""
+SQL["map_lookup"] = """SELECT o_orderkey, CASE o_orderpriority WHEN '1-URGENT' THEN 'U' WHEN '2-HIGH' THEN 'H'
+  END AS priority FROM orders"""
+_MONTHS = ["January", "February", "March", "April", "May", "June", "July", "August", "September",
+           "October", "November", "December"]
+SQL["str_split_expand"] = f"""SELECT month_text, split_part(month_text, ' ', 1) AS month_name,
+  CAST(split_part(month_text, ' ', 2) AS INTEGER) AS year,
+  CAST(CASE split_part(month_text, ' ', 1) {" ".join(f"WHEN '{m}' THEN {i + 1}" for i, m in enumerate(_MONTHS))} END AS INTEGER) AS month
+  FROM (SELECT DISTINCT strftime(l_shipdate, '%B %Y') AS month_text FROM ({LI_SUPP}))"""
+SQL["str_substring"] = f"SELECT ts, ESTACAO, substr(Hora_UTC, 1, 2) AS hour_text FROM ({WEATHER})"
+SQL["num_coerce"] = f"""SELECT DISTINCT val_geraenergiaconmwmed, round(TRY_CAST(val_geraenergiaconmwmed AS DOUBLE), 4) AS generation
+  FROM (SELECT CASE WHEN l_returnflag = 'R' THEN 'n/a' ELSE CAST(l_quantity AS VARCHAR) END AS val_geraenergiaconmwmed
+        FROM ({LI_SUPP}))"""
+SQL["ts_build"] = """SELECT o_orderkey AS row_id, o_orderdate AS ts,
+  make_date(year(o_orderdate), month(o_orderdate), 1) AS month_start,
+  CAST(CAST(o_orderdate AS DATE) AS TIMESTAMP) + INTERVAL 90 MINUTE AS plus_90min FROM orders"""
+SQL["ts_tz_convert"] = """SELECT event_id, ts AS wall_cet, timezone('UTC', timezone('CET', ts)) AS utc,
+  timezone('America/Sao_Paulo', timezone('CET', ts)) AS sao_paulo,
+  timezone('Europe/Berlin', timezone('UTC', ts)) AS berlin_from_utc FROM events"""
+SQL["date_parts"] = """SELECT event_id, CAST(year(ts) AS INTEGER) AS year, CAST(month(ts) AS INTEGER) AS month,
+  CAST(day(ts) AS INTEGER) AS day, CAST(hour(ts) AS INTEGER) AS hour, dayname(ts) AS day_name,
+  monthname(ts) AS month_name, CAST(isodow(ts) - 1 AS INTEGER) AS weekday,
+  CAST(dayofyear(ts) AS INTEGER) AS day_of_year FROM events"""
+SQL["date_format_trunc"] = """SELECT o_orderkey, strftime(o_orderdate, '%Y-%m') AS year_month, CAST(o_orderdate AS DATE) AS date,
+  CAST(date_trunc('month', o_orderdate) AS DATE) AS month_start, strftime(o_orderdate, '%Y-%m-%d') AS date_text FROM orders"""
+SQL["date_offset"] = """SELECT o_orderkey, CAST(CAST(o_orderdate AS DATE) + INTERVAL 1 MONTH AS DATE) AS plus_1_month,
+  CAST(o_orderdate AS DATE) + 3 AS plus_3_days, CAST(o_orderdate AS DATE) - 1 AS minus_1_day,
+  CASE WHEN isodow(o_orderdate) >= 6 THEN CAST(o_orderdate AS DATE) - CAST(isodow(o_orderdate) - 1 - 4 AS INTEGER)
+       ELSE CAST(o_orderdate AS DATE) END AS previous_friday FROM orders"""
+SQL["date_epoch"] = "SELECT event_id, CAST(floor(epoch_us(ts) / 1000000) AS BIGINT) AS epoch_seconds FROM events"
+_TWO_PI = "6.283185307179586"
+SQL["cyclic_encode"] = f"""SELECT event_id,
+  round(sin({_TWO_PI} * CAST(hour(ts) AS DOUBLE) / 24.0), 6) AS hour_sin, round(cos({_TWO_PI} * CAST(hour(ts) AS DOUBLE) / 24.0), 6) AS hour_cos,
+  round(sin({_TWO_PI} * CAST(dayofyear(ts) AS DOUBLE) / 365.0), 6) AS day_sin, round(cos({_TWO_PI} * CAST(dayofyear(ts) AS DOUBLE) / 365.0), 6) AS day_cos,
+  round(sin({_TWO_PI} * CAST(month(ts) AS DOUBLE) / 12.0), 6) AS month_sin, round(cos({_TWO_PI} * CAST(month(ts) AS DOUBLE) / 12.0), 6) AS month_cos
+  FROM events"""
+SQL["weekend_flag"] = "SELECT o_orderkey, CASE WHEN isodow(o_orderdate) >= 6 THEN 1 ELSE 0 END AS is_weekend FROM orders"
+SQL["interaction_features"] = """SELECT l_orderkey, l_linenumber, round(l_extendedprice * l_discount, 4) AS price_x_discount,
+  round(CASE WHEN l_quantity = 0 THEN NULL ELSE l_extendedprice / l_quantity END, 4) AS unit_price,
+  round(CASE WHEN l_tax = 0 THEN NULL ELSE l_discount / l_tax END, 4) AS discount_per_tax FROM lineitem"""
+SQL["log_sqrt_transform"] = """SELECT l_orderkey, l_linenumber, round(sqrt(l_extendedprice), 6) AS sqrt_price,
+  round(ln(1 + l_extendedprice), 6) AS log1p_price FROM lineitem"""
+
+
 def _double_round(sql: str) -> str:
     """Rewrite ``round(x, n)`` as ``round(round(x, 8), n)`` for n < 8 (see
     ``queries.rr``: both engines then round the same double the same way)."""

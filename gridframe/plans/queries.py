@@ -527,3 +527,256 @@ def q_row_mean_cols(spark, d):
 def q_unpivot_melt(spark, d):
     s = settlement(spark, d).select(DT, "avg_settlement_price", "max_settlement_price")
     return rnd(R.unpivot_melt(s, [DT], ["avg_settlement_price", "max_settlement_price"], "series", "value"))
+
+
+# ====================================================== 2.6 time series =====
+
+def settle_series(spark, d):
+    return settlement(spark, d).select(DT, "avg_settlement_price", "max_settlement_price")
+
+
+@q("win_lag")
+def q_win_lag(spark, d):
+    return rnd(TS.win_lag(settle_series(spark, d), [DT], "avg_settlement_price", [7, 30], "price_lag"))
+
+
+@q("win_lead_group")
+def q_win_lead_group(spark, d):
+    return TS.win_lead_group(consumption_last(spark, d).select("valid", "Region"), ["Region"], "valid",
+                             "next_valid")
+
+
+@q("win_rolling")
+def q_win_rolling(spark, d):
+    s = settle_series(spark, d).select(DT, "avg_settlement_price")
+    r7 = TS.win_rolling(s, [DT], "avg_settlement_price", 7, {"rolling_mean_7": "mean"})
+    r30 = TS.win_rolling(s, [DT], "avg_settlement_price", 30, {"rolling_std_30": "std"}).select(DT, "rolling_std_30")
+    return rnd(r7.join(r30, DT))
+
+
+@q("win_group_transform_fill")
+def q_win_group_transform_fill(spark, d):
+    w = SI.weather_raw(spark, d).select("ts", "ESTACAO", "radiation")
+    return rnd(TS.fill_with_group_mean(w, "radiation", F.hour("ts")))
+
+
+def settle_on_spine(spark, d):
+    s = settle_series(spark, d).select(DT, "avg_settlement_price")
+    spine = TS.calendar_spine(s, DT)
+    return spine.join(s, DT, "left")
+
+
+@q("ts_ffill_bfill")
+def q_ts_ffill_bfill(spark, d):
+    s = settle_on_spine(spark, d).select(DT, F.col("avg_settlement_price").alias("price_ffill"),
+                                         F.col("avg_settlement_price").alias("price_bfill"))
+    s = TS.ts_ffill_bfill(s, [DT], ["price_ffill"], "ffill")
+    s = TS.ts_ffill_bfill(s, [DT], ["price_bfill"], "bfill")
+    return rnd(s)
+
+
+@q("ts_calendar_spine")
+def q_ts_calendar_spine(spark, d):
+    return TS.calendar_spine(t(spark, d, "orders"), "o_orderdate")
+
+
+@q("ts_missing_dates")
+def q_ts_missing_dates(spark, d):
+    return TS.missing_dates(t(spark, d, "orders"), "o_orderdate")
+
+
+@q("ts_resample_daily")
+def q_ts_resample_daily(spark, d):
+    w, st = weather_stations(spark, d)
+    h = JB.weather_hourly(w, st, "radiation", {"MIDDLE EAST": "ASIA"}).where(F.col("region").isNotNull())
+    return rnd(TS.resample_daily_sum(h, "region", DT, "radiation"))
+
+
+@q("ts_expand_period")
+def q_ts_expand_period(spark, d):
+    last = consumption_last(spark, d)
+    return rnd(TS.expand_period(last, group=["Region"], start="valid", value="consumption",
+                                out_value="daily_consumption", day=DT))
+
+
+@q("ts_forecast_lead_filter")
+def q_ts_forecast_lead_filter(spark, d):
+    raw = SI.consumption_raw(spark, d)
+    return rnd(TS.forecast_lead_filter(raw, "DateForecastCET", "DateValueCET", 1)
+               .select("DateForecastCET", "DateValueCET", "VolumeMWh", "PowerPriceAreaCode",
+                       "l_orderkey", "l_linenumber"))
+
+
+@q("ts_sliding_sequences")
+def q_ts_sliding_sequences(spark, d):
+    s = settle_series(spark, d)
+    seq = TS.sliding_sequences(s, [DT], ["avg_settlement_price", "max_settlement_price"],
+                               "avg_settlement_price", 7)
+    long = seq.select("row_number", F.col(DT).alias("target_date"), F.col("avg_settlement_price").alias("target"),
+                      F.posexplode("window").alias("step", "f"))
+    return rnd(long.select("row_number", "target_date", "target", "step",
+                           F.col("f.avg_settlement_price").alias("avg_settlement_price"),
+                           F.col("f.max_settlement_price").alias("max_settlement_price")))
+
+
+@q("ts_tail_period")
+def q_ts_tail_period(spark, d):
+    return rnd(TS.tail_months(settle_series(spark, d), DT, 2))
+
+
+# ================================================= 2.7 sort / top-k / sets ==
+
+@q("sort_multi")
+def q_sort_multi(spark, d):
+    o = t(spark, d, "orders").select("o_orderkey", "o_orderdate", "o_totalprice")
+    return rnd(SO.sort_multi(o, [F.col("o_orderdate"), F.col("o_totalprice").desc(), F.col("o_orderkey")]))
+
+
+@q("topk_abs")
+def q_topk_abs(spark, d):
+    li = t(spark, d, "lineitem").select(
+        "l_orderkey", "l_linenumber",
+        ((F.col("l_discount") - F.col("l_tax")) * F.col("l_extendedprice")).alias("score"))
+    return rnd(SO.topk_abs(li, "score", 10, ["l_orderkey", "l_linenumber"]))
+
+
+def date_set(df, col):
+    return df.select(F.to_date(col).alias(DT)).distinct()
+
+
+@q("set_difference")
+def q_set_difference(spark, d):
+    return SO.set_difference(date_set(t(spark, d, "orders"), "o_orderdate"),
+                             date_set(t(spark, d, "lineitem"), "l_shipdate"))
+
+
+@q("set_intersect")
+def q_set_intersect(spark, d):
+    return SO.set_intersect(date_set(t(spark, d, "orders"), "o_orderdate"),
+                            date_set(t(spark, d, "lineitem"), "l_shipdate"))
+
+
+@q("set_union_tagged")
+def q_set_union_tagged(spark, d):
+    f = forward(spark, d).select(DT).distinct()
+    s = settlement(spark, d).select(DT)
+    return SO.set_union_tagged([("forward", f), ("settlement", s)], "source")
+
+
+# ======================================================= 2.8 scalars ========
+
+PRIORITY_MAP = {"1-URGENT": "U", "2-HIGH": "H"}
+
+
+@q("map_replace")
+def q_map_replace(spark, d):
+    o = t(spark, d, "orders")
+    return o.select("o_orderkey", S.map_replace("o_orderpriority", PRIORITY_MAP).alias("priority"))
+
+
+@q("map_lookup")
+def q_map_lookup(spark, d):
+    o = t(spark, d, "orders")
+    return o.select("o_orderkey", S.map_lookup("o_orderpriority", PRIORITY_MAP).alias("priority"))
+
+
+@q("str_split_expand")
+def q_str_split_expand(spark, d):
+    w = SI.wind_raw(spark, d).select("Month of din_instante").distinct()
+    m = F.col("Month of din_instante")
+    return w.select(m.alias("month_text"), S.split_part(m, " ", 0).alias("month_name"),
+                    S.split_part(m, " ", 1).cast("int").alias("year"),
+                    S.map_lookup(S.split_part(m, " ", 0), codes.MONTH_NUMBER).alias("month"))
+
+
+@q("str_substring")
+def q_str_substring(spark, d):
+    w = SI.weather_raw(spark, d)
+    return w.select("ts", "ESTACAO", S.substring0("Hora_UTC", 0, 2).alias("hour_text"))
+
+
+@q("num_coerce")
+def q_num_coerce(spark, d):
+    raw = SI.wind_raw(spark, d)
+    return rnd(raw.select("val_geraenergiaconmwmed",
+                          S.num_coerce("val_geraenergiaconmwmed").alias("generation")).distinct())
+
+
+@q("ts_build")
+def q_ts_build(spark, d):
+    r = SI.settlement_raw(spark, d)
+    return r.select("row_id", S.ts_from_date_time("DateValueCET", "TimeValueCET").alias("ts"),
+                    S.ts_from_parts(F.year("DateValueCET"), F.month("DateValueCET"), F.lit(1)).alias("month_start"),
+                    S.ts_plus_seconds(F.col("DateValueCET").cast("timestamp_ntz"), F.lit(5400)).alias("plus_90min"))
+
+
+@q("ts_tz_convert")
+def q_ts_tz_convert(spark, d):
+    e = t(spark, d, "events")
+    return e.select("event_id", F.col("ts").alias("wall_cet"),
+                    S.localize("ts", "CET").alias("utc"),
+                    S.tz_convert("ts", "CET", "America/Sao_Paulo").alias("sao_paulo"),
+                    S.utc_to_zone("ts", "Europe/Berlin").alias("berlin_from_utc"))
+
+
+@q("date_parts")
+def q_date_parts(spark, d):
+    e = t(spark, d, "events")
+    c = F.col("ts")
+    return e.select("event_id", F.year(c).alias("year"), F.month(c).alias("month"), F.dayofmonth(c).alias("day"),
+                    F.hour(c).alias("hour"), S.day_name(c).alias("day_name"), S.month_name(c).alias("month_name"),
+                    S.weekday0(c).alias("weekday"), F.dayofyear(c).alias("day_of_year"))
+
+
+@q("date_format_trunc")
+def q_date_format_trunc(spark, d):
+    o = t(spark, d, "orders")
+    c = F.col("o_orderdate")
+    return o.select("o_orderkey", S.year_month_text(c).alias("year_month"), F.to_date(c).alias("date"),
+                    S.month_start(c).alias("month_start"), F.date_format(c, "yyyy-MM-dd").alias("date_text"))
+
+
+@q("date_offset")
+def q_date_offset(spark, d):
+    o = t(spark, d, "orders")
+    c = F.to_date("o_orderdate")
+    return o.select("o_orderkey", F.add_months(c, 1).alias("plus_1_month"), F.date_add(c, 3).alias("plus_3_days"),
+                    F.date_sub(c, 1).alias("minus_1_day"), S.previous_friday(c).alias("previous_friday"))
+
+
+@q("date_epoch")
+def q_date_epoch(spark, d):
+    e = t(spark, d, "events")
+    return e.select("event_id", S.epoch_seconds("ts").alias("epoch_seconds"))
+
+
+@q("cyclic_encode")
+def q_cyclic_encode(spark, d):
+    e = t(spark, d, "events")
+    hs, hc = S.cyclic(F.hour("ts"), 24)
+    ds, dc = S.cyclic(F.dayofyear("ts"), 365)
+    ms, mc = S.cyclic(F.month("ts"), 12)
+    return rnd(e.select("event_id", hs.alias("hour_sin"), hc.alias("hour_cos"), ds.alias("day_sin"),
+                        dc.alias("day_cos"), ms.alias("month_sin"), mc.alias("month_cos")), 6)
+
+
+@q("weekend_flag")
+def q_weekend_flag(spark, d):
+    o = t(spark, d, "orders")
+    return o.select("o_orderkey", S.weekend_flag("o_orderdate").alias("is_weekend"))
+
+
+@q("interaction_features")
+def q_interaction_features(spark, d):
+    li = t(spark, d, "lineitem")
+    return rnd(li.select("l_orderkey", "l_linenumber",
+                         (F.col("l_extendedprice") * F.col("l_discount")).alias("price_x_discount"),
+                         S.ratio("l_extendedprice", "l_quantity").alias("unit_price"),
+                         S.ratio("l_discount", "l_tax").alias("discount_per_tax")))
+
+
+@q("log_sqrt_transform")
+def q_log_sqrt_transform(spark, d):
+    li = t(spark, d, "lineitem")
+    return rnd(li.select("l_orderkey", "l_linenumber", F.sqrt("l_extendedprice").alias("sqrt_price"),
+                         F.log1p("l_extendedprice").alias("log1p_price")), 6)
