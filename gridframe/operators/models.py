@@ -231,10 +231,11 @@ def cross_validate(df: DataFrame, features: Sequence[str], label: str, estimator
     from pyspark.ml.evaluation import RegressionEvaluator
     from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
     data = assemble(df, features).where(_c(label).isNotNull()).withColumn(fold_col, _c(fold_col).cast("int"))
+    k = data.agg(F.max(fold_col)).first()[0] + 1
     maps = list(param_maps) if param_maps else ParamGridBuilder().build()
     ev = RegressionEvaluator(labelCol=label, predictionCol=PRED, metricName=metric)
     cv = CrossValidator(estimator=estimator, estimatorParamMaps=maps, evaluator=ev,
-                        foldCol=fold_col, parallelism=parallelism)
+                        foldCol=fold_col, numFolds=int(k), parallelism=parallelism)
     return cv.fit(data)
 
 

@@ -301,6 +301,14 @@ def variance_by_column(df: DataFrame, columns: Sequence[str]) -> dict[str, float
     return {c: row[f"v{i}"] for i, c in enumerate(columns)}
 
 
+def variance_table(df: DataFrame, columns: Sequence[str], threshold: float = 0.0099) -> DataFrame:
+    """(feature, variance, selected) with population variance, lazily."""
+    wide = df.agg(*[F.var_pop(_c(c)).alias(f"v{i}") for i, c in enumerate(columns)])
+    rows = [F.struct(F.lit(c).alias("feature"), F.col(f"v{i}").alias("variance")) for i, c in enumerate(columns)]
+    out = wide.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+    return out.withColumn("selected", F.coalesce(F.col("variance") > F.lit(threshold), F.lit(False)))
+
+
 def feat_variance_threshold(df: DataFrame, columns: Sequence[str], threshold: float = 0.0099,
                             fit_on: Column | None = None) -> list[str]:
     """Columns whose population variance exceeds ``threshold``."""
@@ -311,21 +319,25 @@ def feat_variance_threshold(df: DataFrame, columns: Sequence[str], threshold: fl
 
 def anova_f(df: DataFrame, columns: Sequence[str], label: str) -> DataFrame:
     """One-way ANOVA F statistic of each column across the classes of ``label``
-    (sklearn ``f_classif``): F = (SSB/(k-1)) / (SSW/(n-k))."""
+    (sklearn ``f_classif``): F = (SSB/(k-1)) / (SSW/(n-k)), with
+    SSW = Σ n_g·var_g and SSB = Σ n_g·(mean_g − mean)² from per-class moments
+    (numerically stable; one grouped pass plus a tiny second level)."""
     per = df.groupBy(_c(label)).agg(
         F.count(F.lit(1)).alias("__n"),
         *[x for i, c in enumerate(columns) for x in
-          (F.sum(_c(c)).alias(f"s{i}"), F.sum(_c(c) * _c(c)).alias(f"q{i}"))])
+          (F.avg(_c(c)).alias(f"m{i}"), F.var_pop(_c(c)).alias(f"v{i}"))])
     tot = per.agg(F.sum("__n").alias("n"), F.count(F.lit(1)).alias("k"),
-                  *[x for i, _ in enumerate(columns) for x in
-                    (F.sum(f"s{i}").alias(f"S{i}"), F.sum(f"q{i}").alias(f"Q{i}"),
-                     F.sum(F.col(f"s{i}") * F.col(f"s{i}") / F.col("__n")).alias(f"B{i}"))])
+                  *[F.sum(F.col(f"m{i}") * F.col("__n")).alias(f"S{i}") for i in range(len(columns))],
+                  *[F.sum(F.col("__n") * F.col(f"v{i}")).alias(f"W{i}") for i in range(len(columns))],
+                  *[F.collect_list(F.struct("__n", F.col(f"m{i}").alias("m"))).alias(f"L{i}")
+                    for i in range(len(columns))])
     rows = []
     for i, c in enumerate(columns):
         n, k = F.col("n").cast("double"), F.col("k").cast("double")
-        ssb = F.col(f"B{i}") - F.col(f"S{i}") * F.col(f"S{i}") / n
-        ssw = F.col(f"Q{i}") - F.col(f"B{i}")
-        f = F.try_divide(ssb / (k - 1), ssw / (n - k))
+        grand = F.col(f"S{i}") / n
+        ssb = F.aggregate(F.col(f"L{i}"), F.lit(0.0),
+                          lambda acc, e: acc + e["__n"] * (e["m"] - grand) * (e["m"] - grand))
+        f = F.try_divide(ssb / (k - 1), F.col(f"W{i}") / (n - k))
         rows.append(F.struct(F.lit(c).alias("feature"), f.alias("f_score")))
     return tot.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
 

@@ -427,6 +427,184 @@ SQL["log_sqrt_transform"] = """SELECT l_orderkey, l_linenumber, round(sqrt(l_ext
   round(ln(1 + l_extendedprice), 6) AS log1p_price FROM lineitem"""
 
 
+# ================================================== 2.9 data preparation ====
+
+HASH_U = "CAST(('0x' || substr(md5(CAST({k} AS VARCHAR)), 1, 8)) AS BIGINT) / 4294967296.0"
+SQL["split_random"] = f"""SELECT o_orderkey, CASE WHEN u < 0.64 THEN 'train' WHEN u < 0.8 THEN 'validation' ELSE 'test' END AS split
+  FROM (SELECT o_orderkey, {HASH_U.format(k='o_orderkey')} AS u FROM orders)"""
+CHRONO = f"""SELECT * EXCLUDE (rn, n), CASE WHEN rn <= CAST(trunc(n * CAST(0.64 AS DOUBLE)) AS BIGINT) THEN 'train'
+  WHEN rn <= CAST(trunc(n * CAST(0.64 AS DOUBLE)) AS BIGINT) + CAST(trunc(n * CAST(0.16 AS DOUBLE)) AS BIGINT) THEN 'validation'
+  ELSE 'test' END AS split
+  FROM (SELECT *, row_number() OVER (ORDER BY DateTime) AS rn, count(*) OVER () AS n FROM ({{src}}))"""
+SQL["split_chrono"] = CHRONO.format(src=f"SELECT DateTime FROM ({SETTLEMENT})")
+SQL["split_by_date"] = f"""SELECT DateTime, CASE WHEN DateTime < DATE '1999-01-01' THEN 'train' ELSE 'test' END AS split
+  FROM ({SETTLEMENT})"""
+SQL["split_period_report"] = f"""SELECT split, min(DateTime) AS start, max(DateTime) AS "end", count(*) AS rows
+  FROM ({CHRONO.format(src=f"SELECT DateTime FROM ({SETTLEMENT})")}) GROUP BY split"""
+MODEL = f"SELECT * FROM ({SETTLEMENT}) LEFT JOIN ({HYDRO}) USING (DateTime)"
+_IMP = ["std_settlement_price", "daily_sum_hydro_inflow"]
+
+
+def _impute_sql(fill: str) -> str:
+    cols = ", ".join(f"coalesce({c}, ({fill.format(c=c)})) AS {c}" for c in _IMP)
+    return rs(f"SELECT DateTime, {cols} FROM ({MODEL})", ["DateTime"])
+
+
+SQL["impute_mean"] = _impute_sql(f"SELECT avg({{c}}) FROM ({MODEL})")
+SQL["impute_median"] = _impute_sql(f"SELECT quantile_cont({{c}}, 0.5) FROM ({MODEL})")
+SQL["impute_mode"] = _impute_sql(
+    f"SELECT {{c}} FROM ({MODEL}) WHERE {{c}} IS NOT NULL GROUP BY {{c}} ORDER BY count(*) DESC, {{c}} LIMIT 1")
+CHRONO_MODEL = CHRONO.format(src=f"SELECT DateTime, avg_settlement_price, max_settlement_price, min_settlement_price FROM ({SETTLEMENT})")
+_PC = ["avg_settlement_price", "min_settlement_price", "max_settlement_price"]
+SQL["scale_standard"] = rs(f"""WITH c AS ({CHRONO_MODEL}),
+  st AS (SELECT {", ".join(f"avg({x}) AS m_{x}, stddev_pop({x}) AS s_{x}" for x in _PC)} FROM c WHERE split = 'train')
+  SELECT DateTime, split, {", ".join(f"(c.{x} - st.m_{x}) / CASE WHEN st.s_{x} = 0 THEN 1 ELSE st.s_{x} END AS {x}" for x in _PC)}
+  FROM c, st""", ["DateTime", "split"])
+SQL["scale_minmax"] = rs(f"""WITH c AS ({CHRONO_MODEL}),
+  st AS (SELECT {", ".join(f"min({x}) AS lo_{x}, max({x}) AS hi_{x}" for x in _PC)} FROM c WHERE split = 'train')
+  SELECT DateTime, split, {", ".join(f"(c.{x} - st.lo_{x}) / CASE WHEN st.hi_{x} = st.lo_{x} THEN 1 ELSE st.hi_{x} - st.lo_{x} END AS {x}" for x in _PC)}
+  FROM c, st""", ["DateTime", "split"])
+SQL["scale_inverse"] = rs(f"""WITH c AS ({CHRONO_MODEL}),
+  st AS (SELECT avg(avg_settlement_price) AS m, stddev_pop(avg_settlement_price) AS s FROM c WHERE split = 'train')
+  SELECT DateTime, split, avg_settlement_price, ((avg_settlement_price - m) / s) * s + m AS restored FROM c, st""",
+                          ["DateTime", "split"])
+SQL["normalize_minmax"] = rs(f"""WITH s AS (SELECT * FROM ({SETTLE_SERIES})
+    WHERE DateTime >= DATE '1998-01-01' AND DateTime < DATE '1999-01-01'),
+  r AS (SELECT min(avg_settlement_price) AS a0, max(avg_settlement_price) AS a1,
+               min(max_settlement_price) AS b0, max(max_settlement_price) AS b1 FROM s)
+  SELECT DateTime, (avg_settlement_price - a0) / (a1 - a0) AS avg_settlement_price,
+         (max_settlement_price - b0) / (b1 - b0) AS max_settlement_price FROM s, r""", ["DateTime"])
+SQL["outlier_quantile"] = rs(f"""WITH s AS ({SETTLE_SERIES}),
+  q AS (SELECT quantile_cont(avg_settlement_price, 0.01) AS lo, quantile_cont(avg_settlement_price, 0.99) AS hi FROM s)
+  SELECT s.* FROM s, q WHERE avg_settlement_price > lo AND avg_settlement_price < hi""", ["DateTime"])
+SQL["outlier_iqr"] = rs(f"""WITH s AS ({SETTLE_SERIES}),
+  q AS (SELECT quantile_cont(avg_settlement_price, 0.25) AS a1, quantile_cont(avg_settlement_price, 0.75) AS a3,
+               quantile_cont(max_settlement_price, 0.25) AS b1, quantile_cont(max_settlement_price, 0.75) AS b3 FROM s)
+  SELECT s.* FROM s, q WHERE NOT coalesce(avg_settlement_price < a1 - 1.5 * (a3 - a1) OR avg_settlement_price > a3 + 1.5 * (a3 - a1), false)
+    AND NOT coalesce(max_settlement_price < b1 - 1.5 * (b3 - b1) OR max_settlement_price > b3 + 1.5 * (b3 - b1), false)""",
+                        ["DateTime"])
+
+
+def _yj(x: str, lam: float) -> str:
+    pos = f"(pow({x} + 1.0, {lam!r}) - 1.0) / {lam!r}" if abs(lam) > 1e-12 else f"ln(1 + {x})"
+    neg = (f"-(pow(-{x} + 1.0, {2.0 - lam!r}) - 1.0) / {2.0 - lam!r}" if abs(lam - 2.0) > 1e-12
+           else f"-ln(1 - {x})")
+    return f"CASE WHEN {x} >= 0 THEN {pos} ELSE {neg} END"
+
+
+_YJ = {"l_quantity": 0.5, "l_discount": 1.5, "l_tax": 2.0}
+SQL["power_yeo_johnson"] = rs(f"""SELECT l_orderkey, l_linenumber, {", ".join(f"{_yj(c, lam)} AS {c}" for c, lam in _YJ.items())}
+  FROM lineitem""", ["l_orderkey", "l_linenumber"], 6)
+_VT = _PC + [f"hydro_inflow_{n}" for _, n in REGIONS]
+SQL["feat_variance_threshold"] = " UNION ALL ".join(
+    f"""SELECT '{c}' AS feature, round(var_pop({c}), 2) AS variance, coalesce(var_pop({c}) > 0.0099, false) AS selected
+    FROM ({MODEL})""" for c in _VT)
+_LN = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+SQL["feat_select_kbest_f"] = f"""WITH g AS (SELECT l_returnflag, count(*) AS ng, {", ".join(f"avg({c}) AS m_{c}, var_pop({c}) AS v_{c}" for c in _LN)}
+    FROM lineitem GROUP BY l_returnflag),
+  t AS (SELECT sum(ng) AS n, count(*) AS k, {", ".join(f"sum(m_{c} * ng) AS s_{c}, sum(ng * v_{c}) AS w_{c}" for c in _LN)} FROM g),
+  f AS ({" UNION ALL ".join(f"""SELECT '{c}' AS feature,
+      (SELECT sum(ng * (m_{c} - s_{c} / n) * (m_{c} - s_{c} / n)) FROM g) / (k - 1) / (w_{c} / (n - k)) AS f_score FROM t""" for c in _LN)})
+  SELECT feature, round(f_score, 6) AS f_score FROM f ORDER BY f_score DESC, feature LIMIT 3"""
+SQL["feature_subset"] = rs(f"""SELECT DateTime, avg_settlement_price, hydro_inflow_AF, hydro_inflow_AM, daily_sum_hydro_inflow
+  FROM ({MODEL})""", ["DateTime"])
+
+# ================================================ 2.10 distribution tests ===
+
+SQL["test_normality_moments"] = " UNION ALL ".join(f"""SELECT '{c}' AS "column", n, round(skew, 6) AS skew,
+    round(kurt, 6) AS excess_kurtosis, round(n / 6.0 * (skew * skew + kurt * kurt / 4.0), 6) AS jb,
+    round(exp(-(n / 6.0 * (skew * skew + kurt * kurt / 4.0)) / 2.0), 6) AS p_value,
+    exp(-(n / 6.0 * (skew * skew + kurt * kurt / 4.0)) / 2.0) > 0.05 AS normal
+  FROM (SELECT count({c}) AS n, skewness({c}) * (count({c}) - 2) / sqrt(count({c}) * (count({c}) - 1.0)) AS skew,
+               kurtosis_pop({c}) AS kurt FROM lineitem)""" for c in ["l_quantity", "l_extendedprice"])
+
+# ================================================== 2.11 models / eval ======
+
+SQL["reg_linear"] = """SELECT round(regr_slope(l_extendedprice, l_quantity), 4) AS slope,
+  round(regr_intercept(l_extendedprice, l_quantity), 2) AS intercept FROM lineitem"""
+SQL["fold_assign"] = f"""SELECT DateTime, CAST(CASE WHEN rn - 1 < (n % 5) * (n // 5 + 1) THEN (rn - 1) // (n // 5 + 1)
+    ELSE (n % 5) + (rn - 1 - (n % 5) * (n // 5 + 1)) // (n // 5) END AS INTEGER) AS fold
+  FROM (SELECT DateTime, row_number() OVER (ORDER BY DateTime) AS rn, count(*) OVER () AS n FROM ({SETTLEMENT}))"""
+
+
+def _metrics(src: str, y: str, p: str, extra: str = "", adj: int | None = None) -> str:
+    adj_col = (f", round(1 - (1 - (1 - mse / vy)) * (n - 1) / (n - {adj} - 1), 6) AS adj_r2" if adj is not None else "")
+    return f"""SELECT n, round(mse, 0) AS mse, round(sqrt(mse), 4) AS rmse, round(mae, 4) AS mae,
+      round(1 - mse / vy, 6) AS r2, round(1 - ve / vy, 6) AS explained_variance{adj_col}{extra}
+    FROM (SELECT count(*) AS n, avg(({y} - {p}) * ({y} - {p})) AS mse, avg(abs({y} - {p})) AS mae,
+                 var_pop({y}) AS vy, var_pop({y} - {p}) AS ve FROM ({src}) WHERE {y} IS NOT NULL AND {p} IS NOT NULL)"""
+
+
+SQL["eval_metrics"] = _metrics("""SELECT l.l_extendedprice AS y, l.l_quantity * p.p_retailprice AS p
+  FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey""", "y", "p", adj=1)
+NAIVE = f"""SELECT DateTime, avg_settlement_price AS y, lag(avg_settlement_price, 1) OVER (ORDER BY DateTime) AS p
+  FROM ({SETTLEMENT})"""
+SQL["eval_horizon"] = " UNION ALL ".join([
+    _metrics(f"SELECT * FROM ({NAIVE}) ORDER BY DateTime LIMIT 7", "y", "p", ", 'first_7' AS horizon"),
+    _metrics(f"SELECT * FROM ({NAIVE}) ORDER BY DateTime LIMIT 30", "y", "p", ", 'first_30' AS horizon"),
+    _metrics(f"SELECT * FROM ({NAIVE}) ORDER BY DateTime DESC LIMIT 10", "y", "p", ", 'last_10' AS horizon"),
+    _metrics(f"""SELECT * FROM ({NAIVE}) WHERE DateTime >= (SELECT max(DateTime) FROM ({SETTLEMENT})) - INTERVAL 2 MONTH""",
+             "y", "p", ", 'last_2_months' AS horizon")])
+SQL["eval_actual_vs_pred"] = rs(f"""SELECT DateTime, 'actual' AS series, y AS value FROM ({NAIVE})
+  UNION ALL SELECT DateTime, 'predicted' AS series, p AS value FROM ({NAIVE})""", ["DateTime", "series"])
+
+# ===================================================== 2.12 domain jobs =====
+
+SQL["job_forward_price"] = rs(FORWARD, ["DateTime", "delivery_start"])
+SQL["job_market_price"] = rs(f"""SELECT *, CAST(year(DateTime) AS INTEGER) AS year, CAST(month(DateTime) AS INTEGER) AS month,
+  CAST(day(DateTime) AS INTEGER) AS day, dayname(DateTime) AS weekday_name, 'AM' AS region FROM ({FORWARD})""",
+                             ["DateTime", "delivery_start", "year", "month", "day", "weekday_name", "region"])
+SQL["job_settlement_ext"] = SQL["agg_daily_stats_ext"]
+SQL["job_temperature"] = SQL["join_agg_back"]
+SQL["job_hydro"] = rs(HYDRO, ["DateTime"])
+SQL["job_solar"] = rs(SOLAR, ["DateTime"])
+SQL["job_wind"] = rs(WIND, ["DateTime"])
+SQL["job_capacity"] = rs(CAPACITY, ["DateTime"])
+SQL["job_consumption"] = rs(CONSUMPTION, ["DateTime"])
+_WREG = [("AFRICA", "AFRICA"), ("AMERICA", "AMERICA"), ("ASIA", "ASIA"), ("EUROPE", "EUROPE")]
+SQL["job_weather_daily"] = rs(f"""SELECT *, {" + ".join(f"coalesce(radiation_{n}, 0)" for _, n in _WREG)} AS total_daily_radiation FROM (
+  SELECT DateTime, {", ".join(f"first(radiation) FILTER (WHERE region = '{v}') AS radiation_{n}" for v, n in _WREG)}
+  FROM ({RAD_RESAMPLED}) GROUP BY DateTime)""", ["DateTime"])
+SQL["job_rain_features"] = rs(f"""SELECT DateTime, region AS Region, precipitation AS rain, 'mm' AS unit,
+  CAST(month(DateTime) AS INTEGER) AS month, timezone('Europe/Berlin', timezone('UTC', DateTime)) AS local_time,
+  CAST(isodow(DateTime) - 1 AS INTEGER) AS day_of_week,
+  sin({_TWO_PI} * CAST(hour(DateTime) AS DOUBLE) / 24.0) AS hour_sin, cos({_TWO_PI} * CAST(hour(DateTime) AS DOUBLE) / 24.0) AS hour_cos,
+  CAST(dayofyear(DateTime) AS INTEGER) AS day_of_year,
+  sin({_TWO_PI} * CAST(dayofyear(DateTime) AS DOUBLE) / 365.0) AS day_sin, cos({_TWO_PI} * CAST(dayofyear(DateTime) AS DOUBLE) / 365.0) AS day_cos,
+  CASE WHEN isodow(DateTime) >= 6 THEN 1 ELSE 0 END AS is_weekend, CAST(year(DateTime) AS INTEGER) AS year,
+  CASE region WHEN 'AFRICA' THEN 'AREA_AF' WHEN 'AMERICA' THEN 'AREA_AM' WHEN 'ASIA' THEN 'AREA_AS' WHEN 'EUROPE' THEN 'AREA_EU' END AS price_area_code
+  FROM ({WEATHER_HOURLY.format(m='precipitation')})""",
+  ["DateTime", "Region", "unit", "month", "local_time", "day_of_week", "day_of_year", "is_weekend", "year", "price_area_code"], 6)
+SQL["job_consumption_by_vintage"] = rs(f"""SELECT *, {row_sum('consumption_')} AS total_consumption FROM (
+  SELECT DateTime, forecasted_date, {pivot_cols('c', 'Region', 'consumption_')} FROM (
+    SELECT issue AS DateTime, valid AS forecasted_date, Region, coalesce(sum(consumption), 0) AS c
+    FROM ({CONS_RAW}) GROUP BY 1, 2, 3) GROUP BY DateTime, forecasted_date)""", ["DateTime", "forecasted_date"])
+SQL["job_prepared_dataset"] = rs(f"""SELECT * FROM ({FORWARD}) LEFT JOIN ({SETTLEMENT}) USING (DateTime)
+  LEFT JOIN ({HYDRO}) USING (DateTime) LEFT JOIN ({SOLAR}) USING (DateTime) LEFT JOIN ({WIND}) USING (DateTime)
+  LEFT JOIN ({CAPACITY}) USING (DateTime) LEFT JOIN ({CONSUMPTION}) USING (DateTime)""", ["DateTime", "delivery_start"])
+
+
+def _missing(src: str) -> str:
+    return f"""SELECT CAST(g AS DATE) AS DateTime FROM (SELECT unnest(generate_series(min(DateTime), max(DateTime), INTERVAL 1 DAY)) AS g
+      FROM ({src})) WHERE CAST(g AS DATE) NOT IN (SELECT DateTime FROM ({src}))"""
+
+
+_MF, _MS = _missing(f"SELECT DateTime FROM ({FORWARD})"), _missing(f"SELECT DateTime FROM ({SETTLEMENT})")
+SQL["job_missing_audit"] = f"""SELECT category, dayname(DateTime) AS weekday, count(*) AS count FROM (
+  SELECT DateTime, 'forward_missing' AS category FROM ({_MF})
+  UNION ALL SELECT DateTime, 'settlement_missing' FROM ({_MS})
+  UNION ALL SELECT DateTime, 'both_missing' FROM (SELECT DateTime FROM ({_MF}) INTERSECT SELECT DateTime FROM ({_MS}))
+  UNION ALL SELECT DateTime, 'only_settlement_missing' FROM (SELECT DateTime FROM ({_MS}) EXCEPT SELECT DateTime FROM ({_MF}))
+  UNION ALL SELECT DateTime, 'only_forward_missing' FROM (SELECT DateTime FROM ({_MF}) EXCEPT SELECT DateTime FROM ({_MS})))
+  GROUP BY 1, 2"""
+SQL["job_price_vs_driver"] = rs(f"""WITH j AS (SELECT f.DateTime, f.forward_price, s.avg_settlement_price FROM ({FORWARD}) f
+    JOIN ({SETTLEMENT}) s USING (DateTime) WHERE f.delivery_start = DATE '1998-06-01'),
+  r AS (SELECT min(forward_price) AS a0, max(forward_price) AS a1, min(avg_settlement_price) AS b0,
+               max(avg_settlement_price) AS b1 FROM j)
+  SELECT DateTime, (forward_price - a0) / (a1 - a0) AS forward_price, (avg_settlement_price - b0) / (b1 - b0) AS avg_settlement_price
+  FROM j, r""", ["DateTime"], 6)
+
+
 def _double_round(sql: str) -> str:
     """Rewrite ``round(x, n)`` as ``round(round(x, 8), n)`` for n < 8 (see
     ``queries.rr``: both engines then round the same double the same way)."""

@@ -780,3 +780,486 @@ def q_log_sqrt_transform(spark, d):
     li = t(spark, d, "lineitem")
     return rnd(li.select("l_orderkey", "l_linenumber", F.sqrt("l_extendedprice").alias("sqrt_price"),
                          F.log1p("l_extendedprice").alias("log1p_price")), 6)
+
+
+# ================================================== 2.9 data preparation ====
+
+def model_frame(spark, d):
+    """Daily settlement statistics with the hydro inflow features (nulls where
+    a day has a single order or no inflow)."""
+    return J.join_left_chain(settlement(spark, d), [hydro(spark, d)], DT)
+
+
+HYDRO_COLS = [f"hydro_inflow_{S.safe_name(r)}" for r in REGIONS]
+PRICE_COLS = ["avg_settlement_price", "min_settlement_price", "max_settlement_price"]
+
+
+@q("split_random")
+def q_split_random(spark, d):
+    return P.split_random(t(spark, d, "orders").select("o_orderkey"), "o_orderkey")
+
+
+@q("split_chrono")
+def q_split_chrono(spark, d):
+    return P.split_chrono(settle_series(spark, d).select(DT), [DT])
+
+
+@q("split_by_date")
+def q_split_by_date(spark, d):
+    return P.split_by_date(settle_series(spark, d).select(DT), DT, "1999-01-01")
+
+
+@q("split_period_report")
+def q_split_period_report(spark, d):
+    return P.split_period_report(P.split_chrono(settle_series(spark, d).select(DT), [DT]), DT)
+
+
+IMPUTE_COLS = ["std_settlement_price", "daily_sum_hydro_inflow"]
+
+
+def _impute_query(strategy):
+    def run(spark, d):
+        m = model_frame(spark, d).select(DT, *IMPUTE_COLS)
+        return rnd(P.impute(m, IMPUTE_COLS, strategy))
+    return run
+
+
+QUERIES["impute_mean"] = _impute_query("mean")
+QUERIES["impute_median"] = _impute_query("median")
+QUERIES["impute_mode"] = _impute_query("most_frequent")
+
+
+def chrono_model_frame(spark, d):
+    return P.split_chrono(settle_series(spark, d).join(
+        settlement(spark, d).select(DT, "min_settlement_price"), DT), [DT])
+
+
+@q("scale_standard")
+def q_scale_standard(spark, d):
+    m = chrono_model_frame(spark, d)
+    out, _ = P.scale(m, PRICE_COLS, "standard", fit_on=F.col(P.SPLIT) == "train")
+    return rnd(out)
+
+
+@q("scale_minmax")
+def q_scale_minmax(spark, d):
+    m = chrono_model_frame(spark, d)
+    out, _ = P.scale(m, PRICE_COLS, "minmax", fit_on=F.col(P.SPLIT) == "train")
+    return rnd(out)
+
+
+@q("scale_inverse")
+def q_scale_inverse(spark, d):
+    m = chrono_model_frame(spark, d).select(DT, P.SPLIT, "avg_settlement_price",
+                                            F.col("avg_settlement_price").alias("z"))
+    scaled, st = P.scale(m, ["z"], "standard", fit_on=F.col(P.SPLIT) == "train")
+    mean, std = st["z"]
+    return rnd(P.scale_inverse(scaled, "z", mean, std, "restored").drop("z"))
+
+
+@q("normalize_minmax")
+def q_normalize_minmax(spark, d):
+    s = C.filter_year(settle_series(spark, d), DT, 1998)
+    return rnd(P.normalize_minmax(s, ["avg_settlement_price", "max_settlement_price"]))
+
+
+@q("outlier_quantile")
+def q_outlier_quantile(spark, d):
+    return rnd(P.outlier_quantile(settle_series(spark, d), "avg_settlement_price", 0.01))
+
+
+@q("outlier_iqr")
+def q_outlier_iqr(spark, d):
+    return rnd(P.outlier_iqr(settle_series(spark, d), ["avg_settlement_price", "max_settlement_price"]))
+
+
+YJ_LAMBDAS = {"l_quantity": 0.5, "l_discount": 1.5, "l_tax": 2.0}
+
+
+@q("power_yeo_johnson")
+def q_power_yeo_johnson(spark, d):
+    li = t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", *YJ_LAMBDAS)
+    out, _ = P.power_yeo_johnson(li, list(YJ_LAMBDAS), YJ_LAMBDAS, standardize=False)
+    return rnd(out, 6)
+
+
+@q("power_yeo_johnson_fit")
+def q_power_yeo_johnson_fit(spark, d):
+    m = chrono_model_frame(spark, d)
+    out, lams = P.power_yeo_johnson(m, PRICE_COLS, fit_on=F.col(P.SPLIT) == "train")
+    return rnd(out, 6)
+
+
+@q("feat_variance_threshold")
+def q_feat_variance_threshold(spark, d):
+    m = model_frame(spark, d)
+    return rnd(P.variance_table(m, PRICE_COLS + HYDRO_COLS, 0.0099), digits={"variance": 2})
+
+
+@q("feat_select_kbest_f")
+def q_feat_select_kbest_f(spark, d):
+    return rnd(P.feat_select_kbest_f(t(spark, d, "lineitem"), LI_NUM, "l_returnflag", 3), 6)
+
+
+@q("feat_rfe_linear")
+def q_feat_rfe_linear(spark, d):
+    m = P.impute(model_frame(spark, d), HYDRO_COLS, "mean")
+    return P.feat_rfe_linear(m, HYDRO_COLS + ["std_settlement_price"], "avg_settlement_price", 3)
+
+
+@q("feat_pca")
+def q_feat_pca(spark, d):
+    m = P.impute(model_frame(spark, d), HYDRO_COLS, "mean")
+    m, _ = P.scale(m, HYDRO_COLS)
+    var, _load = P.feat_pca(m, HYDRO_COLS, 3)
+    return rnd(var, 6)
+
+
+def feature_pipeline(spark, d, target="P0", imputation="mean", scaling="standard", features_to_drop=2,
+                     remove_outliers=False, pct=0.01, train_size=0.64, val_size=0.16, skew=False,
+                     fit_per_split=False):
+    """``build_pipeline_P0_foward_price``: P0/P1 frame -> optional trim ->
+    chronological split -> impute -> scale (fit on train) -> variance
+    threshold + RFE on train -> optional Yeo-Johnson.  One frame with a
+    ``split`` column."""
+    p = with_features(JB.job_p0_p1(forward(spark, d), None), p0p1_features(spark, d))
+    if remove_outliers:
+        p = P.outlier_quantile(p, target, pct)
+    p = P.split_chrono(p, [DT], train_size, val_size)
+    feats = [c for c in p.columns if c not in (DT, P.SPLIT, target)]
+    train = F.col(P.SPLIT) == "train"
+    if fit_per_split:
+        p = P.impute(p, feats, imputation, fit_per_split=True)
+    else:
+        p = P.impute(p, feats, imputation, fit_on=train, order=[DT])
+    p, _ = P.scale(p, feats, scaling, fit_on=train)
+    kept = P.feat_variance_threshold(p, feats, 0.99 * (1 - 0.99), fit_on=train)
+    if features_to_drop:
+        rk = P.feat_rfe_linear(p, kept, target, max(1, len(kept) - features_to_drop), fit_on=train)
+        kept = [r["feature"] for r in rk.where("selected").collect()]
+    p = p.select(DT, P.SPLIT, target, *kept)
+    if skew:
+        p, _ = P.power_yeo_johnson(p, kept, fit_on=train)
+    return p
+
+
+@q("feature_pipeline")
+def q_feature_pipeline(spark, d):
+    return rnd(feature_pipeline(spark, d), 6)
+
+
+@q("feature_pipeline_settlement")
+def q_feature_pipeline_settlement(spark, d):
+    """Settlement variant: drop null targets, fixed columns, one row per date,
+    IQR outlier filter, 80/20 then 80/20 random split, mean imputation per
+    split (the source refits it), standard scaling fitted on train."""
+    m = model_frame(spark, d).select(DT, "avg_settlement_price", *HYDRO_COLS, "daily_sum_hydro_inflow")
+    m = C.drop_nulls(m, ["avg_settlement_price"])
+    m = C.dedup_keep_first(m, [DT], [DT])
+    m = P.outlier_iqr(m, ["avg_settlement_price", *HYDRO_COLS, "daily_sum_hydro_inflow"])
+    u = P.hash_unit(F.col(DT).cast("string"))
+    u2 = P.hash_unit(F.concat(F.col(DT).cast("string"), F.lit("#val")))
+    m = m.withColumn(P.SPLIT, F.when(u >= 0.8, "test").when(u2 >= 0.8, "validation").otherwise("train"))
+    feats = HYDRO_COLS + ["daily_sum_hydro_inflow"]
+    m = P.impute(m, feats, "mean", fit_per_split=True)
+    m, _ = P.scale(m, feats, "standard", fit_on=F.col(P.SPLIT) == "train")
+    return rnd(m, 6)
+
+
+@q("feature_subset")
+def q_feature_subset(spark, d):
+    m = model_frame(spark, d)
+    return rnd(m.select(DT, "avg_settlement_price", "hydro_inflow_AF", "hydro_inflow_AM", "daily_sum_hydro_inflow"))
+
+
+# ================================================ 2.10 distribution tests ===
+
+@q("test_ks_normal")
+def q_test_ks_normal(spark, d):
+    return rnd(ST.test_ks_normal(t(spark, d, "lineitem"), ["l_quantity", "l_extendedprice"]), 6)
+
+
+@q("test_normality_moments")
+def q_test_normality_moments(spark, d):
+    return rnd(ST.test_normality_moments(t(spark, d, "lineitem"), ["l_quantity", "l_extendedprice"]), 6)
+
+
+@q("fit_weibull_ks")
+def q_fit_weibull_ks(spark, d):
+    return rnd(ST.fit_weibull_ks(t(spark, d, "lineitem"), ["l_extendedprice"]), 4)
+
+
+# ================================================== 2.11 models / eval ======
+
+LI_FEATS = ["l_quantity", "l_discount", "l_tax"]
+
+
+def li_frame(spark, d):
+    return t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice", *LI_FEATS)
+
+
+def coef_frame(spark, model, features, name):
+    rows = [(name, f, float(c)) for f, c in zip(features, model.coefficients.toArray())]
+    rows.append((name, "intercept", float(model.intercept)))
+    return spark.createDataFrame(rows, "model string, feature string, coefficient double")
+
+
+@q("reg_linear")
+def q_reg_linear(spark, d):
+    m = M.fit_linear(li_frame(spark, d), ["l_quantity"], "l_extendedprice", "ols")
+    return spark.createDataFrame([(float(m.coefficients[0]), float(m.intercept))],
+                                 "slope double, intercept double").select(rr("slope", 4).alias("slope"),
+                                                                          rr("intercept", 2).alias("intercept"))
+
+
+@q("reg_ridge")
+def q_reg_ridge(spark, d):
+    m = M.fit_linear(li_frame(spark, d), LI_FEATS, "l_extendedprice", "ridge", alpha=0.2)
+    return rnd(coef_frame(spark, m, LI_FEATS, "ridge_0.2"), 3)
+
+
+@q("reg_lasso")
+def q_reg_lasso(spark, d):
+    m = M.fit_linear(li_frame(spark, d), LI_FEATS, "l_extendedprice", "lasso", alpha=0.8)
+    return rnd(coef_frame(spark, m, LI_FEATS, "lasso_0.8"), 3)
+
+
+@q("reg_elastic_net")
+def q_reg_elastic_net(spark, d):
+    m = M.fit_linear(li_frame(spark, d), LI_FEATS, "l_extendedprice", "elastic_net", alpha=0.1, l1_ratio=0.5)
+    return rnd(coef_frame(spark, m, LI_FEATS, "elastic_net_0.1"), 3)
+
+
+def li_split(spark, d):
+    return P.split_random(li_frame(spark, d).withColumn("k", F.concat_ws("-", "l_orderkey", "l_linenumber")),
+                          "k", (0.8, 0.2), ("train", "test"))
+
+
+def fit_score(spark, d, fit, name):
+    df = li_split(spark, d)
+    tr, te = df.where("split = 'train'"), df.where("split = 'test'")
+    model = fit(tr, LI_FEATS, "l_extendedprice")
+    return rnd(M.eval_metrics(M.predict(model, te, LI_FEATS), "l_extendedprice").withColumn("model", F.lit(name)))
+
+
+@q("reg_random_forest")
+def q_reg_random_forest(spark, d):
+    return fit_score(spark, d, lambda a, b, c: M.fit_random_forest(a, b, c, numTrees=20, maxDepth=6), "rf")
+
+
+@q("reg_gbt")
+def q_reg_gbt(spark, d):
+    return fit_score(spark, d, lambda a, b, c: M.fit_gbt(a, b, c, maxIter=20, maxDepth=4, stepSize=0.1), "gbt")
+
+
+def cv_frame(spark, d, k=5):
+    m = P.impute(model_frame(spark, d), HYDRO_COLS + ["daily_sum_hydro_inflow", "std_settlement_price"], "mean")
+    return P.fold_assign(m, [DT], k)
+
+
+CV_FEATS = HYDRO_COLS + ["std_settlement_price"]
+
+
+@q("cv_ridge")
+def q_cv_ridge(spark, d):
+    return rnd(M.ridge_cv_gram(cv_frame(spark, d), CV_FEATS, "avg_settlement_price",
+                               [0.1, 1.0, 10.0, 100.0], "fold", "mse"), 2)
+
+
+@q("cv_ridge_loo")
+def q_cv_ridge_loo(spark, d):
+    return rnd(M.ridge_loo(cv_frame(spark, d), CV_FEATS, "avg_settlement_price",
+                           [float(a) for a in [0.1, 1.0, 10.0, 100.0]]), 2)
+
+
+def _rf():
+    from pyspark.ml.regression import RandomForestRegressor
+    return RandomForestRegressor(featuresCol="features", labelCol="avg_settlement_price", seed=42)
+
+
+RF_GRID = {"maxDepth": [3, 5], "numTrees": [10, 20], "minInstancesPerNode": [1, 5]}
+
+
+@q("cv_grid")
+def q_cv_grid(spark, d):
+    est = _rf()
+    maps = M.param_grid(est, RF_GRID)
+    model = M.cross_validate(cv_frame(spark, d, 3), CV_FEATS, "avg_settlement_price", est, maps, "fold")
+    return rnd(M.cv_results(spark, model, maps), 2)
+
+
+@q("cv_random")
+def q_cv_random(spark, d):
+    est = _rf()
+    maps = M.random_param_maps(est, RF_GRID, 3, seed=42)
+    model = M.cross_validate(cv_frame(spark, d, 3), CV_FEATS, "avg_settlement_price", est, maps, "fold")
+    return rnd(M.cv_results(spark, model, maps), 2)
+
+
+@q("cv_score")
+def q_cv_score(spark, d):
+    f = cv_frame(spark, d, 5)
+    n, s = M._label_stats(f, "avg_settlement_price")
+    est = M.linear_model("ridge", 0.2, n=n, y_std=s, label="avg_settlement_price")
+    model = M.cross_validate(f, CV_FEATS, "avg_settlement_price", est, None, "fold", "mae")
+    return spark.createDataFrame([(float(model.avgMetrics[0]),)], "cv_mae double").select(rr("cv_mae", 2).alias("cv_mae"))
+
+
+@q("fold_assign")
+def q_fold_assign(spark, d):
+    return P.fold_assign(settle_series(spark, d).select(DT), [DT], 5)
+
+
+MODELS = {
+    "linear": lambda a, b, c: M.fit_linear(a, b, c, "ols"),
+    "ridge": lambda a, b, c: M.fit_linear(a, b, c, "ridge", alpha=0.2),
+    "lasso": lambda a, b, c: M.fit_linear(a, b, c, "lasso", alpha=0.8),
+    "random_forest": lambda a, b, c: M.fit_random_forest(a, b, c, numTrees=20, maxDepth=5),
+    "gbt": lambda a, b, c: M.fit_gbt(a, b, c, maxIter=20, maxDepth=3),
+}
+
+
+def compare_models(spark, d):
+    f = P.split_chrono(cv_frame(spark, d), [DT], 0.8, 0.2)
+    tr, va = f.where("split = 'train'"), f.where("split = 'validation'")
+    return M.model_compare(tr, va, CV_FEATS, "avg_settlement_price", MODELS)
+
+
+@q("model_compare")
+def q_model_compare(spark, d):
+    return rnd(compare_models(spark, d), 2)
+
+
+@q("leaderboard")
+def q_leaderboard(spark, d):
+    return rnd(SO.leaderboard(compare_models(spark, d), "mse"), 2)
+
+
+@q("eval_metrics")
+def q_eval_metrics(spark, d):
+    li, pa = t(spark, d, "lineitem"), t(spark, d, "part")
+    j = li.join(pa, li.l_partkey == pa.p_partkey).select(
+        "l_extendedprice", (F.col("l_quantity") * F.col("p_retailprice")).alias("prediction"))
+    return rnd(M.eval_metrics(j, "l_extendedprice", "prediction", n_features=1), 6,
+               digits={"mse": 0, "rmse": 4, "mae": 4})
+
+
+@q("eval_train_combined")
+def q_eval_train_combined(spark, d):
+    f = P.split_chrono(cv_frame(spark, d), [DT], 0.75, 0.15)
+    trval = SO.set_union_tagged([("train", f.where("split = 'train'")),
+                                 ("validation", f.where("split = 'validation'"))], "part")
+    model = M.fit_linear(trval, CV_FEATS, "avg_settlement_price", "ridge", alpha=0.2)
+    return rnd(M.eval_metrics(M.predict(model, f.where("split = 'test'"), CV_FEATS), "avg_settlement_price"), 2)
+
+
+def naive_predictions(spark, d):
+    s = settle_series(spark, d).select(DT, "avg_settlement_price")
+    return TS.win_lag(s, [DT], "avg_settlement_price", [1], "pred_lag").withColumnRenamed("pred_lag1", "prediction")
+
+
+@q("eval_horizon")
+def q_eval_horizon(spark, d):
+    return rnd(M.eval_horizon(naive_predictions(spark, d), DT, "avg_settlement_price"), 6,
+               digits={"mse": 0, "rmse": 4, "mae": 4})
+
+
+@q("eval_actual_vs_pred")
+def q_eval_actual_vs_pred(spark, d):
+    return rnd(M.eval_actual_vs_pred(naive_predictions(spark, d), DT, "avg_settlement_price", long=True))
+
+
+@q("explain_coefficients")
+def q_explain_coefficients(spark, d):
+    f = cv_frame(spark, d)
+    fs, _ = P.scale(f, CV_FEATS)
+    m = M.fit_linear(fs, CV_FEATS, "avg_settlement_price", "ridge", alpha=0.2)
+    return rnd(M.explain_coefficients(spark, CV_FEATS, list(m.coefficients.toArray())), 3)
+
+
+@q("explain_tree_importance")
+def q_explain_tree_importance(spark, d):
+    f = cv_frame(spark, d)
+    m = M.fit_gbt(f, CV_FEATS, "avg_settlement_price", maxIter=20, maxDepth=3)
+    return rnd(M.explain_tree_importance(m, CV_FEATS, scratch_dir(spark, "gbt-model"), 10), 6)
+
+
+# ===================================================== 2.12 domain jobs =====
+
+@q("job_forward_price")
+def q_job_forward_price(spark, d):
+    return rnd(forward(spark, d))
+
+
+@q("job_market_price")
+def q_job_market_price(spark, d):
+    return rnd(JB.job_market_price(SI.forward_raw(spark, d), "AM"))
+
+
+@q("job_settlement_ext")
+def q_job_settlement_ext(spark, d):
+    return q_agg_daily_stats_ext(spark, d)
+
+
+@q("job_temperature")
+def q_job_temperature(spark, d):
+    return rnd(JB.job_temperature(SI.temperature_raw(spark, d)))
+
+
+@q("job_hydro")
+def q_job_hydro(spark, d):
+    return rnd(hydro(spark, d))
+
+
+@q("job_solar")
+def q_job_solar(spark, d):
+    return rnd(solar(spark, d))
+
+
+@q("job_wind")
+def q_job_wind(spark, d):
+    return rnd(wind(spark, d))
+
+
+@q("job_capacity")
+def q_job_capacity(spark, d):
+    return rnd(capacity(spark, d))
+
+
+@q("job_consumption")
+def q_job_consumption(spark, d):
+    return rnd(consumption(spark, d))
+
+
+@q("job_weather_daily")
+def q_job_weather_daily(spark, d):
+    w, st = weather_stations(spark, d)
+    return rnd(JB.job_weather_daily(w, st, "radiation", ["AFRICA", "AMERICA", "ASIA", "EUROPE"],
+                                    {"MIDDLE EAST": "ASIA"}))
+
+
+@q("job_rain_features")
+def q_job_rain_features(spark, d):
+    w, st = weather_stations(spark, d)
+    area = {"AFRICA": "AREA_AF", "AMERICA": "AREA_AM", "ASIA": "AREA_AS", "EUROPE": "AREA_EU"}
+    return rnd(JB.job_rain_features(w, st, {"MIDDLE EAST": "ASIA"}, area), 6)
+
+
+@q("job_consumption_by_vintage")
+def q_job_consumption_by_vintage(spark, d):
+    return rnd(JB.job_consumption_by_vintage(SI.consumption_raw(spark, d), REGION_MAP, REGIONS))
+
+
+@q("job_prepared_dataset")
+def q_job_prepared_dataset(spark, d):
+    return rnd(JB.job_prepared_dataset(forward(spark, d), dailies(spark, d)))
+
+
+@q("job_missing_audit")
+def q_job_missing_audit(spark, d):
+    return JB.job_missing_audit(forward(spark, d).select(DT), settlement(spark, d).select(DT))
+
+
+@q("job_price_vs_driver")
+def q_job_price_vs_driver(spark, d):
+    return rnd(JB.job_price_vs_driver(forward(spark, d), settlement(spark, d), "1998-06-01"), 6)
