@@ -49,11 +49,10 @@ def q(name: str):
 
 
 def _half_away(c, n: int):
+    # round(v, 0) of a non-negative double rounds its exact value half up,
+    # i.e. std::round; the sign is restored afterwards (half away from zero).
     m = float(10 ** n)
-    v = F.abs(c) * m + 0.5
-    # floor() yields a long; beyond 2^53 every double is integral already.
-    fl = F.when(v >= F.lit(4.0e15), v).otherwise(F.floor(v).cast("double"))
-    return F.signum(c) * fl / m
+    return F.signum(c) * F.round(F.abs(c) * m, 0) / m
 
 
 def rr(c, n: int = 4):
@@ -61,10 +60,9 @@ def rr(c, n: int = 4):
     from zero on the binary value (``std::round(x*10^k)/10^k``, as the SQL
     engine does).  The first step snaps summation-order noise back onto exact
     decimal values (a mean such as 292.47 / 8 = 36.55875), so exact ties round
-    the same way in both engines; ``F.round`` would round the shortest decimal
-    text of the double instead."""
+    the same way in both engines."""
     c = F.col(c) if isinstance(c, str) else c
-    return F.when(F.isnan(c), c).otherwise(_half_away(_half_away(c, 8), n) if n < 8 else _half_away(c, n))
+    return _half_away(_half_away(c, 8), n) if n < 8 else _half_away(c, n)
 
 
 def rnd(df: DataFrame, n: int = 4, digits: dict | None = None) -> DataFrame:
