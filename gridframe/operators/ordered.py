@@ -126,22 +126,31 @@ def row_lags(df: DataFrame, order: Iterable[Column | str], column: str,
     return out.drop("__rn")
 
 
-def rolling(df: DataFrame, order: Iterable[Column | str], column: str, size: int,
-            aggs: dict[str, str]) -> DataFrame:
-    """Trailing ``size``-row window statistics, NULL until the window is full
-    (pandas ``rolling(size)`` with ``min_periods=size``).
-
-    Each row is replicated into the ``size`` windows that contain it and the
-    windows are aggregated by their end row number: ``size``x rows through one
-    balanced shuffle with map-side partial aggregation.
+def rolling(df: DataFrame, order: Iterable[Column | str], column: str, size: int | None = None,
+            aggs: dict | None = None) -> DataFrame:
+    """Trailing row-window statistics, NULL until the window holds its full
+    number of non-null values (pandas ``rolling(n)`` with ``min_periods=n``).
+
+    ``aggs`` maps an output name to a function name (with ``size``) or to a
+    ``(size, function)`` pair, so windows of different lengths share one pass:
+    each row is copied into the windows that contain it (``max size`` copies,
+    generated inside the scan stage) and the windows are aggregated by their
+    end row number - one balanced shuffle with map-side partial aggregation.
     """
+    spec = {n: (f if isinstance(f, tuple) else (size, f)) for n, f in (aggs or {}).items()}
+    longest = max(sz for sz, _ in spec.values())
     numbered = global_row_number(df, order, "__rn")
     copies = numbered.select(
-        F.explode(F.sequence(F.col("__rn"), F.col("__rn") + F.lit(size - 1))).alias("__end"),
+        F.explode(F.sequence(F.lit(0), F.lit(longest - 1))).alias("__k"), "__rn",
         F.col(f"`{column}`").alias("__v"))
+    copies = copies.select((F.col("__rn") + F.col("__k")).alias("__end"), "__k", "__v")
     fns = {"mean": F.avg, "std": F.stddev_samp, "sum": F.sum, "min": F.min, "max": F.max}
-    win = copies.groupBy("__end").agg(F.count("__v").alias("__k"),
-                                      *[fns[f]("__v").alias(n) for n, f in aggs.items()])
-    win = win.select("__end", *[F.when(F.col("__k") == size, F.col(n)).alias(n) for n in aggs])
+    aggs_ = []
+    for n, (sz, f) in spec.items():
+        inside = F.when(F.col("__k") < sz, F.col("__v"))
+        aggs_ += [fns[f](inside).alias(n), F.count(inside).alias(f"__k_{n}")]
+    win = copies.groupBy("__end").agg(*aggs_)
+    win = win.select("__end", *[F.when(F.col(f"__k_{n}") == sz, F.col(n)).alias(n)
+                                for n, (sz, _) in spec.items()])
     return (numbered.join(win, numbered["__rn"] == win["__end"], "left")
                     .drop("__rn", "__end"))

@@ -46,25 +46,46 @@ def pivot_region(df: DataFrame, index: Sequence[str], column: str, value: str,
               .withColumnsRenamed({str(v): name(v) for v in values}))
 
 
+def pivot_sum(df: DataFrame, index: Sequence[str], column: str, value: str, values: Sequence,
+              prefix: str = "", suffix: str = "") -> DataFrame:
+    """``groupby([index, column]).sum()`` followed by ``pivot`` in one
+    aggregation: a conditional sum per pivot value, so the data is shuffled
+    once by the index (with map-side partial sums) instead of once per
+    grouping level.  Like pandas, a cell whose rows are all NULL sums to 0 and
+    a cell without rows stays NULL."""
+    name = _namer(prefix, suffix)
+    aggs = []
+    for v in values:
+        hit = F.col(column) == F.lit(v)
+        aggs.append(F.when(F.count(F.when(hit, F.lit(1))) > 0,
+                           F.coalesce(F.sum(F.when(hit, _c(value))), F.lit(0))).alias(name(v)))
+    return df.groupBy(*index).agg(*aggs)
+
+
 def pivot_table(df: DataFrame, index: Sequence[str], column: str, value: str, values: Sequence,
                 agg: str = "mean", prefix: str = "", suffix: str = "") -> DataFrame:
-    """``pivot_table(aggfunc=agg)``: mean/sum/count/max/min of ``value``."""
-    fns = {"mean": F.avg, "sum": F.sum, "count": F.count, "max": F.max, "min": F.min}
+    """``pivot_table(aggfunc=agg)``: mean/sum/max/min/count of ``value`` as
+    conditional aggregates in one grouping (one shuffle by the index); cells
+    without rows are NULL."""
+    fns = {"mean": F.avg, "sum": F.sum, "max": F.max, "min": F.min, "count": F.count}
     name = _namer(prefix, suffix)
-    return (df.groupBy(*index).pivot(column, list(values)).agg(fns[agg](_c(value)))
-              .withColumnsRenamed({str(v): name(v) for v in values}))
+    aggs = []
+    for v in values:
+        hit = F.col(column) == F.lit(v)
+        a = fns[agg](F.when(hit, _c(value)))
+        if agg == "count":
+            a = F.when(F.count(F.when(hit, F.lit(1))) > 0, a)
+        aggs.append(a.alias(name(v)))
+    return df.groupBy(*index).agg(*aggs)
 
 
 def pivot_table_sum_multi(df: DataFrame, index: Sequence[str], column: str,
                           value_columns: Sequence[str], values: Sequence) -> DataFrame:
-    """Sum pivot with several value columns: ``{value}_{pivot value}``."""
-    wide = (df.groupBy(*index).pivot(column, list(values))
-              .agg(*[F.sum(_c(v)).alias(safe_name(v)) for v in value_columns]))
-    ren = {}
-    for pv in values:
-        for v in value_columns:
-            ren[f"{pv}_{safe_name(v)}"] = f"{safe_name(v)}_{safe_name(str(pv))}"
-    return wide.withColumnsRenamed(ren)
+    """Sum pivot with several value columns, ``{value}_{pivot value}``, in one
+    grouping."""
+    aggs = [F.sum(F.when(F.col(column) == F.lit(pv), _c(v))).alias(f"{safe_name(v)}_{safe_name(str(pv))}")
+            for pv in values for v in value_columns]
+    return df.groupBy(*index).agg(*aggs)
 
 
 def pivot_surface(df: DataFrame, row: str, col: str, value: str) -> DataFrame:

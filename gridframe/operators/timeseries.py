@@ -32,8 +32,9 @@ def win_lead_group(df: DataFrame, group: Sequence[str], order: str, name: str) -
     return df.withColumn(name, F.lead(_c(order)).over(Window.partitionBy(*group).orderBy(_c(order))))
 
 
-def win_rolling(df: DataFrame, order: Sequence[str], column: str, size: int,
-                aggs: dict[str, str]) -> DataFrame:
+def win_rolling(df: DataFrame, order: Sequence[str], column: str, size: int | None,
+                aggs: dict) -> DataFrame:
+    """Trailing rolling statistics; see :func:`ordered.rolling`."""
     return ordered.rolling(df, order, column, size, aggs)
 
 

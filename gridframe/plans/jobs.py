@@ -21,6 +21,7 @@ from ..operators import joins as J
 from ..operators import reshape as R
 from ..operators import setops as SO
 from ..operators import timeseries as TS
+from ..session import ensure_checkpoint_dir
 
 DT = "DateTime"
 
@@ -85,8 +86,7 @@ def job_hydro(raw: DataFrame, region_map: Mapping = codes.REGION_HYDRO_LOCATION,
                     S.map_replace("Location", region_map).alias("Region"), F.col("Value").alias("Inflow"))
     if start:
         df = df.where(F.col(DT) >= F.lit(start).cast("date"))
-    agg = A.agg_sum_by_keys(df, [DT, "Region"], "Inflow")
-    wide = R.pivot_region(agg, [DT], "Region", "Inflow", regions, prefix="hydro_inflow_")
+    wide = R.pivot_sum(df, [DT], "Region", "Inflow", regions, prefix="hydro_inflow_")
     names = [f"hydro_inflow_{S.safe_name(r)}" for r in regions]
     return R.row_sum_cols(wide, names, "daily_sum_hydro_inflow")
 
@@ -102,13 +102,15 @@ def job_solar(raw: DataFrame, region_map: Mapping = codes.REGION_PORTUGUESE,
                     F.col("val_geraenergiaconmwmed").alias("v"))
     if start:
         df = df.where(F.col(DT) >= F.lit(start).cast("date"))
-    wide = (df.groupBy(DT).pivot("Region", list(regions))
-              .agg(F.coalesce(F.sum("v"), F.lit(0.0)).alias("sum"), F.avg("v").alias("mean")))
-    ren = {}
+    # One conditional aggregation (single shuffle by date) per region: sum
+    # (pandas semantics: NULL-only cell -> 0, absent cell -> NULL) and mean.
+    aggs = []
     for r in regions:
-        ren[f"{r}_sum"] = f"solar_sum_{S.safe_name(r)}"
-        ren[f"{r}_mean"] = f"solar_mean_{S.safe_name(r)}"
-    wide = wide.withColumnsRenamed(ren)
+        hit = F.col("Region") == F.lit(r)
+        aggs += [F.when(F.count(F.when(hit, F.lit(1))) > 0, F.coalesce(F.sum(F.when(hit, F.col("v"))), F.lit(0.0)))
+                  .alias(f"solar_sum_{S.safe_name(r)}"),
+                 F.avg(F.when(hit, F.col("v"))).alias(f"solar_mean_{S.safe_name(r)}")]
+    wide = df.groupBy(DT).agg(*aggs)
     return R.row_sum_cols(wide, [f"solar_sum_{S.safe_name(r)}" for r in regions], "daily_sum_solar")
 
 
@@ -121,8 +123,7 @@ def job_wind(raw: DataFrame, region_map: Mapping = codes.REGION_PORTUGUESE,
                         S.map_lookup(S.split_part(month_txt, " ", 0), codes.MONTH_NUMBER),
                         F.col("Day of din_instante")).alias(DT),
         S.num_coerce("val_geraenergiaconmwmed").alias("generation"))
-    agg = A.agg_sum_by_keys(df, [DT, "Region"], "generation")
-    wide = R.pivot_region(agg, [DT], "Region", "generation", regions, prefix="wind_generation_")
+    wide = R.pivot_sum(df, [DT], "Region", "generation", regions, prefix="wind_generation_")
     return R.row_sum_cols(wide, [f"wind_generation_{S.safe_name(r)}" for r in regions], "wind_generation_sum")
 
 
@@ -139,10 +140,16 @@ def job_capacity(raw: DataFrame, cal_start: str = "2021-01-01", cal_end: str = "
     long = J.interval_activity(df, start="dat_entradaoperacao", end="dat_desativacao",
                                amount="val_potenciaefetiva", keys=["ptype", "region"],
                                cal_start=cal_start, cal_end=cal_end)
-    long = long.withColumn("combo", F.concat_ws("|", "ptype", "region"))
-    # The column set comes from the data (types x regions present): one small job.
-    combos = sorted(r[0] for r in df.where(F.col("ptype").isNotNull() & F.col("region").isNotNull())
-                    .select(F.concat_ws("|", "ptype", "region")).distinct().collect())
+    # The long table has at most (calendar days x plant types x regions) rows,
+    # independent of the registry size.  It is materialised once in the shared
+    # checkpoint folder: the column set (types x regions present) and the
+    # all-zero column check are then read from it instead of re-running the
+    # registry scan and join three times.
+    long = (long.where(F.col("ptype").isNotNull() & F.col("region").isNotNull())
+                .withColumn("combo", F.concat_ws("|", "ptype", "region")))
+    ensure_checkpoint_dir(raw.sparkSession)
+    long = long.checkpoint(eager=True)
+    combos = sorted(r[0] for r in long.select("combo").distinct().collect())
     names = {c: f"{S.safe_name(c.split('|')[0])}_capacity_{S.safe_name(c.split('|')[1])}" for c in combos}
     wide = long.groupBy(DT).pivot("combo", combos).agg(F.first("val_potenciaefetiva"))
     spine = J.date_spine(raw.sparkSession, cal_start, cal_end, DT)
@@ -174,8 +181,7 @@ def job_consumption(raw: DataFrame, region_map: Mapping = codes.REGION_PRICE_ARE
     daily = TS.expand_period(last, group=["Region"], start="valid", value="consumption",
                              out_value="daily_consumption", day=DT,
                              last_period_days=last_period_days, last_expand_days=last_expand_days)
-    agg = A.agg_sum_by_keys(daily, [DT, "Region"], "daily_consumption")
-    wide = R.pivot_region(agg, [DT], "Region", "daily_consumption", regions, prefix="consumption_")
+    wide = R.pivot_sum(daily, [DT], "Region", "daily_consumption", regions, prefix="consumption_")
     return R.row_sum_cols(wide, [f"consumption_{S.safe_name(r)}" for r in regions], "daily_sum_consumption")
 
 
@@ -185,8 +191,7 @@ def job_consumption_by_vintage(raw: DataFrame, region_map: Mapping = codes.REGIO
                     F.col("DateValueCET").cast("date").alias("forecasted_date"),
                     F.col("VolumeMWh").alias("consumption"),
                     S.map_replace("PowerPriceAreaCode", region_map).alias("Region"))
-    agg = A.agg_sum_by_keys(df, [DT, "forecasted_date", "Region"], "consumption")
-    wide = R.pivot_region(agg, [DT, "forecasted_date"], "Region", "consumption", regions, prefix="consumption_")
+    wide = R.pivot_sum(df, [DT, "forecasted_date"], "Region", "consumption", regions, prefix="consumption_")
     return R.row_sum_cols(wide, [f"consumption_{S.safe_name(r)}" for r in regions], "total_consumption")
 
 

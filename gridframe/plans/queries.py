@@ -547,9 +547,8 @@ def q_win_lead_group(spark, d):
 @q("win_rolling")
 def q_win_rolling(spark, d):
     s = settle_series(spark, d).select(DT, "avg_settlement_price")
-    r7 = TS.win_rolling(s, [DT], "avg_settlement_price", 7, {"rolling_mean_7": "mean"})
-    r30 = TS.win_rolling(s, [DT], "avg_settlement_price", 30, {"rolling_std_30": "std"}).select(DT, "rolling_std_30")
-    return rnd(r7.join(r30, DT))
+    return rnd(TS.win_rolling(s, [DT], "avg_settlement_price", None,
+                              {"rolling_mean_7": (7, "mean"), "rolling_std_30": (30, "std")}))
 
 
 @q("win_group_transform_fill")
