@@ -103,11 +103,18 @@ def weekend_friday_match(df: DataFrame, date: str, value: str,
 
 
 def semi_join(df: DataFrame, other: DataFrame, on: str | Sequence[str]) -> DataFrame:
-    return df.join(other.select(*([on] if isinstance(on, str) else on)).distinct(), on, "left_semi")
+    """Rows of ``df`` whose key occurs in ``other``.  The right side is reduced
+    to its distinct keys first (deduplicated map-side), so a hot key is one
+    row in the shuffle instead of a third of the table."""
+    keys = [on] if isinstance(on, str) else list(on)
+    return df.join(other.select(*keys).distinct(), keys, "left_semi")
 
 
 def anti_join(df: DataFrame, other: DataFrame, on: str | Sequence[str]) -> DataFrame:
-    return df.join(other.select(*([on] if isinstance(on, str) else on)), on, "left_anti")
+    """Rows of ``df`` whose key does not occur in ``other`` (distinct keys on
+    the right, as in :func:`semi_join`)."""
+    keys = [on] if isinstance(on, str) else list(on)
+    return df.join(other.select(*keys).distinct(), keys, "left_anti")
 
 
 def interval_activity(intervals: DataFrame, *, start: str, end: str, amount: str,

@@ -33,13 +33,26 @@ def leaderboard(df: DataFrame, metric: str, ascending: bool = True) -> DataFrame
     return df.orderBy(o)
 
 
+def _null_safe_on(a: DataFrame, b: DataFrame):
+    cond = None
+    for c in a.columns:
+        e = a[c].eqNullSafe(b[c])
+        cond = e if cond is None else cond & e
+    return cond
+
+
 def set_difference(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Distinct rows of ``a`` not in ``b`` (``set(a) - set(b)``)."""
-    return a.subtract(b)
+    """Distinct rows of ``a`` not in ``b`` (``set(a) - set(b)``, NULL equal to
+    NULL).  Both sides are deduplicated before the join (``EXCEPT`` would
+    shuffle ``b`` with all its duplicates)."""
+    a, b = a.distinct(), b.distinct()
+    return a.join(b, _null_safe_on(a, b), "left_anti")
 
 
 def set_intersect(a: DataFrame, b: DataFrame) -> DataFrame:
-    return a.intersect(b)
+    """Distinct rows present in both (``set(a) & set(b)``)."""
+    a, b = a.distinct(), b.distinct()
+    return a.join(b, _null_safe_on(a, b), "left_semi")
 
 
 def set_union_tagged(parts: Sequence[tuple[str, DataFrame]], tag: str = "source") -> DataFrame:

@@ -73,7 +73,7 @@ def calendar_spine(df: DataFrame, date: str, name: str = "DateTime") -> DataFram
 def missing_dates(df: DataFrame, date: str, name: str = "DateTime") -> DataFrame:
     """Days of the spine that have no row in ``df``, with weekday columns."""
     spine = calendar_spine(df, date, name)
-    present = df.select(_c(date).cast("date").alias(name))
+    present = df.select(_c(date).cast("date").alias(name)).distinct()
     gaps = spine.join(present, name, "left_anti")
     return gaps.select(name, F.weekday(name).alias("weekday"),
                        F.date_format(name, "EEEE").alias("day_name"))
