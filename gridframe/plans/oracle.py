@@ -605,6 +605,22 @@ SQL["job_price_vs_driver"] = rs(f"""WITH j AS (SELECT f.DateTime, f.forward_pric
   FROM j, r""", ["DateTime"], 6)
 
 
+# ---------------------------------------------- feature pipeline (no RFE) ---
+
+PF = f"""SELECT * EXCLUDE (P0), coalesce(P0, P1) AS P0 FROM ({P0P1})
+  LEFT JOIN ({SETTLEMENT}) USING (DateTime) LEFT JOIN ({HYDRO}) USING (DateTime)
+  WHERE P0 IS NOT NULL OR P1 IS NOT NULL"""
+_PF_FEATS = (["P1", "avg_settlement_price", "std_settlement_price", "min_settlement_price", "max_settlement_price"]
+             + [f"hydro_inflow_{n}" for _, n in REGIONS] + ["daily_sum_hydro_inflow"])
+SQL["feature_pipeline"] = rs(f"""WITH c AS ({CHRONO.format(src=PF)}),
+  m AS (SELECT {", ".join(f"avg({f}) AS m_{f}" for f in _PF_FEATS)} FROM c WHERE split = 'train'),
+  i AS (SELECT DateTime, split, P0, {", ".join(f"coalesce({f}, m_{f}) AS {f}" for f in _PF_FEATS)} FROM c, m),
+  st AS (SELECT {", ".join(f"avg({f}) AS a_{f}, stddev_pop({f}) AS s_{f}" for f in _PF_FEATS)} FROM i WHERE split = 'train')
+  SELECT DateTime, split, P0, {", ".join(
+      f"({f} - a_{f}) / CASE WHEN s_{f} IS NULL OR s_{f} = 0 THEN 1 ELSE s_{f} END AS {f}" for f in _PF_FEATS)}
+  FROM i, st""", ["DateTime", "split"], 6)
+
+
 def _double_round(sql: str) -> str:
     """Rewrite ``round(x, n)`` as ``round(round(x, 8), n)`` for n < 8 (see
     ``queries.rr``: both engines then round the same double the same way)."""

@@ -49,10 +49,13 @@ def q(name: str):
 
 
 def _half_away(c, n: int):
-    # round(v, 0) of a non-negative double rounds its exact value half up,
-    # i.e. std::round; the sign is restored afterwards (half away from zero).
+    # std::round on the binary value: floor(|x|*10^n + 0.5) with a pure-double
+    # floor (w - w mod 1; fmod is exact), restoring the sign afterwards.
+    # Beyond 2^52 every double is integral already.
     m = float(10 ** n)
-    return F.signum(c) * F.round(F.abs(c) * m, 0) / m
+    v = F.abs(c) * m
+    w = v + 0.5
+    return F.signum(c) * F.when(v >= F.lit(4.5e15), v).otherwise(w - F.pmod(w, F.lit(1.0))) / m
 
 
 def rr(c, n: int = 4):
@@ -942,7 +945,15 @@ def feature_pipeline(spark, d, target="P0", imputation="mean", scaling="standard
 
 @q("feature_pipeline")
 def q_feature_pipeline(spark, d):
-    return rnd(feature_pipeline(spark, d), 6)
+    """Default settings without RFE (``drop_features=False``): P0/P1 frame ->
+    chronological 64/16/20 split -> mean imputation and standard scaling fitted
+    on train -> variance threshold on train.  RFE is ``feature_pipeline_rfe``."""
+    return rnd(feature_pipeline(spark, d, features_to_drop=0), 6)
+
+
+@q("feature_pipeline_rfe")
+def q_feature_pipeline_rfe(spark, d):
+    return rnd(feature_pipeline(spark, d, features_to_drop=2), 6)
 
 
 @q("feature_pipeline_settlement")

@@ -23,6 +23,11 @@ _LOCAL_CONF = {
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # HotSpot does not JIT-compile methods above 8000 bytes of bytecode; wide
+    # projections (dozens of daily feature columns) otherwise run a huge
+    # generated method in the bytecode interpreter.  Above the limit Spark
+    # falls back to split, compilable expression code.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 
