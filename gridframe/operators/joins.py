@@ -22,11 +22,18 @@ def _c(c) -> Column:
     return F.col(f"`{c}`") if isinstance(c, str) else c
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
-    """Broadcast ``df`` only if it has at most ``max_rows`` rows (checked with
-    a job that stops reading after ``max_rows + 1`` rows)."""
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+def broadcast_if_small(df: DataFrame, max_rows: int = 1_000_000, max_bytes: int = 64 << 20) -> DataFrame:
+    """Broadcast ``df`` only if it is proven small: at most ``max_rows`` rows
+    (counted by a job that stops after ``max_rows + 1`` rows) and at most
+    ``max_bytes`` by the schema's per-row size estimate.  Otherwise the frame
+    is returned unchanged and the join stays a shuffle join."""
+    try:
+        row_bytes = int(df._jdf.schema().defaultSize())
+    except Exception:  # pragma: no cover - conservative default
+        row_bytes = 256
+    limit = min(max_rows, max(1, max_bytes // max(row_bytes, 1)))
+    n = df.limit(limit + 1).count()
+    return F.broadcast(df) if n <= limit else df
 
 
 def join_left_chain(base: DataFrame, tables: Sequence[DataFrame], on: str | Sequence[str]) -> DataFrame:

@@ -156,13 +156,13 @@ def explain_tree_importance(model, features: Sequence[str], scratch: str, top: i
 
 def ridge_cv_gram(df: DataFrame, features: Sequence[str], label: str, alphas: Sequence[float],
                   fold_col: str = "fold", scoring: str = "mse") -> DataFrame:
-    """k-fold ridge CV from per-fold Gram statistics (one distributed pass):
+    """k-fold ridge CV from per-fold Gram statistics (one grouped pass):
     each α and fold is a p x p solve on the driver; the held-out error uses
     the held-out fold's own Gram statistics (Σ(y − a − xb)² expands into
     them).  ``scoring='mse'`` or ``'r2'`` (sklearn's default scorer)."""
     cols = list(features)
-    folds = [r[0] for r in df.select(fold_col).distinct().orderBy(fold_col).collect()]
-    per = {f: prep.gram(df.where(_c(fold_col) == f), cols, label) for f in folds}
+    per = prep.gram_by(df, cols, label, fold_col)
+    folds = sorted(per)
     rows = []
     for a in alphas:
         scores = []

@@ -347,17 +347,37 @@ def feat_select_kbest_f(df: DataFrame, columns: Sequence[str], label: str, k: in
     return f.orderBy(F.col("f_score").desc_nulls_last(), "feature").limit(k)
 
 
-def gram(df: DataFrame, columns: Sequence[str], target: str) -> dict:
-    """n, sums, XᵀX and Xᵀy in one aggregate pass (rows with NULLs skipped)."""
-    cols = list(columns)
-    base = df.select(*[_c(c).cast("double").alias(f"x{i}") for i, c in enumerate(cols)],
-                     _c(target).cast("double").alias("y")).na.drop()
-    p = len(cols)
+def _gram_aggs(p: int) -> list:
     aggs = [F.count(F.lit(1)).alias("n"), F.sum("y").alias("sy"), F.sum(F.col("y") * F.col("y")).alias("syy")]
     aggs += [F.sum(f"x{i}").alias(f"s{i}") for i in range(p)]
     aggs += [F.sum(F.col(f"x{i}") * F.col("y")).alias(f"xy{i}") for i in range(p)]
     aggs += [F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"xx{i}_{j}") for i in range(p) for j in range(i, p)]
-    row = base.agg(*aggs).first()
+    return aggs
+
+
+def _gram_base(df: DataFrame, cols: Sequence[str], target: str, extra: Sequence[str] = ()) -> DataFrame:
+    return df.select(*[_c(e) for e in extra],
+                     *[_c(c).cast("double").alias(f"x{i}") for i, c in enumerate(cols)],
+                     _c(target).cast("double").alias("y")).na.drop(subset=[f"x{i}" for i in range(len(cols))] + ["y"])
+
+
+def gram(df: DataFrame, columns: Sequence[str], target: str) -> dict:
+    """n, sums, XᵀX and Xᵀy in one aggregate pass (rows with NULLs skipped)."""
+    cols = list(columns)
+    row = _gram_base(df, cols, target).agg(*_gram_aggs(len(cols))).first()
+    return _gram_from_row(row, cols)
+
+
+def gram_by(df: DataFrame, columns: Sequence[str], target: str, by: str) -> dict:
+    """Gram statistics per value of ``by`` (e.g. per CV fold) in one grouped
+    pass; the result has one small row per group."""
+    cols = list(columns)
+    rows = _gram_base(df, cols, target, [by]).groupBy(by).agg(*_gram_aggs(len(cols))).collect()
+    return {r[by]: _gram_from_row(r, cols) for r in rows}
+
+
+def _gram_from_row(row, cols: Sequence[str]) -> dict:
+    p = len(cols)
     n = row["n"]
     xtx = np.zeros((p, p))
     for i in range(p):
