@@ -93,20 +93,19 @@ def weekend_friday_match(df: DataFrame, date: str, value: str,
     fr = base.where(F.weekday("__d") == 4)
     wk_v = wk.groupBy("__f", *keys, "__v").agg(F.count(F.lit(1)).alias("__nw"))
     fr_v = fr.groupBy(F.col("__d").alias("__f"), *keys, "__v").agg(F.count(F.lit(1)).alias("__nf"))
-    matches = wk_v.join(fr_v, ["__f", *keys, "__v"]).agg(
-        F.sum(F.col("__nw") * F.col("__nf")).alias("matches"))
+    match_prod = wk_v.join(fr_v, ["__f", *keys, "__v"]).select(
+        F.lit("matches").alias("__kind"), (F.col("__nw") * F.col("__nf")).alias("__x"))
     wk_n = wk.groupBy("__f", *keys).agg(F.count(F.lit(1)).alias("__nw"))
     fr_n = fr.groupBy(F.col("__d").alias("__f"), *keys).agg(F.count(F.lit(1)).alias("__nf"))
-    pairs = wk_n.join(fr_n, ["__f", *keys]).agg(F.sum(F.col("__nw") * F.col("__nf")).alias("pairs"))
-    weekend_rows = wk.agg(F.count(F.lit(1)).alias("weekend_rows"))
-    # Three one-row aggregates side by side (constant key on one-row tables).
-    out = (weekend_rows.withColumn("__k", F.lit(1))
-                       .join(pairs.withColumn("__k", F.lit(1)), "__k")
-                       .join(matches.withColumn("__k", F.lit(1)), "__k").drop("__k"))
-    return out.select(
-        "weekend_rows", F.coalesce("pairs", F.lit(0)).cast("long").alias("pairs"),
-        F.coalesce("matches", F.lit(0)).cast("long").alias("matches"),
-        (F.coalesce("matches", F.lit(0)) * 100.0 / F.col("pairs")).alias("match_pct"))
+    pair_prod = wk_n.join(fr_n, ["__f", *keys]).select(
+        F.lit("pairs").alias("__kind"), (F.col("__nw") * F.col("__nf")).alias("__x"))
+    weekend = wk_n.select(F.lit("weekend").alias("__kind"), F.col("__nw").alias("__x"))
+    # the three totals in one global aggregate over a union (no joins between aggregates)
+    tot = pair_prod.unionByName(match_prod).unionByName(weekend).agg(
+        *[F.coalesce(F.sum(F.when(F.col("__kind") == k, F.col("__x"))), F.lit(0)).cast("long").alias(k)
+          for k in ("weekend", "pairs", "matches")])
+    return tot.select(F.col("weekend").alias("weekend_rows"), "pairs", "matches",
+                      (F.col("matches") * 100.0 / F.when(F.col("pairs") > 0, F.col("pairs"))).alias("match_pct"))
 
 
 def semi_join(df: DataFrame, other: DataFrame, on: str | Sequence[str]) -> DataFrame:

@@ -12,8 +12,8 @@ this module uses the two-phase form instead:
    executor is lost and tasks are recomputed.
 3. Per partition, compute a tiny summary (row count, last non-null value, sum).
    The summaries have one row per partition, a size bound independent of the
-   data, so they are broadcast; a prefix over them gives each partition its
-   carry-in.
+   data: the driver reads them, computes each partition's carry-in (a prefix
+   over partitions) and the carry table is broadcast back.
 4. Combine the carry-in with a window partitioned by the partition id, which
    is a balanced, parallel operation.
 """
@@ -24,6 +24,7 @@ from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import ensure_checkpoint_dir
 
@@ -50,17 +51,23 @@ def sequenced(df: DataFrame, order: Iterable[Column | str]) -> DataFrame:
                    .withColumn(POS, mid - F.shiftleft(pid.cast("long"), 33)))
 
 
-def _prefix(summary: DataFrame, col: str, out: str) -> DataFrame:
-    """Exclusive prefix sum over a per-partition summary (small by construction)."""
-    w = Window.orderBy(PID).rowsBetween(Window.unboundedPreceding, -1)
-    return summary.withColumn(out, F.coalesce(F.sum(col).over(w), F.lit(0)))
+def _offsets(summary: DataFrame, col: str, dtype: str) -> DataFrame:
+    """Exclusive prefix of ``col`` over partitions, computed on the driver from
+    the per-partition summary (one row per partition) and returned as a small
+    frame for a broadcast join."""
+    rows = sorted((r[0], r[1]) for r in summary.select(PID, col).collect())
+    acc, out = (0.0 if dtype == "double" else 0), []
+    for pid, v in rows:
+        out.append((pid, acc))
+        acc += v or 0
+    return summary.sparkSession.createDataFrame(out, f"{PID} int, __off {dtype}")
 
 
 def global_row_number(df: DataFrame, order: Iterable[Column | str], name: str = "rn") -> DataFrame:
     """1-based row number over a total order, computed without one big task."""
     seq = sequenced(df, order)
     counts = seq.groupBy(PID).agg(F.count(F.lit(1)).alias("__n"))
-    offsets = _prefix(counts, "__n", "__off").select(PID, "__off")
+    offsets = _offsets(counts, "__n", "long")
     return (seq.join(F.broadcast(offsets), PID)
                .withColumn(name, F.col("__off") + F.col(POS) + 1)
                .drop("__off", PID, POS))
@@ -76,14 +83,19 @@ def forward_fill(df: DataFrame, order: Iterable[Column | str], columns: Iterable
     summ = seq.groupBy(PID).agg(*[
         pick(F.col(f"`{c}`"), F.when(F.col(f"`{c}`").isNotNull(), F.col(POS))).alias(f"__e{i}")
         for i, c in enumerate(columns)])
+    # carry-in per partition: the last (first, for bfill) non-null value of
+    # the partitions before (after) it, from the one-row-per-partition summary
+    rows = sorted(summ.collect(), key=lambda r: r[PID])
     if backward:
-        w = Window.orderBy(PID).rowsBetween(1, Window.unboundedFollowing)
-        carry = summ.select(PID, *[F.first(f"__e{i}", ignorenulls=True).over(w).alias(f"__c{i}")
-                                   for i in range(len(columns))])
-    else:
-        w = Window.orderBy(PID).rowsBetween(Window.unboundedPreceding, -1)
-        carry = summ.select(PID, *[F.last(f"__e{i}", ignorenulls=True).over(w).alias(f"__c{i}")
-                                   for i in range(len(columns))])
+        rows = rows[::-1]
+    seen = [None] * len(columns)
+    carry_rows = []
+    for r in rows:
+        carry_rows.append((r[PID], *seen))
+        seen = [r[f"__e{i}"] if r[f"__e{i}"] is not None else seen[i] for i in range(len(columns))]
+    schema = T.StructType([T.StructField(PID, T.IntegerType())] +
+                          [T.StructField(f"__c{i}", summ.schema[f"__e{i}"].dataType) for i in range(len(columns))])
+    carry = seq.sparkSession.createDataFrame(carry_rows, schema)
     wp = Window.partitionBy(PID).orderBy(POS)
     if backward:
         wp = wp.rowsBetween(0, Window.unboundedFollowing)
@@ -101,8 +113,8 @@ def forward_fill(df: DataFrame, order: Iterable[Column | str], columns: Iterable
 def cumulative_sum(df: DataFrame, order: Iterable[Column | str], column: str, name: str) -> DataFrame:
     """Running total of ``column`` along a global order."""
     seq = sequenced(df, order)
-    sums = seq.groupBy(PID).agg(F.sum(column).alias("__s"))
-    offsets = _prefix(sums, "__s", "__off").select(PID, "__off")
+    sums = seq.groupBy(PID).agg(F.sum(column).cast("double").alias("__s"))
+    offsets = _offsets(sums, "__s", "double")
     wp = Window.partitionBy(PID).orderBy(POS).rowsBetween(Window.unboundedPreceding, 0)
     return (seq.join(F.broadcast(offsets), PID)
                .withColumn(name, F.col("__off") + F.sum(column).over(wp))
