@@ -63,17 +63,28 @@ def nan_to_null(c) -> Column:
 
 # ------------------------------------------------------------ timestamps ----
 
-def ts_from_date_time(date_col, time_col, fmt: str = "yyyy-MM-dd HH:mm:ss") -> Column:
-    """DATE + time-of-day text (``HH:mm:ss`` or ``HH``) -> TIMESTAMP_NTZ."""
-    return F.try_to_timestamp(
-        F.concat_ws(" ", F.date_format(_c(date_col), "yyyy-MM-dd"), _c(time_col)),
-        F.lit(fmt)).cast("timestamp_ntz")
+_TIME_RE = r"^(\d{1,2})(?::(\d{2}))?(?::(\d{2}(?:\.\d+)?))?$"
+
+
+def ts_from_date_time(date_col, time_col) -> Column:
+    """DATE + time-of-day text (``HH:mm:ss``, ``HH:mm`` or ``HH``) ->
+    TIMESTAMP_NTZ; malformed text gives NULL.  Built from parts with
+    ``try_make_timestamp_ntz`` so no step goes through the session time zone
+    (parsing to a zoned timestamp would move wall times inside that zone's
+    DST gap)."""
+    d = _c(date_col).cast("date")
+    t = F.trim(_c(time_col))
+    part = lambda i: F.regexp_extract(t, _TIME_RE, i)
+    ok = t.rlike(_TIME_RE)
+    h = F.when(ok, part(1).cast("int"))
+    mi = F.when(ok, F.coalesce(F.nullif(part(2), F.lit("")).cast("int"), F.lit(0)))
+    sec = F.when(ok, F.coalesce(F.nullif(part(3), F.lit("")).cast("decimal(16,6)"), F.lit(0).cast("decimal(16,6)")))
+    return F.try_make_timestamp_ntz(F.year(d), F.month(d), F.dayofmonth(d), h, mi, sec)
 
 
 def ts_from_parts(y, m, d) -> Column:
     """(year, month, day) -> DATE; invalid combinations give NULL."""
-    return F.try_make_timestamp_ntz(_c(y), _c(m), _c(d), F.lit(0), F.lit(0), F.lit(0)).cast("date") \
-        if hasattr(F, "try_make_timestamp_ntz") else F.make_date(_c(y), _c(m), _c(d))
+    return F.try_make_timestamp_ntz(_c(y), _c(m), _c(d), F.lit(0), F.lit(0), F.lit(0)).cast("date")
 
 
 def ts_plus_seconds(ts, seconds) -> Column:
@@ -90,15 +101,19 @@ def localize(wall, zone: str, ambiguous: str = "null", nonexistent: str = "null"
     the instant one hour later or earlier maps back to the same wall time.
     ``nonexistent='null'`` turns wall times inside a spring-forward gap into
     NULL (the source raised an error there); ``'shift'`` keeps Spark's shift.
+
+    Everything is TIMESTAMP_NTZ arithmetic with ``convert_timezone``, so the
+    result does not depend on the session time zone.
     """
     wall = _c(wall).cast("timestamp_ntz")
-    utc = F.to_utc_timestamp(wall, zone)
-    back = F.from_utc_timestamp(utc, zone).cast("timestamp_ntz")
+    z, utc_z = F.lit(zone), F.lit("UTC")
+    utc = F.convert_timezone(z, utc_z, wall)
+    back = F.convert_timezone(utc_z, z, utc)
     hour = F.expr("INTERVAL 1 HOUR")
     is_gap = back != wall
-    is_amb = (F.from_utc_timestamp(utc + hour, zone).cast("timestamp_ntz") == wall) | \
-             (F.from_utc_timestamp(utc - hour, zone).cast("timestamp_ntz") == wall)
-    out = utc.cast("timestamp_ntz")
+    is_amb = (F.convert_timezone(utc_z, z, utc + hour) == wall) | \
+             (F.convert_timezone(utc_z, z, utc - hour) == wall)
+    out = utc
     if ambiguous == "null":
         out = F.when(is_amb, F.lit(None)).otherwise(out)
     if nonexistent == "null":
@@ -108,7 +123,7 @@ def localize(wall, zone: str, ambiguous: str = "null", nonexistent: str = "null"
 
 def utc_to_zone(utc_wall, zone: str) -> Column:
     """UTC wall clock (TIMESTAMP_NTZ) -> wall clock in ``zone`` (TIMESTAMP_NTZ)."""
-    return F.from_utc_timestamp(_c(utc_wall).cast("timestamp"), zone).cast("timestamp_ntz")
+    return F.convert_timezone(F.lit("UTC"), F.lit(zone), _c(utc_wall).cast("timestamp_ntz"))
 
 
 def tz_convert(wall, from_zone: str, to_zone: str, **kw) -> Column:
@@ -147,8 +162,12 @@ def previous_friday(d) -> Column:
 
 
 def epoch_seconds(ts) -> Column:
-    """Whole seconds since 1970-01-01 (floor), like ``(t - epoch) // 1s``."""
-    return F.unix_seconds(_c(ts).cast("timestamp"))
+    """Whole seconds since 1970-01-01 of a wall clock (floor), like
+    ``(t - epoch) // 1s``; plain date arithmetic, independent of the session
+    time zone."""
+    t = _c(ts).cast("timestamp_ntz")
+    days = F.datediff(F.to_date(t), F.lit("1970-01-01").cast("date")).cast("long")
+    return days * 86400 + F.hour(t) * 3600 + F.minute(t) * 60 + F.floor(F.second(t))
 
 
 def weekend_flag(d) -> Column:

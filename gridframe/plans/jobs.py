@@ -45,8 +45,8 @@ def job_market_price(raw: DataFrame, region_tag: str = "SE/CW") -> DataFrame:
                      F.lit(region_tag).alias("region"))
 
 
-def settlement_ticks(raw: DataFrame, time_fmt: str = "yyyy-MM-dd HH:mm:ss") -> DataFrame:
-    return raw.withColumn("ts", S.ts_from_date_time("DateValueCET", "TimeValueCET", time_fmt))
+def settlement_ticks(raw: DataFrame) -> DataFrame:
+    return raw.withColumn("ts", S.ts_from_date_time("DateValueCET", "TimeValueCET"))
 
 
 def job_settlement(raw: DataFrame, area: str = "BRAZIL_SOUTHEAST_CENTRALWEST",
@@ -72,7 +72,7 @@ def job_settlement_ext(raw: DataFrame, region: str = "SE/CW",
 
 def job_temperature(raw: DataFrame) -> DataFrame:
     """Hourly mean per (timestamp, area) with the daily mean attached."""
-    t = settlement_ticks(raw, "yyyy-MM-dd HH:mm:ss")
+    t = settlement_ticks(raw)
     hourly = t.groupBy(F.col("ts").alias(DT), "PowerPriceAreaCode").agg(F.avg("Value").alias("hourly_value"))
     hourly = hourly.withColumn("Date", F.to_date(DT))
     return A.join_agg_back(hourly, ["Date", "PowerPriceAreaCode"], "hourly_value", "daily_average_value")
@@ -201,7 +201,7 @@ def weather_hourly(raw: DataFrame, stations: DataFrame, measure: str,
                    remap: Mapping | None = None) -> DataFrame:
     """Station readings with a timestamp and the station's region."""
     df = C.drop_nulls(raw.select("DATA", "Hora_UTC", measure, "ESTACAO"))
-    df = df.select(S.ts_from_date_time("DATA", S.substring0("Hora_UTC", 0, 2), "yyyy-MM-dd HH").alias(DT),
+    df = df.select(S.ts_from_date_time("DATA", S.substring0("Hora_UTC", 0, 2)).alias(DT),
                    F.col(measure).alias(measure), "ESTACAO")
     return J.join_dim_lookup(df, stations, "ESTACAO", "id_station", ["region"],
                              remap={"region": remap} if remap else None)

@@ -72,3 +72,19 @@ def test_epoch_floor_and_cyclic(spark):
 def test_safe_name():
     assert S.safe_name("SE/CW") == "SE_CW"
     assert S.safe_name("MIDDLE EAST") == "MIDDLE_EAST"
+
+
+def test_time_zone_helpers_ignore_session_zone(spark):
+    # 2021-03-14 02:30 does not exist in Los Angeles; the helpers must not care
+    old = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/Los_Angeles")
+    try:
+        df = spark.createDataFrame([("2021-03-14", "02:30:00"), ("2021-03-14", "bad")], "d string, t string")
+        out = df.select(S.ts_from_date_time("d", "t").alias("w")).select(
+            "w", S.localize("w", "CET").alias("u"), S.epoch_seconds("w").alias("e")).collect()
+        assert out[0]["w"] == dt.datetime(2021, 3, 14, 2, 30)
+        assert out[0]["u"] == dt.datetime(2021, 3, 14, 1, 30)
+        assert out[0]["e"] == int((dt.datetime(2021, 3, 14, 2, 30) - dt.datetime(1970, 1, 1)).total_seconds())
+        assert out[1]["w"] is None
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
