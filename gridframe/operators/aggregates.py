@@ -191,7 +191,7 @@ def agg_missing_summary(df: DataFrame, columns: Sequence[str] | None = None) ->
             for i, c in enumerate(cols)]
     return (wide.select("__n", F.explode(F.array(*rows)).alias("r"))
                 .select("r.column", "r.missing",
-                        (F.col("r.missing") * 100.0 / F.col("__n")).alias("missing_pct")))
+                        F.try_divide(F.col("r.missing") * 100.0, F.col("__n")).alias("missing_pct")))
 
 
 def agg_value_counts(df: DataFrame, keys: Sequence[Column | str], name: str = "count") -> DataFrame:

@@ -97,12 +97,13 @@ def eval_metrics(df: DataFrame, label: str, pred: str = PRED, n_features: int |
     agg = base.groupBy(*group).agg(
         F.count(F.lit(1)).alias("n"), F.avg(e * e).alias("mse"), F.avg(F.abs(e)).alias("mae"),
         F.var_pop(y).alias("__vy"), F.var_pop(e).alias("__ve"))
-    r2 = 1 - F.col("mse") / F.col("__vy")
+    # try_divide: a constant target (zero variance) gives NULL, not an ANSI error
+    r2 = 1 - F.try_divide(F.col("mse"), F.col("__vy"))
     out = agg.select(*group, "n", "mse", F.sqrt("mse").alias("rmse"), "mae", r2.alias("r2"),
-                     (1 - F.col("__ve") / F.col("__vy")).alias("explained_variance"))
+                     (1 - F.try_divide(F.col("__ve"), F.col("__vy"))).alias("explained_variance"))
     if n_features is not None:
         n = F.col("n").cast("double")
-        out = out.withColumn("adj_r2", 1 - (1 - F.col("r2")) * (n - 1) / (n - F.lit(n_features) - 1))
+        out = out.withColumn("adj_r2", 1 - F.try_divide((1 - F.col("r2")) * (n - 1), n - F.lit(n_features) - 1))
     return out
 
 
@@ -217,7 +218,7 @@ def ridge_loo(df: DataFrame, features: Sequence[str], label: str, alphas: Sequen
             for k in range(p):
                 if minv[i, k] != 0:
                     h = h + F.lit(float(minv[i, k])) * xt[i] * xt[k]
-        e = (F.col("y") - yhat) / (1 - h)
+        e = F.try_divide(F.col("y") - yhat, 1 - h)
         aggs.append(F.avg(e * e).alias(f"m{j}"))
     row = base.agg(*aggs).first()
     rows = [(float(a), float(row[f"m{j}"])) for j, a in enumerate(alphas)]

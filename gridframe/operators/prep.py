@@ -337,7 +337,7 @@ def anova_f(df: DataFrame, columns: Sequence[str], label: str) -> DataFrame:
         grand = F.col(f"S{i}") / n
         ssb = F.aggregate(F.col(f"L{i}"), F.lit(0.0),
                           lambda acc, e: acc + e["__n"] * (e["m"] - grand) * (e["m"] - grand))
-        f = F.try_divide(ssb / (k - 1), F.col(f"W{i}") / (n - k))
+        f = F.try_divide(F.try_divide(ssb, k - 1), F.try_divide(F.col(f"W{i}"), n - k))
         rows.append(F.struct(F.lit(c).alias("feature"), f.alias("f_score")))
     return tot.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
 
