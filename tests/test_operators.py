@@ -154,3 +154,15 @@ def test_resample_daily_zero_fill(spark):
 def test_drop_constant_zero_cols(spark):
     df = spark.createDataFrame([(1, 0.0, 1.0, None), (2, 0.0, 0.0, None)], "k int, a double, b double, c double")
     assert C.drop_constant_zero_cols(df, ["a", "b", "c"]).columns == ["k", "b"]
+
+
+def test_kde_exact_and_binned(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=2000)
+    df = spark.createDataFrame([(float(v),) for v in x], "x double")
+    ex = A.agg_kde(df, "x", 50).orderBy("grid").toPandas()
+    h = x.std(ddof=1) * len(x) ** -0.2
+    want = [np.exp(-0.5 * ((g - x) / h) ** 2).sum() / (len(x) * h * np.sqrt(2 * np.pi)) for g in ex["x"]]
+    assert np.allclose(ex["density"], want, rtol=1e-9)
+    bn = A.agg_kde(df, "x", 50, binned=2000).orderBy("grid").toPandas()
+    assert np.allclose(bn["density"], ex["density"], atol=2e-3)
