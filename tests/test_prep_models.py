@@ -184,3 +184,25 @@ def test_hash_split_reproducible(spark):
     u = spark.createDataFrame([("1",)], "k string").select(P.hash_unit("k")).first()[0]
     assert u == 3301589560 / 2 ** 32
     assert F is not None
+
+
+def _enet_cd(X, y, alpha, l1_ratio, iters=5000):
+    """sklearn ElasticNet objective by coordinate descent (intercept unpenalised)."""
+    n, p = X.shape
+    Xc, yc = X - X.mean(0), y - y.mean()
+    b = np.zeros(p)
+    z = (Xc ** 2).sum(0) / n
+    for _ in range(iters):
+        for j in range(p):
+            r = yc - Xc @ b + Xc[:, j] * b[j]
+            rho = Xc[:, j] @ r / n
+            b[j] = np.sign(rho) * max(abs(rho) - alpha * l1_ratio, 0) / (z[j] + alpha * (1 - l1_ratio))
+    return b
+
+
+def test_lasso_and_elastic_net_mapping(spark):
+    df, X, y = _frame(spark, n=400, seed=4)
+    for kind, alpha, r in [("lasso", 0.3, 1.0), ("elastic_net", 0.3, 0.5)]:
+        m = M.fit_linear(df, ["x1", "x2", "x3"], "y", kind, alpha=alpha, l1_ratio=r)
+        want = _enet_cd(X, y, alpha, r)
+        assert np.allclose(m.coefficients.toArray(), want, atol=2e-3), (kind, m.coefficients, want)
