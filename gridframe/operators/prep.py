@@ -166,6 +166,28 @@ def apply_minmax(df: DataFrame, stats: Mapping[str, tuple[float, float]]) -> Dat
     return df.select(*[expr(c) if c in stats else _c(c) for c in df.columns])
 
 
+def scale_per_split(df: DataFrame, columns: Sequence[str], strategy: str = "standard") -> DataFrame:
+    """The source's ``transform_test_and_val_data``: every split is scaled with
+    its own statistics (leaks nothing across splits but is not train-fitted).
+    Statistics are one grouped pass with one row per split label, joined back
+    with a broadcast (bounded by the number of splits)."""
+    cols = list(columns)
+    if strategy == "standard":
+        st = df.groupBy(SPLIT).agg(*[x for i, c in enumerate(cols) for x in
+                                     (F.avg(_c(c)).alias(f"__a{i}"), F.stddev_pop(_c(c)).alias(f"__b{i}"))])
+        expr = lambda i, c: (_c(c) - F.col(f"__a{i}")) / F.when(
+            F.coalesce(F.col(f"__b{i}"), F.lit(0.0)) == 0, F.lit(1.0)).otherwise(F.col(f"__b{i}"))
+    elif strategy == "minmax":
+        st = df.groupBy(SPLIT).agg(*[x for i, c in enumerate(cols) for x in
+                                     (F.min(_c(c)).alias(f"__a{i}"), F.max(_c(c)).alias(f"__b{i}"))])
+        expr = lambda i, c: (_c(c) - F.col(f"__a{i}")) / F.when(
+            F.col(f"__b{i}") == F.col(f"__a{i}"), F.lit(1.0)).otherwise(F.col(f"__b{i}") - F.col(f"__a{i}"))
+    else:
+        raise ValueError("Invalid scaling_strategy. Choose 'standard' or 'minmax'.")
+    j = df.join(F.broadcast(st), SPLIT, "left")
+    return j.select(*[expr(cols.index(c), c).alias(c) if c in cols else _c(c) for c in df.columns])
+
+
 def scale(df: DataFrame, columns: Sequence[str], strategy: str = "standard",
           fit_on: Column | None = None) -> tuple[DataFrame, dict]:
     src = df.where(fit_on) if fit_on is not None else df
@@ -265,29 +287,35 @@ def _yj_loglik_grid(df: DataFrame, columns: Sequence[str], grid: Mapping[str, Se
 
 
 def fit_yeo_johnson(df: DataFrame, columns: Sequence[str], lo: float = -2.0, hi: float = 2.0,
-                    coarse: int = 41, fine: int = 41) -> dict[str, float]:
-    """MLE lambda per column: a coarse grid, then a fine grid around the best
-    point (two aggregate passes for all columns together)."""
+                    points: int = 41, passes: int = 3) -> dict[str, float]:
+    """MLE lambda per column by successive grid refinement of the profile
+    log-likelihood: a grid over [lo, hi], then grids of the same size around
+    the best point.  Each pass is one aggregate over the data for all columns
+    together; three passes of 41 points resolve lambda to about 2.5e-4."""
     columns = list(columns)
-    g1 = {c: list(np.linspace(lo, hi, coarse)) for c in columns}
-    ll1 = _yj_loglik_grid(df, columns, g1)
-    step = (hi - lo) / (coarse - 1)
-    g2 = {}
-    for c in columns:
-        best = g1[c][int(np.argmax(ll1[c]))]
-        g2[c] = list(np.linspace(best - step, best + step, fine))
-    ll2 = _yj_loglik_grid(df, columns, g2)
-    return {c: float(g2[c][int(np.argmax(ll2[c]))]) for c in columns}
+    grid = {c: list(np.linspace(lo, hi, points)) for c in columns}
+    step = (hi - lo) / (points - 1)
+    best = {}
+    for k in range(passes):
+        ll = _yj_loglik_grid(df, columns, grid)
+        best = {c: float(grid[c][int(np.argmax(ll[c]))]) for c in columns}
+        if k < passes - 1:
+            grid = {c: list(np.linspace(best[c] - step, best[c] + step, points)) for c in columns}
+            step = 2 * step / (points - 1)
+    return best
 
 
 def power_yeo_johnson(df: DataFrame, columns: Sequence[str], lambdas: Mapping[str, float] | None = None,
-                      standardize: bool = True, fit_on: Column | None = None) -> tuple[DataFrame, dict]:
+                      standardize: bool = True, fit_on: Column | None = None,
+                      shift: float = 0.0) -> tuple[DataFrame, dict]:
     """Yeo-Johnson with lambdas fitted on ``fit_on`` rows (default all), then
-    standardised with the transformed training mean / population std."""
+    standardised with the transformed training mean / population std.
+    ``shift=1e-5`` reproduces the source, which fits on x but transforms
+    x + 1e-5."""
     src = df.where(fit_on) if fit_on is not None else df
     lambdas = dict(lambdas) if lambdas is not None else fit_yeo_johnson(src, columns)
-    out = df.select(*[yeo_johnson_expr(c, lambdas[c]).alias(c) if c in lambdas else _c(c)
-                      for c in df.columns])
+    out = df.select(*[yeo_johnson_expr(_c(c) + F.lit(shift) if shift else c, lambdas[c]).alias(c)
+                      if c in lambdas else _c(c) for c in df.columns])
     if standardize:
         st = fit_standard(out.where(fit_on) if fit_on is not None else out, list(lambdas))
         out = apply_standard(out, st)

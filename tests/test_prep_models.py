@@ -206,3 +206,9 @@ def test_lasso_and_elastic_net_mapping(spark):
         m = M.fit_linear(df, ["x1", "x2", "x3"], "y", kind, alpha=alpha, l1_ratio=r)
         want = _enet_cd(X, y, alpha, r)
         assert np.allclose(m.coefficients.toArray(), want, atol=2e-3), (kind, m.coefficients, want)
+
+
+def test_scale_per_split(spark):
+    df = spark.createDataFrame([("train", 1.0), ("train", 3.0), ("test", 10.0), ("test", 10.0)], "split string, a double")
+    out = {(r.split, r.a) for r in P.scale_per_split(df, ["a"]).collect()}
+    assert out == {("train", -1.0), ("train", 1.0), ("test", 0.0)}
