@@ -267,20 +267,41 @@ def yeo_johnson_expr(c, lam: float) -> Column:
     return F.when(x >= 0, pos).otherwise(neg)
 
 
+def _yj_lambda_expr(x: Column, lam: Column) -> Column:
+    """Yeo-Johnson of ``x`` for a lambda given as a column (grid search)."""
+    eps = F.lit(1e-12)
+    pos = F.when(F.abs(lam) > eps, (F.pow(x + 1.0, lam) - 1.0) / lam).otherwise(F.log1p(x))
+    neg = F.when(F.abs(lam - 2.0) > eps, -(F.pow(-x + 1.0, 2.0 - lam) - 1.0) / (2.0 - lam)) \
+           .otherwise(-F.log1p(-x))
+    return F.when(x >= 0, pos).otherwise(neg)
+
+
 def _yj_loglik_grid(df: DataFrame, columns: Sequence[str], grid: Mapping[str, Sequence[float]]) -> dict:
-    """Profile log-likelihood for every (column, lambda) in one aggregate pass."""
-    aggs = [F.count(_c(c)).alias(f"n{i}") for i, c in enumerate(columns)]
-    aggs += [F.sum(F.signum(_c(c)) * F.log1p(F.abs(_c(c)))).alias(f"l{i}") for i, c in enumerate(columns)]
-    for i, c in enumerate(columns):
-        for j, lam in enumerate(grid[c]):
-            aggs.append(F.var_pop(yeo_johnson_expr(c, lam)).alias(f"v{i}_{j}"))
-    row = df.agg(*aggs).first()
+    """Profile log-likelihood for every (column, lambda) in one pass.
+
+    Columns are stacked into (column index, value) rows and each row is
+    expanded over its column's lambda grid with ``posexplode`` inside the scan
+    stage; ``var_pop`` per (column, lambda) then combines map-side, so only
+    (columns x grid points) partial rows per task are shuffled and the
+    generated code stays small however many lambdas are tried."""
+    cols = list(columns)
+    stacked = (df.select(F.explode(F.array(*[F.struct(F.lit(i).alias("c"), _c(c).cast("double").alias("x"))
+                                              for i, c in enumerate(cols)])).alias("s"))
+                 .select("s.c", "s.x").where(F.col("x").isNotNull()))
+    grids = F.array(*[F.array(*[F.lit(float(v)) for v in grid[c]]) for c in cols])
+    psi = F.transform(F.element_at(grids, F.col("c") + 1), lambda lam: _yj_lambda_expr(F.col("x"), lam))
+    var = (stacked.select("c", F.posexplode(psi).alias("j", "psi"))
+                  .groupBy("c", "j").agg(F.var_pop("psi").alias("v")).collect())
+    base = (stacked.groupBy("c").agg(F.count(F.lit(1)).alias("n"),
+                                     F.sum(F.signum("x") * F.log1p(F.abs("x"))).alias("l")).collect())
+    nl = {r["c"]: (r["n"], r["l"]) for r in base}
+    vv = {(r["c"], r["j"]): r["v"] for r in var}
     out = {}
-    for i, c in enumerate(columns):
-        n, slog = row[f"n{i}"], row[f"l{i}"]
+    for i, c in enumerate(cols):
+        n, slog = nl.get(i, (0, 0.0))
         lls = []
         for j, lam in enumerate(grid[c]):
-            v = row[f"v{i}_{j}"]
+            v = vv.get((i, j))
             lls.append(-math.inf if not v or v <= 0 else -n / 2.0 * math.log(v) + (lam - 1.0) * slog)
         out[c] = lls
     return out

@@ -198,10 +198,9 @@ def q_select_by_pattern(spark, d):
 
 
 def qty_by_flag(spark, d):
-    li = t(spark, d, "lineitem")
-    wide = (li.groupBy(F.to_date("l_shipdate").alias(DT))
-              .pivot("l_returnflag", ["A", "N", "R", "X"]).agg(F.sum("l_quantity")))
-    return wide.select(DT, *[F.coalesce(F.col(v), F.lit(0.0)).alias(f"qty_{v}") for v in ["A", "N", "R", "X"]])
+    li = t(spark, d, "lineitem").withColumn(DT, F.to_date("l_shipdate"))
+    wide = R.pivot_table(li, [DT], "l_returnflag", "l_quantity", ["A", "N", "R", "X"], "sum", prefix="qty_")
+    return wide.select(DT, *[F.coalesce(F.col(f"qty_{v}"), F.lit(0.0)).alias(f"qty_{v}") for v in ["A", "N", "R", "X"]])
 
 
 @q("drop_constant_zero_cols")
