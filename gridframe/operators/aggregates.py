@@ -274,10 +274,10 @@ def agg_box_stats(df: DataFrame, group: Sequence[str], value: str,
                  F.col("__q")[2].alias("q3"))
     q = q.withColumn("__lf", F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))) \
          .withColumn("__uf", F.col("q3") + 1.5 * (F.col("q3") - F.col("q1")))
-    # one row per group: broadcast after a bounded size check, else a
-    # shuffle join (AQE splits a hot group's partition on the big side)
-    from .joins import broadcast_if_small
-    j = base.join(broadcast_if_small(q), names)
+    # one row per group: materialised once, broadcast after a bounded size
+    # check, else a shuffle join (AQE splits a hot group's partition)
+    from .joins import materialized_small_side
+    j = base.join(materialized_small_side(q), names)
     inside = (F.col("__v") >= F.col("__lf")) & (F.col("__v") <= F.col("__uf"))
     return j.groupBy(*names, "q1", "median", "q3").agg(
         F.min(F.when(inside, F.col("__v"))).alias("whisker_lo"),
@@ -330,6 +330,6 @@ def agg_kde(df: DataFrame, column: str, gridsize: int = 200, cut: float = 3.0,
 def join_agg_back(df: DataFrame, keys: Sequence[str], value: str, name: str) -> DataFrame:
     """Group mean attached to every row.  Computed as a partial aggregate joined
     back on the keys (not a window, which would gather a hot key in one task)."""
-    from .joins import broadcast_if_small
+    from .joins import materialized_small_side
     means = df.groupBy(*keys).agg(F.avg(_c(value)).alias(name))
-    return df.join(broadcast_if_small(means), list(keys), "left")
+    return df.join(materialized_small_side(means), list(keys), "left")

@@ -36,6 +36,16 @@ def broadcast_if_small(df: DataFrame, max_rows: int = 1_000_000, max_bytes: int
     return F.broadcast(df) if n <= limit else df
 
 
+def materialized_small_side(df: DataFrame, max_rows: int = 1_000_000, max_bytes: int = 64 << 20) -> DataFrame:
+    """For a small side that is itself an aggregate over the big input (group
+    means, quartiles): write it once to the shared checkpoint folder, then
+    size-check and broadcast the written copy.  The aggregation over the big
+    input runs once, not once for the check and again for the join."""
+    from ..session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(df.sparkSession)
+    return broadcast_if_small(df.checkpoint(eager=True), max_rows, max_bytes)
+
+
 def join_left_chain(base: DataFrame, tables: Sequence[DataFrame], on: str | Sequence[str]) -> DataFrame:
     """``base ⟕ t1 ⟕ t2 ...`` on the same key(s), left-deep like the source."""
     on = [on] if isinstance(on, str) else list(on)

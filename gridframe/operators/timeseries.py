@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import ordered
-from .joins import broadcast_if_small
+from .joins import materialized_small_side
 
 
 def _c(c) -> Column:
@@ -41,12 +41,13 @@ def win_rolling(df: DataFrame, order: Sequence[str], column: str, size: int | No
 def fill_with_group_mean(df: DataFrame, column: str, key: Column | str, key_name: str = "__g") -> DataFrame:
     """Fill NULLs with the mean of the same group (e.g. the same hour).
 
-    The means are a partial aggregate with one row per group value, broadcast
-    back after a size check; no window gathers a hot group."""
+    The means are a partial aggregate with one row per group value,
+    materialised once and broadcast back after a size check; no window
+    gathers a hot group."""
     k = _c(key)
     base = df.withColumn(key_name, k)
     means = base.groupBy(key_name).agg(F.avg(_c(column)).alias("__m"))
-    out = base.join(broadcast_if_small(means), key_name, "left")
+    out = base.join(materialized_small_side(means), key_name, "left")
     return out.withColumn(column, F.coalesce(_c(column), F.col("__m"))).drop("__m", key_name)
 
 
