@@ -31,15 +31,20 @@ def assemble(df: DataFrame, features: Sequence[str], out: str = "features") -> D
     return VectorAssembler(inputCols=list(features), outputCol=out, handleInvalid="skip").transform(df)
 
 
-def _label_stats(df: DataFrame, label: str) -> tuple[int, float]:
-    r = df.agg(F.count(_c(label)).alias("n"), F.stddev_samp(_c(label)).alias("s")).first()
+def _label_stats(df: DataFrame, label: str, population: bool = False) -> tuple[int, float]:
+    sd = F.stddev_pop if population else F.stddev_samp
+    r = df.agg(F.count(_c(label)).alias("n"), sd(_c(label)).alias("s")).first()
     return int(r["n"]), float(r["s"] or 0.0)
 
 
 def linear_model(kind: str = "ols", alpha: float = 0.0, l1_ratio: float = 0.5,
                  n: int | None = None, y_std: float | None = None, label: str = "label",
-                 max_iter: int = 1000, tol: float = 1e-10):
-    """An unfitted MLlib ``LinearRegression`` with sklearn-equivalent penalty."""
+                 max_iter: int = 1000, tol: float = 1e-10, solver: str | None = None):
+    """An unfitted MLlib ``LinearRegression`` with sklearn-equivalent penalty.
+
+    ``y_std`` is the sample std of the label for the iterative solver and the
+    population std for ``solver='normal'`` (ridge only: an exact Cholesky solve
+    of the normal equations)."""
     from pyspark.ml.regression import LinearRegression
     if kind == "ols":
         reg, en = 0.0, 0.0
@@ -54,14 +59,16 @@ def linear_model(kind: str = "ols", alpha: float = 0.0, l1_ratio: float = 0.5,
         raise ValueError(kind)
     return LinearRegression(featuresCol="features", labelCol=label, predictionCol=PRED,
                             regParam=reg, elasticNetParam=en, standardization=False,
-                            solver="l-bfgs" if reg else "auto", maxIter=max_iter, tol=tol)
+                            solver=solver or ("l-bfgs" if reg else "auto"), maxIter=max_iter, tol=tol)
 
 
 def fit_linear(df: DataFrame, features: Sequence[str], label: str, kind: str = "ols",
-               alpha: float = 0.0, l1_ratio: float = 0.5):
+               alpha: float = 0.0, l1_ratio: float = 0.5, solver: str | None = None):
+    if solver == "normal" and kind not in ("ols", "ridge"):
+        raise ValueError("the normal-equation solver handles OLS and ridge only")
     data = assemble(df, features).where(_c(label).isNotNull())
-    n, s = _label_stats(data, label)
-    return linear_model(kind, alpha, l1_ratio, n, s, label).fit(data)
+    n, s = _label_stats(data, label, population=(solver == "normal"))
+    return linear_model(kind, alpha, l1_ratio, n, s, label, solver=solver).fit(data)
 
 
 def fit_random_forest(df: DataFrame, features: Sequence[str], label: str, **params):

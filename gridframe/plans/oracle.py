@@ -621,6 +621,32 @@ SQL["feature_pipeline"] = rs(f"""WITH c AS ({CHRONO.format(src=PF)}),
   FROM i, st""", ["DateTime", "split"], 6)
 
 
+# ------------------------------------------- ridge closed form (3 features) ---
+
+def _det3(m) -> str:
+    return (f"(({m[0][0]}) * (({m[1][1]}) * ({m[2][2]}) - ({m[1][2]}) * ({m[2][1]}))"
+            f" - ({m[0][1]}) * (({m[1][0]}) * ({m[2][2]}) - ({m[1][2]}) * ({m[2][0]}))"
+            f" + ({m[0][2]}) * (({m[1][0]}) * ({m[2][1]}) - ({m[1][1]}) * ({m[2][0]})))")
+
+
+_RX = ["l_quantity", "l_discount", "l_tax"]
+_RA = 0.2
+# A = centred XᵀX + αI, c = centred Xᵀy; b = A⁻¹c by Cramer's rule
+_A = [[f"a{i}{j}" for j in range(3)] for i in range(3)]
+_CRAMER = []
+for _k in range(3):
+    _m = [[("c" + str(_i)) if _j == _k else _A[_i][_j] for _j in range(3)] for _i in range(3)]
+    _CRAMER.append(f"{_det3(_m)} / {_det3(_A)} AS b{_k}")
+RIDGE = f"""WITH g AS (SELECT count(*) AS n, avg(l_extendedprice) AS my, {", ".join(f"avg({x}) AS m{i}" for i, x in enumerate(_RX))},
+    {", ".join(f"covar_pop({_RX[i]}, {_RX[j]}) * count(*) + {_RA if i == j else 0.0} AS a{i}{j}" for i in range(3) for j in range(3))},
+    {", ".join(f"covar_pop({x}, l_extendedprice) * count(*) AS c{i}" for i, x in enumerate(_RX))}
+    FROM lineitem),
+  b AS (SELECT *, {", ".join(_CRAMER)} FROM g)
+  {" UNION ALL ".join([f"SELECT 'ridge_0.2' AS model, '{x}' AS feature, round(b{i}, 4) AS coefficient FROM b" for i, x in enumerate(_RX)]
+                      + ["SELECT 'ridge_0.2', 'intercept', round(my - b0 * m0 - b1 * m1 - b2 * m2, 4) FROM b"])}"""
+SQL["reg_ridge"] = RIDGE
+
+
 def _double_round(sql: str) -> str:
     """Rewrite ``round(x, n)`` as ``round(round(x, 8), n)`` for n < 8 (see
     ``queries.rr``: both engines then round the same double the same way)."""

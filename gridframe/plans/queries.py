@@ -1021,8 +1021,9 @@ def q_reg_linear(spark, d):
 
 @q("reg_ridge")
 def q_reg_ridge(spark, d):
-    m = M.fit_linear(li_frame(spark, d), LI_FEATS, "l_extendedprice", "ridge", alpha=0.2)
-    return rnd(coef_frame(spark, m, LI_FEATS, "ridge_0.2"), 3)
+    # exact normal-equation solve, so the closed form in SQL can check it
+    m = M.fit_linear(li_frame(spark, d), LI_FEATS, "l_extendedprice", "ridge", alpha=0.2, solver="normal")
+    return rnd(coef_frame(spark, m, LI_FEATS, "ridge_0.2"), 4)
 
 
 @q("reg_lasso")

@@ -212,3 +212,13 @@ def test_scale_per_split(spark):
     df = spark.createDataFrame([("train", 1.0), ("train", 3.0), ("test", 10.0), ("test", 10.0)], "split string, a double")
     out = {(r.split, r.a) for r in P.scale_per_split(df, ["a"]).collect()}
     assert out == {("train", -1.0), ("train", 1.0), ("test", 0.0)}
+
+
+def test_ridge_normal_solver_closed_form(spark):
+    df, X, y = _frame(spark, n=200, seed=7)
+    alpha = 3.0
+    m = M.fit_linear(df, ["x1", "x2", "x3"], "y", "ridge", alpha=alpha, solver="normal")
+    Xc, yc = X - X.mean(0), y - y.mean()
+    coef = np.linalg.solve(Xc.T @ Xc + alpha * np.eye(3), Xc.T @ yc)
+    assert np.allclose(m.coefficients.toArray(), coef, atol=1e-9)
+    assert abs(m.intercept - (y.mean() - X.mean(0) @ coef)) < 1e-9
