@@ -166,3 +166,25 @@ def test_kde_exact_and_binned(spark):
     assert np.allclose(ex["density"], want, rtol=1e-9)
     bn = A.agg_kde(df, "x", 50, binned=2000).orderBy("grid").toPandas()
     assert np.allclose(bn["density"], ex["density"], atol=2e-3)
+
+
+def test_sequenced_splits_a_hot_key(spark):
+    # a third of all rows share one date: the range partitioner samples the
+    # full (date, tie-break) key, so the hot date is spread over partitions
+    n = 30000
+    df = spark.range(n).select(
+        F.when(F.col("id") % 3 == 0, F.lit(dt.date(2024, 1, 1)))
+         .otherwise(F.date_add(F.lit(dt.date(2020, 1, 1)), (F.col("id") % 1000).cast("int"))).alias("d"),
+        F.col("id").alias("k")).repartition(8)
+    # at this toy size AQE would coalesce everything into one partition; at
+    # real sizes it targets the advisory partition size instead
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        seq = O.sequenced(df, ["d", "k"])
+        sizes = [r["count"] for r in seq.groupBy(O.PID).count().collect()]
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert sum(sizes) == n and len(sizes) > 2
+    assert max(sizes) < n / 3          # the hot date is not in one task
+    rn = O.global_row_number(df, ["d", "k"], "rn").agg(F.min("rn"), F.max("rn"), F.countDistinct("rn")).first()
+    assert tuple(rn) == (1, n, n)
