@@ -73,41 +73,62 @@ def global_row_number(df: DataFrame, order: Iterable[Column | str], name: str =
                .drop("__off", PID, POS))
 
 
-def forward_fill(df: DataFrame, order: Iterable[Column | str], columns: Iterable[str],
-                 backward: bool = False) -> DataFrame:
-    """``ffill`` (or ``bfill``) of ``columns`` along a global order."""
-    columns = list(columns)
+def fill(df: DataFrame, order: Iterable[Column | str], ffill: Iterable[str] = (),
+         bfill: Iterable[str] = (), both: Iterable[str] = ()) -> DataFrame:
+    """Forward fill ``ffill`` columns, backward fill ``bfill`` columns and
+    ``ffill().bfill()`` the ``both`` columns along a global order, all from one
+    sorted, checkpointed pass.  (``ffill`` then ``bfill`` equals
+    ``coalesce(ffill, bfill)``: after a forward fill only leading NULLs remain.)"""
+    ff = list(dict.fromkeys([*ffill, *both]))
+    bf = list(dict.fromkeys([*bfill, *both]))
+    both = set(both)
     seq = sequenced(df, order)
-    # Per-partition last (first for bfill) non-null value of each column.
-    pick = F.min_by if backward else F.max_by
-    summ = seq.groupBy(PID).agg(*[
-        pick(F.col(f"`{c}`"), F.when(F.col(f"`{c}`").isNotNull(), F.col(POS))).alias(f"__e{i}")
-        for i, c in enumerate(columns)])
-    # carry-in per partition: the last (first, for bfill) non-null value of
-    # the partitions before (after) it, from the one-row-per-partition summary
+    nn = lambda c: F.when(F.col(f"`{c}`").isNotNull(), F.col(POS))
+    # Per partition: last non-null of the forward columns, first non-null of the backward ones.
+    summ = seq.groupBy(PID).agg(
+        *[F.max_by(F.col(f"`{c}`"), nn(c)).alias(f"__f{i}") for i, c in enumerate(ff)],
+        *[F.min_by(F.col(f"`{c}`"), nn(c)).alias(f"__b{i}") for i, c in enumerate(bf)],
+        F.count(F.lit(1)).alias("__n"))
+    # Carry-in per partition from the one-row-per-partition summary (driver side).
     rows = sorted(summ.collect(), key=lambda r: r[PID])
-    if backward:
-        rows = rows[::-1]
-    seen = [None] * len(columns)
-    carry_rows = []
+    carry_f, carry_b = {}, {}
+    seen = [None] * len(ff)
     for r in rows:
-        carry_rows.append((r[PID], *seen))
-        seen = [r[f"__e{i}"] if r[f"__e{i}"] is not None else seen[i] for i in range(len(columns))]
+        carry_f[r[PID]] = list(seen)
+        seen = [r[f"__f{i}"] if r[f"__f{i}"] is not None else seen[i] for i in range(len(ff))]
+    seen = [None] * len(bf)
+    for r in reversed(rows):
+        carry_b[r[PID]] = list(seen)
+        seen = [r[f"__b{i}"] if r[f"__b{i}"] is not None else seen[i] for i in range(len(bf))]
     schema = T.StructType([T.StructField(PID, T.IntegerType())] +
-                          [T.StructField(f"__c{i}", summ.schema[f"__e{i}"].dataType) for i in range(len(columns))])
-    carry = seq.sparkSession.createDataFrame(carry_rows, schema)
-    wp = Window.partitionBy(PID).orderBy(POS)
-    if backward:
-        wp = wp.rowsBetween(0, Window.unboundedFollowing)
-        fill = [F.first(F.col(f"`{c}`"), ignorenulls=True).over(wp) for c in columns]
-    else:
-        wp = wp.rowsBetween(Window.unboundedPreceding, 0)
-        fill = [F.last(F.col(f"`{c}`"), ignorenulls=True).over(wp) for c in columns]
+                          [T.StructField(f"__cf{i}", summ.schema[f"__f{i}"].dataType) for i in range(len(ff))] +
+                          [T.StructField(f"__cb{i}", summ.schema[f"__b{i}"].dataType) for i in range(len(bf))])
+    carry = seq.sparkSession.createDataFrame(
+        [(r[PID], *carry_f[r[PID]], *carry_b[r[PID]]) for r in rows], schema)
+    wf = Window.partitionBy(PID).orderBy(POS).rowsBetween(Window.unboundedPreceding, 0)
+    wb = Window.partitionBy(PID).orderBy(POS).rowsBetween(0, Window.unboundedFollowing)
+    fval = {c: F.coalesce(F.last(F.col(f"`{c}`"), ignorenulls=True).over(wf), F.col(f"__cf{i}"))
+            for i, c in enumerate(ff)}
+    bval = {c: F.coalesce(F.first(F.col(f"`{c}`"), ignorenulls=True).over(wb), F.col(f"__cb{i}"))
+            for i, c in enumerate(bf)}
+
+    def value(c):
+        if c in both:
+            return F.coalesce(fval[c], bval[c]).alias(c)
+        if c in fval:
+            return fval[c].alias(c)
+        if c in bval:
+            return bval[c].alias(c)
+        return F.col(f"`{c}`")
+
     out = seq.join(F.broadcast(carry), PID)
-    out = out.select(*[F.coalesce(fill[columns.index(c)], F.col(f"__c{columns.index(c)}")).alias(c)
-                       if c in columns else F.col(f"`{c}`") for c in df.columns],
-                     F.col(PID), F.col(POS))
-    return out.drop(PID, POS)
+    return out.select(*[value(c) for c in df.columns])
+
+
+def forward_fill(df: DataFrame, order: Iterable[Column | str], columns: Iterable[str],
+                 backward: bool = False) -> DataFrame:
+    """``ffill`` (or ``bfill``) of ``columns`` along a global order."""
+    return fill(df, order, bfill=columns) if backward else fill(df, order, ffill=columns)
 
 
 def cumulative_sum(df: DataFrame, order: Iterable[Column | str], column: str, name: str) -> DataFrame:

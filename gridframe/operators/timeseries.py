@@ -59,7 +59,7 @@ def ts_ffill_bfill(df: DataFrame, order: Sequence[str], columns: Sequence[str],
     if method == "bfill":
         return ordered.forward_fill(df, order, columns, backward=True)
     if method == "ffill_bfill":
-        return ordered.forward_fill(ordered.forward_fill(df, order, columns), order, columns, backward=True)
+        return ordered.fill(df, order, both=columns)
     raise ValueError(f"Invalid fill method: {method}")
 
 

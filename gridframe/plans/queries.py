@@ -20,6 +20,7 @@ from ..operators import aggregates as A
 from ..operators import columns as C
 from ..operators import joins as J
 from ..operators import models as M
+from ..operators import ordered as O
 from ..operators import prep as P
 from ..operators import reshape as R
 from ..operators import setops as SO
@@ -569,9 +570,8 @@ def settle_on_spine(spark, d):
 def q_ts_ffill_bfill(spark, d):
     s = settle_on_spine(spark, d).select(DT, F.col("avg_settlement_price").alias("price_ffill"),
                                          F.col("avg_settlement_price").alias("price_bfill"))
-    s = TS.ts_ffill_bfill(s, [DT], ["price_ffill"], "ffill")
-    s = TS.ts_ffill_bfill(s, [DT], ["price_bfill"], "bfill")
-    return rnd(s)
+    # both directions from one sorted, checkpointed pass
+    return rnd(O.fill(s, [DT], ffill=["price_ffill"], bfill=["price_bfill"]))
 
 
 @q("ts_calendar_spine")

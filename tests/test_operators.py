@@ -188,3 +188,13 @@ def test_sequenced_splits_a_hot_key(spark):
     assert max(sizes) < n / 3          # the hot date is not in one task
     rn = O.global_row_number(df, ["d", "k"], "rn").agg(F.min("rn"), F.max("rn"), F.countDistinct("rn")).first()
     assert tuple(rn) == (1, n, n)
+
+
+def test_fill_both_directions_one_pass(spark):
+    df = _series(spark, null_every=4)
+    df = df.withColumn("y", F.col("x")).withColumn("z", F.col("x"))
+    pdf = df.toPandas().sort_values("d").reset_index(drop=True)
+    out = O.fill(df, ["d"], ffill=["x"], bfill=["y"], both=["z"]).toPandas().sort_values("d").reset_index(drop=True)
+    pd.testing.assert_series_equal(out["x"], pdf["x"].ffill(), check_names=False)
+    pd.testing.assert_series_equal(out["y"], pdf["y"].bfill(), check_names=False)
+    pd.testing.assert_series_equal(out["z"], pdf["z"].ffill().bfill(), check_names=False)
