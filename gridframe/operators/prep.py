@@ -391,6 +391,18 @@ def anova_f(df: DataFrame, columns: Sequence[str], label: str) -> DataFrame:
     return tot.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
 
 
+def quantile_bucket(df: DataFrame, column: str, k: int, name: str, approx: bool = False) -> DataFrame:
+    """Class label 0..k-1 from the k-quantiles of a continuous column (the
+    source fed every distinct price to ``f_classif`` as its own class).  The
+    k-1 cut points come from one aggregate; the label is the number of cut
+    points below the value (no global window)."""
+    probs = [i / k for i in range(1, k)]
+    cuts = df.agg(pct(column, probs, approx).alias("q")).first()["q"] or []
+    x = _c(column)
+    label = sum((F.when(x > F.lit(float(c)), 1).otherwise(0) for c in cuts), F.lit(0))
+    return df.withColumn(name, F.when(x.isNotNull(), label))
+
+
 def feat_select_kbest_f(df: DataFrame, columns: Sequence[str], label: str, k: int = 30) -> DataFrame:
     f = anova_f(df, columns, label)
     return f.orderBy(F.col("f_score").desc_nulls_last(), "feature").limit(k)

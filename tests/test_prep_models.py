@@ -222,3 +222,12 @@ def test_ridge_normal_solver_closed_form(spark):
     coef = np.linalg.solve(Xc.T @ Xc + alpha * np.eye(3), Xc.T @ yc)
     assert np.allclose(m.coefficients.toArray(), coef, atol=1e-9)
     assert abs(m.intercept - (y.mean() - X.mean(0) @ coef)) < 1e-9
+
+
+def test_quantile_bucket_and_anova_on_buckets(spark):
+    df = spark.createDataFrame([(float(i), float(i % 7)) for i in range(100)] + [(None, 1.0)], "y double, x double")
+    b = P.quantile_bucket(df, "y", 4, "cls")
+    counts = {r.cls: r["count"] for r in b.groupBy("cls").count().collect()}
+    assert counts == {0: 25, 1: 25, 2: 25, 3: 25, None: 1}
+    f = P.feat_select_kbest_f(b.where("cls is not null"), ["x", "y"], "cls", 1).first()
+    assert f.feature == "y"
