@@ -92,8 +92,8 @@ SQL["filter_range"] = """SELECT o_orderkey, o_custkey, o_orderstatus, round(o_to
     AND o_orderpriority IN ('1-URGENT', '2-HIGH')"""
 SQL["filter_year"] = """SELECT l_orderkey, l_linenumber, l_shipdate FROM lineitem
   WHERE l_shipdate >= TIMESTAMP '1998-01-01' AND l_shipdate < TIMESTAMP '1999-01-01'"""
-CUSTOMER_CODES = f"""SELECT c_custkey, CASE WHEN c_custkey % 10 = 0 THEN NULL ELSE r_name END AS region_code
-  FROM ({CUST_REGION})"""
+CUSTOMER_CODES = f"""SELECT cr.c_custkey, CASE WHEN c.c_acctbal < 0 THEN NULL ELSE cr.r_name END AS region_code
+  FROM ({CUST_REGION}) cr JOIN customer c ON c.c_custkey = cr.c_custkey"""
 SQL["filter_exclude_code"] = f"""SELECT * FROM ({CUSTOMER_CODES})
   WHERE region_code IS NULL OR region_code <> 'MIDDLE EAST'"""
 WEATHER = """SELECT ts, user_id AS ESTACAO, CAST(ts AS DATE) AS DATA,
