@@ -319,3 +319,64 @@ def read_all_daily(spark: SparkSession, d: str, *, region_map: Mapping, regions:
         "consumption": job_consumption(SI.consumption_raw(spark, d), region_map, regions, start,
                                        ("l_orderkey", "l_linenumber")),
     }
+
+
+# ------------------------------------------------------- feature pipelines ---
+
+def feature_pipeline(frame: DataFrame, target: str, *, date: str = DT, imputation: str = "mean",
+                     scaling: str = "standard", features_to_drop: int = 5, remove_outliers: bool = False,
+                     percentage_of_outliers: float = 0.01, train_size: float = 0.64, val_size: float = 0.16,
+                     deal_with_skewness: bool = False, split: str = "chrono", split_key: str | None = None,
+                     fit_per_split: bool = False, variance_threshold: float = 0.99 * (1 - 0.99)) -> DataFrame:
+    """``build_pipeline`` / ``build_pipeline_P0_foward_price`` as one frame with
+    a ``split`` column: optional quantile trim of the target -> split
+    (``chrono``: ordered 64/16/20 by ``date``; ``random``: hash of
+    ``split_key``) -> imputation -> scaling fitted on train -> variance
+    threshold and (``features_to_drop > 0``) RFE fitted on train -> optional
+    Yeo-Johnson.  Every fit is one aggregate pass; the split step checkpoints
+    the ordered frame, so later passes read it instead of recomputing inputs.
+    ``fit_per_split=True`` refits the imputer on every split like the source."""
+    from ..operators import prep as P
+    p = frame
+    if remove_outliers:
+        p = P.outlier_quantile(p, target, percentage_of_outliers)
+    if split == "chrono":
+        p = P.split_chrono(p, [date], train_size, val_size)
+    elif split == "random":
+        p = P.split_random(p, split_key or date, (train_size, val_size, 1.0 - train_size - val_size))
+    else:
+        raise ValueError(f"Invalid split: {split}")
+    feats = [c for c in p.columns if c not in (date, P.SPLIT, target)]
+    train = F.col(P.SPLIT) == "train"
+    if fit_per_split:
+        p = P.impute(p, feats, imputation, fit_per_split=True)
+    else:
+        p = P.impute(p, feats, imputation, fit_on=train, order=[date])
+    p, _ = P.scale(p, feats, scaling, fit_on=train)
+    kept = P.feat_variance_threshold(p, feats, variance_threshold, fit_on=train)
+    if features_to_drop:
+        rk = P.feat_rfe_linear(p, kept, target, max(1, len(kept) - features_to_drop), fit_on=train)
+        kept = [r["feature"] for r in rk.where("selected").collect()]
+    p = p.select(date, P.SPLIT, target, *kept)
+    if deal_with_skewness:
+        p, _ = P.power_yeo_johnson(p, kept, fit_on=train)
+    return p
+
+
+def feature_pipeline_settlement(frame: DataFrame, target: str, features: Sequence[str], *,
+                                date: str = DT) -> DataFrame:
+    """``make_basic_features_pipeline_for_settlement_price_prediction``: drop
+    NULL targets, fixed columns, one row per date, IQR outlier filter, 80/20
+    then 80/20 random split (hash of the date), mean imputation refitted per
+    split (as the source does) and standard scaling fitted on train."""
+    from ..operators import prep as P
+    m = frame.select(date, target, *features)
+    m = C.drop_nulls(m, [target])
+    m = C.dedup_keep_first(m, [date], [date])
+    m = P.outlier_iqr(m, [target, *features])
+    u = P.hash_unit(F.col(date).cast("string"))
+    u2 = P.hash_unit(F.concat(F.col(date).cast("string"), F.lit("#val")))
+    m = m.withColumn(P.SPLIT, F.when(u >= 0.8, "test").when(u2 >= 0.8, "validation").otherwise("train"))
+    m = P.impute(m, list(features), "mean", fit_per_split=True)
+    m, _ = P.scale(m, list(features), "standard", fit_on=F.col(P.SPLIT) == "train")
+    return m

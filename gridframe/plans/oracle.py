@@ -647,9 +647,29 @@ RIDGE = f"""WITH g AS (SELECT count(*) AS n, avg(l_extendedprice) AS my, {", ".j
 SQL["reg_ridge"] = RIDGE
 
 
+# ------------------------------------------ build_pipeline (random split) ---
+
+_RW_FEATS = (["avg_settlement_price", "std_settlement_price", "min_settlement_price", "max_settlement_price"]
+             + [f"hydro_inflow_{n}" for _, n in REGIONS] + ["daily_sum_hydro_inflow", "date_epoch", "delivery_epoch"])
+_RW = f"""SELECT CAST(DateTime AS VARCHAR) || '|' || CAST(delivery_start AS VARCHAR) AS row_key,
+    * EXCLUDE (DateTime, delivery_start),
+    datediff('day', DATE '1970-01-01', DateTime) * 86400.0 AS date_epoch,
+    datediff('day', DATE '1970-01-01', delivery_start) * 86400.0 AS delivery_epoch
+  FROM ({FORWARD}) LEFT JOIN ({SETTLEMENT}) USING (DateTime) LEFT JOIN ({HYDRO}) USING (DateTime)"""
+SQL["feature_pipeline_random"] = rs(f"""WITH c AS (SELECT *, CASE WHEN u < 0.64 THEN 'train' WHEN u < 0.8 THEN 'validation'
+      ELSE 'test' END AS split FROM (SELECT *, {HASH_U.format(k='row_key')} AS u FROM ({_RW}))),
+  m AS (SELECT {", ".join(f"avg({f}) AS m_{f}" for f in _RW_FEATS)} FROM c WHERE split = 'train'),
+  i AS (SELECT row_key, split, forward_price, {", ".join(f"coalesce({f}, m_{f}) AS {f}" for f in _RW_FEATS)} FROM c, m),
+  st AS (SELECT {", ".join(f"avg({f}) AS a_{f}, stddev_pop({f}) AS s_{f}" for f in _RW_FEATS)} FROM i WHERE split = 'train')
+  SELECT row_key, split, forward_price, {", ".join(
+      f"({f} - a_{f}) / CASE WHEN s_{f} IS NULL OR s_{f} = 0 THEN 1 ELSE s_{f} END AS {f}" for f in _RW_FEATS)}
+  FROM i, st""", ["row_key", "split"], 6)
+
+
 def _double_round(sql: str) -> str:
-    """Rewrite ``round(x, n)`` as ``round(round(x, 8), n)`` for n < 8 (see
-    ``queries.rr``: both engines then round the same double the same way)."""
+    """Rewrite ``round(x, n)`` as ``round(round(x, 8), n) + 0.0`` for n < 8 (see
+    ``queries.rr``: both engines then round the same double the same way, and
+    a signed zero becomes +0.0)."""
     out, i = [], 0
     while True:
         j = sql.find("round(", i)
@@ -677,9 +697,9 @@ def _double_round(sql: str) -> str:
             arg, n = sql[j + 6:comma], sql[comma + 1:k - 1].strip()
             arg = _double_round(arg)
             if n.isdigit() and int(n) < 8:
-                out.append(sql[i:j] + f"round(round({arg}, 8), {n})")
+                out.append(sql[i:j] + f"(round(round({arg}, 8), {n}) + 0.0)")
             else:
-                out.append(sql[i:j] + f"round({arg}, {n})")
+                out.append(sql[i:j] + f"(round({arg}, {n}) + 0.0)")
         del inner
         i = k
 

@@ -66,7 +66,8 @@ def rr(c, n: int = 4):
     decimal values (a mean such as 292.47 / 8 = 36.55875), so exact ties round
     the same way in both engines."""
     c = F.col(c) if isinstance(c, str) else c
-    return _half_away(_half_away(c, 8), n) if n < 8 else _half_away(c, n)
+    # + 0.0 turns a -0.0 (noise just below zero) into +0.0, as in the oracle
+    return (_half_away(_half_away(c, 8), n) if n < 8 else _half_away(c, n)) + F.lit(0.0)
 
 
 def rnd(df: DataFrame, n: int = 4, digits: dict | None = None) -> DataFrame:
@@ -918,32 +919,11 @@ def q_feat_pca(spark, d):
     return rnd(var, 6)
 
 
-def feature_pipeline(spark, d, target="P0", imputation="mean", scaling="standard", features_to_drop=2,
-                     remove_outliers=False, pct=0.01, train_size=0.64, val_size=0.16, skew=False,
-                     fit_per_split=False):
-    """``build_pipeline_P0_foward_price``: P0/P1 frame -> optional trim ->
-    chronological split -> impute -> scale (fit on train) -> variance
-    threshold + RFE on train -> optional Yeo-Johnson.  One frame with a
-    ``split`` column."""
+def feature_pipeline(spark, d, **kw):
+    """The P0 pipeline on the driver stand-ins: P0/P1 frame with the daily
+    features, then :func:`jobs.feature_pipeline`."""
     p = with_features(JB.job_p0_p1(forward(spark, d), None), p0p1_features(spark, d))
-    if remove_outliers:
-        p = P.outlier_quantile(p, target, pct)
-    p = P.split_chrono(p, [DT], train_size, val_size)
-    feats = [c for c in p.columns if c not in (DT, P.SPLIT, target)]
-    train = F.col(P.SPLIT) == "train"
-    if fit_per_split:
-        p = P.impute(p, feats, imputation, fit_per_split=True)
-    else:
-        p = P.impute(p, feats, imputation, fit_on=train, order=[DT])
-    p, _ = P.scale(p, feats, scaling, fit_on=train)
-    kept = P.feat_variance_threshold(p, feats, 0.99 * (1 - 0.99), fit_on=train)
-    if features_to_drop:
-        rk = P.feat_rfe_linear(p, kept, target, max(1, len(kept) - features_to_drop), fit_on=train)
-        kept = [r["feature"] for r in rk.where("selected").collect()]
-    p = p.select(DT, P.SPLIT, target, *kept)
-    if skew:
-        p, _ = P.power_yeo_johnson(p, kept, fit_on=train)
-    return p
+    return JB.feature_pipeline(p, kw.pop("target", "P0"), **kw)
 
 
 @q("feature_pipeline")
@@ -961,22 +941,26 @@ def q_feature_pipeline_rfe(spark, d):
 
 @q("feature_pipeline_settlement")
 def q_feature_pipeline_settlement(spark, d):
-    """Settlement variant: drop null targets, fixed columns, one row per date,
-    IQR outlier filter, 80/20 then 80/20 random split, mean imputation per
-    split (the source refits it), standard scaling fitted on train."""
-    m = model_frame(spark, d).select(DT, "avg_settlement_price", *HYDRO_COLS, "daily_sum_hydro_inflow")
-    m = C.drop_nulls(m, ["avg_settlement_price"])
-    m = C.dedup_keep_first(m, [DT], [DT])
-    m = P.outlier_iqr(m, ["avg_settlement_price", *HYDRO_COLS, "daily_sum_hydro_inflow"])
-    u = P.hash_unit(F.col(DT).cast("string"))
-    u2 = P.hash_unit(F.concat(F.col(DT).cast("string"), F.lit("#val")))
-    m = m.withColumn(P.SPLIT, F.when(u >= 0.8, "test").when(u2 >= 0.8, "validation").otherwise("train"))
-    feats = HYDRO_COLS + ["daily_sum_hydro_inflow"]
-    m = P.impute(m, feats, "mean", fit_per_split=True)
-    m, _ = P.scale(m, feats, "standard", fit_on=F.col(P.SPLIT) == "train")
+    """Settlement variant (see :func:`jobs.feature_pipeline_settlement`)."""
+    m = JB.feature_pipeline_settlement(model_frame(spark, d), "avg_settlement_price",
+                                       HYDRO_COLS + ["daily_sum_hydro_inflow"])
     return rnd(m, 6)
 
 
+@q("feature_pipeline_random")
+def q_feature_pipeline_random(spark, d):
+    """``build_pipeline``: the wide prepared table with the forward price as
+    target, date columns as epoch seconds, a hash-random 64/16/20 split,
+    imputation, scaling and variance threshold fitted on train."""
+    w = JB.job_prepared_dataset(forward(spark, d), [settlement(spark, d), hydro(spark, d)])
+    w = w.select(F.concat_ws("|", F.col(DT).cast("string"), F.col("delivery_start").cast("string")).alias("row_key"),
+                 *[c for c in w.columns if c not in (DT, "delivery_start")],
+                 S.epoch_seconds(F.col(DT).cast("timestamp_ntz")).cast("double").alias("date_epoch"),
+                 S.epoch_seconds(F.col("delivery_start").cast("timestamp_ntz")).cast("double").alias("delivery_epoch"))
+    return rnd(JB.feature_pipeline(w, "forward_price", date="row_key", split="random", split_key="row_key",
+                                   features_to_drop=0), 6)
+
+
 @q("feature_subset")
 def q_feature_subset(spark, d):
     m = model_frame(spark, d)
