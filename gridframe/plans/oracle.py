@@ -666,6 +666,28 @@ SQL["feature_pipeline_random"] = rs(f"""WITH c AS (SELECT *, CASE WHEN u < 0.64
   FROM i, st""", ["row_key", "split"], 6)
 
 
+# ----------------------------------------- settlement pipeline (no RFE) -----
+
+_SP_FEATS = [f"hydro_inflow_{n}" for _, n in REGIONS] + ["daily_sum_hydro_inflow"]
+_SP_COLS = ["avg_settlement_price"] + _SP_FEATS
+SQL["feature_pipeline_settlement"] = rs(f"""WITH m AS (SELECT DateTime, {", ".join(_SP_COLS)} FROM ({MODEL})
+    WHERE avg_settlement_price IS NOT NULL),
+  q AS (SELECT {", ".join(f"quantile_cont({c}, 0.25) AS q1_{c}, quantile_cont({c}, 0.75) AS q3_{c}" for c in _SP_COLS)} FROM m),
+  f AS (SELECT m.* FROM m, q WHERE {" AND ".join(
+      f"NOT coalesce({c} < q1_{c} - 1.5 * (q3_{c} - q1_{c}) OR {c} > q3_{c} + 1.5 * (q3_{c} - q1_{c}), false)"
+      for c in _SP_COLS)}),
+  c AS (SELECT *, CASE WHEN {HASH_U.format(k='CAST(DateTime AS VARCHAR)')} >= 0.8 THEN 'test'
+                      WHEN {HASH_U.format(k="CAST(DateTime AS VARCHAR) || '#val'")} >= 0.8 THEN 'validation'
+                      ELSE 'train' END AS split FROM f),
+  pm AS (SELECT split, {", ".join(f"avg({c}) AS m_{c}" for c in _SP_FEATS)} FROM c GROUP BY split),
+  i AS (SELECT c.DateTime, c.split, c.avg_settlement_price, {", ".join(f"coalesce(c.{x}, pm.m_{x}) AS {x}" for x in _SP_FEATS)}
+        FROM c JOIN pm USING (split)),
+  st AS (SELECT {", ".join(f"avg({x}) AS a_{x}, stddev_pop({x}) AS s_{x}" for x in _SP_FEATS)} FROM i WHERE split = 'train')
+  SELECT DateTime, split, avg_settlement_price, {", ".join(
+      f"({x} - a_{x}) / CASE WHEN s_{x} IS NULL OR s_{x} = 0 THEN 1 ELSE s_{x} END AS {x}" for x in _SP_FEATS)}
+  FROM i, st""", ["DateTime", "split"], 6)
+
+
 def _double_round(sql: str) -> str:
     """Rewrite ``round(x, n)`` as ``round(round(x, 8), n) + 0.0`` for n < 8 (see
     ``queries.rr``: both engines then round the same double the same way, and
