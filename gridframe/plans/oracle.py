@@ -364,8 +364,13 @@ SQL["ts_sliding_sequences"] = rs(f"""SELECT t.rn AS row_number, t.DateTime AS ta
   CAST(w.rn - (t.rn - 7) AS INTEGER) AS step, w.avg_settlement_price, w.max_settlement_price
   FROM ({NUMBERED}) t JOIN ({NUMBERED}) w ON w.rn BETWEEN t.rn - 7 AND t.rn - 1 WHERE t.rn > 7""",
                                  ["row_number", "target_date", "step"])
-SQL["ts_tail_period"] = rs(f"""SELECT * FROM ({SETTLE_SERIES})
-  WHERE DateTime >= (SELECT max(DateTime) FROM ({SETTLEMENT})) - INTERVAL 2 MONTH""", ["DateTime"])
+SQL["ts_tail_period"] = rs(f"""SELECT *, 'last_2_months' AS slice FROM ({SETTLE_SERIES})
+    WHERE DateTime >= (SELECT max(DateTime) FROM ({SETTLEMENT})) - INTERVAL 2 MONTH
+  UNION ALL SELECT * FROM (SELECT *, 'last_10' AS slice FROM ({SETTLE_SERIES}) ORDER BY DateTime DESC LIMIT 10)
+  UNION ALL SELECT * FROM (SELECT *, 'first_7' AS slice FROM ({SETTLE_SERIES}) ORDER BY DateTime LIMIT 7)
+  UNION ALL SELECT * FROM (SELECT *, 'first_30' AS slice FROM ({SETTLE_SERIES}) ORDER BY DateTime LIMIT 30)
+  UNION ALL SELECT *, 'jan_1998' AS slice FROM ({SETTLE_SERIES})
+    WHERE DateTime BETWEEN DATE '1998-01-01' AND DATE '1998-01-31'""", ["DateTime", "slice"])
 
 # ================================================= 2.7 sort / top-k / sets ==
 

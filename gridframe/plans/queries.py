@@ -625,7 +625,13 @@ def q_ts_sliding_sequences(spark, d):
 
 @q("ts_tail_period")
 def q_ts_tail_period(spark, d):
-    return rnd(TS.tail_months(settle_series(spark, d), DT, 2))
+    """The evaluation slices: last 2 months, last 10 rows, first 7 and 30 rows
+    and an inclusive date slice, tagged and stacked."""
+    s = settle_series(spark, d)
+    parts = [("last_2_months", TS.tail_months(s, DT, 2)), ("last_10", TS.tail_rows(s, [DT], 10)),
+             ("first_7", TS.head_rows(s, [DT], 7)), ("first_30", TS.head_rows(s, [DT], 30)),
+             ("jan_1998", TS.date_slice(s, DT, "1998-01-01", "1998-01-31"))]
+    return rnd(SO.set_union_tagged(parts, "slice"))
 
 
 # ================================================= 2.7 sort / top-k / sets ==
