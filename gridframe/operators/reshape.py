@@ -41,9 +41,10 @@ def pivot_region(df: DataFrame, index: Sequence[str], column: str, value: str,
         if dup:
             raise DuplicatePivotKey(f"Index contains duplicate entries: {dup[0]}")
     name = _namer(prefix, suffix)
-    return (df.groupBy(*index).pivot(column, list(values))
-              .agg(F.first(_c(value)))
-              .withColumnsRenamed({str(v): name(v) for v in values}))
+    # conditional aggregate per value: one grouping (one shuffle); for unique
+    # keys max() is the cell value, and it stays deterministic if keys repeat
+    return df.groupBy(*index).agg(*[F.max(F.when(F.col(column) == F.lit(v), _c(value))).alias(name(v))
+                                    for v in values])
 
 
 def pivot_sum(df: DataFrame, index: Sequence[str], column: str, value: str, values: Sequence,

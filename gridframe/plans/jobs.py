@@ -151,10 +151,11 @@ def job_capacity(raw: DataFrame, cal_start: str = "2021-01-01", cal_end: str = "
     long = long.checkpoint(eager=True)
     combos = sorted(r[0] for r in long.select("combo").distinct().collect())
     names = {c: f"{S.safe_name(c.split('|')[0])}_capacity_{S.safe_name(c.split('|')[1])}" for c in combos}
-    wide = long.groupBy(DT).pivot("combo", combos).agg(F.first("val_potenciaefetiva"))
+    wide = long.groupBy(DT).agg(*[F.max(F.when(F.col("combo") == F.lit(c), F.col("val_potenciaefetiva")))
+                                  .alias(names[c]) for c in combos])
     spine = J.date_spine(raw.sparkSession, cal_start, cal_end, DT)
     wide = spine.join(wide, DT, "left")
-    wide = wide.select(DT, *[F.coalesce(F.col(f"`{c}`"), F.lit(0.0)).alias(names[c]) for c in combos])
+    wide = wide.select(DT, *[F.coalesce(F.col(names[c]), F.lit(0.0)).alias(names[c]) for c in combos])
     wide = C.drop_constant_zero_cols(wide, list(names.values()))
     for r in regions:
         suffix = f"_capacity_{S.safe_name(r)}"
