@@ -63,11 +63,13 @@ def job_settlement(raw: DataFrame, area: str = "BRAZIL_SOUTHEAST_CENTRALWEST",
 
 def job_settlement_ext(raw: DataFrame, region: str = "SE/CW",
                        region_map: Mapping = codes.REGION_PRICE_AREA,
-                       order: Sequence[str] = ("ts",)) -> DataFrame:
-    """11-statistic daily profile of one mapped region (no time-zone step)."""
+                       order: Sequence[str] = ("ts",), approx: bool = False) -> DataFrame:
+    """11-statistic daily profile of one mapped region (no time-zone step).
+    ``approx=True`` computes the median with the mergeable sketch, for days
+    that hold a large share of all rows."""
     t = settlement_ticks(raw).withColumn("Region", S.map_replace("PowerPriceAreaCode", region_map))
     t = t.where(F.col("Region") == region).withColumn(DT, F.to_date("ts"))
-    return A.agg_daily_stats_ext(t, [DT], "PriceMWh", list(order))
+    return A.agg_daily_stats_ext(t, [DT], "PriceMWh", list(order), approx=approx)
 
 
 def job_temperature(raw: DataFrame) -> DataFrame:
