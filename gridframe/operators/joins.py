@@ -4,7 +4,9 @@ No join here carries a broadcast hint on data that grows with the input: the
 daily tables are left to AQE, which switches a sort-merge join to a broadcast
 only after it has measured the shuffled side (``autoBroadcastJoinThreshold``).
 Dimension lookups go through :func:`broadcast_if_small`, which checks the row
-count with a bounded ``limit`` job and otherwise keeps the shuffle join.
+count with a bounded ``limit`` job and otherwise keeps the shuffle join; small
+sides that are aggregates of the big input go through
+:func:`materialized_small_side`, which writes them once before the check.
 """
 
 from __future__ import annotations
