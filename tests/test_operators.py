@@ -198,3 +198,14 @@ def test_fill_both_directions_one_pass(spark):
     pd.testing.assert_series_equal(out["x"], pdf["x"].ffill(), check_names=False)
     pd.testing.assert_series_equal(out["y"], pdf["y"].bfill(), check_names=False)
     pd.testing.assert_series_equal(out["z"], pdf["z"].ffill().bfill(), check_names=False)
+
+
+def test_empty_inputs(spark):
+    from gridframe.operators import prep as P
+    e = spark.createDataFrame([], "d date, x double")
+    frames = [O.global_row_number(e, ["d"], "rn"), O.fill(e, ["d"], ffill=["x"]),
+              O.rolling(e, ["d"], "x", 3, {"m": "mean"}), O.row_lags(e, ["d"], "x", [1]),
+              P.split_chrono(e, ["d"]), P.fold_assign(e, ["d"], 5), P.impute(e, ["x"], "mean"),
+              P.scale(e, ["x"])[0], P.outlier_quantile(e, "x"), P.outlier_iqr(e, ["x"]),
+              A.agg_histogram(e, "x"), A.agg_kde(e, "x"), TS.calendar_spine(e, "d"), TS.tail_months(e, "d")]
+    assert all(f.count() == 0 for f in frames)
