@@ -247,6 +247,23 @@ def cross_validate(df: DataFrame, features: Sequence[str], label: str, estimator
     return cv.fit(data)
 
 
+def cv_score(df: DataFrame, features: Sequence[str], label: str, fit, fold_col: str = "fold",
+             metric: str = "mae") -> DataFrame:
+    """``cross_val_score``: for every fold, refit on the other folds with
+    ``fit(train, features, label)`` (so penalties are mapped with that fold's
+    own n and label std, as sklearn refits ``Ridge(alpha)``), score the held-out
+    fold with :func:`eval_metrics`; returns (fold, score) rows plus the mean as
+    fold -1.  One distributed fit and one aggregate per fold."""
+    folds = sorted(r[0] for r in df.select(fold_col).distinct().collect())
+    rows = []
+    for k in folds:
+        model = fit(df.where(_c(fold_col) != k), features, label)
+        sc = eval_metrics(predict(model, df.where(_c(fold_col) == k), features), label).first()[metric]
+        rows.append((int(k), float(sc)))
+    rows.append((-1, float(np.mean([r[1] for r in rows]))))
+    return df.sparkSession.createDataFrame(rows, f"fold int, {metric} double")
+
+
 def param_grid(estimator, grid: Mapping[str, Sequence]) -> list:
     from pyspark.ml.tuning import ParamGridBuilder
     b = ParamGridBuilder()

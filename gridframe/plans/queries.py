@@ -1100,11 +1100,10 @@ def q_cv_random(spark, d):
 
 @q("cv_score")
 def q_cv_score(spark, d):
+    """5-fold MAE of ridge(alpha=0.2) with contiguous folds, refitted per fold."""
     f = cv_frame(spark, d, 5)
-    n, s = M._label_stats(f, "avg_settlement_price")
-    est = M.linear_model("ridge", 0.2, n=n, y_std=s, label="avg_settlement_price")
-    model = M.cross_validate(f, CV_FEATS, "avg_settlement_price", est, None, "fold", "mae")
-    return spark.createDataFrame([(float(model.avgMetrics[0]),)], "cv_mae double").select(rr("cv_mae", 2).alias("cv_mae"))
+    ridge = lambda a, b, c: M.fit_linear(a, b, c, "ridge", alpha=0.2, solver="normal")
+    return rnd(M.cv_score(f, CV_FEATS, "avg_settlement_price", ridge, "fold", "mae"), 2)
 
 
 @q("fold_assign")

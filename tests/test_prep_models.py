@@ -231,3 +231,18 @@ def test_quantile_bucket_and_anova_on_buckets(spark):
     assert counts == {0: 25, 1: 25, 2: 25, 3: 25, None: 1}
     f = P.feat_select_kbest_f(b.where("cls is not null"), ["x", "y"], "cls", 1).first()
     assert f.feature == "y"
+
+
+def test_cv_score_matches_numpy(spark):
+    df, X, y = _frame(spark, n=100, seed=9)
+    f = P.fold_assign(df, ["d"], 5)
+    fit = lambda a, b, c: M.fit_linear(a, b, c, "ridge", alpha=1.0, solver="normal")
+    got = {r.fold: r.mae for r in M.cv_score(f, ["x1", "x2", "x3"], "y", fit).collect()}
+    scores = []
+    for te in np.array_split(np.arange(len(y)), 5):
+        tr = np.setdiff1d(np.arange(len(y)), te)
+        mx, my = X[tr].mean(0), y[tr].mean()
+        b = np.linalg.solve((X[tr] - mx).T @ (X[tr] - mx) + np.eye(3), (X[tr] - mx).T @ (y[tr] - my))
+        scores.append(np.mean(np.abs(y[te] - my - (X[te] - mx) @ b)))
+    assert np.allclose([got[k] for k in range(5)], scores, atol=1e-8)
+    assert abs(got[-1] - np.mean(scores)) < 1e-8
