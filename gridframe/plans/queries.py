@@ -1113,7 +1113,7 @@ def q_fold_assign(spark, d):
 
 MODELS = {
     "linear": lambda a, b, c: M.fit_linear(a, b, c, "ols"),
-    "ridge": lambda a, b, c: M.fit_linear(a, b, c, "ridge", alpha=0.2),
+    "ridge": lambda a, b, c: M.fit_linear(a, b, c, "ridge", alpha=0.2, solver="normal"),
     "lasso": lambda a, b, c: M.fit_linear(a, b, c, "lasso", alpha=0.8),
     "random_forest": lambda a, b, c: M.fit_random_forest(a, b, c, numTrees=20, maxDepth=5),
     "gbt": lambda a, b, c: M.fit_gbt(a, b, c, maxIter=20, maxDepth=3),
@@ -1150,7 +1150,7 @@ def q_eval_train_combined(spark, d):
     f = P.split_chrono(cv_frame(spark, d), [DT], 0.75, 0.15)
     trval = SO.set_union_tagged([("train", f.where("split = 'train'")),
                                  ("validation", f.where("split = 'validation'"))], "part")
-    model = M.fit_linear(trval, CV_FEATS, "avg_settlement_price", "ridge", alpha=0.2)
+    model = M.fit_linear(trval, CV_FEATS, "avg_settlement_price", "ridge", alpha=0.2, solver="normal")
     return rnd(M.eval_metrics(M.predict(model, f.where("split = 'test'"), CV_FEATS), "avg_settlement_price"), 2)
 
 
@@ -1174,7 +1174,7 @@ def q_eval_actual_vs_pred(spark, d):
 def q_explain_coefficients(spark, d):
     f = cv_frame(spark, d)
     fs, _ = P.scale(f, CV_FEATS)
-    m = M.fit_linear(fs, CV_FEATS, "avg_settlement_price", "ridge", alpha=0.2)
+    m = M.fit_linear(fs, CV_FEATS, "avg_settlement_price", "ridge", alpha=0.2, solver="normal")
     return rnd(M.explain_coefficients(spark, CV_FEATS, list(m.coefficients.toArray())), 3)
 
 
