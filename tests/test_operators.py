@@ -209,3 +209,33 @@ def test_empty_inputs(spark):
               P.scale(e, ["x"])[0], P.outlier_quantile(e, "x"), P.outlier_iqr(e, ["x"]),
               A.agg_histogram(e, "x"), A.agg_kde(e, "x"), TS.calendar_spine(e, "d"), TS.tail_months(e, "d")]
     assert all(f.count() == 0 for f in frames)
+
+
+def test_join_null_safe_matches_null_keys(spark):
+    a = spark.createDataFrame([(1, "x"), (None, "y")], "k int, va string")
+    b = spark.createDataFrame([(1, "p"), (None, "q")], "k int, vb string")
+    out = {(r.k, r.va, r.vb) for r in J.join_null_safe(a, b, ["k"]).collect()}
+    assert out == {(None, "y", "q"), (1, "x", "p")}
+
+
+def test_missing_flags_and_broadcast_check(spark):
+    df = spark.createDataFrame([(dt.date(2024, 1, 1),), (dt.date(2024, 1, 3),)], "d date")
+    flags = {r.DateTime.day: r.is_missing for r in TS.missing_flags(df, "d").collect()}
+    assert flags == {1: False, 2: True, 3: False}
+    small = spark.range(10)
+    big = spark.range(100)
+    plan_small = J.broadcast_if_small(small, max_rows=50)._jdf.queryExecution().analyzed().toString()
+    plan_big = J.broadcast_if_small(big, max_rows=50)._jdf.queryExecution().analyzed().toString()
+    assert "ResolvedHint" in plan_small or "broadcast" in plan_small.lower()
+    assert "broadcast" not in plan_big.lower()
+
+
+def test_unpivot_and_scale_inverse(spark):
+    from gridframe.operators import prep as P
+    df = spark.createDataFrame([(1, 2.0, 3.0), (2, 4.0, 5.0)], "k int, a double, b double")
+    long = R.unpivot_melt(df, ["k"], ["a", "b"], "var", "val").orderBy("k", "var").collect()
+    assert [(r.k, r.var, r.val) for r in long] == [(1, "a", 2.0), (1, "b", 3.0), (2, "a", 4.0), (2, "b", 5.0)]
+    scaled, st = P.scale(df.withColumn("z", F.col("a")), ["z"])
+    m, s = st["z"]
+    back = P.scale_inverse(scaled, "z", m, s, "a_back").collect()
+    assert all(abs(r.a_back - r.a) < 1e-12 for r in back)
