@@ -51,18 +51,21 @@ def test_normality_moments(df: DataFrame, columns: Sequence[str], alpha: float =
     return out.withColumn("normal", F.col("p_value") > F.lit(alpha))
 
 
-def _weibull_sums(df: DataFrame, ks: Sequence[float]) -> dict:
+def _weibull_sums(df: DataFrame, ks: Sequence[float], totals: dict | None = None) -> dict:
     """n, Σ ln u and, for every shape k of the grid, Σ uᵏ and Σ uᵏ ln u.  The
     grid is expanded with ``posexplode`` and summed per grid index (map-side
-    combined), so the pass costs one small grouped aggregate."""
+    combined), so the pass costs one small grouped aggregate.  ``totals``
+    (n, Σ ln u) from an earlier pass are reused instead of recomputed."""
     arr = F.array(*[F.lit(float(k)) for k in ks])
     lu = F.log("__u")
     terms = F.transform(arr, lambda k: F.struct(F.pow(F.col("__u"), k).alias("a"),
                                                 (F.pow(F.col("__u"), k) * lu).alias("b")))
     per = (df.select(F.posexplode(terms).alias("j", "t"))
              .groupBy("j").agg(F.sum("t.a").alias("a"), F.sum("t.b").alias("b")).collect())
-    tot = df.agg(F.count(F.lit(1)).alias("n"), F.sum(lu).alias("sl")).first()
-    out = {"n": tot["n"], "sl": tot["sl"]}
+    if totals is None:
+        tot = df.agg(F.count(F.lit(1)).alias("n"), F.sum(lu).alias("sl")).first()
+        totals = {"n": tot["n"], "sl": tot["sl"]}
+    out = dict(totals)
     for r in per:
         out[f"a{r['j']}"] = r["a"]
         out[f"b{r['j']}"] = r["b"]
@@ -92,7 +95,8 @@ def fit_weibull(df: DataFrame, column: str) -> tuple[float, float, int]:
         lo_i = int(np.argmin(np.abs(vals)))
         lo_i = min(lo_i, len(ks) - 2)
     ks2 = list(np.linspace(ks[lo_i], ks[lo_i + 1], 101))
-    s2 = _weibull_sums(base, ks2)
+    totals = {"n": s1["n"], "sl": s1["sl"]}
+    s2 = _weibull_sums(base, ks2, totals)
     v2 = [g(s2, j, k) for j, k in enumerate(ks2)]
     j = next((j for j in range(len(ks2) - 1) if v2[j] <= 0 <= v2[j + 1]), int(np.argmin(np.abs(v2))))
     if j < len(ks2) - 1 and v2[j + 1] != v2[j]:
@@ -100,7 +104,7 @@ def fit_weibull(df: DataFrame, column: str) -> tuple[float, float, int]:
     else:
         k = ks2[j]
     n = s2["n"]
-    s3 = _weibull_sums(base, [k])
+    s3 = _weibull_sums(base, [k], totals)
     scale = mx * (s3["a0"] / n) ** (1.0 / k)
     return float(k), float(scale), int(n)
 
