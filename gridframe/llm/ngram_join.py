@@ -7,16 +7,20 @@ Documents are sets of distinct five-word shingles; two are linked when
    document counts are gathered over all documents in ``2**COUNT_BITS`` hashed
    counters, dealt by counter range.  Counters above 1/2**20 of all shingles,
    at most 2**20 of them, mark common shingles, which order last.
-2. Each set indexes the first ``n - ceil(0.75 n) + 1`` shingles of that order:
-   linked sets share at least one.  An index list is sorted by set size and
-   cut into blocks; from the sizes and positions a block holds, a probing set
-   knows an upper bound of its overlap with all of it and skips it whole.
-3. Relations between sets: in a long list each set is first checked only
-   against its neighbour in size, and short lists in full.  Sets that prove
-   similar form a class; the class answers for its members, so that the long
-   lists are then probed only for sets of different classes.
-4. Candidate pairs are checked exactly on the whole sets, and the links'
-   components computed by star contraction.
+2. Each set indexes the first ``p = n - ceil(0.75 n) + 1`` shingles of that
+   order.  All that two sets share lies in both prefixes, or after the last
+   index shingle they share, or after the prefix that ends first; linked sets
+   therefore share at least ``least_shared`` index shingles, and positions in
+   the order bound what is still to come.
+3. Relations between sets: short index lists are compared in full, in long
+   ones each set only with a few leaders of its size.  Sets that prove similar
+   form a class; the class answers for its members, so that the long lists are
+   then probed only for sets of different classes.  There a list is sorted by
+   size and cut into blocks; from the sizes, positions and numbers of shingles
+   shared with other classes that a block holds, a probing set knows what it
+   can share with any of them at most and skips the block whole.
+4. Pairs that share enough index shingles are checked exactly on the whole
+   sets, and the links' components computed by star contraction.
 
 No list, candidate or partner is capped.  Null text counts as empty; an empty
 set is linked with nothing."""
@@ -30,17 +34,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridframe.llm.common import materialise, power_of_two, shuffle_width
+from gridframe.llm.common import Rows, arrow_rows, materialise, power_of_two, shuffle_width
 from gridframe.llm.components import components
 from gridframe.llm.shingles import fingerprint, shingle_sets
 
 NUM, DEN = 75, 100
 COUNT_BITS = 28
-FLUSH = 1 << 20          # shingles or index entries a task holds before it passes them on
-SHORT_LIST = 16          # lists up to this long are compared in full at once
+FLUSH = 1 << 19          # shingles or index entries a task holds before it passes them on
+SHORT_LIST = 8           # lists up to this long are compared in full at once
+LEADERS = 2              # most central sets of a long list, by size band, that the others are first compared with
 BLOCK = 64               # entries of an index list that are skipped together
-GROUP_ENTRIES = 1 << 20  # index entries per group of lists
+GROUP_ENTRIES = 1 << 17  # index entries per group of lists
 BLOOM_BITS = 22
+BATCH = 500
 
 _U64 = np.uint64
 
@@ -49,8 +55,8 @@ def _int64(a: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(a).view(np.int64) if a.dtype == np.uint64 else a.astype(np.int64))
 
 
-def _count_rows(shingles: list[np.ndarray], ranges: int) -> tuple[list[int], list[bytes], list[bytes]]:
-    counters, counts = np.unique((np.concatenate(shingles) >> _U64(64 - COUNT_BITS)).astype(np.uint32), return_counts=True)
+def _count_rows(shingles: np.ndarray, ranges: int) -> tuple[list[int], list[bytes], list[bytes]]:
+    counters, counts = np.unique((shingles >> _U64(64 - COUNT_BITS)).astype(np.uint32), return_counts=True)
     cuts = np.searchsorted(counters, np.arange(ranges + 1, dtype=np.int64) * ((1 << COUNT_BITS) // ranges))
     out: tuple[list[int], list[bytes], list[bytes]] = ([], [], [])
     for k in range(ranges):
@@ -70,13 +76,11 @@ def _describe(ranges: int, id_type: pa.DataType):
     names = ["id", "n", "fp", "part", "gaps", "more"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        size, seen = 0, set()
+        held, seen = Rows(np.dtype(np.uint64), FLUSH), set()
 
         def flush() -> pa.RecordBatch:
-            part, gaps, more = _count_rows(held, ranges)
+            part, gaps, more = _count_rows(held.take(), ranges)
             k = len(part)
-            held.clear()
             seen.clear()
             return pa.RecordBatch.from_arrays(
                 [pa.nulls(k, id_type), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.array(part, pa.int32()),
@@ -89,16 +93,14 @@ def _describe(ranges: int, id_type: pa.DataType):
                 fp.append(name := fingerprint(found))
                 if len(found) and name not in seen:
                     seen.add(name)
-                    held.append(found)
-                    size += len(found)
-                    if size >= FLUSH:
+                    held.more(len(found))[:] = found
+                    if len(held) >= FLUSH:
                         yield flush()
-                        size = 0
             k = len(n)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).cast(id_type), pa.array(n, pa.int64()), pa.array(fp, pa.int64()),
                  pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary()), pa.nulls(k, pa.binary())], names)
-        if held:
+        if len(held):
             yield flush()
 
     return run
@@ -153,7 +155,20 @@ def _prefix(found: np.ndarray, counters: np.ndarray, docs: np.ndarray) -> np.nda
     return found[:length]
 
 
-_ENTRY = np.dtype([("token", "<u8"), ("fp", "<i8"), ("n", "<u4"), ("pos", "<u4")])
+# a group's shingles differ in these 32 bits but for chance, which only adds to what a pair seems
+# to share; a lower position than the true one only loosens a bound
+_ENTRY = np.dtype([("token", "<u4"), ("fp", "<i8"), ("n", "<u4"), ("pos", "<u2")])
+_TOP = np.iinfo(np.uint16).max
+
+
+def least_shared(nx: np.ndarray, ny: np.ndarray) -> np.ndarray:
+    """How many index shingles two linked sets of these sizes share at least."""
+    return _overlap(nx, ny) + 1 - np.maximum(-(-NUM * nx // DEN), -(-NUM * ny // DEN))
+
+
+def _overlap(nx: np.ndarray, ny: np.ndarray) -> np.ndarray:
+    """The least intersection of two linked sets of these sizes."""
+    return -(-NUM * (nx + ny) // (NUM + DEN))
 
 
 def _index(groups: int, shared):
@@ -161,20 +176,17 @@ def _index(groups: int, shared):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counters, docs = shared.value
-        held: list[np.ndarray] = []
-        size, seen = 0, set()
+        held, part, seen = Rows(_ENTRY, FLUSH), Rows(np.dtype(np.int32), FLUSH), set()
 
         def flush() -> pa.RecordBatch:
-            entries = np.concatenate(held)
-            held.clear()
+            entries, key = held.take(), part.take()
             seen.clear()
-            key = (entries["token"] % _U64(groups)).astype(np.int64)
             order = np.argsort(key, kind="stable")
             key, entries = key[order], entries[order]
             first = np.flatnonzero(np.diff(key, prepend=-1))
             cuts = [*first.tolist(), len(key)]
             return pa.RecordBatch.from_arrays(
-                [pa.array(key[first].astype(np.int32)),
+                [pa.array(key[first]),
                  pa.array([entries[a:b].tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary())], ["part", "entries"])
 
         for batch in batches:
@@ -183,137 +195,219 @@ def _index(groups: int, shared):
                     continue
                 seen.add(name)
                 tokens = _prefix(found, counters, docs)
-                entry = np.empty(len(tokens), dtype=_ENTRY)
-                entry["token"], entry["fp"], entry["n"], entry["pos"] = tokens, name, len(found), np.arange(len(tokens))
-                held.append(entry)
-                size += len(tokens)
-                if size >= FLUSH:
+                entry = held.more(len(tokens))
+                entry["token"], entry["fp"], entry["n"] = tokens >> _U64(32), name, len(found)
+                entry["pos"] = np.minimum(np.arange(len(tokens)), _TOP)
+                part.more(len(tokens))[:] = tokens & _U64(groups - 1)
+                if len(held) >= FLUSH:
                     yield flush()
-                    size = 0
-        if held:
+        if len(held):
             yield flush()
 
     return run
 
 
-def _may_link(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Size and position bounds on the overlap of entries of one list, against the least overlap of a link."""
-    nx, ny = x["n"].astype(np.int64), y["n"].astype(np.int64)
-    most = np.minimum(nx - x["pos"], ny - y["pos"])
-    return (np.minimum(nx, ny) * DEN >= NUM * np.maximum(nx, ny)) & (most * (NUM + DEN) >= NUM * (nx + ny))
+def _sizes_fit(nx: np.ndarray, ny: np.ndarray) -> np.ndarray:
+    return np.minimum(nx, ny) * DEN >= NUM * np.maximum(nx, ny)
+
+
+_PAIR = ["a", "b", "na", "nb", "pa", "pb", "shared"]
+_PAIR_TYPE = "a long, b long, na int, nb int, pa int, pb int, shared int"
+_LISTED = [*_PAIR, "entries"]
+
 
+def _sum_pairs(x: np.ndarray, y: np.ndarray, shared: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """One entry pair per pair of sets, x the lesser: last positions of shingles
+    shared in these lists, and how many they are."""
+    swap = x["fp"] > y["fp"]
+    x, y = np.where(swap, y, x), np.where(swap, x, y)
+    order = np.lexsort((y["fp"], x["fp"]))
+    x, y, shared = x[order], y[order], shared[order]
+    if not len(x):
+        return x, y, shared
+    first = np.flatnonzero(np.concatenate([[True], (x["fp"][1:] != x["fp"][:-1]) | (y["fp"][1:] != y["fp"][:-1])]))
+    px, py = np.maximum.reduceat(x["pos"], first), np.maximum.reduceat(y["pos"], first)
+    x, y, shared = x[first], y[first], np.add.reduceat(shared, first)
+    x["pos"], y["pos"] = px, py
+    return x, y, shared
 
-def _pairs_batch(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-    pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
-    k = len(pairs)
-    return pa.RecordBatch.from_arrays(
-        [_int64(pairs[:, 0]), _int64(pairs[:, 1]), pa.nulls(k, pa.binary())], ["a", "b", "entries"])
+
+def _pairs_batch(x: np.ndarray, y: np.ndarray, shared: np.ndarray, names: list[str]) -> pa.RecordBatch:
+    x, y, shared = _sum_pairs(x, y, shared)
+    columns = [_int64(x["fp"]), _int64(y["fp"])]
+    columns += [pa.array(c.astype(np.int32)) for c in (x["n"], y["n"], x["pos"], y["pos"], shared)]
+    return pa.RecordBatch.from_arrays(columns + [pa.nulls(len(x), pa.binary())] * (len(names) - len(columns)), names)
 
 
 def _first_pairs(table: pa.Table) -> pa.Table:
-    """A group's lists: pairs of short lists in full, of long ones between
-    neighbours in size; long lists pass on for the second probe."""
+    """A group's lists.  Rows of three kinds: pairs (a, b) of short lists; sets
+    (a), with the number of their shingles in long lists as ``shared``; long
+    lists (entries)."""
     entries = np.concatenate([np.frombuffer(x, _ENTRY) for x in table.column("entries").to_pylist()])
-    # a list with one entry has no pairs
-    order = np.argsort(entries["token"], kind="stable")
-    entries = entries[order]
+    entries = entries[np.argsort(entries["token"], kind="stable")]
     same = entries["token"][1:] == entries["token"][:-1]
-    keep = np.zeros(len(entries), dtype=bool)
+    keep = np.zeros(len(entries), dtype=bool)  # a list with one entry has no pairs
     keep[1:] |= same
     keep[:-1] |= same
     entries = entries[keep]
-    entries = entries[np.lexsort((entries["fp"], entries["n"], entries["token"]))]
+    entries = entries[np.lexsort((entries["fp"], entries["token"]))]
     fresh = np.ones(len(entries), dtype=bool)
     fresh[1:] = (entries["token"][1:] != entries["token"][:-1]) | (entries["fp"][1:] != entries["fp"][:-1])
     entries = entries[fresh]
-    starts = np.flatnonzero(np.concatenate([[True], entries["token"][1:] != entries["token"][:-1]])) if len(entries) else np.empty(0, np.int64)
-    length = np.repeat(np.diff(starts, append=len(entries)), np.diff(starts, append=len(entries)))
-    a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    if not len(entries):
+        return pa.Table.from_batches([_pairs_batch(entries, entries, np.empty(0, np.int64), _LISTED)])
+    starts = np.flatnonzero(np.concatenate([[True], entries["token"][1:] != entries["token"][:-1]]))
+    sizes = np.diff(starts, append=len(entries))
+    length = np.repeat(sizes, sizes)
+    out = []
+
+    short, long = entries[length <= SHORT_LIST], entries[length > SHORT_LIST]
     for gap in range(1, SHORT_LIST):
-        x, y = entries[:-gap], entries[gap:]
-        at = np.flatnonzero((x["token"] == y["token"]) & ((gap == 1) | (length[:-gap] <= SHORT_LIST)))
-        at = at[_may_link(x[at], y[at])]
-        a.append(x["fp"][at])
-        b.append(y["fp"][at])
-    out = [_pairs_batch(np.concatenate(a), np.concatenate(b))]
-    long = entries[length > SHORT_LIST]
+        at = np.flatnonzero(short["token"][:-gap] == short["token"][gap:])
+        at = at[_sizes_fit(short["n"][at].astype(np.int64), short["n"][at + gap].astype(np.int64))]
+        out.append(_pairs_batch(short[at], short[at + gap], np.ones(len(at), np.int64), _LISTED))
     if len(long):
-        cuts = np.flatnonzero(np.diff(long["token"].astype(np.uint64), prepend=~long["token"][:1]))
-        cuts = [*cuts.tolist(), len(long)]
-        lists = [long[p:q].tobytes() for p, q in zip(cuts, cuts[1:])]
+        part = table.column("part")[0].as_py()
+        lists = [entries[p: p + size].tobytes() for p, size in zip(starts.tolist(), sizes.tolist()) if size > SHORT_LIST]
+        k = len(lists)
+        out.append(pa.RecordBatch.from_arrays(
+            [pa.nulls(k, pa.int64())] * 2 + [pa.array([part] * k, pa.int32())] + [pa.nulls(k, pa.int32())] * 4 + [pa.array(lists, pa.binary())], _LISTED))
+        fps, counts = np.unique(long["fp"], return_counts=True)
+        k = len(fps)
         out.append(pa.RecordBatch.from_arrays(
-            [pa.nulls(len(lists), pa.int64()), pa.nulls(len(lists), pa.int64()), pa.array(lists, pa.binary())], ["a", "b", "entries"]))
+            [_int64(fps), pa.nulls(k, pa.int64())] + [pa.nulls(k, pa.int32())] * 4
+            + [pa.array(counts.astype(np.int32)), pa.nulls(k, pa.binary())], _LISTED))
     return pa.Table.from_batches(out)
 
 
-_CLASSED = np.dtype([("fp", "<i8"), ("root", "<i8"), ("n", "<u4"), ("pos", "<u4")])
+_CLASSED = np.dtype([("fp", "<i8"), ("root", "<i8"), ("n", "<i8"), ("pos", "<i8"), ("most", "<i8")])
 
 
 def _probe(entries: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of sets of different classes in one list that the bounds allow.
+    """Pairs of entries of different classes in one list that the bounds allow.
 
-    Entries are sorted by size; blocks of them carry their least and greatest
-    size, the most shingles after the position, and their class if they all
-    have one: an entry skips blocks that hold only its own class, only sets of
-    other sizes, or only sets that are too far into their order."""
+    Entries are sorted by size.  Blocks of them carry their least and greatest
+    size, the most index shingles a set shares with another class, the most
+    shingles after the position, and the class if it is one: an entry skips
+    blocks that hold only its own class, sets of other sizes, or sets that
+    cannot share enough with it."""
     entries = entries[np.lexsort((entries["root"], entries["n"]))]
     cuts = np.arange(0, len(entries), BLOCK)
-    n = entries["n"].astype(np.int64)
-    rest = n - entries["pos"]
-    low, high = np.minimum.reduceat(n, cuts), np.maximum.reduceat(n, cuts)
-    most = np.maximum.reduceat(rest, cuts)
+    low, high = np.minimum.reduceat(entries["n"], cuts), np.maximum.reduceat(entries["n"], cuts)
+    most, rest = np.maximum.reduceat(entries["most"], cuts), np.maximum.reduceat(entries["n"] - entries["pos"], cuts)
     least_root, most_root = np.minimum.reduceat(entries["root"], cuts), np.maximum.reduceat(entries["root"], cuts)
     for k in range(len(cuts)):
         own = entries[cuts[k]: cuts[k] + BLOCK]
-        mine = own["root"][0] if least_root[k] == most_root[k] else None
         there = np.arange(k, len(cuts))
-        there = there[(high[k] * DEN >= NUM * low[there]) & (np.minimum(most[k], most[there]) * (NUM + DEN) >= NUM * (low[k] + low[there]))]
-        if mine is not None:
-            there = there[(least_root[there] != mine) | (most_root[there] != mine)]
+        there = there[high[k] * DEN >= NUM * low[there]]
+        shared, overlap = np.minimum(most[k], most[there]), _overlap(low[k], low[there])
+        there = there[(shared >= overlap + 1 - -(-NUM * high[there] // DEN)) & (shared + np.minimum(rest[k], rest[there]) > overlap)]
+        if least_root[k] == most_root[k]:
+            there = there[(least_root[there] != least_root[k]) | (most_root[there] != least_root[k])]
         for j in there.tolist():
             other = entries[cuts[j]: cuts[j] + BLOCK]
             i, o = np.nonzero(own["root"][:, None] != other["root"][None, :])
-            ok = _may_link(own[i], other[o])
+            if j == k:
+                i, o = i[i < o], o[i < o]
+            x, y = own[i], other[o]
+            shared, overlap = np.minimum(x["most"], y["most"]), _overlap(x["n"], y["n"])
+            ok = (_sizes_fit(x["n"], y["n"]) & (shared >= least_shared(x["n"], y["n"]))
+                  & (shared + np.minimum(x["n"] - x["pos"], y["n"] - y["pos"]) > overlap))
             if ok.any():
-                yield own["fp"][i[ok]], other["fp"][o[ok]]
+                yield x[ok], y[ok]
 
 
-def _second_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (list, fp, root, n, pos) sorted by list; whole lists, one at a time."""
+def _by_list(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[tuple[int, np.ndarray]]:
+    """The lists in rows (list, *names) sorted by list, one at a time."""
     held: list[np.ndarray] = []
     at = None
-
-    def emit() -> Iterator[pa.RecordBatch]:
-        found = list(_probe(np.concatenate(held)))
-        if found:
-            yield _pairs_batch(*(np.concatenate(x) for x in zip(*found))).drop_columns(["entries"])
-
+    kind = np.dtype([(name, "<i8") for name in names])
     for batch in batches:
         key = batch.column(0).to_numpy()
         cuts = [0, *(np.flatnonzero(np.diff(key)) + 1).tolist(), len(key)] if len(key) else [0]
-        rows = np.empty(len(key), dtype=_CLASSED)
-        for name, column in zip(("fp", "root", "n", "pos"), batch.columns[1:]):
+        rows = np.empty(len(key), dtype=kind)
+        for name, column in zip(names, batch.columns[1:]):
             rows[name] = column.to_numpy()
         for p, q in zip(cuts, cuts[1:]):
             if key[p] != at:
                 if held:
-                    yield from emit()
+                    yield at, np.concatenate(held)
                 held, at = [], key[p]
             held.append(rows[p:q])
     if held:
-        yield from emit()
+        yield at, np.concatenate(held)
+
+
+def _led_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sets of each list with its leaders: those of their size that have
+    the largest part of their shingles in long lists, as a text has that many
+    others were copied from."""
+    for _, rows in _by_list(batches, ["fp", "n", "k"]):
+        # sets of one band have sizes close enough for a link
+        band = np.floor(np.log(rows["n"]) / -np.log((NUM + DEN) / (2 * DEN))).astype(np.int64)
+        order = np.lexsort((rows["fp"], -rows["k"] / rows["n"], band))
+        rows, band = rows[order], band[order]
+        new = np.concatenate([[True], band[1:] != band[:-1]])
+        lead = np.flatnonzero(new)[np.cumsum(new) - 1]
+        for k in range(LEADERS):
+            at = np.flatnonzero(lead + k < np.arange(len(rows)))
+            x, y = rows[lead[at] + k], rows[at]
+            ok = np.minimum(x["k"], y["k"]) > 0
+            a, b = np.minimum(x["fp"], y["fp"])[ok], np.maximum(x["fp"], y["fp"])[ok]
+            yield pa.RecordBatch.from_arrays(
+                [_int64(a), _int64(b), _int64(least_shared(x["n"], y["n"])[ok]), _int64(np.minimum(x["k"], y["k"])[ok])],
+                ["a", "b", "least_shared", "most"])
+
+
+def _mixed_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The lists that hold sets of several classes, with their least set: the
+    lists of one passage mostly have the same."""
+    names = ["fp", "root", "n", "pos"]
+    for key, rows in _by_list(batches, names):
+        if (rows["root"] != rows["root"][0]).any():
+            k = len(rows)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(k, key)), pa.array(np.full(k, rows["fp"].min())), *(_int64(rows[x]) for x in names)],
+                ["list", "lead", *names])
+
+
+def _second_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by (lead, list): the pairs of each list, summed over the lists of a lead."""
+    held, size, lead = [], 0, None
+
+    def together() -> tuple[np.ndarray, ...]:
+        return _sum_pairs(*map(np.concatenate, zip(*held)))
+
+    for _, rows in _by_list(batches, ["lead", *_CLASSED.names]):
+        if size and rows["lead"][0] != lead:
+            yield _pairs_batch(*together(), _PAIR)
+            held, size = [], 0
+        lead = rows["lead"][0]
+        for x, y in _probe(rows):
+            held.append((x, y, np.ones(len(x), np.int64)))
+            size += len(x)
+            if size >= FLUSH:
+                held = [together()]
+                size = len(held[0][0])
+                if size >= FLUSH // 2:
+                    yield _pairs_batch(*held[0], _PAIR)
+                    held, size = [], 0
+    if size:
+        yield _pairs_batch(*together(), _PAIR)
 
 
 def _unpack_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for packed in batch.column(0).to_pylist():
+        for packed, part in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             e = np.frombuffer(packed, _ENTRY)
-            yield pa.RecordBatch.from_arrays(
-                [_int64(e["token"]), _int64(e["fp"]), _int64(e["n"]), _int64(e["pos"])], ["list", "fp", "n", "pos"])
+            name = (e["token"].astype(np.int64) << 31) + part
+            yield pa.RecordBatch.from_arrays([_int64(name), *(_int64(e[x]) for x in ("fp", "n", "pos"))], ["list", "fp", "n", "pos"])
 
 
-def _sets_in(shared):
-    """Whole sets of the documents whose set's name may be in a bit map."""
+def _sets_in(shared, kind: type):
+    """Whole sets, as the upper bits of ``kind``, of the documents whose set's
+    name may be in a bit map."""
+    drop = _U64(64 - 8 * np.dtype(kind).itemsize)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = shared.value
@@ -324,7 +418,7 @@ def _sets_in(shared):
                 if len(found) and bits[name & ((1 << BLOOM_BITS) - 1)] and name not in seen:
                     seen.add(name)
                     fps.append(name)
-                    sets.append(found.tobytes())
+                    sets.append((found >> drop).astype(kind).tobytes())
                     held += len(found)
                     if held >= FLUSH:
                         yield pa.RecordBatch.from_arrays([pa.array(fps, pa.int64()), pa.array(sets, pa.binary())], ["fp", "members"])
@@ -335,21 +429,26 @@ def _sets_in(shared):
     return run
 
 
-def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs whose whole sets reach the threshold."""
-    for batch in batches:
-        keep = []
-        for x, y in zip(batch.column("x"), batch.column("y")):
-            x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-            if len(x) > len(y):
-                x, y = y, x
-            where = np.minimum(np.searchsorted(y, x), len(y) - 1)
-            both = int((y[where] == x).sum())
-            keep.append(DEN * both >= NUM * (len(x) + len(y) - both))
-        yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-
-def _check(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def _linked(kind: type):
+    """Pairs whose whole sets reach the threshold.  Shingles that are equal in
+    the bits given count as equal: with fewer bits, no linked pair is lost."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column("x"), batch.column("y")):
+                x, y = np.frombuffer(x.as_buffer(), kind), np.frombuffer(y.as_buffer(), kind)
+                if len(x) > len(y):
+                    x, y = y, x
+                where = np.minimum(np.searchsorted(y, x), len(y) - 1)
+                both = int((y[where] == x).sum())
+                keep.append(DEN * both >= NUM * (len(x) + len(y) - both))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
+def _check(pairs: DataFrame, texts: DataFrame, kind: type = np.uint64) -> DataFrame:
     """The linked ones of the candidate pairs, by the whole sets.
 
     Sets are computed again from the texts; a bit map of fixed size, made from
@@ -361,11 +460,22 @@ def _check(pairs: DataFrame, texts: DataFrame) -> DataFrame:
               .select(F.col("fp").bitwiseAND(F.lit(mask)).alias("bit")).distinct().toArrow())
     bits[wanted.column(0).to_numpy()] = True
     shared = spark.sparkContext.broadcast(bits)
-    sets = materialise(texts.mapInArrow(_sets_in(shared), "fp long, members binary"), "sets")
+    sets = texts.mapInArrow(_sets_in(shared, kind), "fp long, members binary")
     sets = sets.groupBy("fp").agg(F.first("members").alias("members"))
     x = sets.select(F.col("fp").alias("a"), F.col("members").alias("x"))
     y = sets.select(F.col("fp").alias("b"), F.col("members").alias("y"))
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_linked, "a long, b long")
+    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_linked(kind), "a long, b long")
+
+
+def _summed(listed: DataFrame) -> DataFrame:
+    """One row per pair; ``enough``: with what it shares in the given lists, the
+    pair can be linked if it shares nothing in other lists."""
+    overlap = f"-floor(-{NUM} * (na + nb) / {NUM + DEN})"
+    marks = [F.max("probed").alias("probed")] if "probed" in listed.columns else []
+    return (listed.groupBy("a", "b", "na", "nb")
+            .agg(F.max("pa").alias("pa"), F.max("pb").alias("pb"), F.sum("shared").alias("shared"), *marks)
+            .withColumn("least_shared", F.expr(f"{overlap} + 1 - greatest(-floor(-{NUM} * na / {DEN}), -floor(-{NUM} * nb / {DEN}))"))
+            .withColumn("enough", F.expr(f"shared >= least_shared and shared + least(na - pa, nb - pb) > {overlap}")))
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -380,6 +490,21 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     sql_type = id_type.simpleString()
     arrow_type = {"int": pa.int32(), "bigint": pa.int64(), "string": pa.string()}[sql_type]
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    with arrow_rows(spark, BATCH):
+        rows, known = _rows_and_classes(source, sql_type, arrow_type)
+    names = rows.where("n > 0").groupBy("fp").agg(F.min("id").alias("least"))
+    named = (names.join(known.withColumnRenamed("node", "fp"), "fp", "left")
+             .select("fp", "least", F.coalesce("root", "fp").alias("root")))
+    leasts = named.groupBy("root").agg(F.min("least").alias("component"))
+    classes = named.join(leasts, "root").select("fp", "component")
+    return (rows.join(classes, "fp", "left")
+            .select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"),
+                    F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id")).alias("component_id")))
+
+
+def _rows_and_classes(source: DataFrame, sql_type: str, arrow_type: pa.DataType) -> tuple[DataFrame, DataFrame]:
+    """Rows (id, n, fp) of all documents, and (node, root) of the sets that have links."""
+    spark = source.sparkSession
     texts = source.select("text").where("text is not null")
     ranges = power_of_two(shuffle_width(spark))
 
@@ -397,24 +522,38 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     groups = power_of_two(max(shuffle_width(spark), total / 4 / GROUP_ENTRIES))
     listed = materialise(
         texts.mapInArrow(_index(groups, shared), "part int, entries binary").groupBy("part")
-        .applyInArrow(_first_pairs, "a long, b long, entries binary"), "pairs")
-    pairs = listed.where("a is not null").select("a", "b").distinct()
-    links = materialise(_check(pairs, texts), "links")
-    known = components(links)
-
-    lists = (listed.where("a is null").select("entries").mapInArrow(_unpack_lists, "list long, fp long, n long, pos long")
-             .join(known.withColumnRenamed("node", "fp"), "fp", "left")
-             .select("list", "fp", F.coalesce("root", "fp").alias("root"), "n", "pos"))
-    lists = lists.repartition("list").sortWithinPartitions("list", "n", "root")
-    pairs = materialise(lists.mapInArrow(_second_pairs, "a long, b long").distinct(), "pairs")
-    if not pairs.isEmpty():
-        known = components(known.toDF("a", "b").union(_check(pairs, texts)))
-
-    names = rows.where("n > 0").groupBy("fp").agg(F.min("id").alias("least"))
-    named = (names.join(known.withColumnRenamed("node", "fp"), "fp", "left")
-             .select("fp", "least", F.coalesce("root", "fp").alias("root")))
-    leasts = named.groupBy("root").agg(F.min("least").alias("component"))
-    classes = named.join(leasts, "root").select("fp", "component")
-    return (rows.join(classes, "fp", "left")
-            .select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"),
-                    F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id")).alias("component_id")))
+        .applyInArrow(_first_pairs, f"{_PAIR_TYPE}, entries binary"), "pairs")
+    listed_pairs = listed.where("b is not null").drop("entries")
+    lists = listed.where("entries is not null").select("entries", F.col("na").alias("part")).mapInArrow(_unpack_lists, "list long, fp long, n long, pos long")
+    # pairs that the short lists alone let pass, and pairs with leaders of long lists
+    pairs = _summed(listed_pairs)
+    in_long = listed.where("a is not null and b is null").groupBy(F.col("a").alias("fp")).agg(F.sum("shared").alias("k"))
+    led = (lists.join(in_long, "fp").select("list", "fp", "n", "k").repartition("list").sortWithinPartitions("list")
+           .mapInArrow(_led_pairs, "a long, b long, least_shared long, most long").distinct()
+           .join(pairs.select("a", "b", "shared"), ["a", "b"], "left")
+           .where("most + coalesce(shared, 0) >= least_shared").select("a", "b"))
+    pairs = materialise(pairs.where("enough").select("a", "b").union(led), "pairs")
+    known = components(materialise(_check(pairs, texts), "links"))
+
+    # the rest: sets of different classes that meet in a long list
+    roots = known.withColumnRenamed("node", "fp")
+    lists = (lists.join(roots, "fp", "left").select("list", "fp", F.coalesce("root", "fp").alias("root"), "n", "pos")
+             .repartition("list").sortWithinPartitions("list"))
+    mixed = materialise(lists.mapInArrow(_mixed_lists, "list long, lead long, fp long, root long, n long, pos long"), "lists")
+    across = (listed_pairs.groupBy("a", "b").agg(F.sum("shared").alias("k"))
+              .join(roots.toDF("a", "ra"), "a", "left").join(roots.toDF("b", "rb"), "b", "left")
+              .where("coalesce(ra, a) <> coalesce(rb, b)"))
+    most = (mixed.groupBy("fp").agg(F.count("*").alias("k"))
+            .join(across.select(F.explode(F.array("a", "b")).alias("fp"), "k").groupBy("fp").agg(F.max("k").alias("k2")), "fp", "left")
+            .select("fp", F.expr("k + coalesce(k2, 0)").alias("most")))
+    probed = (mixed.join(most, "fp").select("list", "lead", "fp", "root", "n", "pos", "most")
+              .repartition("lead").sortWithinPartitions("lead", "list").mapInArrow(_second_pairs, _PAIR_TYPE))
+    probed = materialise(probed, "probed")
+    if not probed.isEmpty():
+        pairs = materialise(_summed(listed_pairs.withColumn("probed", F.lit(False))
+                                    .union(probed.withColumn("probed", F.lit(True))))
+                            .where("probed and enough").select("a", "b"), "pairs")
+        # few of these pairs are linked: half of each shingle's bits tell most of the others
+        pairs = materialise(_check(pairs, texts, np.uint32), "pairs")
+        known = components(known.toDF("a", "b").union(materialise(_check(pairs, texts), "links")))
+    return rows, known

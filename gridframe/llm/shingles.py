@@ -15,7 +15,8 @@ import pyarrow as pa
 
 from gridframe.llm.common import mix64, stream64
 
-SLICE = 2 << 20
+SLICE = 1 << 19
+ROWS = 512
 WIDTH = 5
 
 _SPACE = np.zeros(256, dtype=bool)
@@ -82,6 +83,11 @@ def _sets_of(words: np.ndarray, counts: np.ndarray) -> Iterator[np.ndarray]:
 
 def shingle_sets(texts: pa.Array) -> Iterator[np.ndarray]:
     """The set of each text of an Arrow string array (null: empty), in order."""
+    for at in range(0, len(texts), ROWS):
+        yield from _sets_of_rows(texts.slice(at, ROWS))
+
+
+def _sets_of_rows(texts: pa.Array) -> Iterator[np.ndarray]:
     texts = texts.cast(pa.large_binary())
     if texts.null_count:
         texts = texts.fill_null(b"")
