@@ -2,16 +2,67 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from gridframe.llm import chat, packing, pii, toxicity, url_filter
 from gridframe.llm.common import read_table
 from gridframe.llm.ngram_join import jaccard_components
 
+# fixed values: the rules of the url query
+URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
+
+
+def held_out(doc_id: Column | str) -> Column:
+    """Rows whose labels are kept for evaluation."""
+    return F.crc32(F.col(doc_id).cast("string") if isinstance(doc_id, str) else doc_id.cast("string")) % 3 == 1
+
+
+def trained_network(spark: SparkSession, sf_dir: str) -> toxicity.Network:
+    """Fitted on labelled rows of ``documents`` that are not held out."""
+    docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
+    return toxicity.train(toxicity.training_sample(docs, labels, ~held_out("id")))
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity.with_score(docs, trained_network(spark, sf_dir), score_col="score", keep_text=False)
+    return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score",
+                         (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read_table(spark, sf_dir, "documents"))
+
+
+def op6_chat_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.collapse(read_table(spark, sf_dir, "conversations"))
+
 
 def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(read_table(spark, sf_dir, "documents"))
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pii.with_spans(docs, pii.fit(docs))
+    def count(k: int) -> Column:
+        return F.size(F.filter("pii.base", lambda x: x["k"] == k)).cast("long")
+
+    counts = [count(k).alias(f"n_{kind}") for k, kind in enumerate(pii.KINDS)]
+    return found.select("doc_id", *counts, F.sha2(pii.span_list(F.col("pii.base")), 256).alias("base_sha256"),
+                        pii.span_list(F.col("pii.all")).alias("spans"))
+
+
+def op9_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(read_table(spark, sf_dir, "pages"), URL_RULES)
+
+
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
+    "op2_packing": op2_packing,
+    "op6_chat_collapse": op6_chat_collapse,
     "op7_ngram_jaccard": op7_ngram_jaccard,
+    "op8_pii": op8_pii,
+    "op9_url_reputation": op9_url_reputation,
 }

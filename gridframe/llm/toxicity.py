@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from gridframe.llm.common import arrow_rows, materialise
 
@@ -371,7 +372,7 @@ def training_sample(docs: DataFrame, labels: DataFrame, usable: Column, id_col:
 
 
 def with_score(docs: DataFrame, network: Network, text_col: str = "text", score_col: str = "toxicity",
-               where: str = "true") -> DataFrame:
+               where: str = "true", keep_text: bool = True) -> DataFrame:
     """``docs`` with a score of each whole text, as a written table; ``where``
     may filter on the score.  A column of that name is replaced."""
     spark = docs.sparkSession
@@ -387,5 +388,6 @@ def with_score(docs: DataFrame, network: Network, text_col: str = "text", score_
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.float64())], [*batch.schema.names, score_col])
 
     with arrow_rows(spark, BATCH):
-        schema = docs.schema.add(score_col, "double")
-        return materialise(docs.mapInArrow(run, schema).where(where), "toxicity")
+        schema = StructType([*docs.schema.fields, StructField(score_col, DoubleType())])
+        scored = docs.mapInArrow(run, schema).where(where)
+        return materialise(scored if keep_text else scored.drop(text_col), "toxicity")

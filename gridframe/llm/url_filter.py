@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridframe.llm.common import materialise
+
 Z = 1.645          # one-sided 95 % bound
 BLOCK_AT = 0.5
 LEAST_STRENGTH, MOST_STRENGTH = 0.5, 1000.0
@@ -60,17 +62,14 @@ def _shrunk(level: DataFrame, above: DataFrame, up: str) -> DataFrame:
     rows = level.join(above.select(up, F.col("mean").alias("prior")), up)
     noise = F.col("prior") * (1 - F.col("prior"))
     square = F.pow(F.col("bad") - F.col("pages") * F.col("prior"), 2)
-    sums = rows.agg(F.sum(square).alias("got"), F.sum(F.col("pages") * noise).alias("binomial"),
-                    F.sum(F.col("pages") * (F.col("pages") - 1) * noise).alias("spread"))
+    got, binomial, spread = rows.agg(
+        F.sum(square), F.sum(F.col("pages") * noise), F.sum(F.col("pages") * (F.col("pages") - 1) * noise)).first()
     # E[square] = n p(1-p) + n(n-1) p(1-p) rho, rho = 1 / (m + 1)
-    rho = F.when(F.col("spread") > 0, (F.col("got") - F.col("binomial")) / F.col("spread")).otherwise(F.lit(0.0))
-    strength = sums.select(F.least(F.lit(MOST_STRENGTH), F.greatest(
-        F.lit(LEAST_STRENGTH), F.when(rho > 0, 1 / rho - 1).otherwise(F.lit(MOST_STRENGTH)))).alias("m"))
-    # one row, from an aggregate without keys
-    return (rows.crossJoin(F.broadcast(strength))
-            .withColumn("a", F.col("bad") + F.col("m") * F.col("prior"))
-            .withColumn("b", F.col("pages") - F.col("bad") + F.col("m") * (1 - F.col("prior")))
-            .withColumn("mean", F.col("a") / (F.col("a") + F.col("b"))))
+    rho = (got - binomial) / spread if spread else 0.0
+    m = min(MOST_STRENGTH, max(LEAST_STRENGTH, 1 / rho - 1)) if rho > 0 else MOST_STRENGTH
+    return rows.withColumns({
+        "a": F.col("bad") + m * F.col("prior"), "b": F.col("pages") - F.col("bad") + m * (1 - F.col("prior"))
+    }).withColumn("mean", F.col("a") / (F.col("a") + F.col("b")))
 
 
 def host_reputation(pages: DataFrame) -> DataFrame:
@@ -78,6 +77,7 @@ def host_reputation(pages: DataFrame) -> DataFrame:
     with an outcome, bad ones, posterior mean, its lower bound."""
     hosts = (pages.groupBy("host").agg(F.count("bad").cast("double").alias("pages"), F.coalesce(F.sum("bad"), F.lit(0)).cast("double").alias("bad"))
              .withColumns({"domain": domain_of(F.col("host")), "suffix": suffix_of(F.col("host"))}))
+    hosts = materialise(hosts, "hosts")
     sums = [F.sum("pages").alias("pages"), F.sum("bad").alias("bad")]
     domains = hosts.groupBy("domain", "suffix").agg(*sums)
     suffixes = domains.groupBy("suffix").agg(*sums).withColumn("all", F.lit(1))
@@ -94,14 +94,15 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], id_col: str = "page_id
     """Per row: id, host, path, rule, verdict and the host's reputation.
 
     Labelled outcomes are the column ``outcome_col`` (1 bad, 0 good, null) or,
-    without one, the rules' own verdicts.  ``rules`` is a short fixed list."""
+    without one, whether a rule blocks the page: rules say what was found bad,
+    so a page that none blocks counts as good.  ``rules`` is a short fixed list."""
     outcome = F.col(outcome_col).cast("int") if outcome_col else F.lit(None).cast("int")
     rows = pages.select(F.col(id_col).alias("id"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"),
                         outcome.alias("outcome"))
     rows = rows.withColumns({
         "rule": _rule_column(rules, F.col("host"), F.col("path"), lambda action, rule: F.lit(rule)),
         "action": _rule_column(rules, F.col("host"), F.col("path"), lambda action, rule: F.lit(action))})
-    bad = F.coalesce("outcome", F.when(F.col("action") == "block", 1).when(F.col("action") == "allow", 0))
+    bad = F.col("outcome") if outcome_col else F.when(F.col("action") == "block", 1).otherwise(0)
     known = host_reputation(rows.select("host", bad.alias("bad")))
     return (rows.join(known, "host")
             .select(F.col("id").alias(id_col), "host", "path", "rule",
