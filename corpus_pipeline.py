@@ -1,14 +1,57 @@
-"""A corpus pipeline over ``documents``: stages that each keep or rewrite rows."""
+"""A corpus pipeline over ``documents``: stages that each keep or rewrite rows.
+
+Toxic documents go, one document of each near-duplicate group stays, personal
+data is replaced, and what is left is packed into batches.  Each stage works on
+all that the one before kept."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from gridframe.llm import packing, pii, toxicity
 from gridframe.llm.common import materialise, read_table
+from gridframe.llm.ngram_join import jaccard_components
+from gridframe.llm.queries import trained_network
+
+_SCORE = "pipeline__toxicity"
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score below the threshold; null and empty texts are no exception."""
+    kept = toxicity.with_score(docs, trained_network(spark, sf_dir), score_col=_SCORE, where=f"{_SCORE} < {toxicity.THRESHOLD}")
+    return kept.select(docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component, the document of the least id; a row repeated with its
+    id stays once, and rows without an id all stay."""
+    found = jaccard_components(docs)
+    kept = found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("rows"))
+    once = docs.join(kept.where("rows = 1"), "doc_id", "left_semi")
+    repeated = docs.join(kept.where("rows > 1"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return once.unionByName(repeated).unionByName(docs.where("doc_id is null")).select(docs.columns)
+
+
+def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts with personal data replaced, and their lengths; null texts stay null."""
+    found = pii.with_spans(docs, pii.fit(docs), out="pipeline__pii")
+    text = F.when(F.col("text").isNotNull(), pii.redacted(F.col("text"), F.col("pipeline__pii.all")))
+    return (found.withColumn("text", text).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+            .select(docs.columns))
+
+
+def pack_batches(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs)
+
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("toxicity", drop_toxic),
+    ("ngram_jaccard", drop_near_duplicates),
+    ("pii", redact_pii),
+    ("packing", pack_batches),
 ]
 
 #: No SQL expresses the trained stages; tests/llm compares them with brute force.
