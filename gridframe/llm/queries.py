@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridframe.llm import chat, packing, pii, toxicity, url_filter
+from gridframe.llm import ann, bpe, chat, packing, pii, topk, toxicity, url_filter, warc
 from gridframe.llm.common import read_table
 from gridframe.llm.ngram_join import jaccard_components
 
@@ -35,6 +35,27 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"))
 
 
+def tokenizer_path() -> str:
+    """Where the installed package of public tokenizers keeps the vocabulary."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encoded_digests(read_table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = warc.new_folder(spark)
+    index = warc.write(read_table(spark, sf_dir, "pages"), folder)
+    return warc.read(index, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(read_table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
+
+
 def op6_chat_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.collapse(read_table(spark, sf_dir, "conversations"))
 
@@ -58,11 +79,19 @@ def op9_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(read_table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(read_table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_packing": op2_packing,
+    "op3_bpe": op3_bpe,
+    "op4_warc": op4_warc,
+    "op5_topk": op5_topk,
     "op6_chat_collapse": op6_chat_collapse,
     "op7_ngram_jaccard": op7_ngram_jaccard,
     "op8_pii": op8_pii,
     "op9_url_reputation": op9_url_reputation,
+    "op10_ann": op10_ann,
 }
