@@ -243,7 +243,8 @@ def fit(docs: DataFrame, text_col: str = "text") -> dict[str, Trees]:
     """Trees per kind, from the candidates of all rows."""
     rows = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = rows.where(F.col("text").rlike("[0-9@]|\\(at\\)"))
-    found = candidates(base_spans(rows, "text"), "text").select(F.explode("proposed").alias("c"), F.pmod(F.xxhash64("text"), F.lit(2)).alias("fold"))
+    found = candidates(base_spans(rows, "text"), "text").select(
+        F.explode_outer("proposed").alias("c"), F.pmod(F.xxhash64("text"), F.lit(2)).alias("fold")).where("c is not null")
     cells = (found.groupBy("c.kind", "c.f", "fold").agg(F.count("*").alias("n"), F.sum(F.col("c.y").cast("int")).alias("k"))
              .orderBy(F.desc("n"), "kind", "f", "fold").limit(CELLS).collect())
     by_kind = {kind: fit_trees((r.f.asDict(), r.n, r.k, r.fold == 1) for r in cells if r.kind == kind) for kind in KINDS}
