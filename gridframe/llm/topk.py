@@ -94,14 +94,18 @@ def _search(queries: tuple, others: tuple, rotation: np.ndarray, k: int) -> tupl
         if not len(live):
             break
         bound = qr[live, :head] @ cr[own, :head].T + rest_q[live, None] * rest_c[None, own]
-        i, j = np.nonzero(bound + np.abs(bound) * _SLACK + 1 >= top[live, -1:])
-        i, j = live[i], j + at
-        keep = qid[i] != cid[j]
-        i, j = i[keep], j[keep]
-        score = np.empty(len(i))
-        for s in range(0, len(i), 65_536):
-            part = slice(s, s + 65_536)
-            score[part] = np.einsum("nd,nd->n", q[i[part]].astype(np.int64), c[j[part]].astype(np.int64))
+        passes = bound + np.abs(bound) * _SLACK + 1 >= top[live, -1:]
+        passes &= qid[live, None] != cid[None, own]
+        some = np.flatnonzero(passes.any(axis=0))
+        # whole numbers, so products in floating point are exact
+        score = q[live] @ c[own][some].T
+        score[~passes[:, some]] = -np.inf
+        if len(some) > k:
+            least = np.maximum(top[live, -1], -np.partition(-score, k - 1, axis=1)[:, k - 1])
+        else:
+            least = top[live, -1]
+        i, j = np.nonzero((score >= least[:, None]) & np.isfinite(score))
+        score, i, j = score[i, j], live[i], some[j] + at
         # join the new scores with the best so far, per query
         i = np.concatenate([np.repeat(live, k), i])
         score, ids = np.concatenate([top[live].ravel(), score]), np.concatenate([top_id[live].ravel(), cid[j]])
