@@ -20,23 +20,22 @@ from pyspark.sql import functions as F
 
 from gridframe.llm.topk import best_of_shards, in_blocks, matrix, usable
 
-QUERY_BLOCK, SHARD = 4096, 8192
+QUERY_BLOCK, SHARD, QUERIES = 4096, 8192, 64
 PROJECTIONS, THRESHOLD = 64, 40
 VERIFY, LEAST = 0.3, 400
-GROWTH, START = 1.2, 0.6
+GROWTH, START = 1.1, 1.3
 SEED = 17
 
 
-def _collisions(at_c: np.ndarray, order: np.ndarray, at_q: np.ndarray, radius: np.ndarray) -> np.ndarray:
-    """Collisions of each query with each vector: windows of the sorted arrays,
-    added as +1 where one begins and -1 behind its end, per array."""
-    n = at_c.shape[1]
-    counts = np.zeros((len(at_q), n), np.int16)
-    for p in range(len(at_c)):
-        first = np.searchsorted(at_c[p], at_q[:, p] - radius, side="left")
-        last = np.searchsorted(at_c[p], at_q[:, p] + radius, side="right")
-        for i, (a, b) in enumerate(zip(first.tolist(), last.tolist())):
-            counts[i, order[p, a:b]] += 1
+def _collisions(sorted_c: np.ndarray, rank: np.ndarray, at_q: np.ndarray, radius: float) -> np.ndarray:
+    """Collisions of each query with each vector.  A window is a run of places
+    in a sorted array, and a vector is in it if its place is."""
+    counts = np.zeros((len(at_q), sorted_c.shape[1]), np.uint8)
+    for p in range(len(sorted_c)):
+        first = np.searchsorted(sorted_c[p], at_q[:, p] - radius, side="left").astype(rank.dtype)
+        last = np.searchsorted(sorted_c[p], at_q[:, p] + radius, side="right").astype(rank.dtype)
+        # places before the window wrap round to large numbers
+        counts += rank[p][None, :] - first[:, None] < (last - first)[:, None]
     return counts
 
 
@@ -51,13 +50,15 @@ def _search(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, c: np.ndarray, long
     at_q = (q / lengths[:, None]) @ directions[:-1]
     order = np.argsort(at_c, axis=0).T
     sorted_c = np.take_along_axis(at_c.T, order, axis=1)
+    rank = np.empty(order.shape, np.uint16 if len(c) < 1 << 16 else np.uint32)
+    np.put_along_axis(rank, order, np.arange(len(c), dtype=rank.dtype)[None, :], axis=1)
     enough = min(len(c), max(LEAST, int(np.ceil(VERIFY * len(c)))))
     rows, ids, scores = [], [], []
-    for block in range(0, len(q), 256):
-        live = np.arange(block, min(block + 256, len(q)))
+    for block in range(0, len(q), QUERIES):
+        live = np.arange(block, min(block + QUERIES, len(q)))
         radius = START / np.sqrt(c.shape[1] + 1)
         while len(live):
-            counts = _collisions(sorted_c, order, at_q[live], np.full(len(live), radius))
+            counts = _collisions(sorted_c, rank, at_q[live], radius)
             hit = counts >= THRESHOLD
             done = (hit.sum(axis=1) >= enough) | (radius > 8)
             own, hit = live[done], hit[done] | (radius > 8)
