@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from gridframe.llm.common import arrow_rows, materialise
 
 BATCH = 500
-_CACHED = 100_000
+_CACHED = 400_000  # words, and pairs of tokens, that a worker remembers
 
 
 def _byte_signs() -> list[str]:
@@ -132,7 +132,7 @@ class Bpe:
         """Whether the encoding of the text of a then b is exactly [a, b]."""
         known = self._compatible.get((a, b))
         if known is None:
-            if len(self._compatible) > 4 * _CACHED:
+            if len(self._compatible) > _CACHED:
                 self._compatible.clear()
             known = self._compatible[a, b] = self._test(a, b)
         return known
