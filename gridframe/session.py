@@ -10,6 +10,7 @@ the setting is absent (local test runs).
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -57,6 +58,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     d = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not d:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all nodes share")
         d = tempfile.mkdtemp(prefix="gridframe-ckpt-")
         if _settable(spark):
             spark.conf.set("spark.checkpoint.dir", d)
