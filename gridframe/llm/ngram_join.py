@@ -19,7 +19,12 @@ Documents are sets of distinct five-word shingles; two are linked when
    size and cut into blocks; from the sizes, positions and numbers of shingles
    shared with other classes that a block holds, a probing set knows what it
    can share with any of them at most and skips the block whole.
-4. Pairs that share enough index shingles are checked exactly on the whole
+4. What two sets share follows mostly from what each shares with one leader
+   that both were compared with: at most the lesser of these two numbers, plus
+   the shingles they share outside the leader.  Sets that have a leader in
+   common are therefore paired only if the lesser number alone suffices, or
+   if they meet in an index of the shingles outside the leader.
+5. Pairs that share enough index shingles are checked exactly on the whole
    sets, and the links' components computed by star contraction.
 
 No list, candidate or partner is capped.  Null text counts as empty; an empty
@@ -34,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridframe.llm.common import Rows, arrow_rows, materialise, power_of_two, shuffle_width
+from gridframe.llm.common import Rows, arrow_rows, materialise, mix64, power_of_two, shuffle_width
 from gridframe.llm.components import components
 from gridframe.llm.shingles import fingerprint, shingle_sets
 
@@ -280,7 +285,9 @@ def _first_pairs(table: pa.Table) -> pa.Table:
     return pa.Table.from_batches(out)
 
 
-_CLASSED = np.dtype([("fp", "<i8"), ("root", "<i8"), ("n", "<i8"), ("pos", "<i8"), ("most", "<i8")])
+_CLASSED = np.dtype([(name, "<i8") for name in ("fp", "root", "n", "pos", "most", "ref", "both")])
+# a set in the index of shingles outside its leader; pos: what it shares with the leader
+_OUTSIDE = np.dtype([(name, "<i8") for name in ("fp", "root", "n", "pos")])
 
 
 def _probe(entries: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -290,7 +297,8 @@ def _probe(entries: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     size, the most index shingles a set shares with another class, the most
     shingles after the position, and the class if it is one: an entry skips
     blocks that hold only its own class, sets of other sizes, or sets that
-    cannot share enough with it."""
+    cannot share enough with it.  Two sets with the same leader need as much in
+    common with it as they need in common (``_outside_pairs`` finds the others)."""
     entries = entries[np.lexsort((entries["root"], entries["n"]))]
     cuts = np.arange(0, len(entries), BLOCK)
     low, high = np.minimum.reduceat(entries["n"], cuts), np.maximum.reduceat(entries["n"], cuts)
@@ -312,7 +320,36 @@ def _probe(entries: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             x, y = own[i], other[o]
             shared, overlap = np.minimum(x["most"], y["most"]), _overlap(x["n"], y["n"])
             ok = (_sizes_fit(x["n"], y["n"]) & (shared >= least_shared(x["n"], y["n"]))
-                  & (shared + np.minimum(x["n"] - x["pos"], y["n"] - y["pos"]) > overlap))
+                  & (shared + np.minimum(x["n"] - x["pos"], y["n"] - y["pos"]) > overlap)
+                  & ((x["ref"] != y["ref"]) | (np.minimum(x["both"], y["both"]) >= overlap)))
+            if ok.any():
+                yield x[ok], y[ok]
+
+
+def _probe_outside(entries: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of sets of different classes that share a shingle outside their
+    leader, if all their shingles outside it could make up what they lack."""
+    if (entries["root"] == entries["root"][0]).all():
+        return
+    entries = entries[np.lexsort((entries["n"], entries["root"]))]
+    cuts = np.arange(0, len(entries), BLOCK)
+    low, inside = np.minimum.reduceat(entries["n"], cuts), np.maximum.reduceat(entries["pos"], cuts)
+    outside = np.maximum.reduceat(entries["n"] - entries["pos"], cuts)
+    least_root, most_root = np.minimum.reduceat(entries["root"], cuts), np.maximum.reduceat(entries["root"], cuts)
+    for k in range(len(cuts)):
+        own = entries[cuts[k]: cuts[k] + BLOCK]
+        there = np.arange(k, len(cuts))
+        there = there[np.minimum(inside[k], inside[there]) + np.minimum(outside[k], outside[there]) >= _overlap(low[k], low[there])]
+        if least_root[k] == most_root[k]:
+            there = there[(least_root[there] != least_root[k]) | (most_root[there] != least_root[k])]
+        for j in there.tolist():
+            other = entries[cuts[j]: cuts[j] + BLOCK]
+            i, o = np.nonzero(own["root"][:, None] != other["root"][None, :])
+            if j == k:
+                i, o = i[i < o], o[i < o]
+            x, y = own[i], other[o]
+            most = np.minimum(x["pos"], y["pos"]) + np.minimum(x["n"] - x["pos"], y["n"] - y["pos"])
+            ok = _sizes_fit(x["n"], y["n"]) & (most >= _overlap(x["n"], y["n"]))
             if ok.any():
                 yield x[ok], y[ok]
 
@@ -355,8 +392,8 @@ def _led_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ok = np.minimum(x["k"], y["k"]) > 0
             a, b = np.minimum(x["fp"], y["fp"])[ok], np.maximum(x["fp"], y["fp"])[ok]
             yield pa.RecordBatch.from_arrays(
-                [_int64(a), _int64(b), _int64(least_shared(x["n"], y["n"])[ok]), _int64(np.minimum(x["k"], y["k"])[ok])],
-                ["a", "b", "least_shared", "most"])
+                [_int64(a), _int64(b), _int64(least_shared(x["n"], y["n"])[ok]), _int64(np.minimum(x["k"], y["k"])[ok]), _int64(x["fp"][ok])],
+                ["a", "b", "least_shared", "most", "leader"])
 
 
 def _mixed_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -371,29 +408,34 @@ def _mixed_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 ["list", "lead", *names])
 
 
-def _second_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (lead, list): the pairs of each list, summed over the lists of a lead."""
-    held, size, lead = [], 0, None
+def _second_pairs(names: list[str], probe):
+    """Rows sorted by (lead, list): the pairs that ``probe`` finds in each list,
+    summed over the lists of a lead."""
 
-    def together() -> tuple[np.ndarray, ...]:
-        return _sum_pairs(*map(np.concatenate, zip(*held)))
-
-    for _, rows in _by_list(batches, ["lead", *_CLASSED.names]):
-        if size and rows["lead"][0] != lead:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size, lead = [], 0, None
+
+        def together() -> tuple[np.ndarray, ...]:
+            return _sum_pairs(*map(np.concatenate, zip(*held)))
+
+        for _, rows in _by_list(batches, ["lead", *names]):
+            if size and rows["lead"][0] != lead:
+                yield _pairs_batch(*together(), _PAIR)
+                held, size = [], 0
+            lead = rows["lead"][0]
+            for x, y in probe(rows):
+                held.append((x, y, np.ones(len(x), np.int64)))
+                size += len(x)
+                if size >= FLUSH:
+                    held = [together()]
+                    size = len(held[0][0])
+                    if size >= FLUSH // 2:
+                        yield _pairs_batch(*held[0], _PAIR)
+                        held, size = [], 0
+        if size:
             yield _pairs_batch(*together(), _PAIR)
-            held, size = [], 0
-        lead = rows["lead"][0]
-        for x, y in _probe(rows):
-            held.append((x, y, np.ones(len(x), np.int64)))
-            size += len(x)
-            if size >= FLUSH:
-                held = [together()]
-                size = len(held[0][0])
-                if size >= FLUSH // 2:
-                    yield _pairs_batch(*held[0], _PAIR)
-                    held, size = [], 0
-    if size:
-        yield _pairs_batch(*together(), _PAIR)
+
+    return run
 
 
 def _unpack_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -429,42 +471,96 @@ def _sets_in(shared, kind: type):
     return run
 
 
-def _linked(kind: type):
-    """Pairs whose whole sets reach the threshold.  Shingles that are equal in
-    the bits given count as equal: with fewer bits, no linked pair is lost."""
+def _compared(kind: type, marks: list[str]):
+    """Sizes and intersection of each pair's whole sets.  Shingles that are equal
+    in the bits given count as equal: with fewer bits, no linked pair is lost."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("x"), batch.column("y")):
+            sizes = np.empty((3, batch.num_rows), dtype=np.int64)
+            for k, (x, y) in enumerate(zip(batch.column("x"), batch.column("y"))):
                 x, y = np.frombuffer(x.as_buffer(), kind), np.frombuffer(y.as_buffer(), kind)
+                sizes[:2, k] = len(x), len(y)
                 if len(x) > len(y):
                     x, y = y, x
                 where = np.minimum(np.searchsorted(y, x), len(y) - 1)
-                both = int((y[where] == x).sum())
-                keep.append(DEN * both >= NUM * (len(x) + len(y) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+                sizes[2, k] = (y[where] == x).sum()
+            kept = ["a", "b", *marks]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *map(_int64, sizes)], [*kept, "na", "nb", "both"])
 
     return run
 
 
-def _check(pairs: DataFrame, texts: DataFrame, kind: type = np.uint64) -> DataFrame:
-    """The linked ones of the candidate pairs, by the whole sets.
+_LINKED = f"{DEN} * both >= {NUM} * (na + nb - both)"
+
 
-    Sets are computed again from the texts; a bit map of fixed size, made from
-    the pairs, lets most sets that are in no pair stay where they are."""
-    spark = pairs.sparkSession
+def _whole_sets(wanted: DataFrame, texts: DataFrame, kind: type = np.uint64) -> DataFrame:
+    """(fp, members) of the sets named in the column ``fp`` of ``wanted``, and some others.
+
+    Sets are computed again from the texts; a bit map of fixed size lets most
+    sets that are not wanted stay where they are."""
+    spark = wanted.sparkSession
     mask = (1 << BLOOM_BITS) - 1
     bits = np.zeros(1 << BLOOM_BITS, dtype=bool)
-    wanted = (pairs.select(F.explode(F.array("a", "b")).alias("fp"))
-              .select(F.col("fp").bitwiseAND(F.lit(mask)).alias("bit")).distinct().toArrow())
-    bits[wanted.column(0).to_numpy()] = True
+    found = wanted.select(F.col("fp").bitwiseAND(F.lit(mask)).alias("bit")).distinct().toArrow()
+    bits[found.column(0).to_numpy()] = True
     shared = spark.sparkContext.broadcast(bits)
     sets = texts.mapInArrow(_sets_in(shared, kind), "fp long, members binary")
-    sets = sets.groupBy("fp").agg(F.first("members").alias("members"))
+    return sets.groupBy("fp").agg(F.first("members").alias("members"))
+
+
+def _check(pairs: DataFrame, texts: DataFrame, kind: type = np.uint64) -> DataFrame:
+    """The candidate pairs with na, nb and both, by the whole sets; columns
+    beside a and b are kept."""
+    marks = [c for c in pairs.columns if c not in ("a", "b")]
+    sets = _whole_sets(pairs.select(F.explode(F.array("a", "b")).alias("fp")), texts, kind)
     x = sets.select(F.col("fp").alias("a"), F.col("members").alias("x"))
     y = sets.select(F.col("fp").alias("b"), F.col("members").alias("y"))
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_linked(kind), "a long, b long")
+    kept = "".join(f"{c} long, " for c in ["a", "b", *marks])
+    return (pairs.join(x, "a").join(y, "b").select("a", "b", *marks, "x", "y")
+            .mapInArrow(_compared(kind, marks), f"{kept}na long, nb long, both long"))
+
+
+def _leaders(compared: DataFrame) -> DataFrame:
+    """Per set (fp) one leader that holds at least half of it, as ``ref``, and
+    how many shingles it shares with it (``both``).
+
+    Of several it is the one that most sets were compared with, so that the
+    sets of a group mostly name the same; a leader counts itself."""
+    led = compared.where("leader is not null")
+    near = led.selectExpr("leader as ref", "if(leader = a, b, a) as fp", "both", "if(leader = a, nb, na) as n").where("2 * both >= n").select("ref", "fp", "both")
+    own = led.selectExpr("leader as ref", "leader as fp", "if(leader = a, na, nb) as both").distinct()
+    known = near.groupBy("ref").agg(F.count("*").alias("times"))
+    return (near.union(own).join(known, "ref").groupBy("fp")
+            .agg(F.max_by(F.struct("ref", "both"), F.struct("times", "ref")).alias("best")).select("fp", "best.ref", "best.both"))
+
+
+def _outside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row per shingle that a set has outside its leader."""
+    names = ["fp", "root", "n", "both"]
+    for batch in batches:
+        refs = batch.column("ref").to_numpy()
+        for k, (x, y) in enumerate(zip(batch.column("x"), batch.column("y"))):
+            x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+            more = np.setdiff1d(x, y, assume_unique=True)
+            if len(more):
+                lists = mix64(more + refs[k: k + 1].view(np.uint64))
+                own = [pa.array(np.full(len(more), batch.column(c)[k].as_py(), np.int64)) for c in names]
+                yield pa.RecordBatch.from_arrays([_int64(lists), *own], ["list", "fp", "root", "n", "pos"])
+
+
+def _outside_pairs(sets: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs (a, b) of sets with one leader that can be linked by what they share
+    outside it.  ``sets``: fp, root, n, ref, both."""
+    sets = sets.where("ref <> fp")
+    whole = _whole_sets(sets.select(F.explode(F.array("fp", "ref")).alias("fp")), texts)
+    x, y = whole.select("fp", F.col("members").alias("x")), whole.select(F.col("fp").alias("ref"), F.col("members").alias("y"))
+    lists = (sets.join(x, "fp").join(y, "ref").select("fp", "root", "n", "ref", "both", "x", "y")
+             .mapInArrow(_outside, "list long, fp long, root long, n long, pos long")
+             .select("list", F.lit(0).cast("long").alias("lead"), *_OUTSIDE.names).repartition("list").sortWithinPartitions("list"))
+    return (lists.mapInArrow(_second_pairs(list(_OUTSIDE.names), _probe_outside), _PAIR_TYPE)
+            .groupBy("a", "b", "na", "nb", "pa", "pb").agg(F.sum("shared").alias("shared"))
+            .where(f"least(pa, pb) + shared >= -floor(-{NUM} * (na + nb) / {NUM + DEN})").select("a", "b"))
 
 
 def _summed(listed: DataFrame) -> DataFrame:
@@ -529,11 +625,13 @@ def _rows_and_classes(source: DataFrame, sql_type: str, arrow_type: pa.DataType)
     pairs = _summed(listed_pairs)
     in_long = listed.where("a is not null and b is null").groupBy(F.col("a").alias("fp")).agg(F.sum("shared").alias("k"))
     led = (lists.join(in_long, "fp").select("list", "fp", "n", "k").repartition("list").sortWithinPartitions("list")
-           .mapInArrow(_led_pairs, "a long, b long, least_shared long, most long").distinct()
+           .mapInArrow(_led_pairs, "a long, b long, least_shared long, most long, leader long")
+           .groupBy("a", "b", "least_shared", "most").agg(F.max("leader").alias("leader"))
            .join(pairs.select("a", "b", "shared"), ["a", "b"], "left")
-           .where("most + coalesce(shared, 0) >= least_shared").select("a", "b"))
-    pairs = materialise(pairs.where("enough").select("a", "b").union(led), "pairs")
-    known = components(materialise(_check(pairs, texts), "links"))
+           .where("most + coalesce(shared, 0) >= least_shared").select("a", "b", "leader"))
+    pairs = materialise(pairs.where("enough").select("a", "b", F.lit(None).cast("long").alias("leader")).union(led), "pairs")
+    compared = materialise(_check(pairs, texts), "compared")
+    known = components(compared.where(_LINKED).select("a", "b"))
 
     # the rest: sets of different classes that meet in a long list
     roots = known.withColumnRenamed("node", "fp")
@@ -543,17 +641,20 @@ def _rows_and_classes(source: DataFrame, sql_type: str, arrow_type: pa.DataType)
     across = (listed_pairs.groupBy("a", "b").agg(F.sum("shared").alias("k"))
               .join(roots.toDF("a", "ra"), "a", "left").join(roots.toDF("b", "rb"), "b", "left")
               .where("coalesce(ra, a) <> coalesce(rb, b)"))
-    most = (mixed.groupBy("fp").agg(F.count("*").alias("k"))
+    most = (mixed.groupBy("fp").agg(F.count("*").alias("k"), F.first("root").alias("root"), F.first("n").alias("n"))
             .join(across.select(F.explode(F.array("a", "b")).alias("fp"), "k").groupBy("fp").agg(F.max("k").alias("k2")), "fp", "left")
-            .select("fp", F.expr("k + coalesce(k2, 0)").alias("most")))
-    probed = (mixed.join(most, "fp").select("list", "lead", "fp", "root", "n", "pos", "most")
-              .repartition("lead").sortWithinPartitions("lead", "list").mapInArrow(_second_pairs, _PAIR_TYPE))
+            .join(_leaders(compared), "fp", "left")
+            .selectExpr("fp", "root", "n", "k + coalesce(k2, 0) as most", "coalesce(ref, fp) as ref", "coalesce(both, n) as both"))
+    most = materialise(most, "most")
+    probed = (mixed.join(most.drop("root", "n"), "fp").select("list", "lead", *_CLASSED.names)
+              .repartition("lead").sortWithinPartitions("lead", "list")
+              .mapInArrow(_second_pairs(list(_CLASSED.names), _probe), _PAIR_TYPE))
     probed = materialise(probed, "probed")
-    if not probed.isEmpty():
-        pairs = materialise(_summed(listed_pairs.withColumn("probed", F.lit(False))
-                                    .union(probed.withColumn("probed", F.lit(True))))
-                            .where("probed and enough").select("a", "b"), "pairs")
+    if not most.isEmpty():
+        pairs = _summed(listed_pairs.withColumn("probed", F.lit(False)).union(probed.withColumn("probed", F.lit(True))))
+        pairs = materialise(pairs.where("probed and enough").select("a", "b").union(_outside_pairs(most, texts)).distinct(), "pairs")
         # few of these pairs are linked: half of each shingle's bits tell most of the others
-        pairs = materialise(_check(pairs, texts, np.uint32), "pairs")
-        known = components(known.toDF("a", "b").union(materialise(_check(pairs, texts), "links")))
+        pairs = materialise(_check(pairs, texts, np.uint32).where(_LINKED).select("a", "b"), "pairs")
+        links = materialise(_check(pairs, texts).where(_LINKED).select("a", "b"), "links")
+        known = components(known.toDF("a", "b").union(links))
     return rows, known

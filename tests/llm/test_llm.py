@@ -66,6 +66,28 @@ def test_ngram_join_near_copies(spark):
     assert sorted(map(tuple, jaccard_components(df).collect()), key=repr) == _components(rows)
 
 
+def test_ngram_join_copies_around_a_leader(spark):
+    """Large groups of near copies, many too far from the leader: edits from a
+    small vocabulary (shared outside the leader), cut ends, groups of their own."""
+    rng = np.random.default_rng(0)
+    rows = []
+
+    def family(base, copies, edits, vocabulary, cut):
+        for _ in range(copies):
+            w = list(base)
+            for p in rng.integers(0, len(w), rng.integers(0, edits)):
+                w[p] = int(rng.integers(0, vocabulary))
+            rows.append((len(rows), " ".join(map(str, w[int(rng.integers(0, cut + 1)): len(w) - int(rng.integers(0, cut + 1))]))))
+
+    for g, (edits, vocabulary, cut) in enumerate([(4, 3, 0), (8, 10**6, 4), (12, 5, 3), (5, 2, 12)]):
+        base = rng.integers(0, 10**6, 70).tolist()
+        family(base, 60, edits, vocabulary, cut)
+        base[20: 26 + 3 * g] = rng.integers(0, 10**6, 6 + 3 * g).tolist()
+        family(base, 25, 5, 4, 2)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, jaccard_components(df).collect()), key=repr) == _components(rows)
+
+
 def test_ngram_join_empty_table(edge):
     assert jaccard_components(edge.limit(0)).count() == 0
 
