@@ -535,6 +535,21 @@ def _leaders(compared: DataFrame) -> DataFrame:
             .agg(F.max_by(F.struct("ref", "both"), F.struct("times", "ref")).alias("best")).select("fp", "best.ref", "best.both"))
 
 
+def _late_leaders(mixed: DataFrame, leaders: DataFrame, texts: DataFrame) -> DataFrame:
+    """Leaders (fp, ref, both) of the sets in ``mixed`` that have none yet: too
+    few shared index shingles kept them from a comparison.  Each is compared with
+    the leader that most sets of its lists name."""
+    named = mixed.select("list", "fp").join(leaders, "fp", "left")
+    usual = (named.where("ref is not null").groupBy("list", "ref").agg(F.count("*").alias("times"))
+             .groupBy("list").agg(F.max_by("ref", F.struct("times", "ref")).alias("usual")))
+    pairs = (named.where("ref is null").join(usual, "list").groupBy("fp", "usual").agg(F.count("*").alias("lists"))
+             .groupBy("fp").agg(F.max_by("usual", F.struct("lists", "usual")).alias("leader"))
+             .selectExpr("least(fp, leader) as a", "greatest(fp, leader) as b", "leader"))
+    compared = _check(materialise(pairs, "late"), texts)
+    return (compared.selectExpr("if(leader = a, b, a) as fp", "leader as ref", "both", "if(leader = a, nb, na) as n")
+            .where("2 * both >= n").select("fp", "ref", "both"))
+
+
 def _outside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row per shingle that a set has outside its leader."""
     names = ["fp", "root", "n", "both"]
@@ -641,9 +656,11 @@ def _rows_and_classes(source: DataFrame, sql_type: str, arrow_type: pa.DataType)
     across = (listed_pairs.groupBy("a", "b").agg(F.sum("shared").alias("k"))
               .join(roots.toDF("a", "ra"), "a", "left").join(roots.toDF("b", "rb"), "b", "left")
               .where("coalesce(ra, a) <> coalesce(rb, b)"))
+    leaders = materialise(_leaders(compared), "leaders")
+    leaders = leaders.union(_late_leaders(mixed, leaders, texts))
     most = (mixed.groupBy("fp").agg(F.count("*").alias("k"), F.first("root").alias("root"), F.first("n").alias("n"))
             .join(across.select(F.explode(F.array("a", "b")).alias("fp"), "k").groupBy("fp").agg(F.max("k").alias("k2")), "fp", "left")
-            .join(_leaders(compared), "fp", "left")
+            .join(leaders, "fp", "left")
             .selectExpr("fp", "root", "n", "k + coalesce(k2, 0) as most", "coalesce(ref, fp) as ref", "coalesce(both, n) as both"))
     most = materialise(most, "most")
     probed = (mixed.join(most.drop("root", "n"), "fp").select("list", "lead", *_CLASSED.names)
