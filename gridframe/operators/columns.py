@@ -74,7 +74,8 @@ def select_by_pattern(df: DataFrame, keep: Iterable[str] = (), **pattern) -> Dat
 
 def drop_constant_zero_cols(df: DataFrame, candidates: Iterable[str] | None = None) -> DataFrame:
     """Drop candidate columns whose every value is 0 or NULL (pandas
-    ``df.loc[:, (df != 0).any()]``).  One aggregate pass decides the schema."""
+    ``df.loc[:, (df != 0).any()]``, but a column of zeros and NULLs goes too,
+    where pandas keeps it as NaN != 0).  One aggregate pass decides the schema."""
     cand = list(candidates) if candidates is not None else columns_by_pattern(df, numeric=True)
     if not cand:
         return df

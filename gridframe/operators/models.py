@@ -80,12 +80,13 @@ def fit_random_forest(df: DataFrame, features: Sequence[str], label: str, **para
 
 
 def fit_gbt(df: DataFrame, features: Sequence[str], label: str, **params):
-    """Gradient-boosted trees (the XGBoost settings re-aimed: maxDepth <= 30)."""
+    """Gradient-boosted trees (the XGBoost settings re-aimed).  MLlib's trees end
+    at depth 30; a greater ``maxDepth`` is an error."""
     from pyspark.ml.regression import GBTRegressor
+    if params.get("maxDepth", 5) > 30:
+        raise ValueError(f"maxDepth {params['maxDepth']} is more than MLlib's 30")
     data = assemble(df, features).where(_c(label).isNotNull())
     params.setdefault("seed", 42)
-    if params.get("maxDepth", 5) > 30:
-        params["maxDepth"] = 30
     return GBTRegressor(featuresCol="features", labelCol=label, predictionCol=PRED, **params).fit(data)
 
 

@@ -2,6 +2,7 @@ import datetime as dt
 import math
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from gridframe.operators import models as M
@@ -246,3 +247,8 @@ def test_cv_score_matches_numpy(spark):
         scores.append(np.mean(np.abs(y[te] - my - (X[te] - mx) @ b)))
     assert np.allclose([got[k] for k in range(5)], scores, atol=1e-8)
     assert abs(got[-1] - np.mean(scores)) < 1e-8
+
+
+def test_gbt_depth_over_limit_raises(spark):
+    with pytest.raises(ValueError):
+        M.fit_gbt(spark.createDataFrame([(1.0, 2.0)], "x double, y double"), ["x"], "y", maxDepth=31)
