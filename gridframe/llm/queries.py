@@ -76,7 +76,8 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_filter.judge(read_table(spark, sf_dir, "pages"), URL_RULES)
+    judged = url_filter.judge(read_table(spark, sf_dir, "pages"), URL_RULES)
+    return judged.withColumns({c: F.round(c, 6) for c in ("bad_rate", "bad_rate_lower")})
 
 
 def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
