@@ -12,6 +12,8 @@ from __future__ import annotations
 
 import random
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import and_
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -26,9 +28,11 @@ def _c(c) -> Column:
     return F.col(f"`{c}`") if isinstance(c, str) else c
 
 
-def assemble(df: DataFrame, features: Sequence[str], out: str = "features") -> DataFrame:
+def assemble(df: DataFrame, features: Sequence[str], out: str = "features", invalid: str = "skip") -> DataFrame:
+    """Feature vectors; ``invalid`` is what becomes of rows with NULL or NaN
+    features (``skip``, ``error``, or ``keep`` as NaN)."""
     from pyspark.ml.feature import VectorAssembler
-    return VectorAssembler(inputCols=list(features), outputCol=out, handleInvalid="skip").transform(df)
+    return VectorAssembler(inputCols=list(features), outputCol=out, handleInvalid=invalid).transform(df)
 
 
 def _label_stats(df: DataFrame, label: str, population: bool = False) -> tuple[int, float]:
@@ -91,7 +95,10 @@ def fit_gbt(df: DataFrame, features: Sequence[str], label: str, **params):
 
 
 def predict(model, df: DataFrame, features: Sequence[str]) -> DataFrame:
-    return model.transform(assemble(df, features)).drop("features")
+    """Every row with its prediction; NULL where a feature is NULL or NaN."""
+    whole = reduce(and_, [_c(c).isNotNull() & ~F.isnan(_c(c).cast("double")) for c in features], F.lit(True))
+    scored = model.transform(assemble(df, features, invalid="keep")).drop("features")
+    return scored.withColumn(PRED, F.when(whole, F.col(PRED)))
 
 
 # ----------------------------------------------------------------- metrics ---

@@ -292,9 +292,9 @@ def _yj_loglik_grid(df: DataFrame, columns: Sequence[str], grid: Mapping[str, Se
     psi = F.transform(F.element_at(grids, F.col("c") + 1), lambda lam: _yj_lambda_expr(F.col("x"), lam))
     var = (stacked.select("c", F.posexplode(psi).alias("j", "psi"))
                   .groupBy("c", "j").agg(F.var_pop("psi").alias("v")).collect())
-    base = (stacked.groupBy("c").agg(F.count(F.lit(1)).alias("n"),
+    base = (stacked.groupBy("c").agg(F.count(F.lit(1)).alias("n"), (F.min("x") < F.max("x")).alias("varies"),
                                      F.sum(F.signum("x") * F.log1p(F.abs("x"))).alias("l")).collect())
-    nl = {r["c"]: (r["n"], r["l"]) for r in base}
+    nl = {r["c"]: (r["n"], r["l"]) for r in base if r["varies"]}
     vv = {(r["c"], r["j"]): r["v"] for r in var}
     out = {}
     for i, c in enumerate(cols):
@@ -302,27 +302,51 @@ def _yj_loglik_grid(df: DataFrame, columns: Sequence[str], grid: Mapping[str, Se
         lls = []
         for j, lam in enumerate(grid[c]):
             v = vv.get((i, j))
-            lls.append(-math.inf if not v or v <= 0 else -n / 2.0 * math.log(v) + (lam - 1.0) * slog)
+            lls.append(-math.inf if not n or not v or not 0 < v < math.inf else -n / 2.0 * math.log(v) + (lam - 1.0) * slog)
         out[c] = lls
     return out
 
 
+# doublings of the lambda range before the likelihood counts as unbounded
+MOST_WIDENINGS = 10
+
+
 def fit_yeo_johnson(df: DataFrame, columns: Sequence[str], lo: float = -2.0, hi: float = 2.0,
                     points: int = 41, passes: int = 3) -> dict[str, float]:
     """MLE lambda per column by successive grid refinement of the profile
-    log-likelihood: a grid over [lo, hi], then grids of the same size around
-    the best point.  Each pass is one aggregate over the data for all columns
-    together; three passes of 41 points resolve lambda to about 2.5e-4."""
+    log-likelihood: a grid over [lo, hi], moved outwards and doubled in width
+    for the columns whose best point is at an end, then grids of the same size
+    around the best point.  Each pass is one aggregate over the data for all
+    columns together; three passes of 41 points resolve lambda to about 2.5e-4
+    within [-2, 2].  A likelihood that rises without end is an error; a column
+    without variance keeps ``lo``."""
     columns = list(columns)
     grid = {c: list(np.linspace(lo, hi, points)) for c in columns}
-    step = (hi - lo) / (points - 1)
-    best = {}
-    for k in range(passes):
+    best, open_ended = {}, set(columns)
+    for _ in range(MOST_WIDENINGS):
+        ll = _yj_loglik_grid(df, sorted(open_ended), {c: grid[c] for c in open_ended})
+        for c in sorted(open_ended):
+            j = int(np.argmax(ll[c]))
+            best[c] = float(grid[c][j])
+            width = grid[c][-1] - grid[c][0]
+            step = width / (points - 1)
+            if ll[c][j] == -math.inf or 0 < j < points - 1:
+                open_ended.discard(c)
+            elif j == 0:
+                grid[c] = list(np.linspace(best[c] + step - 2 * width, best[c] + step, points))
+            else:
+                grid[c] = list(np.linspace(best[c] - step, best[c] - step + 2 * width, points))
+        if not open_ended:
+            break
+    else:
+        raise ValueError(f"no finite Yeo-Johnson lambda for {sorted(open_ended)}")
+    step = {c: (grid[c][-1] - grid[c][0]) / (points - 1) for c in columns}
+    finest = (hi - lo) / (points - 1) * (2 / (points - 1)) ** (passes - 1)
+    while any(s > finest * 1.001 for s in step.values()):
+        grid = {c: list(np.linspace(best[c] - step[c], best[c] + step[c], points)) for c in columns}
         ll = _yj_loglik_grid(df, columns, grid)
-        best = {c: float(grid[c][int(np.argmax(ll[c]))]) for c in columns}
-        if k < passes - 1:
-            grid = {c: list(np.linspace(best[c] - step, best[c] + step, points)) for c in columns}
-            step = 2 * step / (points - 1)
+        best = {c: float(grid[c][int(np.argmax(ll[c]))]) if max(ll[c]) > -math.inf else best[c] for c in columns}
+        step = {c: 2 * step[c] / (points - 1) for c in columns}
     return best
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -73,27 +74,34 @@ def _weibull_sums(df: DataFrame, ks: Sequence[float], totals: dict | None = None
 
 
 def fit_weibull(df: DataFrame, column: str) -> tuple[float, float, int]:
-    """Two-parameter Weibull MLE (location fixed at 0, requires x > 0).
+    """Two-parameter Weibull MLE (location fixed at 0).  NULLs take no part; a
+    value that is not positive, or values that are all equal, are an error.
 
     The shape k solves  Σ uᵏ ln u / Σ uᵏ − 1/k − mean(ln u) = 0  with u = x/max(x)
-    for stability; the root is bracketed on a log grid and refined on a fine
+    for stability; the root is bracketed on a log grid, moved until it holds
+    the root, and refined on a fine
     grid, each a single aggregate pass.  Scale = max · (Σ uᵏ / n)^(1/k)."""
     x = _c(column).cast("double")
-    mx = df.where(x > 0).agg(F.max(x)).first()[0]
-    if mx is None:
-        raise ValueError("Weibull fit needs positive values")
-    base = df.where(x > 0).select((x / F.lit(mx)).alias("__u"))
+    least, mx = df.agg(F.min(x), F.max(x)).first()
+    if mx is None or least <= 0 or least == mx or math.isnan(mx):
+        raise ValueError(f"{column}: a Weibull fit needs positive values, not all equal")
+    base = df.where(x.isNotNull()).select((x / F.lit(mx)).alias("__u"))
 
     def g(sums, j, k):
         return sums[f"b{j}"] / sums[f"a{j}"] - 1.0 / k - sums["sl"] / sums["n"]
 
-    ks = list(np.geomspace(0.02, 100.0, 120))
-    s1 = _weibull_sums(base, ks)
-    vals = [g(s1, j, k) for j, k in enumerate(ks)]
-    lo_i = next((j for j in range(len(ks) - 1) if vals[j] <= 0 <= vals[j + 1]), None)
-    if lo_i is None:
-        lo_i = int(np.argmin(np.abs(vals)))
-        lo_i = min(lo_i, len(ks) - 2)
+    # g rises with k from minus to plus, so its sign says where the root lies
+    lowest, highest = 0.02, 100.0
+    while True:
+        ks = list(np.geomspace(lowest, highest, 120))
+        s1 = _weibull_sums(base, ks)
+        vals = [g(s1, j, k) for j, k in enumerate(ks)]
+        lo_i = next((j for j in range(len(ks) - 1) if vals[j] <= 0 <= vals[j + 1]), None)
+        if lo_i is not None:
+            break
+        lowest, highest = (lowest / 5000, lowest) if vals[0] > 0 else (highest, highest * 5000)
+        if not 1e-12 < lowest < 1e12:
+            raise ValueError(f"{column}: no Weibull shape between 1e-12 and 1e12")
     ks2 = list(np.linspace(ks[lo_i], ks[lo_i + 1], 101))
     totals = {"n": s1["n"], "sl": s1["sl"]}
     s2 = _weibull_sums(base, ks2, totals)
@@ -117,7 +125,7 @@ def fit_weibull_ks(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     rows = []
     for c in columns:
         k, lam, n = fit_weibull(df, c)
-        pos = df.where(_c(c) > 0).select(_c(c).cast("double").alias("x"))
+        pos = df.where(_c(c).isNotNull()).select(_c(c).cast("double").alias("x"))
         ranked = ordered.global_row_number(pos, ["x"], "i")
         cdf = 1.0 - F.exp(-F.pow(F.col("x") / F.lit(lam), F.lit(k)))
         d = ranked.agg(F.max(F.greatest(F.col("i") / F.lit(float(n)) - cdf,
