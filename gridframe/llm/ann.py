@@ -25,6 +25,8 @@ PROJECTIONS, THRESHOLD = 64, 40
 VERIFY, LEAST = 0.3, 400
 GROWTH, START = 1.1, 1.3
 SEED = 17
+PAIRS = 4096  # exact products at a time
+_SLACK = 1e-9  # relative rounding of the products
 
 
 def _collisions(sorted_c: np.ndarray, rank: np.ndarray, at_q: np.ndarray, radius: float) -> np.ndarray:
@@ -64,12 +66,16 @@ def _search(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, c: np.ndarray, long
             own, hit = live[done], hit[done] | (radius > 8)
             product = q[own] @ c.T
             product[~hit | (qid[own][:, None] == cid[None, :])] = -np.inf
-            best = np.argpartition(-product, min(2 * k, len(c) - 1), axis=1)[:, : 2 * k + 1]
-            i, j = np.repeat(np.arange(len(own)), best.shape[1]), best.ravel()
-            fine = np.isfinite(product[i, j])
-            rows.append(own[i[fine]])
-            ids.append(cid[j[fine]])
-            scores.append((q[own[i[fine]]] * c[j[fine]]).sum(axis=1))
+            least = -np.partition(-product, min(k, len(c)) - 1, axis=1)[:, min(k, len(c)) - 1]
+            # slack keeps ties, which rounding may part, inside
+            i, j = np.nonzero((product >= (least - _SLACK * longest * lengths[own])[:, None]) & np.isfinite(product))
+            exact = np.concatenate([np.empty(0), *((q[own[i[at:at + PAIRS]]] * c[j[at:at + PAIRS]]).sum(axis=1) for at in range(0, len(i), PAIRS))])
+            order = np.lexsort((cid[j], -exact, i))
+            i, j, exact = i[order], j[order], exact[order]
+            best = np.arange(len(i)) - np.searchsorted(i, i) < k
+            rows.append(own[i[best]])
+            ids.append(cid[j[best]])
+            scores.append(exact[best])
             live = live[~done]
             radius *= GROWTH
     return np.concatenate(rows), np.concatenate(ids), np.concatenate(scores)

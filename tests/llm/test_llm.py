@@ -176,6 +176,23 @@ def test_nearest_recall(spark):
     assert len(got) == 16 and hit / (20 * len(got)) >= 0.9
 
 
+def test_nearest_ties(spark):
+    rng = np.random.default_rng(3)
+    copied = rng.standard_normal(8).tolist()
+    rows = [(i, copied if i % 3 else rng.standard_normal(8).tolist()) for i in range(900)]
+    rows.append((900, (2 * np.array(copied)).tolist()))
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    queries = [1, 2, 301, 900]
+    got = {}
+    for r in ann.nearest(df, F.col("id").isin(queries)).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    own = {i: np.array(v) for i, v in rows}
+    for q in queries:
+        score = {i: (own[q] * v).sum() for i, v in own.items() if i != q}
+        want = sorted(score, key=lambda i: (-score[i], i))[:20]
+        assert got[q] == want
+
+
 def test_optimal_boundaries():
     rng = np.random.default_rng(0)
     for _ in range(20):
