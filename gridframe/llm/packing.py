@@ -6,9 +6,10 @@ boundaries' total padding is the least possible.  Documents of a bucket are then
 numbered, and every ``budget // bucket length`` of them form a batch (a document
 longer than the budget is a batch of its own).
 
-The histogram has one row per different length; above ``MOST_LENGTHS`` of them
-lengths are first rounded up to a relative step, so that the driver never holds
-more; up to there the boundaries are optimal."""
+The driver holds the histogram, one small row per different length.  n different
+lengths take at least n * (n - 1) / 2 words, so their number grows at most with
+the square root of the input; none is rounded, and the boundaries are optimal at
+every size."""
 
 from __future__ import annotations
 
@@ -18,8 +19,6 @@ from pyspark.sql import functions as F
 
 from gridframe.llm.common import materialise, shuffle_width
 
-MOST_LENGTHS = 20_000
-
 
 def optimal_boundaries(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> list[int]:
     """Upper ends of at most ``buckets`` buckets over ascending ``lengths`` that
@@ -81,11 +80,6 @@ def pack(docs: DataFrame, buckets: int = 16, budget: int = 8192, id_col: str = "
                        F.xxhash64(F.col(id_col), F.col(text_col)).alias("h"))
     rows = materialise(rows, "lengths")
     histogram = rows.groupBy("n_tokens").agg(F.count("*").alias("docs"))
-    step = 0.0
-    while histogram.count() > MOST_LENGTHS:
-        step = max(step * 2, 1e-4)
-        ends = F.ceil(F.exp(F.ceil(F.log(F.greatest("n_tokens", F.lit(1))) / step) * step))
-        histogram = rows.groupBy(F.greatest(ends, "n_tokens").alias("n_tokens")).agg(F.count("*").alias("docs"))
     found = np.array([(r.n_tokens, r.docs) for r in histogram.collect()], dtype=np.int64).reshape(-1, 2)
     found = found[np.argsort(found[:, 0])]
     ends = optimal_boundaries(found[:, 0].astype(np.float64), found[:, 1], buckets)

@@ -215,6 +215,22 @@ def test_packing_budget(edge):
     assert len(rows) == len(EDGE) and all(sum(b) <= 100 or len(b) == 1 for b in batches.values())
 
 
+def test_packing_is_optimal_above_any_count(spark, monkeypatch):
+    # lengths were rounded up once there were more different ones than this
+    monkeypatch.setattr(packing, "MOST_LENGTHS", 6, raising=False)
+    lengths = [2, 2, 3, 7, 8, 8, 40, 41, 100, 101, 150, 150, 151, 290]
+    df = spark.createDataFrame([(i, "w " * n) for i, n in enumerate(lengths)], "doc_id long, text string")
+    rows = packing.pack(df, buckets=3).collect()
+    longest = {}
+    for r in rows:
+        longest[r.bucket] = max(longest.get(r.bucket, 0), r.n_tokens)
+    assert all(r.bucket_len == longest[r.bucket] for r in rows)
+    different, counts = np.unique(lengths, return_counts=True)
+    ends = packing.optimal_boundaries(different.astype(float), counts, 3)
+    assert sorted({r.bucket_len for r in rows}) == ends
+    assert sum(r.padding for r in rows) == sum(min(e for e in ends if e >= n) - n for n in lengths)
+
+
 def test_chat_keeps_maximal(spark):
     a, b, c = ("user", "hi"), ("assistant", "yo"), ("user", None)
     turns = {1: [a], 2: [a, b], 3: [a, b, c], 4: [a, b, c], 5: [b], 6: [a, b, ("user", "")]}
