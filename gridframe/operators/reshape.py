@@ -1,9 +1,11 @@
 """Pivot, unpivot and row-wise arithmetic.
 
-Pivots always take an explicit list of pivot values: Spark otherwise runs an
-extra distinct job to discover them, and the output schema would depend on the
-data.  A pivot is one ``groupBy`` whose aggregates are conditional
-(``sum(if(region = 'N', x))``), so it keeps map-side partial aggregation.
+Pivots take a list of pivot values, whose columns always exist and come first.
+``pivot_region``, ``pivot_sum`` and ``pivot_table_sum_multi`` add a column for
+every other value of the data, found by one distinct aggregate while the plan is
+built, so no row is lost.  A pivot is one ``groupBy`` whose aggregates are
+conditional (``sum(if(region = 'N', x))``), so it keeps map-side partial
+aggregation.
 """
 
 from __future__ import annotations
@@ -29,6 +31,13 @@ class DuplicatePivotKey(ValueError):
     pass
 
 
+def pivot_values(df: DataFrame, column: str, listed: Sequence) -> list:
+    """The listed values, then in order the others that the data holds; NULL is
+    no pivot value."""
+    present = {r[0] for r in df.select(_c(column)).where(_c(column).isNotNull()).distinct().collect()}
+    return [*listed, *sorted(present - set(listed))]
+
+
 def pivot_region(df: DataFrame, index: Sequence[str], column: str, value: str,
                  values: Sequence, prefix: str = "", suffix: str = "",
                  check_unique: bool = False) -> DataFrame:
@@ -41,6 +50,7 @@ def pivot_region(df: DataFrame, index: Sequence[str], column: str, value: str,
         if dup:
             raise DuplicatePivotKey(f"Index contains duplicate entries: {dup[0]}")
     name = _namer(prefix, suffix)
+    values = pivot_values(df, column, values)
     # conditional aggregate per value: one grouping (one shuffle); for unique
     # keys max() is the cell value, and it stays deterministic if keys repeat
     return df.groupBy(*index).agg(*[F.max(F.when(F.col(column) == F.lit(v), _c(value))).alias(name(v))
@@ -55,6 +65,7 @@ def pivot_sum(df: DataFrame, index: Sequence[str], column: str, value: str, valu
     grouping level.  Like pandas, a cell whose rows are all NULL sums to 0 and
     a cell without rows stays NULL."""
     name = _namer(prefix, suffix)
+    values = pivot_values(df, column, values)
     aggs = []
     for v in values:
         hit = F.col(column) == F.lit(v)
@@ -84,6 +95,7 @@ def pivot_table_sum_multi(df: DataFrame, index: Sequence[str], column: str,
                           value_columns: Sequence[str], values: Sequence) -> DataFrame:
     """Sum pivot with several value columns, ``{value}_{pivot value}``, in one
     grouping."""
+    values = pivot_values(df, column, values)
     aggs = [F.sum(F.when(F.col(column) == F.lit(pv), _c(v))).alias(f"{safe_name(v)}_{safe_name(str(pv))}")
             for pv in values for v in value_columns]
     return df.groupBy(*index).agg(*aggs)

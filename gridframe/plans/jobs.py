@@ -89,7 +89,7 @@ def job_hydro(raw: DataFrame, region_map: Mapping = codes.REGION_HYDRO_LOCATION,
     if start:
         df = df.where(F.col(DT) >= F.lit(start).cast("date"))
     wide = R.pivot_sum(df, [DT], "Region", "Inflow", regions, prefix="hydro_inflow_")
-    names = [f"hydro_inflow_{S.safe_name(r)}" for r in regions]
+    names = [c for c in wide.columns if c.startswith("hydro_inflow_")]
     return R.row_sum_cols(wide, names, "daily_sum_hydro_inflow")
 
 
@@ -107,6 +107,7 @@ def job_solar(raw: DataFrame, region_map: Mapping = codes.REGION_PORTUGUESE,
     # One conditional aggregation (single shuffle by date) per region: sum
     # (pandas semantics: NULL-only cell -> 0, absent cell -> NULL) and mean.
     aggs = []
+    regions = R.pivot_values(df, "Region", regions)
     for r in regions:
         hit = F.col("Region") == F.lit(r)
         aggs += [F.when(F.count(F.when(hit, F.lit(1))) > 0, F.coalesce(F.sum(F.when(hit, F.col("v"))), F.lit(0.0)))
@@ -126,7 +127,7 @@ def job_wind(raw: DataFrame, region_map: Mapping = codes.REGION_PORTUGUESE,
                         F.col("Day of din_instante")).alias(DT),
         S.num_coerce("val_geraenergiaconmwmed").alias("generation"))
     wide = R.pivot_sum(df, [DT], "Region", "generation", regions, prefix="wind_generation_")
-    return R.row_sum_cols(wide, [f"wind_generation_{S.safe_name(r)}" for r in regions], "wind_generation_sum")
+    return R.row_sum_cols(wide, [c for c in wide.columns if c.startswith("wind_generation_")], "wind_generation_sum")
 
 
 def job_capacity(raw: DataFrame, cal_start: str = "2021-01-01", cal_end: str = "2024-10-31",
@@ -185,7 +186,7 @@ def job_consumption(raw: DataFrame, region_map: Mapping = codes.REGION_PRICE_ARE
                              out_value="daily_consumption", day=DT,
                              last_period_days=last_period_days, last_expand_days=last_expand_days)
     wide = R.pivot_sum(daily, [DT], "Region", "daily_consumption", regions, prefix="consumption_")
-    return R.row_sum_cols(wide, [f"consumption_{S.safe_name(r)}" for r in regions], "daily_sum_consumption")
+    return R.row_sum_cols(wide, [c for c in wide.columns if c.startswith("consumption_")], "daily_sum_consumption")
 
 
 def job_consumption_by_vintage(raw: DataFrame, region_map: Mapping = codes.REGION_PRICE_AREA,
@@ -195,7 +196,7 @@ def job_consumption_by_vintage(raw: DataFrame, region_map: Mapping = codes.REGIO
                     F.col("VolumeMWh").alias("consumption"),
                     S.map_replace("PowerPriceAreaCode", region_map).alias("Region"))
     wide = R.pivot_sum(df, [DT, "forecasted_date"], "Region", "consumption", regions, prefix="consumption_")
-    return R.row_sum_cols(wide, [f"consumption_{S.safe_name(r)}" for r in regions], "total_consumption")
+    return R.row_sum_cols(wide, [c for c in wide.columns if c.startswith("consumption_")], "total_consumption")
 
 
 # -------------------------------------------------------------- weather -----
@@ -218,7 +219,7 @@ def job_weather_daily(raw: DataFrame, stations: DataFrame, measure: str, regions
     daily = TS.resample_daily_sum(h, "region", DT, measure, DT)
     prefix = prefix or f"{measure}_"
     wide = R.pivot_region(daily, [DT], "region", measure, regions, prefix=prefix)
-    return R.row_sum_cols(wide, [f"{prefix}{S.safe_name(r)}" for r in regions], f"total_daily_{measure}")
+    return R.row_sum_cols(wide, [c for c in wide.columns if c.startswith(prefix)], f"total_daily_{measure}")
 
 
 def job_rain_features(raw: DataFrame, stations: DataFrame, remap: Mapping | None = None,

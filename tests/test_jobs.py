@@ -3,6 +3,7 @@
 import datetime as dt
 
 from gridframe.functions import codes
+from gridframe.operators import reshape as R
 from gridframe.plans import jobs as JB
 from gridframe.sources import io as IO
 
@@ -72,3 +73,29 @@ def test_csv_sources_roundtrip(spark, tmp_path):
     semi = str(tmp_path / "s")
     df.write.option("header", True).option("sep", ";").csv(semi)
     assert IO.read_csv(spark, semi, "k int, v double, d date", sep=";").count() == 2
+
+
+def test_pivots_keep_unlisted_codes(spark):
+    # region X is in no list: its rows get a column and count in the total
+    day = dt.date(2021, 1, 1)
+    raw = spark.createDataFrame([(day, "N", 1.0), (day, "X", 10.0), (day, "X", 5.0), (day, None, 100.0)],
+                                "d date, r string, v double")
+    hydro = raw.selectExpr("d DateValueCET", "r Location", "v Value")
+    out = JB.job_hydro(hydro, {}, ["N", "S"]).collect()
+    assert [r.asDict() for r in out] == [{"DateTime": day, "hydro_inflow_N": 1.0, "hydro_inflow_S": None,
+                                          "hydro_inflow_X": 15.0, "daily_sum_hydro_inflow": 16.0}]
+    solar = raw.selectExpr("d din_instante", "r id_subsistema", "v val_geraenergiaconmwmed")
+    out = JB.job_solar(solar, {}, ["N"]).first()
+    assert (out.solar_sum_X, out.solar_mean_X, out.daily_sum_solar) == (15.0, 7.5, 16.0)
+    wind = raw.selectExpr("'January 2021' `Month of din_instante`", "1 `Day of din_instante`", "r id_subsistema",
+                          "cast(v as string) val_geraenergiaconmwmed")
+    out = JB.job_wind(wind, {}, ["N"]).first()
+    assert (out.wind_generation_X, out.wind_generation_sum) == (15.0, 16.0)
+    use = raw.selectExpr("d DateForecastCET", "d DateValueCET", "r PowerPriceAreaCode", "v VolumeMWh")
+    out = JB.job_consumption_by_vintage(use, {}, ["N"]).first()
+    assert (out.consumption_X, out.total_consumption) == (15.0, 16.0)
+    out = JB.job_consumption(use.where("VolumeMWh <> 5"), {}, ["N"], last_period_days=1).first()
+    assert (out.consumption_X, out.daily_sum_consumption) == (10.0, 11.0)
+    out = R.pivot_region(raw.where("v <> 5"), ["d"], "r", "v", ["N"]).first()
+    assert (out.N, out.X) == (1.0, 10.0)
+    assert R.pivot_table_sum_multi(raw, ["d"], "r", ["v"], ["N"]).first().v_X == 15.0
