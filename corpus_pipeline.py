@@ -8,8 +8,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gridframe.llm import packing, pii, toxicity
 from gridframe.llm.common import materialise, read_table
@@ -17,6 +18,7 @@ from gridframe.llm.ngram_join import jaccard_components
 from gridframe.llm.queries import trained_network
 
 _SCORE = "pipeline__toxicity"
+_KEY, _NO_ID = "pipeline__row", "~"
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,14 +27,29 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return kept.select(docs.columns)
 
 
+def row_key(docs: DataFrame) -> Column:
+    """Id and text as one string whose order is the ids' (no id last) and then
+    that of the texts' hashes."""
+    own = F.col("doc_id")
+    if isinstance(docs.schema["doc_id"].dataType, T.StringType):
+        text_of_id = F.hex(own)
+    else:
+        text_of_id = F.lpad((own + F.lit(str(2 ** 63)).cast("decimal(20,0)")).cast("string"), 21, "0")
+    return F.concat(F.coalesce(text_of_id, F.lit(_NO_ID)), F.lit(" "), F.coalesce(F.sha2("text", 256), F.lit("")))
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component, the document of the least id; a row repeated with its
-    id stays once, and rows without an id all stay."""
-    found = jaccard_components(docs)
-    kept = found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("rows"))
-    once = docs.join(kept.where("rows = 1"), "doc_id", "left_semi")
-    repeated = docs.join(kept.where("rows > 1"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return once.unionByName(repeated).unionByName(docs.where("doc_id is null")).select(docs.columns)
+    """Of each component, one row: that of the least id (no id last), then of
+    the least hash of its text.  Different texts of one id are documents of their
+    own; a row repeated with its id and text stays once, and of rows without an
+    id all that have no words stay."""
+    keyed = docs.withColumn(_KEY, row_key(docs))
+    found = jaccard_components(keyed, _KEY)
+    kept = found.where(f"{_KEY} = component_id").groupBy(_KEY).agg(F.count("*").alias("rows"), F.max("n_shingles").alias("n"))
+    single = (F.col("rows") == 1) | ((F.col("n") == 0) & F.col(_KEY).startswith(_NO_ID))
+    once = keyed.join(kept.where(single), _KEY, "left_semi")
+    repeated = keyed.join(kept.where(~single), _KEY, "left_semi").dropDuplicates([_KEY])
+    return once.unionByName(repeated).select(docs.columns)
 
 
 def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

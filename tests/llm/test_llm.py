@@ -278,3 +278,13 @@ def test_pipeline_rows(spark):
     red = pipeline.redact_pii(spark, own, SF)
     assert red.columns == docs.columns and not any(_base(r.text or "") for r in red.collect())
     assert pipeline.pack_batches(spark, red, SF).count() == len(want)
+
+
+def test_pipeline_duplicates_by_row(spark):
+    import corpus_pipeline as pipeline
+    a, b, c, e = (" ".join(f"{x}{i}" for i in range(40)) for x in "abce")
+    near = a.replace("a39", "z")
+    rows = [(-5, c), (7, a), (7, b), (3, near), (7, b), (None, c), (None, e), (None, e), (None, ""), (None, ""), (9, None), (10, b), (11, c)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r.doc_id, r.text) for r in pipeline.drop_near_duplicates(spark, df, SF).collect()), key=repr)
+    assert got == sorted([(-5, c), (3, near), (7, b), (None, e), (None, ""), (None, ""), (9, None)], key=repr)
