@@ -43,6 +43,27 @@ SELECT min(conv_id) AS conv_id, any_value(n_turns) AS n_turns, count(*) AS copie
 FROM whole ANTI JOIN prefixes USING (turns)
 GROUP BY turns"""
 
+_WORDS = f"regexp_extract_all({_LOWERED.format('text')}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+_DECONTAMINATE = f"""
+WITH items AS (SELECT item_id::VARCHAR AS item, {_WORDS} AS w FROM benchmark),
+windows AS (
+  SELECT DISTINCT item, unnest(CASE WHEN len(w) >= 10 THEN list_transform(range(1, len(w) - 8), lambda i: array_to_string(w[i:i + 9], ' '))
+                                    ELSE [array_to_string(w, ' ')] END) AS g,
+         least(len(w), 10) AS size
+  FROM items WHERE len(w) > 0),
+docs AS (SELECT row_number() OVER () AS rid, doc_id, coalesce({_WORDS}, []) AS w FROM documents),
+places AS (
+  SELECT rid, size, unnest(range(1, len(w) - size + 2)) AS i, w
+  FROM docs JOIN (SELECT DISTINCT size FROM windows) ON len(w) >= size),
+grams AS (SELECT rid, size, i, array_to_string(w[i:i + size - 1], ' ') AS g FROM places),
+hits AS (SELECT rid, i, grams.size, item FROM grams JOIN windows ON grams.g = windows.g AND grams.size = windows.size),
+hit_words AS (SELECT rid, count(DISTINCT p) AS n_hit FROM (SELECT rid, unnest(range(i, i + size)) AS p FROM (SELECT DISTINCT rid, i, size FROM hits)) GROUP BY rid),
+hit_items AS (SELECT rid, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS listed FROM (SELECT DISTINCT rid, item FROM hits WHERE item IS NOT NULL) GROUP BY rid)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(listed, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM docs LEFT JOIN hit_words USING (rid) LEFT JOIN hit_items USING (rid)"""
+
 _JACCARD = f"""
 WITH RECURSIVE words AS (
   SELECT doc_id, coalesce(regexp_extract_all({_LOWERED.format('text')}, '[^\\x20\\x09-\\x0D]+'), []) AS w FROM documents),
@@ -126,4 +147,5 @@ SQL: dict[str, str] = {
     "op6_chat_collapse": _CHAT,
     "op7_ngram_jaccard": _JACCARD,
     "op9_url_reputation": _URL,
+    "op11_decontaminate": _DECONTAMINATE,
 }

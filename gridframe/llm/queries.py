@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridframe.llm import ann, bpe, chat, packing, pii, topk, toxicity, url_filter, warc
+from gridframe.llm import ann, bpe, chat, decontaminate, packing, pii, runs, topk, toxicity, url_filter, warc, whitening
 from gridframe.llm.common import read_table
 from gridframe.llm.ngram_join import jaccard_components
 
@@ -84,6 +84,18 @@ def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(read_table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
 
 
+def op11_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(read_table(spark, sf_dir, "embeddings"))
+
+
+def op13_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.run_report(read_table(spark, sf_dir, "documents"), planted=True)
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_packing": op2_packing,
@@ -95,4 +107,7 @@ QUERIES = {
     "op8_pii": op8_pii,
     "op9_url_reputation": op9_url_reputation,
     "op10_ann": op10_ann,
+    "op11_decontaminate": op11_decontaminate,
+    "op12_whitening": op12_whitening,
+    "op13_runs": op13_runs,
 }
