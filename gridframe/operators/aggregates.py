@@ -3,9 +3,10 @@
 Every aggregate here is a Spark declarative or typed aggregate that combines
 map-side (partial aggregation), so a key holding a third of all rows is folded
 in every map task before the shuffle instead of gathering in one reducer.
-Exact percentiles are the exception (their buffers grow with the number of
-distinct values); each percentile operator takes ``approx=True`` to switch to
-the mergeable ``percentile_approx`` sketch.
+Exact quantiles come from radix selection (``selection.py``), whose buffers
+don't grow with the values of a group; only the daily profile's median merges a
+day's values.  Each percentile operator takes ``approx=True`` to switch to the
+mergeable ``percentile_approx`` sketch.
 """
 
 from __future__ import annotations
@@ -159,19 +160,32 @@ def agg_last_vintage(df: DataFrame, keys: Sequence[str], issue: str, valid: str,
 
 
 DESCRIBE_STATS = ["count", "mean", "std", "min", "25%", "50%", "75%", "max"]
+QUARTILES = [0.25, 0.5, 0.75]
 
 
 def agg_describe(df: DataFrame, columns: Sequence[str], group: Sequence[str] = (),
                  approx: bool = False) -> DataFrame:
-    """pandas ``describe()`` in long form: (group..., column, stat, value)."""
+    """pandas ``describe()`` in long form: (group..., column, stat, value).
+
+    The quartiles are found by radix selection and joined to the moments, which
+    are one grouped pass."""
     aggs = []
     for i, c in enumerate(columns):
         v = _c(c).cast("double")
-        q = pct(v, [0.25, 0.5, 0.75], approx)
         aggs += [F.count(v).cast("double").alias(f"c{i}_count"), F.avg(v).alias(f"c{i}_mean"),
-                 F.stddev_samp(v).alias(f"c{i}_std"), F.min(v).alias(f"c{i}_min"),
-                 q.alias(f"c{i}_q"), F.max(v).alias(f"c{i}_max")]
+                 F.stddev_samp(v).alias(f"c{i}_std"), F.min(v).alias(f"c{i}_min"), F.max(v).alias(f"c{i}_max")]
+        if approx:
+            aggs.append(pct(v, QUARTILES, True).alias(f"c{i}_q"))
     wide = df.groupBy(*group).agg(*aggs)
+    if not approx:
+        from .selection import exact_quantiles
+        names = [f"__g{i}" for i in range(len(group))]
+        q = exact_quantiles(df, columns, QUARTILES, group)
+        # one row per group: an array of quartiles for each column
+        q = q.groupBy(*[_c(g).alias(n) for g, n in zip(group, names)]).agg(
+            *[F.max(F.when(F.col("column") == c, F.col("q"))).alias(f"c{i}_q") for i, c in enumerate(columns)])
+        on = [_c(g).eqNullSafe(F.col(n)) for g, n in zip(group, names)]
+        wide = wide.join(q, on, "left") if on else wide.crossJoin(F.broadcast(q))  # without groups: one row each
     rows = []
     for i, c in enumerate(columns):
         vals = [F.col(f"c{i}_count"), F.col(f"c{i}_mean"), F.col(f"c{i}_std"), F.col(f"c{i}_min"),
@@ -264,20 +278,25 @@ def agg_histogram(df: DataFrame, column: str, bins: int = 50) -> DataFrame:
 def agg_box_stats(df: DataFrame, group: Sequence[str], value: str,
                   approx: bool = False) -> DataFrame:
     """Quartiles, Tukey whiskers (extreme points inside 1.5 IQR) and outlier
-    count per group.  Two aggregate passes: quartiles per group, then the
-    fences joined back by group key."""
+    count per group (a null key is a group too).  The quartiles come from radix
+    selection; one more pass joins the fences back by group key."""
     names = list(group)
     base = df.select(*[_c(g) for g in names], _c(value).cast("double").alias("__v")) \
              .where(F.col("__v").isNotNull())
-    q = base.groupBy(*names).agg(pct("__v", [0.25, 0.5, 0.75], approx).alias("__q"))
-    q = q.select(*names, F.col("__q")[0].alias("q1"), F.col("__q")[1].alias("median"),
+    if approx:
+        q = base.groupBy(*names).agg(pct("__v", QUARTILES, True).alias("__q"))
+    else:
+        from .selection import exact_quantiles
+        q = exact_quantiles(base, ["__v"], QUARTILES, names).withColumnRenamed("q", "__q")
+    keys = [f"__g{i}" for i in range(len(names))]
+    q = q.select(*[_c(g).alias(k) for g, k in zip(names, keys)], F.col("__q")[0].alias("q1"), F.col("__q")[1].alias("median"),
                  F.col("__q")[2].alias("q3"))
     q = q.withColumn("__lf", F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))) \
          .withColumn("__uf", F.col("q3") + 1.5 * (F.col("q3") - F.col("q1")))
     # one row per group: materialised once, broadcast after a bounded size
     # check, else a shuffle join (AQE splits a hot group's partition)
     from .joins import materialized_small_side
-    j = base.join(materialized_small_side(q), names)
+    j = base.join(materialized_small_side(q), [_c(g).eqNullSafe(F.col(k)) for g, k in zip(names, keys)])
     inside = (F.col("__v") >= F.col("__lf")) & (F.col("__v") <= F.col("__uf"))
     return j.groupBy(*names, "q1", "median", "q3").agg(
         F.min(F.when(inside, F.col("__v"))).alias("whisker_lo"),

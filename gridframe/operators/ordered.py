@@ -16,6 +16,13 @@ this module uses the two-phase form instead:
    over partitions) and the carry table is broadcast back.
 4. Combine the carry-in with a window partitioned by the partition id, which
    is a balanced, parallel operation.
+
+Row lags, rolling windows and sequences also need the rows just outside a
+partition.  ``with_halo`` copies the last rows of each partition to the next
+one (to several, where partitions are shorter than the window), so that the
+windows run inside partitions: beside the sort, one exchange by partition id
+serves all lags and window sizes, and no row is copied but the halos, of which
+there are at most partitions x window rows.
 """
 
 from __future__ import annotations
@@ -142,21 +149,73 @@ def cumulative_sum(df: DataFrame, order: Iterable[Column | str], column: str, na
                .drop("__off", PID, POS))
 
 
+def _halo_targets(counts: list[int], before: int, after: int) -> list[list[tuple[int, int, int]]]:
+    """Per partition, (other partition, first row, end): the global rows that the
+    other one needs within ``before`` rows ahead of it or ``after`` rows behind it."""
+    starts = [0]
+    for n in counts:
+        starts.append(starts[-1] + n)
+    out: list[list[tuple[int, int, int]]] = [[] for _ in counts]
+    for t, n in enumerate(counts):
+        if not n:
+            continue
+        lo, p = max(0, starts[t] - before), t - 1
+        while p >= 0 and starts[p + 1] > lo:
+            if counts[p]:
+                out[p].append((t, max(lo, starts[p]), starts[p + 1]))
+            p -= 1
+        hi, p = min(starts[-1], starts[t + 1] + after), t + 1
+        while p < len(counts) and starts[p] < hi:
+            if counts[p]:
+                out[p].append((t, starts[p], min(hi, starts[p + 1])))
+            p += 1
+    return out
+
+
+ROW, OWN = "__row", "__own"
+
+
+def with_halo(df: DataFrame, order: Iterable[Column | str], before: int, after: int = 0) -> DataFrame:
+    """The rows along a global order with their partition id (``PID``) and 0-based global
+    row number (``ROW``), and copies of the ``before`` rows ahead of each partition and
+    the ``after`` rows behind it, marked by a false ``OWN``.
+
+    A window ``partitionBy(PID).orderBy(ROW)`` that reaches at most that far sees
+    what a window over all rows would; drop the copies (``where(OWN)``) after it."""
+    seq = sequenced(df, order)
+    found = {r[PID]: r["n"] for r in seq.groupBy(PID).agg(F.count(F.lit(1)).alias("n")).collect()}
+    counts = [found.get(p, 0) for p in range(max(found, default=-1) + 1)]
+    targets, start, rows = _halo_targets(counts, before, after), 0, []
+    for p, n in enumerate(counts):
+        rows.append((p, start, targets[p]))
+        start += n
+    table = seq.sparkSession.createDataFrame(rows, f"{PID} int, __start long, __to array<struct<t:int,lo:long,hi:long>>")
+    placed = seq.join(F.broadcast(table), PID).withColumn(ROW, F.col("__start") + F.col(POS))
+    columns = [F.col(f"`{c}`") for c in df.columns]
+    own = placed.select(*columns, PID, ROW, F.lit(True).alias(OWN))
+    needed = F.filter("__to", lambda x: (x["lo"] <= F.col(ROW)) & (F.col(ROW) < x["hi"]))
+    copies = placed.where(F.size("__to") > 0).select(*columns, ROW, F.explode(needed).alias("__x"))
+    return own.unionByName(copies.select(*columns, F.col("__x.t").alias(PID), ROW, F.lit(False).alias(OWN)))
+
+
+def _window():
+    return Window.partitionBy(PID).orderBy(ROW)
+
+
 def row_lags(df: DataFrame, order: Iterable[Column | str], column: str,
              lags: Iterable[int], prefix: str | None = None) -> DataFrame:
-    """``shift(n)`` along a global order: the value ``n`` rows earlier.
-
-    Rows are numbered once, then joined to themselves on ``rn - n`` (an equi
-    join on a unique key: balanced, no hot key)."""
+    """``shift(n)`` along a global order: the value ``n`` rows earlier (later, for
+    a negative ``n``); all lags come from one pass over sorted partitions with halos."""
     lags = list(lags)
     prefix = prefix or f"{column}_lag"
-    numbered = global_row_number(df, order, "__rn")
-    out = numbered
+    rows = with_halo(df, order, max([0, *lags]), max([0, *(-n for n in lags)]))
+    value = F.col(f"`{column}`")
     for n in lags:
-        src = numbered.select((F.col("__rn") + F.lit(n)).alias("__rn"),
-                              F.col(f"`{column}`").alias(f"{prefix}{n}"))
-        out = out.join(src, "__rn", "left")
-    return out.drop("__rn")
+        rows = rows.withColumn(f"{prefix}{n}", F.lag(value, n).over(_window()))
+    return rows.where(OWN).drop(PID, ROW, OWN)
+
+
+ROLLING = {"mean": F.avg, "std": F.stddev_samp, "sum": F.sum, "min": F.min, "max": F.max}
 
 
 def rolling(df: DataFrame, order: Iterable[Column | str], column: str, size: int | None = None,
@@ -165,25 +224,12 @@ def rolling(df: DataFrame, order: Iterable[Column | str], column: str, size: int
     number of non-null values (pandas ``rolling(n)`` with ``min_periods=n``).
 
     ``aggs`` maps an output name to a function name (with ``size``) or to a
-    ``(size, function)`` pair, so windows of different lengths share one pass:
-    each row is copied into the windows that contain it (``max size`` copies,
-    generated inside the scan stage) and the windows are aggregated by their
-    end row number - one balanced shuffle with map-side partial aggregation.
-    """
+    ``(size, function)`` pair; windows of all lengths run in the same sorted
+    partitions, whose halo is as long as the longest."""
     spec = {n: (f if isinstance(f, tuple) else (size, f)) for n, f in (aggs or {}).items()}
-    longest = max(sz for sz, _ in spec.values())
-    numbered = global_row_number(df, order, "__rn")
-    copies = numbered.select(
-        F.explode(F.sequence(F.lit(0), F.lit(longest - 1))).alias("__k"), "__rn",
-        F.col(f"`{column}`").alias("__v"))
-    copies = copies.select((F.col("__rn") + F.col("__k")).alias("__end"), "__k", "__v")
-    fns = {"mean": F.avg, "std": F.stddev_samp, "sum": F.sum, "min": F.min, "max": F.max}
-    aggs_ = []
-    for n, (sz, f) in spec.items():
-        inside = F.when(F.col("__k") < sz, F.col("__v"))
-        aggs_ += [fns[f](inside).alias(n), F.count(inside).alias(f"__k_{n}")]
-    win = copies.groupBy("__end").agg(*aggs_)
-    win = win.select("__end", *[F.when(F.col(f"__k_{n}") == sz, F.col(n)).alias(n)
-                                for n, (sz, _) in spec.items()])
-    return (numbered.join(win, numbered["__rn"] == win["__end"], "left")
-                    .drop("__rn", "__end"))
+    rows = with_halo(df, order, max(sz for sz, _ in spec.values()) - 1)
+    value = F.col(f"`{column}`")
+    for name, (sz, f) in spec.items():
+        w = _window().rowsBetween(1 - sz, 0)
+        rows = rows.withColumn(name, F.when(F.count(value).over(w) == sz, ROLLING[f](value).over(w)))
+    return rows.where(OWN).drop(PID, ROW, OWN)

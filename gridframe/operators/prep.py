@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from . import ordered
 from .aggregates import pct
+from .selection import exact_quantiles, quantiles_of
 
 SPLIT = "split"
 
@@ -88,11 +89,14 @@ def fold_assign(df: DataFrame, order: Sequence[str], k: int = 5, name: str = "fo
 
 def fit_impute(df: DataFrame, columns: Sequence[str], strategy: str = "mean",
                by: str | None = None) -> DataFrame:
-    """One aggregate row of fill values (per ``by`` group if given)."""
+    """One row of fill values (per ``by`` group if given).  Medians come from
+    radix selection; a group without values in any column has no row then."""
     if strategy == "mean":
         fn = lambda c: F.avg(_c(c))
     elif strategy == "median":
-        fn = lambda c: pct(c, 0.5)
+        q = exact_quantiles(df, columns, [0.5], [by] if by else [])
+        fills = [F.max(F.when(F.col("column") == c, F.col("q")[0])).alias(f"__fill{i}") for i, c in enumerate(columns)]
+        return q.groupBy(*([by] if by else [])).agg(*fills)
     elif strategy in ("most_frequent", "mode"):
         # sklearn returns the smallest of tied modes
         fn = lambda c: F.mode(_c(c), deterministic=True)
@@ -223,7 +227,8 @@ def outlier_quantile(df: DataFrame, target: str, percentage: float = 0.01,
                      approx: bool = False) -> DataFrame:
     """Keep rows strictly between the ``p`` and ``1-p`` quantiles of the target
     (NULL targets are dropped, as the comparisons are false in pandas)."""
-    q = df.agg(pct(target, [percentage, 1 - percentage], approx).alias("q")).first()["q"]
+    probs = [percentage, 1 - percentage]
+    q = df.agg(pct(target, probs, True).alias("q")).first()["q"] if approx else quantiles_of(df, [target], probs).get(target)
     if q is None:
         return df.limit(0)
     return df.where((_c(target) > F.lit(q[0])) & (_c(target) < F.lit(q[1])))
@@ -232,11 +237,15 @@ def outlier_quantile(df: DataFrame, target: str, percentage: float = 0.01,
 def outlier_iqr(df: DataFrame, columns: Sequence[str], k: float = 1.5,
                 approx: bool = False) -> DataFrame:
     """Drop a row if any column lies outside [Q1 - k IQR, Q3 + k IQR]; NULLs
-    never count as outliers.  All quartiles come from one aggregate pass."""
-    row = df.agg(*[pct(c, [0.25, 0.75], approx).alias(f"q{i}") for i, c in enumerate(columns)]).first()
+    never count as outliers.  The quartiles of all columns come from the same
+    radix passes (``approx``: from one sketch pass)."""
+    if approx:
+        quartiles = df.agg(*[pct(c, [0.25, 0.75], True).alias(c) for c in columns]).first().asDict()
+    else:
+        quartiles = quantiles_of(df, columns, [0.25, 0.75])
     bad = []
-    for i, c in enumerate(columns):
-        q = row[f"q{i}"]
+    for c in columns:
+        q = quartiles.get(c)
         if q is None or q[0] is None:
             continue
         iqr = q[1] - q[0]
@@ -418,10 +427,10 @@ def anova_f(df: DataFrame, columns: Sequence[str], label: str) -> DataFrame:
 def quantile_bucket(df: DataFrame, column: str, k: int, name: str, approx: bool = False) -> DataFrame:
     """Class label 0..k-1 from the k-quantiles of a continuous column (the
     source fed every distinct price to ``f_classif`` as its own class).  The
-    k-1 cut points come from one aggregate; the label is the number of cut
+    k-1 cut points come from radix selection; the label is the number of cut
     points below the value (no global window)."""
     probs = [i / k for i in range(1, k)]
-    cuts = df.agg(pct(column, probs, approx).alias("q")).first()["q"] or []
+    cuts = (df.agg(pct(column, probs, True).alias("q")).first()["q"] if approx else quantiles_of(df, [column], probs).get(column)) or []
     x = _c(column)
     label = sum((F.when(x > F.lit(float(c)), 1).otherwise(0) for c in cuts), F.lit(0))
     return df.withColumn(name, F.when(x.isNotNull(), label))

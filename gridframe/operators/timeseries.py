@@ -127,20 +127,14 @@ def forecast_lead_filter(df: DataFrame, issue: str, valid: str, days: int = 1) -
 def sliding_sequences(df: DataFrame, order: Sequence[str], features: Sequence[str],
                       target: str, steps: int = 7) -> DataFrame:
     """For every row t with ``steps`` predecessors: the array of the previous
-    ``steps`` feature rows and the target of row t.  Each row is copied into
-    the ``steps`` sequences it belongs to and grouped by the sequence's end:
-    a bounded ``collect_list`` per group, no global window."""
-    numbered = ordered.global_row_number(df, order, "__rn")
-    feats = F.struct(*[_c(f).alias(f) for f in features])
-    copies = numbered.select(F.explode(F.sequence(F.lit(1), F.lit(steps))).alias("__k"),
-                             "__rn", feats.alias("__f"))
-    copies = copies.select((F.col("__rn") + F.col("__k")).alias("__t"),
-                           F.struct((-F.col("__k")).alias("pos"), F.col("__f").alias("f")).alias("__e"))
-    seqs = (copies.groupBy("__t").agg(F.sort_array(F.collect_list("__e")).alias("__s"))
-                  .where(F.size("__s") == steps)
-                  .select("__t", F.transform("__s", lambda e: e["f"]).alias("window")))
-    tgt = numbered.select(F.col("__rn").alias("__t"), *[_c(o) for o in order], _c(target).alias(target))
-    return tgt.join(seqs, "__t").withColumnRenamed("__t", "row_number")
+    ``steps`` feature rows and the target of row t.  A window over sorted
+    partitions with a halo of ``steps`` rows; no row is copied but the halos."""
+    rows = ordered.with_halo(df, order, steps)
+    w = Window.partitionBy(ordered.PID).orderBy(ordered.ROW).rowsBetween(-steps, -1)
+    seqs = rows.withColumn("window", F.collect_list(F.struct(*[_c(f).alias(f) for f in features])).over(w))
+    seqs = seqs.where(F.col(ordered.OWN) & (F.size("window") == steps))
+    names = dict.fromkeys([*order, target])
+    return seqs.select((F.col(ordered.ROW) + 1).alias("row_number"), *[_c(c).alias(c) for c in names], "window")
 
 
 def tail_months(df: DataFrame, date: str, months: int = 2) -> DataFrame:
