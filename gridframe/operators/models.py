@@ -175,7 +175,8 @@ def ridge_cv_gram(df: DataFrame, features: Sequence[str], label: str, alphas: Se
     """k-fold ridge CV from per-fold Gram statistics (one grouped pass):
     each α and fold is a p x p solve on the driver; the held-out error uses
     the held-out fold's own Gram statistics (Σ(y − a − xb)² expands into
-    them).  ``scoring='mse'`` or ``'r2'`` (sklearn's default scorer)."""
+    them).  ``scoring='mse'`` or ``'r2'`` (sklearn's default scorer); ``chosen``
+    marks the best α (ties: the first)."""
     cols = list(features)
     per = prep.gram_by(df, cols, label, fold_col)
     folds = sorted(per)
@@ -193,8 +194,8 @@ def ridge_cv_gram(df: DataFrame, features: Sequence[str], label: str, alphas: Se
             else:
                 scores.append(sse / te["n"])
         rows.append((float(a), float(np.mean(scores))))
-    spark = df.sparkSession
-    return spark.createDataFrame(rows, f"alpha double, mean_{scoring} double")
+    best = min(range(len(rows)), key=lambda i: (-rows[i][1] if scoring == "r2" else rows[i][1], i), default=None)
+    return df.sparkSession.createDataFrame([(*r, i == best) for i, r in enumerate(rows)], f"alpha double, mean_{scoring} double, chosen boolean")
 
 
 def _sum_gram(gs: Sequence[dict]) -> dict:
@@ -210,34 +211,43 @@ def _sse(g: dict, coef: np.ndarray, icpt: float) -> float:
 
 
 def ridge_loo(df: DataFrame, features: Sequence[str], label: str, alphas: Sequence[float]) -> DataFrame:
-    """Leave-one-out error of ridge for every α (sklearn ``RidgeCV`` default):
-    residual e_i / (1 − h_ii), h_ii = 1/n + x̃ᵢᵀ (X̃ᵀX̃ + αI)⁻¹ x̃ᵢ.  Gram pass,
-    driver solves, then one more aggregate pass evaluating all α per row."""
-    cols = list(features)
+    """Leave-one-out error of ridge for every α (sklearn ``RidgeCV`` default), and
+    the chosen α (the least error; ties: the first).
+
+    One Gram pass and one eigendecomposition X̃ᵀX̃ = QΛQᵀ.  In the rotated features
+    z = Qᵀx̃ every α is diagonal: ŷ = ȳ + Σ z_k (Qᵀc)_k / (λ_k + α) and
+    h = 1/n + Σ z_k² / (λ_k + α), so a batch of rows costs two products of its
+    rotated features with p x alphas tables; the second pass adds up
+    (e / (1 − h))² per α in each task, and Spark adds the tasks."""
+    import pyarrow as pa
+    cols, alphas = list(features), [float(a) for a in alphas]
     g = prep.gram(df, cols, label)
+    spark = df.sparkSession
+    if not g["n"]:
+        return spark.createDataFrame([], "alpha double, loo_mse double, chosen boolean")
     cxx, cxy, mx, my = prep.centered(g)
-    p = len(cols)
-    base = df.select(*[_c(c).cast("double").alias(f"x{i}") for i, c in enumerate(cols)],
-                     _c(label).cast("double").alias("y")).na.drop()
-    xt = [F.col(f"x{i}") - F.lit(float(mx[i])) for i in range(p)]
-    aggs = []
-    for j, a in enumerate(alphas):
-        minv = np.linalg.inv(cxx + a * np.eye(p))
-        coef = minv @ cxy
-        icpt = my - mx @ coef
-        yhat = F.lit(float(icpt))
-        for i in range(p):
-            yhat = yhat + F.lit(float(coef[i])) * F.col(f"x{i}")
-        h = F.lit(1.0 / g["n"])
-        for i in range(p):
-            for k in range(p):
-                if minv[i, k] != 0:
-                    h = h + F.lit(float(minv[i, k])) * xt[i] * xt[k]
-        e = F.try_divide(F.col("y") - yhat, 1 - h)
-        aggs.append(F.avg(e * e).alias(f"m{j}"))
-    row = base.agg(*aggs).first()
-    rows = [(float(a), float(row[f"m{j}"])) for j, a in enumerate(alphas)]
-    return df.sparkSession.createDataFrame(rows, "alpha double, loo_mse double")
+    lam, q = np.linalg.eigh(cxx)
+    with np.errstate(divide="ignore"):
+        inverse = 1.0 / (np.maximum(lam, 0.0)[:, None] + np.array(alphas))
+    inverse[~np.isfinite(inverse)] = 0.0  # no penalty on a direction without variance
+    weights, n = (q.T @ cxy)[:, None] * inverse, g["n"]
+    base = prep._gram_base(df, cols, label)
+
+    def errors(batches):
+        total = np.zeros(len(alphas))
+        for batch in batches:
+            data = np.column_stack([np.asarray(c, dtype=float) for c in batch.columns])
+            z = (data[:, :-1] - mx) @ q
+            left = 1.0 - 1.0 / n - (z * z) @ inverse
+            with np.errstate(divide="ignore", invalid="ignore"):
+                e = (data[:, -1:] - my - z @ weights) / left
+            total += np.where(np.abs(left) > 1e-12, e * e, 0.0).sum(axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(alphas)), pa.int32()), pa.array(total)], names=["j", "s"])
+
+    sums = base.mapInArrow(errors, "j int, s double").groupBy("j").agg(F.sum("s").alias("s")).collect()
+    mse = {r["j"]: r["s"] / n for r in sums}
+    best = min(range(len(alphas)), key=lambda j: (mse[j], j))
+    return spark.createDataFrame([(a, float(mse[j]), j == best) for j, a in enumerate(alphas)], "alpha double, loo_mse double, chosen boolean")
 
 
 def cross_validate(df: DataFrame, features: Sequence[str], label: str, estimator,

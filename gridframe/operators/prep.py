@@ -13,12 +13,12 @@ import math
 from collections.abc import Mapping, Sequence
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import ordered
 from .aggregates import pct
-from .selection import exact_quantiles, quantiles_of
+from .selection import _written, exact_quantiles, quantiles_of
 
 SPLIT = "split"
 
@@ -401,27 +401,30 @@ def feat_variance_threshold(df: DataFrame, columns: Sequence[str], threshold: fl
 
 def anova_f(df: DataFrame, columns: Sequence[str], label: str) -> DataFrame:
     """One-way ANOVA F statistic of each column across the classes of ``label``
-    (sklearn ``f_classif``): F = (SSB/(k-1)) / (SSW/(n-k)), with
-    SSW = Σ n_g·var_g and SSB = Σ n_g·(mean_g − mean)² from per-class moments
-    (numerically stable; one grouped pass plus a tiny second level)."""
-    per = df.groupBy(_c(label)).agg(
-        F.count(F.lit(1)).alias("__n"),
-        *[x for i, c in enumerate(columns) for x in
-          (F.avg(_c(c)).alias(f"m{i}"), F.var_pop(_c(c)).alias(f"v{i}"))])
-    tot = per.agg(F.sum("__n").alias("n"), F.count(F.lit(1)).alias("k"),
-                  *[F.sum(F.col(f"m{i}") * F.col("__n")).alias(f"S{i}") for i in range(len(columns))],
-                  *[F.sum(F.col("__n") * F.col(f"v{i}")).alias(f"W{i}") for i in range(len(columns))],
-                  *[F.collect_list(F.struct("__n", F.col(f"m{i}").alias("m"))).alias(f"L{i}")
-                    for i in range(len(columns))])
-    rows = []
-    for i, c in enumerate(columns):
-        n, k = F.col("n").cast("double"), F.col("k").cast("double")
-        grand = F.col(f"S{i}") / n
-        ssb = F.aggregate(F.col(f"L{i}"), F.lit(0.0),
-                          lambda acc, e: acc + e["__n"] * (e["m"] - grand) * (e["m"] - grand))
-        f = F.try_divide(F.try_divide(ssb, k - 1), F.try_divide(F.col(f"W{i}"), n - k))
-        rows.append(F.struct(F.lit(c).alias("feature"), f.alias("f_score")))
-    return tot.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+    (sklearn ``f_classif``; null labels take no part): F = (SSB/(k-1)) / (SSW/(n-k)).
+
+    Per class, count, mean and sum of squared deviations; SSB is the weighted
+    squared deviation of the class means, from moments that merge pairwise (each
+    class counts its size in ``n * (mean - centre)`` sums around a fixed centre, the
+    mean of all rows), so classes may be as many as rows: no list of them is ever built."""
+    base = df.where(_c(label).isNotNull())
+    per = base.groupBy(_c(label).alias("__k")).agg(*[x for i, c in enumerate(columns) for x in (
+        F.count(_c(c)).alias(f"n{i}"), F.avg(_c(c)).alias(f"m{i}"), (F.var_pop(_c(c)) * F.count(_c(c))).alias(f"w{i}"))])
+    # one row per class and column; the classes' moments are summed once around the
+    # grand mean, which is itself an aggregate of the classes
+    cells = per.select(F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"n{i}").alias("n"), F.col(f"m{i}").alias("m"), F.col(f"w{i}").alias("w"))
+                                           for i in range(len(columns))])).alias("r")).select("r.*").where("n > 0")
+    cells = _written(cells, "anova")
+    grand = cells.groupBy("i").agg((F.sum(F.col("n") * F.col("m")) / F.sum("n")).alias("g"))
+    d = F.col("m") - F.col("g")
+    # one row per column on the right
+    tot = cells.join(F.broadcast(grand), "i").groupBy("i").agg(
+        F.sum("n").cast("double").alias("n"), F.count(F.lit(1)).cast("double").alias("k"), F.sum("w").alias("ssw"),
+        F.sum(F.col("n") * d * d).alias("b"), F.sum(F.col("n") * d).alias("r"))
+    ssb = F.col("b") - F.col("r") * F.col("r") / F.col("n")
+    f = F.try_divide(F.try_divide(ssb, F.col("k") - 1), F.try_divide("ssw", F.col("n") - F.col("k")))
+    names = F.array(*[F.lit(c) for c in columns])
+    return tot.select(F.get(names, F.col("i")).alias("feature"), f.alias("f_score"))
 
 
 def quantile_bucket(df: DataFrame, column: str, k: int, name: str, approx: bool = False) -> DataFrame:
@@ -500,6 +503,43 @@ def solve_ridge(g: dict, alpha: float = 0.0, idx: Sequence[int] | None = None) -
     return coef, float(my - mx[idx] @ coef)
 
 
+def penalised_path(g: dict, alphas: Sequence[float], l1_ratio: float = 1.0, sweeps: int = 10_000, tol: float = 1e-13) -> list[tuple]:
+    """Lasso and elastic net by coordinate descent on Gram statistics.
+
+    Minimises ``|y - Xb|^2 / 2n + alpha l1_ratio |b|_1 + alpha (1 - l1_ratio) / 2 |b|^2``
+    (sklearn's objective, intercept free).  A step needs one column of X'X only, so
+    the data is read once for a whole path; alphas run from the greatest down,
+    each started from the last one's coefficients, and the active set's equations
+    are solved exactly at the end.  Returns (alpha, coefficients, intercept,
+    violation) in the given order; ``violation`` is the largest deviation from the optimality
+    conditions, as a share of the largest correlation."""
+    cxx, cxy, mx, my = centered(g)
+    n, p = g["n"], len(mx)
+    out, b = {}, np.zeros(p)
+    for alpha in sorted(set(alphas), reverse=True):
+        l1, l2 = n * alpha * l1_ratio, n * alpha * (1 - l1_ratio)
+        for _ in range(sweeps):
+            moved = 0.0
+            for k in range(p):
+                if cxx[k, k] + l2 <= 0:
+                    continue
+                rho = cxy[k] - cxx[k] @ b + cxx[k, k] * b[k]
+                new = np.sign(rho) * max(abs(rho) - l1, 0.0) / (cxx[k, k] + l2)
+                moved = max(moved, abs(new - b[k]) * np.sqrt(cxx[k, k]))
+                b[k] = new
+            if moved <= tol * np.sqrt(max(g["syy"] - n * my * my, 1e-300)):
+                break
+        active = np.flatnonzero(b)
+        if len(active):
+            exact = np.linalg.lstsq(cxx[np.ix_(active, active)] + l2 * np.eye(len(active)), cxy[active] - l1 * np.sign(b[active]), rcond=None)[0]
+            if (np.sign(exact) == np.sign(b[active])).all():
+                b[active] = exact
+        slope = cxy - cxx @ b - l2 * b
+        wrong = np.where(b != 0, np.abs(slope - l1 * np.sign(b)), np.maximum(np.abs(slope) - l1, 0.0))
+        out[alpha] = (float(alpha), b.copy(), float(my - mx @ b), float(wrong.max(initial=0.0) / max(np.abs(cxy).max(initial=0.0), 1e-300)))
+    return [out[a] for a in alphas]
+
+
 def feat_rfe_linear(df: DataFrame, columns: Sequence[str], target: str, n_select: int,
                     fit_on: Column | None = None) -> DataFrame:
     """Recursive feature elimination with linear regression: one distributed
@@ -539,3 +579,14 @@ def feat_pca(df: DataFrame, columns: Sequence[str], k: int) -> tuple[DataFrame,
                                   for i in range(len(columns))],
                                  "component int, feature string, loading double")
     return var, load
+
+
+def pca_report(variances: DataFrame, loadings: DataFrame) -> DataFrame:
+    """(component, explained_ratio, cumulative, feature, loading, place): each
+    component's sign is that its largest loading is positive, ``place`` ranks its features by absolute loading."""
+    top = loadings.groupBy("component").agg(F.max_by("loading", F.struct(F.abs("loading"), F.col("feature"))).alias("__top"))
+    signed = loadings.join(F.broadcast(top), "component")  # a row per component
+    size = F.abs(F.col("loading"))
+    w = Window.partitionBy("component").orderBy(size.desc(), "feature")  # a component's features: as many as columns
+    signed = signed.select("component", "feature", (F.col("loading") * F.signum("__top")).alias("loading"), F.row_number().over(w).alias("place"))
+    return variances.join(signed, "component")

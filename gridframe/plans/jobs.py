@@ -49,12 +49,14 @@ def settlement_ticks(raw: DataFrame) -> DataFrame:
     return raw.withColumn("ts", S.ts_from_date_time("DateValueCET", "TimeValueCET"))
 
 
-def job_settlement(raw: DataFrame, area: str = "BRAZIL_SOUTHEAST_CENTRALWEST",
+def job_settlement(raw: DataFrame, area: str | None = "BRAZIL_SOUTHEAST_CENTRALWEST",
                    from_zone: str = "CET", to_zone: str = "America/Sao_Paulo") -> DataFrame:
-    """Hourly prices -> daily mean/std/min/max in local (destination) time.
+    """Hourly prices of one area (None: all) -> daily mean/std/min/max in local (destination) time.
     Ambiguous and non-existent wall times become NULL and are dropped, like
     NaT keys in a pandas groupby."""
-    t = settlement_ticks(raw).where(F.col("PowerPriceAreaCode") == area)
+    t = settlement_ticks(raw)
+    if area is not None:
+        t = t.where(F.col("PowerPriceAreaCode") == area)
     t = t.withColumn(DT, F.to_date(S.tz_convert("ts", from_zone, to_zone))).where(F.col(DT).isNotNull())
     return A.agg_daily_stats(t, [DT], "PriceMWh", {
         "mean": "avg_settlement_price", "std": "std_settlement_price",
@@ -104,17 +106,9 @@ def job_solar(raw: DataFrame, region_map: Mapping = codes.REGION_PORTUGUESE,
                     F.col("val_geraenergiaconmwmed").alias("v"))
     if start:
         df = df.where(F.col(DT) >= F.lit(start).cast("date"))
-    # One conditional aggregation (single shuffle by date) per region: sum
-    # (pandas semantics: NULL-only cell -> 0, absent cell -> NULL) and mean.
-    aggs = []
-    regions = R.pivot_values(df, "Region", regions)
-    for r in regions:
-        hit = F.col("Region") == F.lit(r)
-        aggs += [F.when(F.count(F.when(hit, F.lit(1))) > 0, F.coalesce(F.sum(F.when(hit, F.col("v"))), F.lit(0.0)))
-                  .alias(f"solar_sum_{S.safe_name(r)}"),
-                 F.avg(F.when(hit, F.col("v"))).alias(f"solar_mean_{S.safe_name(r)}")]
-    wide = df.groupBy(DT).agg(*aggs)
-    return R.row_sum_cols(wide, [f"solar_sum_{S.safe_name(r)}" for r in regions], "daily_sum_solar")
+    wide = R.pivot_cells(df, [DT], "Region", regions, [(F.coalesce(F.sum("v"), F.lit(0.0)), R.namer("solar_sum_", "")),
+                                                       (F.avg("v"), R.namer("solar_mean_", ""))])
+    return R.row_sum_cols(wide, [c for c in wide.columns if c.startswith("solar_sum_")], "daily_sum_solar")
 
 
 def job_wind(raw: DataFrame, region_map: Mapping = codes.REGION_PORTUGUESE,
@@ -135,7 +129,7 @@ def job_capacity(raw: DataFrame, cal_start: str = "2021-01-01", cal_end: str = "
                  exclude: Sequence[str] = ("PY",), regions: Sequence[str] = ("NE", "N", "SE/CW", "S")) -> DataFrame:
     """Daily installed capacity per plant type x region (active when
     ``start <= day`` and no end or ``end > day``), all-zero columns dropped,
-    plus a total per region."""
+    plus a total per region (the listed ones, then the others of the data)."""
     df = C.filter_exclude_code(raw, "id_subsistema", exclude)
     df = df.select(S.map_replace("nom_tipousina", type_map).alias("ptype"),
                    S.map_replace("id_subsistema", region_map).alias("region"),
@@ -160,7 +154,8 @@ def job_capacity(raw: DataFrame, cal_start: str = "2021-01-01", cal_end: str = "
     wide = spine.join(wide, DT, "left")
     wide = wide.select(DT, *[F.coalesce(F.col(names[c]), F.lit(0.0)).alias(names[c]) for c in combos])
     wide = C.drop_constant_zero_cols(wide, list(names.values()))
-    for r in regions:
+    others = sorted({c.split("|", 1)[1] for c in combos} - set(regions))
+    for r in [*regions, *others]:
         suffix = f"_capacity_{S.safe_name(r)}"
         members = [c for c in wide.columns if c.endswith(suffix)]
         wide = wide.withColumn(f"total_capacity_{S.safe_name(r)}",
@@ -199,6 +194,43 @@ def job_consumption_by_vintage(raw: DataFrame, region_map: Mapping = codes.REGIO
     return R.row_sum_cols(wide, [c for c in wide.columns if c.startswith("consumption_")], "total_consumption")
 
 
+# ------------------------------------------------------------ daily cube -----
+
+# measure of the cube -> how its rows of a (day, region) become one value
+CUBE = {"inflow": lambda c: F.coalesce(F.sum(c), F.lit(0)), "solar_sum": lambda c: F.coalesce(F.sum(c), F.lit(0.0)),
+        "solar_mean": F.avg, "generation": lambda c: F.coalesce(F.sum(c), F.lit(0))}
+
+
+def daily_cube(raw: DataFrame, region_map: Mapping) -> DataFrame:
+    """(DateTime, Region, inflow, solar_sum, solar_mean, generation) from rows (DateTime, Code,
+    Inflow, Solar, Generation): the fact table is read and joined once, combined
+    map-side, and the hydro, solar and wind tables all come from the written result."""
+    df = raw.select(F.col("DateTime").cast("date").alias(DT), S.map_replace("Code", region_map).alias("Region"),
+                    F.col("Inflow").alias("inflow"), F.col("Solar").alias("solar_sum"), F.col("Solar").alias("solar_mean"),
+                    F.col("Generation").alias("generation"))
+    return R.written(df.groupBy(DT, "Region").agg(*[how(F.col(c)).alias(c) for c, how in CUBE.items()]))
+
+
+def hydro_of(cube: DataFrame, regions: Sequence[str], start: str | None = None) -> DataFrame:
+    """``job_hydro``'s table from the cube."""
+    return _of_cube(cube, regions, {"inflow": "hydro_inflow_"}, "daily_sum_hydro_inflow", start)
+
+
+def solar_of(cube: DataFrame, regions: Sequence[str], start: str | None = None) -> DataFrame:
+    return _of_cube(cube, regions, {"solar_sum": "solar_sum_", "solar_mean": "solar_mean_"}, "daily_sum_solar", start)
+
+
+def wind_of(cube: DataFrame, regions: Sequence[str], start: str | None = None) -> DataFrame:
+    return _of_cube(cube, regions, {"generation": "wind_generation_"}, "wind_generation_sum", start)
+
+
+def _of_cube(cube: DataFrame, regions: Sequence[str], cells: Mapping[str, str], total: str, start: str | None) -> DataFrame:
+    rows = cube.where(F.col(DT) >= F.lit(start).cast("date")) if start else cube
+    wide = R.spread(rows, [DT], "Region", regions, [(c, R.namer(prefix, "")) for c, prefix in cells.items()])
+    first = next(iter(cells.values()))
+    return R.row_sum_cols(wide, [c for c in wide.columns if c.startswith(first)], total)
+
+
 # -------------------------------------------------------------- weather -----
 
 def weather_hourly(raw: DataFrame, stations: DataFrame, measure: str,

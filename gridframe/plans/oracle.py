@@ -7,6 +7,8 @@ views.  Floating outputs are rounded exactly like ``queries.rnd``.
 
 from __future__ import annotations
 
+from itertools import product as _product
+
 SQL: dict[str, str] = {}
 
 # ------------------------------------------------------------------ pieces --
@@ -31,7 +33,8 @@ SETTLE_TICKS = f"""SELECT o.o_orderdate AS ts, o.o_orderkey AS row_id, cr.r_name
 SETTLEMENT = f"""SELECT CAST(timezone('America/Sao_Paulo', timezone('CET', ts)) AS DATE) AS DateTime,
   avg(p) AS avg_settlement_price, stddev_samp(p) AS std_settlement_price,
   min(p) AS min_settlement_price, max(p) AS max_settlement_price
-  FROM ({SETTLE_TICKS}) WHERE area = 'AMERICA' GROUP BY 1"""
+  FROM ({SETTLE_TICKS}) GROUP BY 1"""
+JOB_SETTLEMENT = SETTLEMENT.replace(" GROUP BY 1", " WHERE area = 'AMERICA' GROUP BY 1")
 
 LI_SUPP = f"""SELECT l.*, sr.n_name, sr.r_name FROM lineitem l JOIN ({SUPP_REGION}) sr ON l.l_suppkey = sr.s_suppkey"""
 
@@ -46,9 +49,11 @@ def row_sum(prefix: str) -> str:
 
 HYDRO_LONG = f"""SELECT CAST(l_shipdate AS DATE) AS DateTime, {REGION_CODE.format(c='r_name')} AS Region,
   coalesce(sum(l_quantity), 0) AS inflow
-  FROM ({LI_SUPP}) WHERE CAST(l_shipdate AS DATE) >= DATE '1996-01-01' GROUP BY 1, 2"""
+  FROM ({LI_SUPP}) WHERE TRUE GROUP BY 1, 2"""
+_FROM_START = "WHERE CAST(l_shipdate AS DATE) >= DATE '1996-01-01'"
 HYDRO = f"""SELECT *, {row_sum('hydro_inflow_')} AS daily_sum_hydro_inflow FROM (
   SELECT DateTime, {pivot_cols('inflow', 'Region', 'hydro_inflow_')} FROM ({HYDRO_LONG}) GROUP BY DateTime)"""
+JOB_HYDRO = HYDRO.replace("WHERE TRUE", _FROM_START)
 
 
 def rnd_all(inner: str, cols: list[str], n: int = 4, keep: list[str] | None = None) -> str:
@@ -60,7 +65,7 @@ def rnd_all(inner: str, cols: list[str], n: int = 4, keep: list[str] | None = No
 
 # ============================================================== flagship ====
 
-SQL["job_settlement"] = rnd_all(SETTLEMENT, ["avg_settlement_price", "std_settlement_price",
+SQL["job_settlement"] = rnd_all(JOB_SETTLEMENT, ["avg_settlement_price", "std_settlement_price",
                                              "min_settlement_price", "max_settlement_price"], keep=["DateTime"])
 
 # ========================================================== 2.1 sources =====
@@ -124,10 +129,11 @@ CODE_R = REGION_CODE.format(c="r_name")
 
 SOLAR_LONG = f"""SELECT CAST(l_shipdate AS DATE) AS DateTime, {CODE_R} AS Region,
   coalesce(sum(l_extendedprice / 1000.0), 0) AS s, avg(l_extendedprice / 1000.0) AS m
-  FROM ({LI_SUPP}) WHERE CAST(l_shipdate AS DATE) >= DATE '1996-01-01' GROUP BY 1, 2"""
+  FROM ({LI_SUPP}) WHERE TRUE GROUP BY 1, 2"""
 SOLAR = f"""SELECT *, {row_sum('solar_sum_')} AS daily_sum_solar FROM (
   SELECT DateTime, {pivot_cols('s', 'Region', 'solar_sum_')}, {pivot_cols('m', 'Region', 'solar_mean_')}
   FROM ({SOLAR_LONG}) GROUP BY DateTime)"""
+JOB_SOLAR = SOLAR.replace("WHERE TRUE", _FROM_START)
 
 WIND_LONG = f"""SELECT CAST(l_shipdate AS DATE) AS DateTime, {CODE_R} AS Region,
   coalesce(sum(CASE WHEN l_returnflag = 'R' THEN NULL ELSE l_quantity END), 0) AS generation
@@ -158,8 +164,7 @@ CONS_RAW = f"""SELECT CAST(o.o_orderdate AS DATE) AS issue, CAST(l.l_shipdate AS
 CONS_LAST_ALL = f"""SELECT valid, Region, consumption, issue FROM (
   SELECT *, row_number() OVER (PARTITION BY valid, Region ORDER BY issue DESC, l_orderkey DESC, l_linenumber DESC, consumption DESC) AS rn
   FROM ({CONS_RAW}) WHERE issue <= valid) WHERE rn = 1"""
-CONS_LAST = CONS_LAST_ALL.replace("WHERE issue <= valid",
-                                  "WHERE issue <= valid AND issue >= DATE '1996-01-01' AND valid >= DATE '1996-01-01'")
+CONS_LAST = CONS_LAST_ALL
 CONS_EXP = f"""SELECT Region, CAST(unnest(generate_series(valid, coalesce(nxt, valid + 1) - 1, INTERVAL 1 DAY)) AS DATE) AS DateTime,
   consumption / coalesce(datediff('day', valid, nxt), 7) AS daily_consumption
   FROM (SELECT *, lead(valid) OVER (PARTITION BY Region ORDER BY valid) AS nxt FROM ({CONS_LAST}))"""
@@ -167,6 +172,8 @@ CONSUMPTION = f"""SELECT *, {row_sum('consumption_')} AS daily_sum_consumption F
   SELECT DateTime, {pivot_cols('dc', 'Region', 'consumption_')} FROM (
     SELECT DateTime, Region, coalesce(sum(daily_consumption), 0) AS dc FROM ({CONS_EXP}) GROUP BY 1, 2)
   GROUP BY DateTime)"""
+JOB_CONSUMPTION = CONSUMPTION.replace("WHERE issue <= valid",
+                                      "WHERE issue <= valid AND issue >= DATE '1996-01-01' AND valid >= DATE '1996-01-01'")
 
 # ================================================================ 2.3 joins =
 
@@ -200,8 +207,9 @@ SQL["join_agg_back"] = f"""SELECT CAST(DateTime AS DATE) AS Date, PowerPriceArea
   round(hourly_value, 4) AS hourly_value,
   round(avg(hourly_value) OVER (PARTITION BY CAST(DateTime AS DATE), PowerPriceAreaCode), 4) AS daily_average_value
   FROM ({TEMP_HOURLY})"""
+ALL_DAYS = f"""SELECT CAST(unnest(generate_series(min(s), max(greatest(s, e)), INTERVAL 1 DAY)) AS DATE) AS DateTime FROM ({REGISTRY})"""
 SQL["join_interval_active"] = f"""SELECT ptype, region, DateTime, round(capacity, 4) AS capacity
-  FROM ({CAP_LONG}) WHERE capacity <> 0"""
+  FROM ({CAP_LONG.replace(CAL, ALL_DAYS)}) WHERE capacity <> 0"""
 SQL["semi_anti_dates"] = rs(f"""SELECT f.*, 'semi' AS kind FROM ({FORWARD}) f
   WHERE EXISTS (SELECT 1 FROM ({SETTLEMENT}) s WHERE s.DateTime = f.DateTime)
   UNION ALL SELECT f.*, 'anti' AS kind FROM ({FORWARD}) f
@@ -222,11 +230,12 @@ SQL["join_p0_p1_inner"] = rs(f"""SELECT * FROM ({P0P1})
 
 SQL["agg_daily_stats"] = rs("""SELECT CAST(ts AS DATE) AS DateTime, avg(value) AS mean, stddev_samp(value) AS std,
   min(value) AS min, max(value) AS max FROM events GROUP BY 1""", ["DateTime"])
-SQL["agg_daily_stats_ext"] = rs(f"""SELECT CAST(ts AS DATE) AS DateTime, avg(p) AS mean, stddev_samp(p) AS std,
+_STATS_EXT = """avg(p) AS mean, stddev_samp(p) AS std,
   min(p) AS min, max(p) AS max, round(var_samp(p), 0) AS var, max(p) - min(p) AS range, median(p) AS median,
   first(p ORDER BY ts, row_id) AS first, last(p ORDER BY ts, row_id) AS last, count(p) AS count,
-  CASE WHEN count(p) >= 3 AND var_pop(p) > 0 THEN skewness(p) END AS skew
-  FROM ({SETTLE_TICKS}) WHERE area = 'AMERICA' GROUP BY 1""", ["DateTime", "count", "var"])
+  CASE WHEN count(p) >= 3 AND var_pop(p) > 0 THEN skewness(p) END AS skew"""
+SQL["agg_daily_stats_ext"] = rs(f"""SELECT CAST(ts AS DATE) AS DateTime, area AS PowerPriceAreaCode, {_STATS_EXT}
+  FROM ({SETTLE_TICKS}) GROUP BY 1, 2""", ["DateTime", "PowerPriceAreaCode", "count", "var"])
 SQL["agg_sum_by_keys"] = rs(f"""SELECT CAST(l_shipdate AS DATE) AS DateTime, r_name AS region,
   coalesce(sum(l_quantity), 0) AS inflow FROM ({LI_SUPP}) GROUP BY 1, 2""", ["DateTime", "region"])
 SQL["agg_sum_mean"] = rs(f"""SELECT CAST(l_shipdate AS DATE) AS DateTime, r_name AS region,
@@ -559,13 +568,14 @@ SQL["job_forward_price"] = rs(FORWARD, ["DateTime", "delivery_start"])
 SQL["job_market_price"] = rs(f"""SELECT *, CAST(year(DateTime) AS INTEGER) AS year, CAST(month(DateTime) AS INTEGER) AS month,
   CAST(day(DateTime) AS INTEGER) AS day, dayname(DateTime) AS weekday_name, 'AM' AS region FROM ({FORWARD})""",
                              ["DateTime", "delivery_start", "year", "month", "day", "weekday_name", "region"])
-SQL["job_settlement_ext"] = SQL["agg_daily_stats_ext"]
+SQL["job_settlement_ext"] = rs(f"""SELECT CAST(ts AS DATE) AS DateTime, {_STATS_EXT}
+  FROM ({SETTLE_TICKS}) WHERE area = 'AMERICA' GROUP BY 1""", ["DateTime", "count", "var"])
 SQL["job_temperature"] = SQL["join_agg_back"]
-SQL["job_hydro"] = rs(HYDRO, ["DateTime"])
-SQL["job_solar"] = rs(SOLAR, ["DateTime"])
+SQL["job_hydro"] = rs(JOB_HYDRO, ["DateTime"])
+SQL["job_solar"] = rs(JOB_SOLAR, ["DateTime"])
 SQL["job_wind"] = rs(WIND, ["DateTime"])
 SQL["job_capacity"] = rs(CAPACITY, ["DateTime"])
-SQL["job_consumption"] = rs(CONSUMPTION, ["DateTime"])
+SQL["job_consumption"] = rs(JOB_CONSUMPTION, ["DateTime"])
 _WREG = [("AFRICA", "AFRICA"), ("AMERICA", "AMERICA"), ("ASIA", "ASIA"), ("EUROPE", "EUROPE")]
 SQL["job_weather_daily"] = rs(f"""SELECT *, {" + ".join(f"coalesce(radiation_{n}, 0)" for _, n in _WREG)} AS total_daily_radiation FROM (
   SELECT DateTime, {", ".join(f"first(radiation) FILTER (WHERE region = '{v}') AS radiation_{n}" for v, n in _WREG)}
@@ -584,9 +594,9 @@ SQL["job_consumption_by_vintage"] = rs(f"""SELECT *, {row_sum('consumption_')} A
   SELECT DateTime, forecasted_date, {pivot_cols('c', 'Region', 'consumption_')} FROM (
     SELECT issue AS DateTime, valid AS forecasted_date, Region, coalesce(sum(consumption), 0) AS c
     FROM ({CONS_RAW}) GROUP BY 1, 2, 3) GROUP BY DateTime, forecasted_date)""", ["DateTime", "forecasted_date"])
-SQL["job_prepared_dataset"] = rs(f"""SELECT * FROM ({FORWARD}) LEFT JOIN ({SETTLEMENT}) USING (DateTime)
-  LEFT JOIN ({HYDRO}) USING (DateTime) LEFT JOIN ({SOLAR}) USING (DateTime) LEFT JOIN ({WIND}) USING (DateTime)
-  LEFT JOIN ({CAPACITY}) USING (DateTime) LEFT JOIN ({CONSUMPTION}) USING (DateTime)""", ["DateTime", "delivery_start"])
+SQL["job_prepared_dataset"] = rs(f"""SELECT * FROM ({FORWARD}) LEFT JOIN ({JOB_SETTLEMENT}) USING (DateTime)
+  LEFT JOIN ({JOB_HYDRO}) USING (DateTime) LEFT JOIN ({JOB_SOLAR}) USING (DateTime) LEFT JOIN ({WIND}) USING (DateTime)
+  LEFT JOIN ({CAPACITY}) USING (DateTime) LEFT JOIN ({JOB_CONSUMPTION}) USING (DateTime)""", ["DateTime", "delivery_start"])
 
 
 def _missing(src: str) -> str:
@@ -594,7 +604,7 @@ def _missing(src: str) -> str:
       FROM ({src})) WHERE CAST(g AS DATE) NOT IN (SELECT DateTime FROM ({src}))"""
 
 
-_MF, _MS = _missing(f"SELECT DateTime FROM ({FORWARD})"), _missing(f"SELECT DateTime FROM ({SETTLEMENT})")
+_MF, _MS = _missing(f"SELECT DateTime FROM ({FORWARD})"), _missing(f"SELECT DateTime FROM ({JOB_SETTLEMENT})")
 SQL["job_missing_audit"] = f"""SELECT category, dayname(DateTime) AS weekday, count(*) AS count FROM (
   SELECT DateTime, 'forward_missing' AS category FROM ({_MF})
   UNION ALL SELECT DateTime, 'settlement_missing' FROM ({_MS})
@@ -603,7 +613,7 @@ SQL["job_missing_audit"] = f"""SELECT category, dayname(DateTime) AS weekday, co
   UNION ALL SELECT DateTime, 'only_forward_missing' FROM (SELECT DateTime FROM ({_MF}) EXCEPT SELECT DateTime FROM ({_MS})))
   GROUP BY 1, 2"""
 SQL["job_price_vs_driver"] = rs(f"""WITH j AS (SELECT f.DateTime, f.forward_price, s.avg_settlement_price FROM ({FORWARD}) f
-    JOIN ({SETTLEMENT}) s USING (DateTime) WHERE f.delivery_start = DATE '1998-06-01'),
+    JOIN ({JOB_SETTLEMENT}) s USING (DateTime) WHERE f.delivery_start = DATE '1998-06-01'),
   r AS (SELECT min(forward_price) AS a0, max(forward_price) AS a1, min(avg_settlement_price) AS b0,
                max(avg_settlement_price) AS b1 FROM j)
   SELECT DateTime, (forward_price - a0) / (a1 - a0) AS forward_price, (avg_settlement_price - b0) / (b1 - b0) AS avg_settlement_price
@@ -635,21 +645,65 @@ def _det3(m) -> str:
 
 
 _RX = ["l_quantity", "l_discount", "l_tax"]
-_RA = 0.2
-# A = centred XᵀX + αI, c = centred Xᵀy; b = A⁻¹c by Cramer's rule
-_A = [[f"a{i}{j}" for j in range(3)] for i in range(3)]
-_CRAMER = []
-for _k in range(3):
-    _m = [[("c" + str(_i)) if _j == _k else _A[_i][_j] for _j in range(3)] for _i in range(3)]
-    _CRAMER.append(f"{_det3(_m)} / {_det3(_A)} AS b{_k}")
-RIDGE = f"""WITH g AS (SELECT count(*) AS n, avg(l_extendedprice) AS my, {", ".join(f"avg({x}) AS m{i}" for i, x in enumerate(_RX))},
-    {", ".join(f"covar_pop({_RX[i]}, {_RX[j]}) * count(*) + {_RA if i == j else 0.0} AS a{i}{j}" for i in range(3) for j in range(3))},
+_GRAM = f"""g AS (SELECT count(*) AS n, avg(l_extendedprice) AS my, {", ".join(f"avg({x}) AS m{i}" for i, x in enumerate(_RX))},
+    {", ".join(f"covar_pop({_RX[i]}, {_RX[j]}) * count(*) AS a{i}{j}" for i in range(3) for j in range(3))},
     {", ".join(f"covar_pop({x}, l_extendedprice) * count(*) AS c{i}" for i, x in enumerate(_RX))}
-    FROM lineitem),
-  b AS (SELECT *, {", ".join(_CRAMER)} FROM g)
-  {" UNION ALL ".join([f"SELECT 'ridge_0.2' AS model, '{x}' AS feature, round(b{i}, 4) AS coefficient FROM b" for i, x in enumerate(_RX)]
-                      + ["SELECT 'ridge_0.2', 'intercept', round(my - b0 * m0 - b1 * m1 - b2 * m2, 4) FROM b"])}"""
-SQL["reg_ridge"] = RIDGE
+    FROM lineitem)"""
+
+
+def _det(m) -> str:
+    """A determinant written out; of no rows, 1."""
+    if not m:
+        return "1.0"
+    if len(m) == 3:
+        return _det3(m)
+    if len(m) == 2:
+        return f"(({m[0][0]}) * ({m[1][1]}) - ({m[0][1]}) * ({m[1][0]}))"
+    return f"({m[0][0]})"
+
+
+def _solution(active, signs, l1: float, l2: float) -> list[str]:
+    """Coefficients of all features with the given active ones: (A + n l2) b = c - n l1 sign, by Cramer's rule."""
+    a = [[f"a{i}{j}" + (f" + n * {l2}" if i == j else "") for j in active] for i in active]
+    rhs = [f"c{i} - n * {l1} * ({s})" for i, s in zip(active, signs)]
+    out = ["0.0"] * 3
+    for k, i in enumerate(active):
+        out[i] = f"{_det([[rhs[r] if c == k else a[r][c] for c in range(len(active))] for r in range(len(active))])} / {_det(a)}"
+    return out
+
+
+def _coefficients(fits: list[tuple[float, str]], digits: int) -> str:
+    """(alpha, feature, coefficient) rows of (alpha, SQL of b0, b1, b2, my, m0, m1, m2)."""
+    parts = []
+    for alpha, sql in fits:
+        named = ", ".join(f"('{x}', b{i})" for i, x in enumerate(_RX)) + ", ('intercept', my - b0 * m0 - b1 * m1 - b2 * m2)"
+        parts.append(f"SELECT {alpha}::DOUBLE AS alpha, v.f AS feature, round(v.b, {digits}) AS coefficient FROM ({sql}) q, LATERAL (VALUES {named}) v(f, b)")
+    return f"WITH {_GRAM} " + " UNION ALL ".join(parts)
+
+
+def _ridge(alpha: float) -> str:
+    b = _solution([0, 1, 2], [0, 0, 0], 0.0, 0.0)
+    g = f"SELECT * REPLACE ({', '.join(f'a{i}{i} + {alpha} AS a{i}{i}' for i in range(3))}) FROM g"
+    return f"SELECT my, m0, m1, m2, {', '.join(f'{x} AS b{i}' for i, x in enumerate(b))} FROM ({g})"
+
+
+def _net(alpha: float, ratio: float) -> str:
+    """The one sign pattern that meets the optimality conditions: b has those
+    signs, and where b is 0 the correlation left is at most n l1."""
+    l1, l2 = alpha * ratio, alpha * (1 - ratio)
+    patterns = []
+    for signs in _product((-1, 0, 1), repeat=3):
+        active = [i for i in range(3) if signs[i]]
+        b = _solution(active, [signs[i] for i in active], l1, l2)
+        solved = f"SELECT *, {', '.join(f'{x} AS b{i}' for i, x in enumerate(b))} FROM g"
+        test = [f"b{i} * ({signs[i]}) > 0" if signs[i] else f"abs(c{i} - {' - '.join(f'a{i}{j} * b{j}' for j in range(3))}) <= n * {l1}" for i in range(3)]
+        patterns.append(f"SELECT my, m0, m1, m2, b0, b1, b2 FROM ({solved}) WHERE {' AND '.join(test)}")
+    return "SELECT * FROM (" + " UNION ALL ".join(patterns) + ") LIMIT 1"
+
+
+SQL["reg_ridge"] = _coefficients([(a, _ridge(a)) for a in (0.1, 0.2, 3.0, 5.0, 10.0)], 3)
+SQL["reg_lasso"] = _coefficients([(a, _net(a, 1.0)) for a in (0.1, 0.8, 10.0)], 3)
+SQL["reg_elastic_net"] = _coefficients([(a, _net(a, 0.5)) for a in (0.1, 1.0)], 3)
 
 
 # ------------------------------------------ build_pipeline (random split) ---
@@ -732,3 +786,41 @@ def _double_round(sql: str) -> str:
 
 
 SQL = {k: _double_round(v) for k, v in SQL.items()}
+
+
+# ------------------------------------------------ principal components -------
+
+_PX = [f"hydro_inflow_{n}" for _, n in REGIONS]
+_P5 = range(len(_PX))
+
+
+def _strongest(cov: str, name: str) -> str:
+    """CTEs of a covariance table's first component: the matrix is squared again and
+    again (trace kept at 1) until it is the projection on that component, whose
+    largest entry is positive by construction; then the rest of the matrix."""
+    cells = ", ".join(f"m{i}{j}" for i in _P5 for j in _P5)
+    square = ", ".join(f"({' + '.join(f'm{i}{k} * m{k}{j}' for k in _P5)}) / ({' + '.join(f'm{a}{b} * m{a}{b}' for a in _P5 for b in _P5)}) AS m{i}{j}"
+                       for i in _P5 for j in _P5)
+    largest = "greatest(" + ", ".join(f"m{i}{i}" for i in _P5) + ")"
+    entry = [f"(CASE {' '.join(f'WHEN m{r}{r} = {largest} THEN m{i}{r}' for r in _P5)} END) / sqrt({largest}) AS v{i}" for i in _P5]
+    value = " + ".join(f"v{i} * m{i}{j} * v{j}" for i in _P5 for j in _P5)
+    return f"""{name}_powers AS (SELECT 0 AS step, {cells} FROM {cov} UNION ALL SELECT step + 1, {square} FROM {name}_powers WHERE step < 45),
+  {name}_vector AS (SELECT {", ".join(entry)} FROM {name}_powers WHERE step = 45),
+  {name} AS (SELECT v.*, {value} AS value FROM {name}_vector v, {cov}),
+  {name}_rest AS (SELECT {", ".join(f"m{i}{j} - value * v{i} * v{j} AS m{i}{j}" for i in _P5 for j in _P5)} FROM {name}, {cov})"""
+
+
+_PCA_ROWS = " UNION ALL ".join(f"SELECT {k} AS component, value, v.f AS feature, v.x AS loading FROM pc{k}, LATERAL (VALUES "
+                               + ", ".join(f"('{f}', v{i})" for i, f in enumerate(_PX)) + ") v(f, x)" for k in (1, 2, 3))
+SQL["feat_pca"] = f"""WITH RECURSIVE m AS ({MODEL}),
+  filled AS (SELECT {", ".join(f"coalesce({f}, (SELECT avg({f}) FROM m)) AS {f}" for f in _PX)} FROM m),
+  st AS (SELECT {", ".join(f"avg({f}) AS a_{f}, stddev_pop({f}) AS s_{f}" for f in _PX)} FROM filled),
+  z AS (SELECT {", ".join(f"({f} - a_{f}) / s_{f} AS x{i}" for i, f in enumerate(_PX))} FROM filled, st),
+  cov AS (SELECT {", ".join(f"covar_samp(x{i}, x{j}) AS m{i}{j}" for i in _P5 for j in _P5)} FROM z),
+  {_strongest("cov", "pc1")}, {_strongest("pc1_rest", "pc2")}, {_strongest("pc2_rest", "pc3")},
+  r AS ({_PCA_ROWS}), t AS (SELECT {" + ".join(f"m{i}{i}" for i in _P5)} AS trace FROM cov),
+  c AS (SELECT component, value / trace AS explained_ratio, sum(value / trace) OVER (ORDER BY component) AS cumulative
+        FROM (SELECT DISTINCT component, value FROM r), t)
+  SELECT component, round(explained_ratio, 6) AS explained_ratio, round(cumulative, 6) AS cumulative, feature, round(loading, 6) AS loading,
+         row_number() OVER (PARTITION BY component ORDER BY abs(loading) DESC, feature)::INTEGER AS place
+  FROM r JOIN c USING (component)"""

@@ -17,7 +17,9 @@ from pyspark.sql import types as T
 from ..functions import codes
 from ..functions import scalars as S
 from ..operators import aggregates as A
+from ..operators import boosting as BO
 from ..operators import columns as C
+from ..operators import forests as FO
 from ..operators import joins as J
 from ..operators import models as M
 from ..operators import ordered as O
@@ -34,7 +36,8 @@ from . import standins as SI
 DT = "DateTime"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
-# Driver-run parameters (stand-ins for the energy dictionaries and dates).
+# Driver-run parameters (stand-ins for the energy dictionaries and dates; the
+# area and the dates are those of the domain jobs).
 REGION_MAP = codes.DRIVER_REGION_CODE
 REGIONS = codes.DRIVER_REGIONS
 AREA = "AMERICA"
@@ -89,28 +92,30 @@ def forward(spark, d):
     return JB.job_forward_price(SI.forward_raw(spark, d))
 
 
-def settlement(spark, d):
-    return JB.job_settlement(SI.settlement_raw(spark, d), area=AREA)
+# Daily tables over all areas and all days; the domain jobs pass their area and dates.
 
+def settlement(spark, d, area=None):
+    return JB.job_settlement(SI.settlement_raw(spark, d), area=area)
 
-def hydro(spark, d):
-    return JB.job_hydro(SI.hydro_raw(spark, d), REGION_MAP, REGIONS, START)
 
+def hydro(spark, d, start=None):
+    return JB.job_hydro(SI.hydro_raw(spark, d), REGION_MAP, REGIONS, start)
 
-def solar(spark, d):
-    return JB.job_solar(SI.solar_raw(spark, d), REGION_MAP, REGIONS, START)
+
+def solar(spark, d, start=None):
+    return JB.job_solar(SI.solar_raw(spark, d), REGION_MAP, REGIONS, start)
 
 
 def wind(spark, d):
     return JB.job_wind(SI.wind_raw(spark, d), REGION_MAP, REGIONS)
 
 
-def capacity(spark, d):
-    return JB.job_capacity(SI.registry_raw(spark, d), CAL_START, CAL_END, {}, REGION_MAP, ("PY",), REGIONS)
+def capacity(spark, d, start, end):
+    return JB.job_capacity(SI.registry_raw(spark, d), start, end, {}, REGION_MAP, ("PY",), REGIONS)
 
 
-def consumption(spark, d):
-    return JB.job_consumption(SI.consumption_raw(spark, d), REGION_MAP, REGIONS, START,
+def consumption(spark, d, start=None):
+    return JB.job_consumption(SI.consumption_raw(spark, d), REGION_MAP, REGIONS, start,
                               ("l_orderkey", "l_linenumber"))
 
 
@@ -132,7 +137,7 @@ def weather_stations(spark, d):
 
 @q("job_settlement")
 def q_job_settlement(spark, d):
-    return rnd(settlement(spark, d))
+    return rnd(settlement(spark, d, AREA))
 
 
 # ========================================================= 2.1 sources ======
@@ -267,8 +272,11 @@ def q_unit_convert(spark, d):
 # ================================================================ 2.3 joins =
 
 def dailies(spark, d):
-    return [settlement(spark, d), hydro(spark, d), solar(spark, d), wind(spark, d),
-            capacity(spark, d), consumption(spark, d)]
+    """The daily tables as the jobs clean them: one area, from their first day on.
+    Hydro, solar and wind come from one cube."""
+    cube = JB.daily_cube(SI.generation_raw(spark, d), REGION_MAP)
+    return [settlement(spark, d, AREA), JB.hydro_of(cube, REGIONS, START), JB.solar_of(cube, REGIONS, START), JB.wind_of(cube, REGIONS),
+            capacity(spark, d, CAL_START, CAL_END), consumption(spark, d, START)]
 
 
 @q("join_left_chain")
@@ -283,8 +291,9 @@ def q_join_inner(spark, d):
 
 @q("join_index_chain")
 def q_join_index_chain(spark, d):
-    return rnd(J.join_inner_chain([settlement(spark, d), hydro(spark, d), wind(spark, d),
-                                   solar(spark, d), consumption(spark, d)], DT))
+    cube = JB.daily_cube(SI.generation_raw(spark, d), REGION_MAP)
+    return rnd(J.join_inner_chain([settlement(spark, d), JB.hydro_of(cube, REGIONS), JB.wind_of(cube, REGIONS),
+                                   JB.solar_of(cube, REGIONS), consumption(spark, d)], DT))
 
 
 @q("join_full_outer")
@@ -331,9 +340,10 @@ def q_join_interval_active(spark, d):
     reg = SI.registry_raw(spark, d).select(
         F.col("nom_tipousina").alias("ptype"), S.map_replace("id_subsistema", REGION_MAP).alias("region"),
         "dat_entradaoperacao", "dat_desativacao", "val_potenciaefetiva")
-    long = J.interval_activity(reg, start="dat_entradaoperacao", end="dat_desativacao",
-                               amount="val_potenciaefetiva", keys=["ptype", "region"],
-                               cal_start=CAL_START, cal_end=CAL_END)
+    first, last = "dat_entradaoperacao", "dat_desativacao"
+    days = reg.agg(F.min(first).alias("lo"), F.max(F.greatest(first, last)).alias("hi")).first()
+    long = J.interval_activity(reg, start=first, end=last, amount="val_potenciaefetiva", keys=["ptype", "region"],
+                               cal_start=str(days["lo"])[:10], cal_end=str(days["hi"])[:10])
     return rnd(long.where(F.col("val_potenciaefetiva") != 0)
                    .withColumnRenamed("val_potenciaefetiva", "capacity"))
 
@@ -384,8 +394,8 @@ def q_agg_daily_stats(spark, d):
 
 @q("agg_daily_stats_ext")
 def q_agg_daily_stats_ext(spark, d):
-    return rnd(JB.job_settlement_ext(SI.settlement_raw(spark, d), "AM", REGION_MAP, ["ts", "row_id"]),
-               digits={"var": 0})
+    ticks = JB.settlement_ticks(SI.settlement_raw(spark, d)).withColumn(DT, F.to_date("ts"))
+    return rnd(A.agg_daily_stats_ext(ticks, [DT, "PowerPriceAreaCode"], "PriceMWh", ["ts", "row_id"]), digits={"var": 0})
 
 
 @q("agg_sum_by_keys")
@@ -921,8 +931,8 @@ def q_feat_rfe_linear(spark, d):
 def q_feat_pca(spark, d):
     m = P.impute(model_frame(spark, d), HYDRO_COLS, "mean")
     m, _ = P.scale(m, HYDRO_COLS)
-    var, _load = P.feat_pca(m, HYDRO_COLS, 3)
-    return rnd(var, 6)
+    var, load = P.feat_pca(m, HYDRO_COLS, 3)
+    return rnd(P.pca_report(var, load), 6)
 
 
 def feature_pipeline(spark, d, **kw):
@@ -1013,23 +1023,33 @@ def q_reg_linear(spark, d):
                                                                           rr("intercept", 2).alias("intercept"))
 
 
+def path_frame(spark, fitted):
+    """(alpha, feature, coefficient) of (alpha, coefficients, intercept) rows."""
+    rows = [(a, f, float(c)) for a, coef, icpt, *_ in fitted for f, c in [*zip(LI_FEATS, coef), ("intercept", icpt)]]
+    return spark.createDataFrame(rows, "alpha double, feature string, coefficient double")
+
+
+RIDGE_ALPHAS, LASSO_ALPHAS, NET_ALPHAS = [0.1, 0.2, 3.0, 5.0, 10.0], [0.1, 0.8, 10.0], [0.1, 1.0]
+
+
 @q("reg_ridge")
 def q_reg_ridge(spark, d):
-    # exact normal-equation solve, so the closed form in SQL can check it
-    m = M.fit_linear(li_frame(spark, d), LI_FEATS, "l_extendedprice", "ridge", alpha=0.2, solver="normal")
-    return rnd(coef_frame(spark, m, LI_FEATS, "ridge_0.2"), 4)
+    """Five penalties from one pass: exact solves of the normal equations."""
+    g = P.gram(li_frame(spark, d), LI_FEATS, "l_extendedprice")
+    return rnd(path_frame(spark, [(a, *P.solve_ridge(g, a)) for a in RIDGE_ALPHAS]), digits={"alpha": 4, "coefficient": 3})
 
 
 @q("reg_lasso")
 def q_reg_lasso(spark, d):
-    m = M.fit_linear(li_frame(spark, d), LI_FEATS, "l_extendedprice", "lasso", alpha=0.8)
-    return rnd(coef_frame(spark, m, LI_FEATS, "lasso_0.8"), 3)
+    """Coordinate descent along the path, from one pass."""
+    g = P.gram(li_frame(spark, d), LI_FEATS, "l_extendedprice")
+    return rnd(path_frame(spark, P.penalised_path(g, LASSO_ALPHAS, 1.0)), 3)
 
 
 @q("reg_elastic_net")
 def q_reg_elastic_net(spark, d):
-    m = M.fit_linear(li_frame(spark, d), LI_FEATS, "l_extendedprice", "elastic_net", alpha=0.1, l1_ratio=0.5)
-    return rnd(coef_frame(spark, m, LI_FEATS, "elastic_net_0.1"), 3)
+    g = P.gram(li_frame(spark, d), LI_FEATS, "l_extendedprice")
+    return rnd(path_frame(spark, P.penalised_path(g, NET_ALPHAS, 0.5)), 3)
 
 
 def li_split(spark, d):
@@ -1044,14 +1064,32 @@ def fit_score(spark, d, fit, name):
     return rnd(M.eval_metrics(M.predict(model, te, LI_FEATS), "l_extendedprice").withColumn("model", F.lit(name)))
 
 
+def with_validation(spark, d, folds):
+    """Contiguous folds; the last one is the validation set of the refit."""
+    return cv_frame(spark, d, folds + 1)
+
+
+def scores(df):
+    return rnd(df, 2, digits={"refit_r2": 4})
+
+
 @q("reg_random_forest")
 def q_reg_random_forest(spark, d):
-    return fit_score(spark, d, lambda a, b, c: M.fit_random_forest(a, b, c, numTrees=20, maxDepth=6), "rf")
+    """Bootstrapped forests of 50, 100 and 200 trees, of depth 10, 20 and without
+    limit: one forest per fold, read nine times."""
+    grid = {**FO.FOREST_GRID, "min_samples_split": [2], "min_samples_leaf": [1], "bootstrap": [True]}
+    return scores(FO.forest_grid_search(with_validation(spark, d, 3), CV_FEATS, "avg_settlement_price", [DT], "fold", 3, grid))
+
+
+GBT_STAGES = [100, 300, 500, 700]
 
 
 @q("reg_gbt")
 def q_reg_gbt(spark, d):
-    return fit_score(spark, d, lambda a, b, c: M.fit_gbt(a, b, c, maxIter=20, maxDepth=4, stepSize=0.1), "gbt")
+    """One chain of 700 rounds over all of lineitem, scored on held-out rows at 100, 300, 500 and 700."""
+    df = li_split(spark, d).withColumn("held", (F.col("split") == "test").cast("int"))
+    out = BO.staged_boosting(df, LI_FEATS, "l_extendedprice", ["l_orderkey", "l_linenumber"], "held", GBT_STAGES, rate=0.05, depth=5)
+    return rnd(out.drop("importance"), 2, digits={"r2": 6})
 
 
 def cv_frame(spark, d, k=5):
@@ -1062,40 +1100,46 @@ def cv_frame(spark, d, k=5):
 CV_FEATS = HYDRO_COLS + ["std_settlement_price"]
 
 
+TWELVE_ALPHAS = [0.0005, 0.0007, 0.0008, 0.0009, 0.1, 0.17, 0.5, 1.0, 1.5, 2.0, 5.0, 8.0]
+EIGHT_ALPHAS = [0.1, 0.15, 0.16, 0.17, 0.18, 0.26, 0.3, 1.0]
+FOUR_ALPHAS = [0.3, 0.3731, 0.3732, 0.3736]
+LOG_ALPHAS = [0.5 * 10 ** (10 - 12 * i / 99) for i in range(100)]
+
+
 @q("cv_ridge")
 def q_cv_ridge(spark, d):
-    return rnd(M.ridge_cv_gram(cv_frame(spark, d), CV_FEATS, "avg_settlement_price",
-                               [0.1, 1.0, 10.0, 100.0], "fold", "mse"), 2)
+    """Three searches over 5 contiguous folds: 12 alphas by MSE and by R2, 8 by MSE."""
+    f, y = cv_frame(spark, d), "avg_settlement_price"
+    found = [("mse_12", M.ridge_cv_gram(f, CV_FEATS, y, TWELVE_ALPHAS, "fold", "mse").withColumnRenamed("mean_mse", "score")),
+             ("r2_12", M.ridge_cv_gram(f, CV_FEATS, y, TWELVE_ALPHAS, "fold", "r2").withColumnRenamed("mean_r2", "score")),
+             ("mse_8", M.ridge_cv_gram(f, CV_FEATS, y, EIGHT_ALPHAS, "fold", "mse").withColumnRenamed("mean_mse", "score"))]
+    return rnd(SO.set_union_tagged(found, "search"))
 
 
 @q("cv_ridge_loo")
 def q_cv_ridge_loo(spark, d):
-    return rnd(M.ridge_loo(cv_frame(spark, d), CV_FEATS, "avg_settlement_price",
-                           [float(a) for a in [0.1, 1.0, 10.0, 100.0]]), 2)
-
-
-def _rf():
-    from pyspark.ml.regression import RandomForestRegressor
-    return RandomForestRegressor(featuresCol="features", labelCol="avg_settlement_price", seed=42)
-
-
-RF_GRID = {"maxDepth": [3, 5], "numTrees": [10, 20], "minInstancesPerNode": [1, 5]}
+    """The two leave-one-out searches: 4 listed alphas and 100 log-spaced ones."""
+    f, y = cv_frame(spark, d), "avg_settlement_price"
+    found = [("listed_4", M.ridge_loo(f, CV_FEATS, y, FOUR_ALPHAS)), ("log_100", M.ridge_loo(f, CV_FEATS, y, LOG_ALPHAS))]
+    return rnd(SO.set_union_tagged(found, "search"))
 
 
 @q("cv_grid")
 def q_cv_grid(spark, d):
-    est = _rf()
-    maps = M.param_grid(est, RF_GRID)
-    model = M.cross_validate(cv_frame(spark, d, 3), CV_FEATS, "avg_settlement_price", est, maps, "fold")
-    return rnd(M.cv_results(spark, model, maps), 2)
+    """The three searches: boosting with 27 combinations (5 folds) and 162 (3 folds), forests with 162 (3 folds)."""
+    five, three = with_validation(spark, d, 5), with_validation(spark, d, 3)
+    y = "avg_settlement_price"
+    found = [("boosting_27", BO.boosting_grid_search(five, CV_FEATS, y, [DT], "fold", 5, BO.BOOSTING_GRID)),
+             ("boosting_162", BO.boosting_grid_search(three, CV_FEATS, y, [DT], "fold", 3, BO.SUBSAMPLED_GRID)),
+             ("forest_162", FO.forest_grid_search(three, CV_FEATS, y, [DT], "fold", 3, FO.FOREST_GRID))]
+    return scores(SO.set_union_tagged(found, "search"))
 
 
 @q("cv_random")
 def q_cv_random(spark, d):
-    est = _rf()
-    maps = M.random_param_maps(est, RF_GRID, 3, seed=42)
-    model = M.cross_validate(cv_frame(spark, d, 3), CV_FEATS, "avg_settlement_price", est, maps, "fold")
-    return rnd(M.cv_results(spark, model, maps), 2)
+    """50 of the 128 combinations of boosting with draws and penalties, 3 folds."""
+    drawn = FO.sampled(BO.PENALISED_GRID, 50, seed=42)
+    return scores(BO.boosting_grid_search(with_validation(spark, d, 3), CV_FEATS, "avg_settlement_price", [DT], "fold", 3, combinations=drawn))
 
 
 @q("cv_score")
@@ -1180,9 +1224,13 @@ def q_explain_coefficients(spark, d):
 
 @q("explain_tree_importance")
 def q_explain_tree_importance(spark, d):
-    f = cv_frame(spark, d)
-    m = M.fit_gbt(f, CV_FEATS, "avg_settlement_price", maxIter=20, maxDepth=3)
-    return rnd(M.explain_tree_importance(m, CV_FEATS, scratch_dir(spark, "gbt-model"), 10), 6)
+    """Gain share and number of splits of the ten strongest features, after each
+    stage of one boosting chain."""
+    df = P.split_chrono(cv_frame(spark, d), [DT], 0.8, 0.0).withColumn("held", (F.col("split") != "train").cast("int"))
+    out = BO.staged_boosting(df, CV_FEATS, "avg_settlement_price", [DT], "held", GBT_STAGES, rate=0.05, depth=3)
+    strongest = F.sort_array(F.transform("importance", lambda i: F.struct((-i["gain"]).alias("less"), i["feature"].alias("feature"), i["splits"].alias("splits"))))
+    long = out.select("rounds", F.explode(F.slice(strongest, 1, 10)).alias("i"))
+    return rnd(long.select("rounds", "i.feature", (-F.col("i.less")).alias("gain"), "i.splits"), 6)
 
 
 # ===================================================== 2.12 domain jobs =====
@@ -1199,7 +1247,9 @@ def q_job_market_price(spark, d):
 
 @q("job_settlement_ext")
 def q_job_settlement_ext(spark, d):
-    return q_agg_daily_stats_ext(spark, d)
+    """All areas are mapped to region codes; one region's profile is kept."""
+    return rnd(JB.job_settlement_ext(SI.settlement_raw(spark, d), "AM", REGION_MAP, ["ts", "row_id"]),
+               digits={"var": 0})
 
 
 @q("job_temperature")
@@ -1209,12 +1259,12 @@ def q_job_temperature(spark, d):
 
 @q("job_hydro")
 def q_job_hydro(spark, d):
-    return rnd(hydro(spark, d))
+    return rnd(hydro(spark, d, START))
 
 
 @q("job_solar")
 def q_job_solar(spark, d):
-    return rnd(solar(spark, d))
+    return rnd(solar(spark, d, START))
 
 
 @q("job_wind")
@@ -1224,12 +1274,12 @@ def q_job_wind(spark, d):
 
 @q("job_capacity")
 def q_job_capacity(spark, d):
-    return rnd(capacity(spark, d))
+    return rnd(capacity(spark, d, CAL_START, CAL_END))
 
 
 @q("job_consumption")
 def q_job_consumption(spark, d):
-    return rnd(consumption(spark, d))
+    return rnd(consumption(spark, d, START))
 
 
 @q("job_weather_daily")
@@ -1258,9 +1308,9 @@ def q_job_prepared_dataset(spark, d):
 
 @q("job_missing_audit")
 def q_job_missing_audit(spark, d):
-    return JB.job_missing_audit(forward(spark, d).select(DT), settlement(spark, d).select(DT))
+    return JB.job_missing_audit(forward(spark, d).select(DT), settlement(spark, d, AREA).select(DT))
 
 
 @q("job_price_vs_driver")
 def q_job_price_vs_driver(spark, d):
-    return rnd(JB.job_price_vs_driver(forward(spark, d), settlement(spark, d), "1998-06-01"), 6)
+    return rnd(JB.job_price_vs_driver(forward(spark, d), settlement(spark, d, AREA), "1998-06-01"), 6)

@@ -89,6 +89,13 @@ def wind_raw(spark: SparkSession, d: str) -> DataFrame:
          .otherwise(F.col("l_quantity").cast("string")).alias("val_geraenergiaconmwmed"))
 
 
+def generation_raw(spark: SparkSession, d: str) -> DataFrame:
+    """The hydro, solar and wind values of a row side by side."""
+    return _lineitem_supplier(spark, d).select(
+        F.to_date("l_shipdate").alias("DateTime"), F.col("r_name").alias("Code"), F.col("l_quantity").alias("Inflow"),
+        (F.col("l_extendedprice") / 1000.0).alias("Solar"), F.when(F.col("l_returnflag") != "R", F.col("l_quantity")).alias("Generation"))
+
+
 def registry_raw(spark: SparkSession, d: str) -> DataFrame:
     li, o = table(spark, d, "lineitem"), table(spark, d, "orders")
     sr = supplier_region(spark, d)

@@ -2,6 +2,9 @@
 
 import datetime as dt
 
+import pytest
+from pyspark.sql import functions as F
+
 from gridframe.functions import codes
 from gridframe.operators import reshape as R
 from gridframe.plans import jobs as JB
@@ -99,3 +102,32 @@ def test_pivots_keep_unlisted_codes(spark):
     out = R.pivot_region(raw.where("v <> 5"), ["d"], "r", "v", ["N"]).first()
     assert (out.N, out.X) == (1.0, 10.0)
     assert R.pivot_table_sum_multi(raw, ["d"], "r", ["v"], ["N"]).first().v_X == 15.0
+
+
+def test_pivots_keep_every_value_and_read_once(spark):
+    rows = [("d1", "N", 1.0), ("d1", "X", 2.0), ("d1", "X", 3.0), ("d2", None, 7.0), ("d3", "N", None), (None, "S", 4.0)]
+    df = spark.createDataFrame(rows, "d string, r string, v double")
+    got = {r["d"]: r for r in R.pivot_table(df, ["d"], "r", "v", ["N", "Q"], "mean", prefix="m_").collect()}
+    assert R.pivot_table(df, ["d"], "r", "v", ["N", "Q"], "mean", prefix="m_").columns == ["d", "m_N", "m_Q", "m_S", "m_X"]
+    assert got["d1"]["m_X"] == 2.5 and got["d1"]["m_Q"] is None and got["d2"]["m_N"] is None and got[None]["m_S"] == 4.0
+    count = {r["d"]: r for r in R.pivot_table(df, ["d"], "r", "v", ["N"], "count").collect()}
+    assert count["d1"]["X"] == 2 and count["d3"]["N"] == 0 and count["d2"]["N"] is None
+    total = {r["d"]: r for r in R.pivot_sum(df, ["d"], "r", "v", ["N"]).collect()}
+    assert total["d3"]["N"] == 0 and total["d1"]["X"] == 5.0 and total["d2"]["N"] is None
+    many = spark.range(R.MOST_COLUMNS + 1).select(F.lit(1).alias("d"), F.col("id").cast("string").alias("r"), F.lit(1.0).alias("v"))
+    with pytest.raises(ValueError):
+        R.pivot_sum(many, ["d"], "r", "v", [])
+    plan = R.pivot_sum(df, ["d"], "r", "v", ["N"])._jdf.queryExecution().toString()
+    assert "LocalRelation" not in plan and "LogicalRDD" not in plan  # the source is read when the small table is written
+
+
+def test_cube_equals_the_jobs(spark):
+    from gridframe.plans import standins as SI
+    sf = "/root/testdata/sf0.001"
+    from gridframe.plans.queries import REGION_MAP, REGIONS, START, hydro, solar, wind
+    cube = JB.daily_cube(SI.generation_raw(spark, sf), REGION_MAP)
+    def rows(df):
+        names = sorted(df.columns)
+        return sorted((tuple(round(x, 6) if isinstance(x, float) else x for x in r) for r in df.select(*names).collect()), key=repr)
+    for mine, theirs in ((JB.hydro_of(cube, REGIONS, START), hydro(spark, sf, START)), (JB.solar_of(cube, REGIONS), solar(spark, sf)), (JB.wind_of(cube, REGIONS), wind(spark, sf))):
+        assert rows(mine) == rows(theirs)
