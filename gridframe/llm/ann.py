@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridframe.llm.topk import best_of_shards, in_blocks, matrix, usable
+from gridframe.llm.topk import best_of_shards, in_blocks, matrix, once, usable
 
 QUERY_BLOCK, SHARD, QUERIES = 4096, 8192, 64
 PROJECTIONS, THRESHOLD = 64, 40
@@ -41,7 +41,7 @@ def _collisions(sorted_c: np.ndarray, rank: np.ndarray, at_q: np.ndarray, radius
     return counts
 
 
-def _search(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, c: np.ndarray, longest: float, k: int):
+def _search(qkey: np.ndarray, q: np.ndarray, ckey: np.ndarray, cid: np.ndarray, c: np.ndarray, longest: float, k: int):
     """(query index, id, score) of each query's best verified vectors of one shard."""
     rng = np.random.default_rng(SEED)
     directions = rng.standard_normal((c.shape[1] + 1, PROJECTIONS)) / np.sqrt(c.shape[1] + 1)
@@ -65,7 +65,7 @@ def _search(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, c: np.ndarray, long
             done = (hit.sum(axis=1) >= enough) | (radius > 8)
             own, hit = live[done], hit[done] | (radius > 8)
             product = q[own] @ c.T
-            product[~hit | (qid[own][:, None] == cid[None, :])] = -np.inf
+            product[~hit | (qkey[own][:, None] == ckey[None, :])] = -np.inf
             least = -np.partition(-product, min(k, len(c)) - 1, axis=1)[:, min(k, len(c)) - 1]
             # slack keeps ties, which rounding may part, inside
             i, j = np.nonzero((product >= (least - _SLACK * longest * lengths[own])[:, None]) & np.isfinite(product))
@@ -84,8 +84,10 @@ def _search(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, c: np.ndarray, long
 def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """Per query its k nearest found by inner product: query_id, rank, vec_id, score.
 
-    A row is no candidate of a query of its own id; only vectors of equal
-    dimension meet; null, zero and unusable vectors take no part."""
+    A row is no candidate of its own query; only vectors of equal dimension
+    meet; null, zero and unusable vectors take no part.  Rows repeated in id and vector
+    are one row; rows that share an id alone are different ones.  Other columns
+    aren't read; an empty table gives no row."""
     v = F.transform(F.col(vec_col), lambda x: x.cast("double"))
     rows = vectors.where(F.col(id_col).isNotNull() & usable(F.col(vec_col))).select(F.col(id_col).alias("id"), v.alias("v"))
     rows = rows.where(F.exists("v", lambda x: x != 0))
@@ -93,12 +95,13 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
 
     def run(table: pa.Table) -> pa.Table:
         mark = np.asarray(table.column("q"))
-        ids, v = np.asarray(table.column("id")), matrix(table.column("v"), np.float64)
+        ids, key, v = np.asarray(table.column("id")), np.asarray(table.column("key")), matrix(table.column("v"), np.float64)
         if not mark.any() or mark.all():
-            return pa.table({"query_id": ids[:0], "vec_id": ids[:0], "score": v[:0, 0]})
-        row, found, score = _search(ids[mark], v[mark], ids[~mark], v[~mark], longest, k)
-        return pa.table({"query_id": ids[mark][row], "vec_id": found, "score": score})
+            return pa.table({"query_id": ids[:0], "key": key[:0], "vec_id": ids[:0], "score": v[:0, 0]})
+        own, others = once(key, mark)
+        row, found, score = _search(key[own], v[own], key[others], ids[others], v[others], longest, k)
+        return pa.table({"query_id": ids[own][row], "key": key[own][row], "vec_id": found, "score": score})
 
     found = (in_blocks(rows, is_query, QUERY_BLOCK, SHARD).groupBy("dim", "block", "shard")
-             .applyInArrow(run, "query_id long, vec_id long, score double"))
+             .applyInArrow(run, "query_id long, key long, vec_id long, score double"))
     return best_of_shards(found, k, "double")

@@ -16,6 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+_BLOCK = 64
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
 
 
@@ -29,6 +30,23 @@ def _turn_hash() -> Column:
     return F.sha2(F.concat(*marked), 256)
 
 
+def _rolled(hashes: Column) -> Column:
+    """Rolling hashes, the k-th of the first k elements.  An array is only ever
+    extended within a block, so the work is linear in the elements."""
+    def within(last: Column, block: Column) -> Column:
+        one = lambda acc, h: F.concat(acc, F.array(F.sha2(F.concat(F.coalesce(F.try_element_at(acc, F.lit(-1)), last), h), 256)))
+        return F.aggregate(block, F.array().cast("array<string>"), one)
+
+    def step(acc: Column, b: Column) -> Column:
+        found = F.transform(F.array(within(acc["last"], F.slice(hashes, b * _BLOCK + 1, _BLOCK))), lambda x: F.struct(
+            F.element_at(x, -1).alias("last"), F.concat(acc["out"], F.array(x)).alias("out")))
+        return F.get(found, F.lit(0))
+
+    zero = F.struct(F.lit("").alias("last"), F.array().cast("array<array<string>>").alias("out"))
+    blocks = F.sequence(F.lit(0), F.floor((F.size(hashes) - 1) / _BLOCK).cast("int"))
+    return F.flatten(F.aggregate(blocks, zero, step, lambda acc: acc["out"]))
+
+
 def maximal_conversations(turns: DataFrame, id_col: str = "conv_id", turn_col: str = "turn",
                           role_col: str = "role", text_col: str = "text") -> DataFrame:
     """(id, n_turns, whole) of the conversations that prefix no other; ``whole``
@@ -37,9 +55,7 @@ def maximal_conversations(turns: DataFrame, id_col: str = "conv_id", turn_col: s
     hashed = rows.select("id", "turn", "role", "text", _turn_hash().alias("h"))
     whole = (hashed.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("turn", F.xxhash64("role", "text").alias("tie"), "h"))).alias("t"))
              .select("id", F.size("t").alias("n_turns"), F.transform("t", lambda x: x["h"]).alias("t")))
-    rolled = F.aggregate("t", F.array().cast("array<string>"),
-                         lambda acc, h: F.concat(acc, F.array(F.sha2(F.concat(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit("")), h), 256))))
-    whole = whole.select("id", "n_turns", rolled.alias("rolled")).withColumn("whole", F.element_at("rolled", -1))
+    whole = whole.select("id", "n_turns", _rolled(F.col("t")).alias("rolled")).withColumn("whole", F.element_at("rolled", -1))
     prefixes = whole.select(F.explode(F.slice("rolled", 1, F.col("n_turns") - 1)).alias("whole")).distinct()
     least = F.min(F.struct(F.col("id").isNull().alias("null"), F.col("id")))
     kept = whole.groupBy("whole").agg(least.alias("k"), F.first("n_turns").alias("n_turns"), F.count("*").alias("copies"))

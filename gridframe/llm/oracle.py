@@ -21,14 +21,14 @@ FROM r"""
 
 _TOP_K = """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e
+  SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e
   FROM embeddings
   WHERE vec_id IS NOT NULL AND len(embedding) > 0
     AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
 s AS (
-  SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.e, c.e)::BIGINT AS score
-  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id AND len(q.e) = len(c.e)),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS place FROM s)
+  SELECT q.vec_id AS query_id, q.e AS own, c.vec_id, list_dot_product(q.e, c.e)::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND (c.vec_id <> q.vec_id OR c.e <> q.e) AND len(q.e) = len(c.e)),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id, own ORDER BY score DESC, vec_id) AS place FROM s)
 SELECT query_id, place::INTEGER AS rank, vec_id, score FROM r WHERE place <= 5"""
 
 _CHAT = """
@@ -125,11 +125,11 @@ WITH parts AS (
   FROM pages),
 judged AS (SELECT *, {_longest_rule(0)} AS action, {_longest_rule(1)} AS rule FROM parts),
 hosts AS (
-  SELECT host, count(*)::DOUBLE AS pages, (count(*) FILTER (action = 'block'))::DOUBLE AS bad,
+  SELECT host, count(action)::DOUBLE AS pages, count(*)::DOUBLE AS every, (count(*) FILTER (action = 'block'))::DOUBLE AS bad,
          CASE WHEN {_labels(2)} IN ({_TWO}) THEN {_labels(3)} ELSE {_labels(2)} END AS domain,
          CASE WHEN {_labels(2)} IN ({_TWO}) THEN {_labels(2)} ELSE {_labels(1)} END AS suffix
   FROM judged GROUP BY host),
-domains AS (SELECT domain, suffix, sum(pages) AS pages, sum(bad) AS bad FROM hosts GROUP BY domain, suffix),
+domains AS (SELECT domain, suffix, sum(every) AS pages, sum(bad) AS bad FROM hosts GROUP BY domain, suffix),
 suffixes AS (SELECT suffix, 1 AS one, sum(pages) AS pages, sum(bad) AS bad FROM domains GROUP BY suffix),
 everything AS (SELECT 1 AS one, (sum(bad) + 0.5::DOUBLE) / (sum(pages) + 1) AS mean FROM suffixes),
 {_shrunk('by_suffix', 'suffixes', 'everything', 'one')},

@@ -6,7 +6,7 @@ the same kinds; each is described by a few small integers (its format, and the
 words before it), and gradient-boosted trees tell the candidates that are
 like base spans from those that are not.  As the features are discrete, the
 trees are fitted exactly on the counts per feature vector over all documents,
-a bounded table (``CELLS`` at most).  A kind's threshold is the least score
+a table of all feature vectors (some 48,000 at most).  A kind's threshold is the least score
 whose candidates in the held-out half reach ``PRECISION``; candidates
 above it that touch no base span are added.
 
@@ -40,7 +40,6 @@ WIDE = {
 HINTS = {"email": "mail|contact|write to", "ip": r"\bip\b|host|server|addr", "card": "card|visa|amex|credit", "phone": "tel|phone|call|fax|mobile"}
 AGAINST = r"version|license|licence|token|key|id|isbn"
 CONTEXT = 24
-CELLS = 20_000
 ROUNDS, DEPTH, RATE = 20, 2, 0.4
 PRECISION = 0.98
 _MARK = ""  # in no pattern; a text's own are read as another such sign
@@ -246,7 +245,7 @@ def fit(docs: DataFrame, text_col: str = "text") -> dict[str, Trees]:
     found = candidates(base_spans(rows, "text"), "text").select(
         F.explode_outer("proposed").alias("c"), F.pmod(F.xxhash64("text"), F.lit(2)).alias("fold")).where("c is not null")
     cells = (found.groupBy("c.kind", "c.f", "fold").agg(F.count("*").alias("n"), F.sum(F.col("c.y").cast("int")).alias("k"))
-             .orderBy(F.desc("n"), "kind", "f", "fold").limit(CELLS).collect())
+             .orderBy("kind", "f", "fold").collect())
     by_kind = {kind: fit_trees((r.f.asDict(), r.n, r.k, r.fold == 1) for r in cells if r.kind == kind) for kind in KINDS}
     return {kind: trees for kind, trees in by_kind.items() if trees}
 
@@ -261,19 +260,23 @@ def _passes(kind: str, model: Trees, base: str):
 
 
 def with_spans(docs: DataFrame, trees: dict[str, Trees], text_col: str = "text", out: str = "pii") -> DataFrame:
-    """``docs`` with ``out``: base, all, each an array of (kind, s, e) in the order of kinds, then start."""
-    text = f"{out}__text"
-    df = docs.withColumn(text, F.coalesce(F.col(text_col), F.lit("")))
-    df = candidates(base_spans(df, text), text)
-    df = df.withColumn(f"{out}__base", F.concat(*(F.transform(f"base_{kind}", _named(kind)) for kind in KINDS)))
+    """``docs`` with ``out``: base, all, each an array of (kind, s, e) in the order of kinds, then start.
+
+    Every row stays, repeated ones too; other columns may have any names, only one
+    named ``out`` is replaced.  Null and empty texts have no span."""
+    # the row goes along as one column, so that no name of it can clash
+    kept = [c for c in docs.columns if c.lower() != out.lower()]
+    row = F.struct(*[F.col(f"`{c}`") for c in kept]) if kept else F.lit(0)
+    df = docs.select(row.alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    df = candidates(base_spans(df, "text"), "text")
+    df = df.withColumn("found", F.concat(*(F.transform(f"base_{kind}", _named(kind)) for kind in KINDS)))
     parts = [F.array().cast("array<struct<k:int,s:int,e:int>>")]
     for kind, model in trees.items():
         if math.isfinite(model.threshold):
-            parts.append(F.transform(F.filter("proposed", _passes(kind, model, f"{out}__base")), _named(kind)))
-    df = df.withColumn(f"{out}__more", F.concat(*parts))
-    whole = F.array_sort(F.array_distinct(F.concat(f"{out}__base", f"{out}__more")))
-    df = df.withColumn(out, F.struct(F.col(f"{out}__base").alias("base"), whole.alias("all")))
-    return df.drop(text, f"{out}__base", f"{out}__more", "proposed", *(f"base_{k}" for k in KINDS))
+            parts.append(F.transform(F.filter("proposed", _passes(kind, model, "found")), _named(kind)))
+    whole = F.array_sort(F.array_distinct(F.concat("found", "more")))
+    df = df.withColumn("more", F.concat(*parts)).select("row", F.struct(F.col("found").alias("base"), whole.alias("all")).alias("spans"))
+    return df.select(*[F.col("row").getField(c).alias(c) for c in kept], F.col("spans").alias(out))
 
 
 def span_list(spans: Column) -> Column:

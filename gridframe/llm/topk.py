@@ -30,21 +30,29 @@ def usable(vectors: Column) -> Column:
 
 
 def in_blocks(rows: DataFrame, is_query: Column, query_block: int, shard: int) -> DataFrame:
-    """Rows (id, v) dealt to (dim, query block, shard) with a mark: every query
-    block meets every shard of its dimension.  The block counts follow the row counts."""
+    """Rows (id, v) dealt to (dim, query block, shard) with a mark and a key of id
+    and vector: every query block meets every shard of its dimension, and repeated
+    rows meet in one.  The block counts follow the row counts."""
     rows = rows.withColumns({"dim": F.size("v"), "q": is_query})
     sizes = rows.agg(F.count("*").alias("n"), F.sum(F.col("q").cast("int")).alias("q")).first()
     blocks, shards = max(1, -(-(sizes["q"] or 0) // query_block)), max(1, -(-sizes["n"] // shard))
     h = F.xxhash64("id")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    queries = rows.where("q").select("id", "v", "dim", F.pmod(h, F.lit(blocks)).cast("int").alias("block"), every(shards).alias("shard"), F.lit(True).alias("q"))
-    others = rows.select("id", "v", "dim", every(blocks).alias("block"), F.pmod(h, F.lit(shards)).cast("int").alias("shard"), F.lit(False).alias("q"))
+    key = F.xxhash64("id", "v").alias("key")
+    queries = rows.where("q").select("id", "v", key, "dim", F.pmod(h, F.lit(blocks)).cast("int").alias("block"), every(shards).alias("shard"), F.lit(True).alias("q"))
+    others = rows.select("id", "v", key, "dim", every(blocks).alias("block"), F.pmod(h, F.lit(shards)).cast("int").alias("shard"), F.lit(False).alias("q"))
     return queries.union(others)
 
 
+def once(key: np.ndarray, mark: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the different marked and of the different other rows."""
+    queries, others = np.flatnonzero(mark), np.flatnonzero(~mark)
+    return (queries[np.unique(key[queries], return_index=True)[1]], others[np.unique(key[others], return_index=True)[1]])
+
+
 def best_of_shards(found: DataFrame, k: int, score_type: str) -> DataFrame:
-    """The k best of each query over its shards, ties to the smaller id."""
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    """The k best of each query row over its shards, ties to the smaller id."""
+    order = Window.partitionBy("query_id", "key").orderBy(F.desc("score"), "vec_id")
     return (found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
             .select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", F.col("score").cast(score_type).alias("score")))
 
@@ -73,12 +81,13 @@ def second_moments(rows: DataFrame, kind: type) -> dict[int, np.ndarray]:
 
 
 def _search(queries: tuple, others: tuple, rotation: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query index, id, score) of each query's best in one shard."""
-    qid, q = queries
-    cid, c = others
+    """(query index, id, score) of each query's best in one shard; queries are (keys,
+    vectors), the others (keys, ids, vectors)."""
+    qkey, q = queries
+    ckey, cid, c = others
     length = np.sqrt((c.astype(np.float64) ** 2).sum(axis=1))
     order = np.lexsort((cid, -length))
-    cid, c, length = cid[order], c[order], length[order]
+    ckey, cid, c, length = ckey[order], cid[order], c[order], length[order]
     head = min(HEAD, c.shape[1])
     cr, qr = c @ rotation, q @ rotation
     rest_c, rest_q = (np.sqrt((x[:, head:] ** 2).sum(axis=1)) for x in (cr, qr))
@@ -95,7 +104,7 @@ def _search(queries: tuple, others: tuple, rotation: np.ndarray, k: int) -> tupl
             break
         bound = qr[live, :head] @ cr[own, :head].T + rest_q[live, None] * rest_c[None, own]
         passes = bound + np.abs(bound) * _SLACK + 1 >= top[live, -1:]
-        passes &= qid[live, None] != cid[None, own]
+        passes &= qkey[live, None] != ckey[None, own]
         some = np.flatnonzero(passes.any(axis=0))
         # whole numbers, so products in floating point are exact
         score = q[live] @ c[own][some].T
@@ -120,19 +129,26 @@ def _search(queries: tuple, others: tuple, rotation: np.ndarray, k: int) -> tupl
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """Per query its k candidates of greatest inner product of floor(scale * x):
-    query_id, rank, vec_id, score.  A row is no candidate of a query of its own
-    id; only vectors of equal dimension meet; unusable ones and null ids take no part."""
+    query_id, rank, vec_id, score.  A row is no candidate of its own query; only
+    vectors of equal dimension meet; unusable ones and null ids take no part.
+    Rows repeated in id and vector are one row; rows that share an id alone are different
+    ones, each a query and a candidate of the other.  Other columns aren't read; an empty
+    table gives no row.  Components so large that a product could leave the exact
+    range of doubles (2**53) are an error."""
     v = F.transform(F.col(vec_col), lambda x: F.floor(F.lit(float(scale)) * x.cast("double")).cast("double"))
     rows = vectors.where(F.col(id_col).isNotNull() & usable(F.col(vec_col))).select(F.col(id_col).alias("id"), v.alias("v"))
+    largest = rows.agg(F.max(F.pow(F.array_max(F.transform("v", lambda x: F.abs(x))), 2) * F.size("v"))).first()[0] or 0.0
+    if largest >= 2.0**53:
+        raise ValueError("components are too large for exact products")
     rotations = {d: np.linalg.svd(m)[0] for d, m in second_moments(rows, np.float64).items()}
     shared = vectors.sparkSession.sparkContext.broadcast(rotations)
 
     def run(table: pa.Table) -> pa.Table:
-        mark = np.asarray(table.column("q"))
-        ids, v = np.asarray(table.column("id")), matrix(table.column("v"), np.float64)
-        row, found, score = _search((ids[mark], v[mark]), (ids[~mark], v[~mark]), shared.value[v.shape[1]], k)
-        return pa.table({"query_id": ids[mark][row], "vec_id": found, "score": score.astype(np.int64)})
+        ids, key, v = np.asarray(table.column("id")), np.asarray(table.column("key")), matrix(table.column("v"), np.float64)
+        own, others = once(key, np.asarray(table.column("q")))
+        row, found, score = _search((key[own], v[own]), (key[others], ids[others], v[others]), shared.value[v.shape[1]], k)
+        return pa.table({"query_id": ids[own][row], "key": key[own][row], "vec_id": found, "score": score.astype(np.int64)})
 
     found = (in_blocks(rows, is_query, QUERY_BLOCK, SHARD).groupBy("dim", "block", "shard")
-             .applyInArrow(run, "query_id long, vec_id long, score long"))
+             .applyInArrow(run, "query_id long, key long, vec_id long, score long"))
     return best_of_shards(found, k, "long")

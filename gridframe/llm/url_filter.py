@@ -2,11 +2,14 @@
 
 A rule is an action and a host with a path; it fits the host and all its
 subdomains where the url's path starts with the rule's; the longest rule wins.
-Pages no rule decides are judged by their host: labelled outcomes (1: bad) are
-summed by host, registered domain and public suffix, and each level is a
-beta-binomial whose prior mean is the posterior mean of the level above and
-whose strength is fitted by moments.  A host is blocked if the lower
-bound of its posterior rate of bad pages is at least ``BLOCK_AT``.
+Pages no rule decides are judged by their host.  Each level, host, registered
+domain and public suffix, is a beta-binomial whose prior mean is the posterior
+mean of the level above and whose strength is fitted by moments (at least
+``LEAST_STRENGTH`` pages).  Suffix and domain give the base rate: known bad pages
+among all their pages.  A host itself is judged by its labelled pages alone, as
+a page without an outcome says nothing of it.  It is blocked if the lower bound of its
+posterior rate of bad pages is at least ``BLOCK_AT``: some labelled pages, nearly all
+of them bad, against the base rate around it.
 
 Only DataFrame operations run.  Null urls and urls without ``://`` have an
 empty host and path; they are a host like others."""
@@ -20,7 +23,7 @@ from gridframe.llm.common import materialise
 
 Z = 1.645          # one-sided 95 % bound
 BLOCK_AT = 0.5
-LEAST_STRENGTH, MOST_STRENGTH = 0.5, 1000.0
+LEAST_STRENGTH, MOST_STRENGTH = 4.0, 1000.0
 # fixed values: public suffixes of two labels
 TWO_LABEL_SUFFIXES = ["ac.uk", "co.jp", "co.nz", "co.uk", "com.au", "com.br", "gov.uk", "org.au", "org.uk"]
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -75,16 +78,16 @@ def _shrunk(level: DataFrame, above: DataFrame, up: str) -> DataFrame:
 def host_reputation(pages: DataFrame) -> DataFrame:
     """``pages``: host, and bad (1, 0, or null: no outcome).  Per host: pages
     with an outcome, bad ones, posterior mean, its lower bound."""
-    hosts = (pages.groupBy("host").agg(F.count("bad").cast("double").alias("pages"), F.coalesce(F.sum("bad"), F.lit(0)).cast("double").alias("bad"))
+    hosts = (pages.groupBy("host").agg(F.count("bad").cast("double").alias("pages"), F.count("*").cast("double").alias("every"), F.coalesce(F.sum("bad"), F.lit(0)).cast("double").alias("bad"))
              .withColumns({"domain": domain_of(F.col("host")), "suffix": suffix_of(F.col("host"))}))
     hosts = materialise(hosts, "hosts")
     sums = [F.sum("pages").alias("pages"), F.sum("bad").alias("bad")]
-    domains = hosts.groupBy("domain", "suffix").agg(*sums)
+    domains = hosts.groupBy("domain", "suffix").agg(F.sum("every").alias("pages"), F.sum("bad").alias("bad"))
     suffixes = domains.groupBy("suffix").agg(*sums).withColumn("all", F.lit(1))
     whole = suffixes.groupBy("all").agg(*sums).select("all", ((F.col("bad") + 0.5) / (F.col("pages") + 1)).alias("mean"))
     by_suffix = _shrunk(suffixes, whole, "all")
     by_domain = _shrunk(domains, by_suffix, "suffix")
-    by_host = _shrunk(hosts.drop("suffix"), by_domain, "domain")
+    by_host = _shrunk(hosts.drop("suffix", "every"), by_domain, "domain")
     deviation = F.sqrt(F.col("mean") * (1 - F.col("mean")) / (F.col("a") + F.col("b") + 1))
     return by_host.select("host", "pages", "bad", "mean", F.greatest(F.lit(0.0), F.col("mean") - Z * deviation).alias("lower"))
 
@@ -94,15 +97,17 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], id_col: str = "page_id
     """Per row: id, host, path, rule, verdict and the host's reputation.
 
     Labelled outcomes are the column ``outcome_col`` (1 bad, 0 good, null) or,
-    without one, whether a rule blocks the page: rules say what was found bad,
-    so a page that none blocks counts as good.  ``rules`` is a short fixed list."""
+    without one, what the rules say of the page: 1 blocked, 0 allowed, and null
+    where none fits, so that undecided pages neither speak for their host nor
+    against it.  ``rules`` is a short fixed list.  Repeated rows each get a
+    verdict and count as often; an empty table gives no row; other columns may have any names."""
     outcome = F.col(outcome_col).cast("int") if outcome_col else F.lit(None).cast("int")
     rows = pages.select(F.col(id_col).alias("id"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"),
                         outcome.alias("outcome"))
     rows = rows.withColumns({
         "rule": _rule_column(rules, F.col("host"), F.col("path"), lambda action, rule: F.lit(rule)),
         "action": _rule_column(rules, F.col("host"), F.col("path"), lambda action, rule: F.lit(action))})
-    bad = F.col("outcome") if outcome_col else F.when(F.col("action") == "block", 1).otherwise(0)
+    bad = F.col("outcome") if outcome_col else F.when(F.col("action").isNotNull(), (F.col("action") == "block").cast("int"))
     known = host_reputation(rows.select("host", bad.alias("bad")))
     return (rows.join(known, "host")
             .select(F.col("id").alias(id_col), "host", "path", "rule",
