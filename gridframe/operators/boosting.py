@@ -27,7 +27,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import forests as FO
-from .forests import BINS, Rule, _c, _ranked, _uniform, _written, descend, grow, grow_tops
+from ..session import remove_scratch, write_scratch
+from .forests import BINS, Rule, _c, _ranked, _uniform, descend, grow, grow_tops
+from .selection import _written
 
 FEW_CELLS = 1 << 17
 CHECKPOINT_ROUNDS = 25
@@ -168,7 +170,7 @@ def _in_passes(cells: DataFrame, chains: Sequence[Chain], stages: Sequence[int],
         base.append(sy / n if n else 0.0)
         tiny.append(1e-12 * max(0.0, syy - sy * base[-1]))
     rules = [_rule(c, t) for c, t in zip(todo, tiny)]
-    state = _written(cells.withColumn("f", F.lit(base).cast("array<double>")), "boosting")
+    state, folder = write_scratch(cells.withColumn("f", F.lit(base).cast("array<double>")), "boosting")
     recent: list[list[tuple]] = [[] for _ in todo]  # trees since the state was written
     gains, splits, out = np.zeros((len(todo), p)), np.zeros((len(todo), p), dtype=np.int64), []
 
@@ -217,13 +219,15 @@ def _in_passes(cells: DataFrame, chains: Sequence[Chain], stages: Sequence[int],
                     flat = pa.ListArray.from_arrays(np.arange(len(f) + 1, dtype=np.int32) * len(todo), f.ravel())
                     yield pa.RecordBatch.from_arrays([*batch.columns[:6], flat], names=batch.schema.names)
 
-            state = _written(state.mapInArrow(moved, state.schema), "boosting")
+            old, (state, folder) = folder, write_scratch(state.mapInArrow(moved, state.schema), "boosting")
+            remove_scratch(spark, old)
             recent = [[] for _ in todo]
             for t in at_stage:
                 f = F.get("f", F.lit(t))
                 r = state.where(F.col("fold") == todo[t].held).agg(
                     F.sum("n").alias("n"), F.sum(F.col("syy") - 2 * f * F.col("sy") + F.col("n") * f * f).alias("sse"), F.sum("sy").alias("sy"), F.sum("syy").alias("syy")).first()
                 out.append((t, k + 1, *(float(r[x] or 0.0) for x in ("n", "sse", "sy", "syy")), gains[t].tolist(), splits[t].tolist()))
+    remove_scratch(spark, folder)
     return spark.createDataFrame(out, _SCORE)
 
 
@@ -250,8 +254,8 @@ def boosting_grid_search(df: DataFrame, features: Sequence[str], label: str, key
     in ``n_estimators`` alone are stages of one chain."""
     combos = [dict(c) for c in combinations] if combinations is not None else [dict(zip(grid, v)) for v in product(*grid.values())]
     cuts = FO.cut_points(df.where(_c(fold) < folds), features, bins)
-    rows = _written(FO.binned(df, features, label, key, fold, cuts), "boosting")
-    cells = _written(cells_of(rows, any(c.get("subsample", 1.0) < 1 for c in combos)), "boosting")
+    rows = FO.binned(df, features, label, key, fold, cuts)
+    cells, folder = write_scratch(cells_of(rows, any(c.get("subsample", 1.0) < 1 for c in combos)), "boosting")
     longest: dict[Chain, int] = {}
     for c in combos:
         for held in range(folds + 1):
@@ -259,6 +263,7 @@ def boosting_grid_search(df: DataFrame, features: Sequence[str], label: str, key
             longest[alike] = max(longest.get(alike, 0), c["n_estimators"])
     chains = [alike._replace(rounds=n) for alike, n in longest.items()]
     scores = boosted_scores(cells, chains, sorted({c["n_estimators"] for c in combos}), len(features), bins, folds, few_cells).collect()
+    remove_scratch(df.sparkSession, folder)
     found = {(chains[r["chain"]]._replace(rounds=0), r["rounds"]): r for r in scores}
     out = []
     for c in combos:

@@ -33,7 +33,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .selection import _written, quantiles_of
+from ..session import remove_scratch, write_scratch
+from .selection import quantiles_of
 
 BINS = 32
 FEW_ROWS = 16_384
@@ -404,7 +405,7 @@ def forest_grid_search(df: DataFrame, features: Sequence[str], label: str, key:
     ``refit_r2`` (on the validation fold), ``place`` (by cv_mse) and ``chosen``."""
     combos = [dict(c) for c in combinations] if combinations is not None else [dict(zip(grid, v)) for v in product(*grid.values())]
     cuts = cut_points(df.where(_c(fold) < folds), features, bins)
-    rows = _written(binned(df, features, label, key, fold, cuts), "forest")
+    rows, folder = write_scratch(binned(df, features, label, key, fold, cuts), "forest")
     trees = max(c["n_estimators"] for c in combos)
     families = sorted({(c["min_samples_leaf"], c["bootstrap"]) for c in combos})
     readouts = sorted({(c["max_depth"] or MOST_DEPTH, c["min_samples_split"]) for c in combos})
@@ -417,6 +418,7 @@ def forest_grid_search(df: DataFrame, features: Sequence[str], label: str, key:
     per_row = said.groupBy("id", "y", "fold", "family").agg(F.count(F.lit(1)).alias("n"), *sums)
     errors = [(F.col("y") - F.col(f"s{n}_{k}") / F.least(F.lit(n), F.col("n"))) ** 2 for n in sizes for k in range(len(readouts))]
     per_fold = per_row.groupBy("family", "fold").agg(F.var_pop("y").alias("vy"), F.array(*[F.avg(e) for e in errors]).alias("mse")).collect()
+    remove_scratch(df.sparkSession, folder)
     mse = {(r["family"], r["fold"]): r for r in per_fold}
     out = []
     for c in combos:

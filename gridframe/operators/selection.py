@@ -7,7 +7,7 @@ bits of the key), with the bin's least and greatest value, combined map-side.
 Running counts tell which bin holds each wanted rank, and the next pass looks at
 the rows of those bins only, ``DIGIT_BITS`` further bits at a time: four passes
 resolve any key.  A bin of one value is done at once, however many rows share
-it, and bins of at most ``FEW_ROWS`` rows are sorted in a row each.  So no
+it, and bins of at most ``FEW_ROWS`` rows are sorted, half a megabyte each.  So no
 buffer grows with the rows or values of a group: bins are at most 2**16 per
 wanted one, whatever the data.
 
@@ -22,11 +22,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir, scratch_dir
-from .joins import broadcast_if_small
+from ..session import ensure_checkpoint_dir, remove_scratch, write_scratch
 
 DIGIT_BITS = 16
-FEW_ROWS = 4096
+FEW_ROWS = 1 << 16
+FEW_TARGETS = 100_000  # bins looked into that are broadcast; a row of some 100 bytes each
 _NAN_KEY, _INF_KEY = 0x7FF8000000000000, 0x7FF0000000000000
 
 
@@ -50,9 +50,7 @@ def order_key(x: Column) -> Column:
 
 
 def _written(df: DataFrame, name: str) -> DataFrame:
-    path = scratch_dir(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return write_scratch(df, name)[0]
 
 
 def _wanted(n: Column, probs: Sequence[float]) -> Column:
@@ -79,7 +77,7 @@ def rank_values(df: DataFrame, columns: Sequence[str], probs: Sequence[float], g
     ensure_checkpoint_dir(df.sparkSession)
     keys = F.struct(*[_c(g).alias(f"g{i}") for i, g in enumerate(group)]) if group else F.struct(F.lit(0).alias("g0"))
     narrow = df.select(keys.alias("g"), *[_c(c).cast("double").alias(f"v{i}") for i, c in enumerate(columns)])
-    narrow = _written(narrow, "selection")
+    narrow, folder = write_scratch(narrow, "selection")
     cells = narrow.select("g", F.posexplode(F.array(*[F.col(f"v{i}") for i in range(len(columns))])).alias("c", "v"))
     cells = cells.where(F.col("v").isNotNull()).select("g", "c", (F.col("v") + F.lit(0.0)).alias("v"), order_key(F.col("v")).alias("k"))
     counted = [F.count(F.lit(1)).alias("rows"), F.min("v").alias("least"), F.max("v").alias("greatest")]
@@ -95,7 +93,8 @@ def rank_values(df: DataFrame, columns: Sequence[str], probs: Sequence[float], g
         tally = open_.agg(F.count(F.lit(1)).alias("n"), F.max("rows").alias("most")).first()
         if not tally["n"]:
             break
-        targets = broadcast_if_small(open_.select("g", "c", "prefix", "rows").distinct())
+        targets = open_.select("g", "c", "prefix").distinct()
+        targets = F.broadcast(targets) if tally["n"] <= FEW_TARGETS else targets
         inside = cells.withColumn("prefix", F.shiftright("k", shift)).join(targets, ["g", "c", "prefix"])
         if tally["most"] <= few_rows:
             sets = inside.groupBy("g", "c", "prefix").agg(F.sort_array(F.collect_list("v")).alias("vs"))
@@ -107,6 +106,7 @@ def rank_values(df: DataFrame, columns: Sequence[str], probs: Sequence[float], g
         wanted = open_.groupBy("g", "c", "prefix").agg(F.collect_list(F.struct("rank", "at")).alias("ranks"))
         state = _written(_located(bins.join(wanted, ["g", "c", "prefix"]), ["g", "c", "prefix"], F.col("ranks")), "selection")
         done.append(state.where("least = greatest").select("g", "c", "rank", F.col("least").alias("value")))
+    remove_scratch(df.sparkSession, folder)  # what follows reads the small tables only
     found = done[0]
     for more in done[1:]:
         found = found.unionByName(more)

@@ -9,7 +9,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .selection import DIGIT_BITS, _written, order_key
+from ..session import remove_scratch, write_scratch
+from .selection import DIGIT_BITS, order_key
 
 
 def _c(c) -> Column:
@@ -32,7 +33,7 @@ def ks_statistics(df: DataFrame, columns: Sequence[str], cdfs: Mapping[str, Call
     ends allow.  Only bins whose bound is above the best known distance are refined, the most
     promising first, by further bits of the key or, when few rows are left, by
     their values.  The driver holds counts of at most 2**16 bins per refined one."""
-    narrow = _written(df.select(*[_c(c).cast("double").alias(f"v{i}") for i, c in enumerate(columns)]), "ks")
+    narrow, folder = write_scratch(df.select(*[_c(c).cast("double").alias(f"v{i}") for i, c in enumerate(columns)]), "ks")
     cells = narrow.select(F.posexplode(F.array(*[F.col(f"v{i}") for i in range(len(columns))])).alias("c", "v")).where(F.col("v").isNotNull() & ~F.isnan("v"))
     cells = cells.select("c", (F.col("v") + F.lit(0.0)).alias("v"), order_key(F.col("v")).alias("k"))
     counted = [F.count(F.lit(1)).alias("rows"), F.min("v").alias("least"), F.max("v").alias("greatest")]
@@ -88,6 +89,7 @@ def ks_statistics(df: DataFrame, columns: Sequence[str], cdfs: Mapping[str, Call
                     parts.setdefault((r["c"], r["prefix"]), []).append((r["bin"], r["rows"], r["least"], r["greatest"]))
                 for key, bins in parts.items():
                     look(key[0], down, mine[key][4], bins)
+    remove_scratch(df.sparkSession, folder)
     return {columns[c]: (best[c], n[c]) for c in top}
 
 
@@ -286,7 +288,7 @@ def fit_weibull3(df: DataFrame, column: str, zooms: int = 5) -> dict:
     if least is None or least == most or math.isinf(least) or math.isinf(most):
         raise ValueError(f"{column}: a Weibull fit needs finite values, not all equal")
     span = most - least
-    base = _written(df.where(x.isNotNull()).select(((x - F.lit(least)) / F.lit(span)).alias("__y")), "weibull")
+    base, folder = write_scratch(df.where(x.isNotNull()).select(((x - F.lit(least)) / F.lit(span)).alias("__y")), "weibull")
     distances, edge = np.geomspace(1e-4, 100.0, LOCATIONS), False
     best = None
     for zoom in range(zooms + 1):
@@ -304,6 +306,7 @@ def fit_weibull3(df: DataFrame, column: str, zooms: int = 5) -> dict:
         if high - low <= 1e-9 * high:
             break
         distances = np.geomspace(low, high, 10)
+    remove_scratch(df.sparkSession, folder)
     total, d, shape, scale = best
     return {"shape": shape, "location": least - d * span, "scale": scale, "n": int(n), "loglik": total, "edge": edge}
 

@@ -79,3 +79,16 @@ def scratch_dir(spark: SparkSession, name: str = "tables") -> str:
     base = ensure_checkpoint_dir(spark)
     path = os.path.join(base, f"gridframe-{name}-{uuid.uuid4().hex[:12]}")
     return path
+
+
+def write_scratch(df, name: str = "tables"):
+    """Write ``df`` as a table under the shared checkpoint location; the table read back, and its folder."""
+    path = scratch_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def remove_scratch(spark: SparkSession, path: str) -> None:
+    """Delete a folder that ``write_scratch`` made, once nothing reads it any more."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
