@@ -7,7 +7,7 @@ codegen; nothing is evaluated row by row in Python.
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from itertools import chain
 
 from pyspark.sql import Column
@@ -72,13 +72,13 @@ def ts_from_date_time(date_col, time_col) -> Column:
     ``try_make_timestamp_ntz`` so no step goes through the session time zone
     (parsing to a zoned timestamp would move wall times inside that zone's
     DST gap)."""
-    d = _c(date_col).cast("date")
     t = F.trim(_c(time_col))
     part = lambda i: F.regexp_extract(t, _TIME_RE, i)
-    ok = t.rlike(_TIME_RE)
-    h = F.when(ok, part(1).cast("int"))
-    mi = F.when(ok, F.coalesce(F.nullif(part(2), F.lit("")).cast("int"), F.lit(0)))
-    sec = F.when(ok, F.coalesce(F.nullif(part(3), F.lit("")).cast("decimal(16,6)"), F.lit(0).cast("decimal(16,6)")))
+    # text that doesn't match has the empty hour, and NULL parts make a NULL
+    h = F.nullif(part(1), F.lit("")).cast("int")
+    mi = F.coalesce(F.nullif(part(2), F.lit("")), F.lit("0")).cast("int")
+    sec = F.coalesce(F.nullif(part(3), F.lit("")), F.lit("0")).cast("decimal(16,6)")
+    d = _c(date_col).cast("date")
     return F.try_make_timestamp_ntz(F.year(d), F.month(d), F.dayofmonth(d), h, mi, sec)
 
 
@@ -91,6 +91,13 @@ def ts_plus_seconds(ts, seconds) -> Column:
     return _c(ts) + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), _c(seconds).cast("decimal(18,6)"))
 
 
+def bound(value, use: Callable[[Column], Column]) -> Column:
+    """``use(x)`` with ``x`` evaluated once, however often ``use`` names it: a
+    column that is used several times is repeated in the plan at each use, and
+    nested uses multiply."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def localize(wall, zone: str, ambiguous: str = "null", nonexistent: str = "null") -> Column:
     """Interpret a wall-clock TIMESTAMP_NTZ in ``zone``; return the instant as
     a UTC wall clock TIMESTAMP_NTZ.
@@ -105,20 +112,22 @@ def localize(wall, zone: str, ambiguous: str = "null", nonexistent: str = "null"
     Everything is TIMESTAMP_NTZ arithmetic with ``convert_timezone``, so the
     result does not depend on the session time zone.
     """
-    wall = _c(wall).cast("timestamp_ntz")
     z, utc_z = F.lit(zone), F.lit("UTC")
-    utc = F.convert_timezone(z, utc_z, wall)
-    back = F.convert_timezone(utc_z, z, utc)
     hour = F.expr("INTERVAL 1 HOUR")
-    is_gap = back != wall
-    is_amb = (F.convert_timezone(utc_z, z, utc + hour) == wall) | \
-             (F.convert_timezone(utc_z, z, utc - hour) == wall)
-    out = utc
-    if ambiguous == "null":
-        out = F.when(is_amb, F.lit(None)).otherwise(out)
-    if nonexistent == "null":
-        out = F.when(is_gap, F.lit(None)).otherwise(out)
-    return out
+
+    def guarded(wall: Column, utc: Column) -> Column:
+        is_gap = F.convert_timezone(utc_z, z, utc) != wall
+        is_amb = (F.convert_timezone(utc_z, z, utc + hour) == wall) | \
+                 (F.convert_timezone(utc_z, z, utc - hour) == wall)
+        out = utc
+        if ambiguous == "null":
+            out = F.when(is_amb, F.lit(None)).otherwise(out)
+        if nonexistent == "null":
+            out = F.when(is_gap, F.lit(None)).otherwise(out)
+        return out
+
+    return bound(_c(wall).cast("timestamp_ntz"),
+                 lambda w: bound(F.convert_timezone(z, utc_z, w), lambda u: guarded(w, u)))
 
 
 def utc_to_zone(utc_wall, zone: str) -> Column:

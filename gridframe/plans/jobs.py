@@ -57,7 +57,10 @@ def job_settlement(raw: DataFrame, area: str | None = "BRAZIL_SOUTHEAST_CENTRALW
     t = settlement_ticks(raw)
     if area is not None:
         t = t.where(F.col("PowerPriceAreaCode") == area)
-    t = t.withColumn(DT, F.to_date(S.tz_convert("ts", from_zone, to_zone))).where(F.col(DT).isNotNull())
+    # one day per row, or no row: as a plain column the conversion would be repeated in every
+    # filter on the day, above or below the aggregate
+    day = F.to_date(S.tz_convert("ts", from_zone, to_zone))
+    t = t.select("PriceMWh", F.explode(F.array_compact(F.array(day))).alias(DT))
     return A.agg_daily_stats(t, [DT], "PriceMWh", {
         "mean": "avg_settlement_price", "std": "std_settlement_price",
         "min": "min_settlement_price", "max": "max_settlement_price"})

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridframe.functions import codes
+from gridframe.operators import columns as C
 from gridframe.operators import reshape as R
 from gridframe.plans import jobs as JB
 from gridframe.sources import io as IO
@@ -131,3 +132,20 @@ def test_cube_equals_the_jobs(spark):
         return sorted((tuple(round(x, 6) if isinstance(x, float) else x for x in r) for r in df.select(*names).collect()), key=repr)
     for mine, theirs in ((JB.hydro_of(cube, REGIONS, START), hydro(spark, sf, START)), (JB.solar_of(cube, REGIONS), solar(spark, sf)), (JB.wind_of(cube, REGIONS), wind(spark, sf))):
         assert rows(mine) == rows(theirs)
+
+
+def test_settlement_converts_each_tick_once(spark, capsys):
+    """A filter on the local day must not repeat the parsing and the time-zone guards."""
+    ticks = [("2021-03-28", "01:30:00", 1.0), ("2021-03-28", "02:30:00", 2.0), ("2021-10-31", "02:15:00", 4.0),
+             ("2021-10-31", "12:00", 8.0), ("2021-10-31", "9", 16.0), ("2021-10-31", "noon", 32.0), ("2021-10-31", None, 64.0),
+             ("2021-10-31", "12:30.5", 128.0), ("2021-10-31", "12:60:00", 256.0), (None, "12:00:00", 512.0)]
+    raw = spark.createDataFrame([(None if d is None else dt.date.fromisoformat(d), t, "A", p) for d, t, p in ticks],
+                                "DateValueCET date, TimeValueCET string, PowerPriceAreaCode string, PriceMWh double")
+    daily = C.filter_year(JB.job_settlement(raw, "A"), "DateTime", 2021)
+    capsys.readouterr()
+    daily.explain("simple")
+    plan = capsys.readouterr().out
+    got = {str(r["DateTime"]): (r["avg_settlement_price"], r["max_settlement_price"]) for r in daily.collect()}
+    # the gap, the repeated hour, bad text and missing parts have no day
+    assert got == {"2021-03-27": (1.0, 1.0), "2021-10-31": ((8.0 + 16.0 + 128.0) / 3, 128.0)}
+    assert plan.count("convert_timezone") <= 5 and plan.count("regexp_extract") <= 3
