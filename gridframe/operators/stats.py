@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -231,17 +232,25 @@ LOCATIONS = 24
 
 def _located_sums(base: DataFrame, points: Sequence[tuple[float, float]]) -> dict[int, tuple]:
     """For each (distance of the location below the minimum, shape): n and the sums of ln u, u^k,
-    u^k ln u and u^k (ln u)^2 with u = (x - location) / its greatest value.  One
-    aggregate for all points, expanded with ``posexplode`` and combined map-side."""
-    grid = F.array(*[F.struct(F.lit(float(d)).alias("d"), F.lit(float(k)).alias("k")) for d, k in points])
-
-    def term(p: Column) -> Column:
-        ln = F.log((F.col("__y") + p["d"]) / (F.lit(1.0) + p["d"]))
-        power = F.exp(p["k"] * ln)
-        return F.struct(ln.alias("l"), power.alias("a"), (power * ln).alias("b"), (power * ln * ln).alias("c"))
-
-    rows = (base.select(F.posexplode(F.transform(grid, term)).alias("j", "t")).groupBy("j")
-            .agg(F.count(F.lit(1)).alias("n"), *[F.sum(f"t.{x}").alias(x) for x in "labc"]).collect())
+    u^k ln u and u^k (ln u)^2 with u = (x - location) / its greatest value.  Each
+    task adds up its rows for all points, Arrow batch by batch, and hands on a row per point."""
+    grid = [(float(d), float(k)) for d, k in points]
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, sums = 0, np.zeros((4, len(grid)))
+        for batch in batches:
+            y = np.asarray(batch.column(0), dtype=float)
+            n += len(y)
+            for j, (d, k) in enumerate(grid):
+                ln = np.log((y + d) / (1.0 + d))
+                power = np.exp(k * ln)
+                weighted = power * ln
+                sums[:, j] += ln.sum(), power.sum(), weighted.sum(), (weighted * ln).sum()
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(grid)), pa.int32()), pa.array([n] * len(grid), pa.int64()),
+                                          *[pa.array(s) for s in sums]], names=["j", "n", *"labc"])
+
+    rows = (base.select("__y").mapInArrow(add_up, "j int, n long, l double, a double, b double, c double").groupBy("j")
+            .agg(*[F.sum(x).alias(x) for x in ("n", *"labc")]).collect())
     return {r["j"]: (r["n"], r["l"], r["a"], r["b"], r["c"]) for r in rows}
 
 

@@ -100,3 +100,17 @@ def test_kde_equals_the_full_sum_and_reaches_few_points(spark):
     pts = df.where("v is not null").select(F.col("v").alias("__x"), F.lit(1.0).alias("__w"))
     terms = A.kernel_terms(pts, float(x[0]), float(x[1] - x[0]), 200, h).count()
     assert terms < 0.2 * 200 * len(v)
+
+
+def test_weibull_sums_are_added_up_in_tasks(spark, monkeypatch):
+    y = np.random.default_rng(8).uniform(0, 1, 5000)
+    base = spark.createDataFrame([(float(v),) for v in y], "__y double").repartition(3)
+    points = [(1e-3, 0.7), (0.5, 2.0), (100.0, 300.0)]
+    # a row of the data is not expanded into a row per point
+    monkeypatch.setattr(ST.F, "posexplode", None)
+    got = ST._located_sums(base, points)
+    for j, (d, k) in enumerate(points):
+        ln = np.log((y + d) / (1 + d))
+        power = np.exp(k * ln)
+        assert got[j][0] == 5000
+        assert np.allclose(got[j][1:], [ln.sum(), power.sum(), (power * ln).sum(), (power * ln * ln).sum()], rtol=1e-11)
