@@ -576,7 +576,7 @@ def q_win_group_transform_fill(spark, d):
 
 
 def settle_on_spine(spark, d):
-    s = settle_series(spark, d).select(DT, "avg_settlement_price")
+    s = R.written(settle_series(spark, d).select(DT, "avg_settlement_price"))  # read by the spine and the join
     spine = TS.calendar_spine(s, DT)
     return spine.join(s, DT, "left")
 
@@ -637,7 +637,7 @@ def q_ts_sliding_sequences(spark, d):
 def q_ts_tail_period(spark, d):
     """The evaluation slices: last 2 months, last 10 rows, first 7 and 30 rows
     and an inclusive date slice, tagged and stacked."""
-    s = settle_series(spark, d)
+    s = R.written(settle_series(spark, d))  # read by every slice
     parts = [("last_2_months", TS.tail_months(s, DT, 2)), ("last_10", TS.tail_rows(s, [DT], 10)),
              ("first_7", TS.head_rows(s, [DT], 7)), ("first_30", TS.head_rows(s, [DT], 30)),
              ("jan_1998", TS.date_slice(s, DT, "1998-01-01", "1998-01-31"))]
@@ -806,8 +806,8 @@ def q_log_sqrt_transform(spark, d):
 
 def model_frame(spark, d):
     """Daily settlement statistics with the hydro inflow features (nulls where
-    a day has a single order or no inflow)."""
-    return J.join_left_chain(settlement(spark, d), [hydro(spark, d)], DT)
+    a day has a single order or no inflow).  Written, as fits read it several times."""
+    return R.written(J.join_left_chain(settlement(spark, d), [hydro(spark, d)], DT))
 
 
 HYDRO_COLS = [f"hydro_inflow_{S.safe_name(r)}" for r in REGIONS]
@@ -850,8 +850,9 @@ QUERIES["impute_mode"] = _impute_query("most_frequent")
 
 
 def chrono_model_frame(spark, d):
-    return P.split_chrono(settle_series(spark, d).join(
-        settlement(spark, d).select(DT, "min_settlement_price"), DT), [DT])
+    s = R.written(settlement(spark, d))  # read by both sides
+    return P.split_chrono(s.select(DT, "avg_settlement_price", "max_settlement_price").join(
+        s.select(DT, "min_settlement_price"), DT), [DT])
 
 
 @q("scale_standard")
@@ -938,7 +939,7 @@ def q_feat_pca(spark, d):
 def feature_pipeline(spark, d, **kw):
     """The P0 pipeline on the driver stand-ins: P0/P1 frame with the daily
     features, then :func:`jobs.feature_pipeline`."""
-    p = with_features(JB.job_p0_p1(forward(spark, d), None), p0p1_features(spark, d))
+    p = R.written(with_features(JB.job_p0_p1(forward(spark, d), None), p0p1_features(spark, d)))
     return JB.feature_pipeline(p, kw.pop("target", "P0"), **kw)
 
 
@@ -968,7 +969,8 @@ def q_feature_pipeline_random(spark, d):
     """``build_pipeline``: the wide prepared table with the forward price as
     target, date columns as epoch seconds, a hash-random 64/16/20 split,
     imputation, scaling and variance threshold fitted on train."""
-    w = JB.job_prepared_dataset(forward(spark, d), [settlement(spark, d), hydro(spark, d)])
+    # written, as every fit reads it
+    w = R.written(JB.job_prepared_dataset(forward(spark, d), [settlement(spark, d), hydro(spark, d)]))
     w = w.select(F.concat_ws("|", F.col(DT).cast("string"), F.col("delivery_start").cast("string")).alias("row_key"),
                  *[c for c in w.columns if c not in (DT, "delivery_start")],
                  S.epoch_seconds(F.col(DT).cast("timestamp_ntz")).cast("double").alias("date_epoch"),
