@@ -1,7 +1,7 @@
 """Column -> Column helpers (mapping, parsing, dates, time zones, features).
 
-Everything here is a built-in Spark expression, so it stays inside whole-stage
-codegen; nothing is evaluated row by row in Python.
+Everything here is a built-in Spark expression; nothing is evaluated row by row
+in Python.
 """
 
 from __future__ import annotations
