@@ -12,9 +12,9 @@ mergeable ``percentile_approx`` sketch.
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -43,10 +43,28 @@ def skew_biased(c) -> Column:
     return F.when((n >= 1) & (F.var_pop(_c(c)) > 0), F.skewness(_c(c)))
 
 
-def agg_daily_stats(df: DataFrame, keys: Sequence[str], value: str,
-                    names: Mapping[str, str] | None = None) -> DataFrame:
-    """mean / sample std / min / max of ``value`` per key (std NULL for n = 1)."""
+def agg_daily_stats(df: DataFrame, keys: Sequence[str], value: str, names: Mapping[str, str] | None = None,
+                    ticks: Sequence[str] = (), keyed: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """mean / sample std / min / max of ``value`` per key (std NULL for n = 1).
+
+    Keys that are costly to compute from a few columns: rows are combined by those
+    columns (``ticks``) first, and ``keyed`` gives the combined rows their keys (it
+    may drop some), so that it runs once per different tick, not once per row."""
     names = dict(names or {})
+    if keyed is not None:
+        v, day = _c(value), Window.partitionBy(*keys)
+        parts = keyed(df.groupBy(*ticks).agg(F.count(v).alias("__n"), F.sum(v).alias("__s"), F.var_pop(v).alias("__v"),
+                                             F.min(v).alias("__lo"), F.max(v).alias("__hi")))
+        # squares around the key's mean: those inside a tick and those of the ticks' means
+        mean = F.try_divide(F.sum("__s").over(day), F.sum("__n").over(day))
+        off = F.try_divide("__s", "__n") - F.col("__mean")
+        parts = parts.withColumn("__mean", mean).withColumn("__sq", F.col("__n") * (F.col("__v") + off * off))
+        n = F.sum("__n")
+        return parts.groupBy(*keys).agg(
+            F.try_divide(F.sum("__s"), n).alias(names.get("mean", "mean")),
+            F.when(n > 1, F.sqrt(F.try_divide(F.sum("__sq"), n - 1))).alias(names.get("std", "std")),
+            F.min("__lo").alias(names.get("min", "min")),
+            F.max("__hi").alias(names.get("max", "max")))
     return df.groupBy(*keys).agg(
         F.avg(value).alias(names.get("mean", "mean")),
         F.stddev_samp(value).alias(names.get("std", "std")),

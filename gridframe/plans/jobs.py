@@ -52,18 +52,22 @@ def settlement_ticks(raw: DataFrame) -> DataFrame:
 def job_settlement(raw: DataFrame, area: str | None = "BRAZIL_SOUTHEAST_CENTRALWEST",
                    from_zone: str = "CET", to_zone: str = "America/Sao_Paulo") -> DataFrame:
     """Hourly prices of one area (None: all) -> daily mean/std/min/max in local (destination) time.
+    Rows are combined by tick first, so that each wall time is parsed and converted once.
     Ambiguous and non-existent wall times become NULL and are dropped, like
     NaT keys in a pandas groupby."""
-    t = settlement_ticks(raw)
     if area is not None:
-        t = t.where(F.col("PowerPriceAreaCode") == area)
-    # one day per row, or no row: as a plain column the conversion would be repeated in every
-    # filter on the day, above or below the aggregate
-    day = F.to_date(S.tz_convert("ts", from_zone, to_zone))
-    t = t.select("PriceMWh", F.explode(F.array_compact(F.array(day))).alias(DT))
-    return A.agg_daily_stats(t, [DT], "PriceMWh", {
+        raw = raw.where(F.col("PowerPriceAreaCode") == area)
+
+    def local_days(ticks: DataFrame) -> DataFrame:
+        # one day per tick, or no row: as a plain column the conversion would be repeated in every
+        # filter on the day, above or below the aggregate
+        day = F.to_date(S.tz_convert("ts", from_zone, to_zone))
+        t = settlement_ticks(ticks)
+        return t.select(*ticks.columns, F.explode(F.array_compact(F.array(day))).alias(DT))
+
+    return A.agg_daily_stats(raw, [DT], "PriceMWh", {
         "mean": "avg_settlement_price", "std": "std_settlement_price",
-        "min": "min_settlement_price", "max": "max_settlement_price"})
+        "min": "min_settlement_price", "max": "max_settlement_price"}, ["DateValueCET", "TimeValueCET"], local_days)
 
 
 def job_settlement_ext(raw: DataFrame, region: str = "SE/CW",

@@ -149,3 +149,27 @@ def test_settlement_converts_each_tick_once(spark, capsys):
     # the gap, the repeated hour, bad text and missing parts have no day
     assert got == {"2021-03-27": (1.0, 1.0), "2021-10-31": ((8.0 + 16.0 + 128.0) / 3, 128.0)}
     assert plan.count("convert_timezone") <= 5 and plan.count("regexp_extract") <= 3
+
+
+def test_settlement_converts_each_wall_time_once(spark, capsys):
+    """Statistics merged over ticks equal those over rows, and the conversion is above a combine by tick."""
+    rows = [("2021-05-03", f"{h:02d}:00:00", area, v) for h, vs in {
+        4: [1.0, 2.0, 4.0], 5: [1e6, 1e6 + 1, None], 6: [None], 7: [3.5]}.items() for area, v in zip("abc", vs)]
+    rows += [("2021-05-05", "12:00:00", "a", 7.0), ("2021-05-07", "12:00:00", "a", None), ("2021-05-09", None, "a", 1.0),
+             ("2021-05-09", "x", "a", 1.0), (None, "12:00:00", "a", 1.0)]
+    rows += [("2021-05-11", f"{h}:30", "a", 0.1) for h in range(10, 20)]
+    raw = spark.createDataFrame(rows, "DateValueCET string, TimeValueCET string, PowerPriceAreaCode string, PriceMWh double")
+    daily = JB.job_settlement(raw, None)
+    capsys.readouterr()
+    daily.explain("simple")
+    plan = capsys.readouterr().out
+    combine = plan[plan.index("Generate"):]
+    assert "convert_timezone" not in combine[combine.index("HashAggregate"):]
+    out = {str(r.DateTime): tuple(r)[1:] for r in daily.collect()}
+    first, second = out["2021-05-02"], out["2021-05-03"]
+    assert first == pytest.approx((7 / 3, (14 / 3 / 2) ** 0.5, 1.0, 4.0))
+    values = [1e6, 1e6 + 1, 3.5]
+    mean = sum(values) / 3
+    assert second == pytest.approx((mean, (sum((v - mean) ** 2 for v in values) / 2) ** 0.5, 3.5, 1e6 + 1), rel=1e-12)
+    assert out["2021-05-05"] == (7.0, None, 7.0, 7.0) and out["2021-05-07"] == (None, None, None, None)
+    assert out["2021-05-11"] == pytest.approx((0.1, 0.0, 0.1, 0.1), abs=1e-12) and len(out) == 5
