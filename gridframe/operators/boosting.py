@@ -106,9 +106,12 @@ def run_chain(number: int, chain: Chain, cells: tuple[np.ndarray, ...], stages:
     gains, splits = np.zeros(p), np.zeros(p, dtype=np.int64)
     for k in range(chain.rounds):
         use = _drawn(chain, k, idt)
-        some = slice(None) if use.all() else use
-        tree = grow(bt[some], (yt - ft)[some], nt[some], chain.depth, bins, _rule(chain, tiny), nt[some], _features(chain, k, p))
-        node, _ = descend(tree, bt)
+        every = bool(use.all())
+        bs, ys, ns = (bt, yt - ft, nt) if every else (bt[use], (yt - ft)[use], nt[use])
+        node = np.zeros(len(bs), dtype=np.int64)
+        tree = grow(bs, ys, ns, chain.depth, bins, _rule(chain, tiny), ns, _features(chain, k, p), node)
+        if not every:
+            node, _ = descend(tree, bt)
         ft += chain.rate * tree[4][node]
         fq += chain.rate * tree[4][descend(tree, bq)[0]]
         inner = tree[0] >= 0

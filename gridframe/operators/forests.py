@@ -146,7 +146,8 @@ def descend(tree: tuple[np.ndarray, ...], b: np.ndarray, readouts: Sequence[tupl
 def best_splits(count: np.ndarray, weight: np.ndarray, total: np.ndarray, rule: Rule) -> tuple[np.ndarray, ...]:
     """From (nodes, features, bins) sums of rows, weights and weighted labels: each node's best gain
     (-inf: none), its feature and bin, and (rows, weight, total) of the left side and of the node."""
-    c, w, s = (np.cumsum(x, axis=2) for x in (count, weight, total))
+    c, s = (np.cumsum(x, axis=2) for x in (count, total))
+    w = c if weight is count else np.cumsum(weight, axis=2)
     m, p, bins = count.shape
     whole = [x[:, 0, -1] for x in (c, w, s)]
     ca, wa, sa = (x[:, :, -1:] for x in (c, w, s))
@@ -164,27 +165,33 @@ def best_splits(count: np.ndarray, weight: np.ndarray, total: np.ndarray, rule:
 
 
 def grow(b: np.ndarray, y: np.ndarray, w: np.ndarray, depth: int, bins: int, rule: Rule = Rule(), n: np.ndarray | None = None,
-         features: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+         features: np.ndarray | None = None, where: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
     """A tree of all rows as arrays, level by level, all nodes of a level at once.
-    ``n``: rows that each row stands for (else one); ``features``: those that may split."""
+    ``n``: rows that each row stands for (else one; ``w`` itself: weights that are rows are summed once);
+    ``features``: those that may split; ``where``: zeros, which become each row's last node."""
     p = b.shape[1]
     used = np.arange(p) if features is None else features
     q, offsets = len(used), np.arange(len(used)) * bins
-    n = np.ones(len(y)) if n is None else n
+    wy, one = w * y, n is None
     levels = [[np.array([-1]), np.array([-1]), np.array([-1]), np.array([-1]),
-               np.array([rule.value((w * y).sum(), w.sum()) if len(y) and w.sum() > 0 else 0.0]), np.array([n.sum()])]]
+               np.array([rule.value(wy.sum(), w.sum()) if len(y) and w.sum() > 0 else 0.0]), np.array([float(len(y)) if one else n.sum()])]]
     rows, slot, first = np.arange(len(y)), np.zeros(len(y), dtype=np.int64), 0
     bu = b[:, used]
     for _ in range(depth):
-        m = len(levels[-1][0])
+        last = levels[-1]
+        # nodes too small for two sides are leaves without a look at their bins
+        able = np.flatnonzero(last[5] >= max(2 * rule.least, rule.least_split))
+        m, slots = len(able), np.full(len(last[0]), -1, dtype=np.int64)
+        slots[able] = np.arange(m)
+        slot = slots[slot]
+        rows, slot = rows[slot >= 0], slot[slot >= 0]
         if not len(rows):
             break
         at = ((slot * q * bins)[:, None] + offsets + bu[rows]).ravel()
         shape, size = (m, q, bins), m * q * bins
-        wr = w[rows]
-        count = np.bincount(at, np.repeat(n[rows], q), size).reshape(shape)
-        weight = np.bincount(at, np.repeat(wr, q), size).reshape(shape)
-        total = np.bincount(at, np.repeat(wr * y[rows], q), size).reshape(shape)
+        count = (np.bincount(at, minlength=size).astype(np.float64) if one else np.bincount(at, np.repeat(n[rows], q), size)).reshape(shape)
+        weight = count if n is w else np.bincount(at, np.repeat(w[rows], q), size).reshape(shape)
+        total = np.bincount(at, np.repeat(wy[rows], q), size).reshape(shape)
         gain, feature, cut, left, whole = best_splits(count, weight, total, rule)
         good = gain > rule.tiny
         k = int(good.sum())
@@ -192,16 +199,18 @@ def grow(b: np.ndarray, y: np.ndarray, w: np.ndarray, depth: int, bins: int, rul
             break
         child = np.full(m, -1, dtype=np.int64)
         child[good] = np.arange(k) * 2
-        after = first + m
-        last = levels[-1]
-        last[0], last[1] = np.where(good, used[feature], -1), np.where(good, cut, -1)
-        last[2], last[3] = np.where(good, after + child, -1), np.where(good, after + child + 1, -1)
+        after, split = first + len(last[0]), able[good]
+        for column, x in enumerate((used[feature[good]], cut[good], after + child[good], after + child[good] + 1)):
+            last[column] = np.full(len(last[0]), -1)
+            last[column][split] = x
         sides = [np.stack((x[good], a[good] - x[good]), axis=1).ravel() for x, a in zip(left, whole)]
         none = np.full(2 * k, -1)
         levels.append([none, none, none, none, rule.value(sides[2], sides[1]), sides[0]])
         stay = good[slot]
         rows, slot = rows[stay], slot[stay]
         slot = child[slot] + (bu[rows, feature[slot]] > cut[slot])
+        if where is not None:
+            where[rows] = after + slot
         first = after
     return tuple(np.concatenate(x) for x in zip(*levels))
 

@@ -1066,9 +1066,9 @@ def fit_score(spark, d, fit, name):
     return rnd(M.eval_metrics(M.predict(model, te, LI_FEATS), "l_extendedprice").withColumn("model", F.lit(name)))
 
 
-def with_validation(spark, d, folds):
+def with_validation(spark, d, folds, m=None):
     """Contiguous folds; the last one is the validation set of the refit."""
-    return cv_frame(spark, d, folds + 1)
+    return cv_frame(spark, d, folds + 1, m)
 
 
 def scores(df):
@@ -1094,8 +1094,9 @@ def q_reg_gbt(spark, d):
     return rnd(out.drop("importance"), 2, digits={"r2": 6})
 
 
-def cv_frame(spark, d, k=5):
-    m = P.impute(model_frame(spark, d), HYDRO_COLS + ["daily_sum_hydro_inflow", "std_settlement_price"], "mean")
+def cv_frame(spark, d, k=5, m=None):
+    """Folds of the model frame (``m``, where it is written already)."""
+    m = P.impute(model_frame(spark, d) if m is None else m, HYDRO_COLS + ["daily_sum_hydro_inflow", "std_settlement_price"], "mean")
     return P.fold_assign(m, [DT], k)
 
 
@@ -1129,7 +1130,8 @@ def q_cv_ridge_loo(spark, d):
 @q("cv_grid")
 def q_cv_grid(spark, d):
     """The three searches: boosting with 27 combinations (5 folds) and 162 (3 folds), forests with 162 (3 folds)."""
-    five, three = with_validation(spark, d, 5), with_validation(spark, d, 3)
+    m = model_frame(spark, d)
+    five, three = with_validation(spark, d, 5, m), with_validation(spark, d, 3, m)
     y = "avg_settlement_price"
     found = [("boosting_27", BO.boosting_grid_search(five, CV_FEATS, y, [DT], "fold", 5, BO.BOOSTING_GRID)),
              ("boosting_162", BO.boosting_grid_search(three, CV_FEATS, y, [DT], "fold", 3, BO.SUBSAMPLED_GRID)),

@@ -115,3 +115,24 @@ def test_staged_boosting_importance_and_empty(spark):
     assert abs(sum(i["gain"] for i in last.values()) - 1) < 1e-9 and last["x0"]["gain"] > last["x1"]["gain"]
     none = B.staged_boosting(df.limit(0), X, "y", ["k"], "test", [2], bins=6).collect()
     assert [r["n"] for r in none] == [0] and none[0]["mse"] is None
+
+
+def test_a_grown_tree_says_where_its_rows_are():
+    rng = np.random.default_rng(5)
+    b, y, n = rng.integers(0, 8, (300, 3)), rng.normal(size=300), rng.integers(1, 4, 300).astype(float)
+    for depth in (0, 1, 4, 30):
+        where = np.zeros(300, dtype=np.int64)
+        once = FO.grow(b, y, n, depth, 8, FO.Rule(least_split=5.0), n, where=where)
+        apart = FO.grow(b, y, n, depth, 8, FO.Rule(least_split=5.0), n.copy())
+        assert all(np.array_equal(p, q) for p, q in zip(once, apart))
+        assert np.array_equal(where, FO.descend(once, b)[0])
+
+
+def test_grid_searches_share_one_model_frame(spark, monkeypatch):
+    from gridframe.plans import queries as Q
+    made, frame = [], Q.model_frame
+    monkeypatch.setattr(Q, "model_frame", lambda *a: made.append(1) or frame(*a))
+    nothing = lambda df, *a, **k: FO._ranked(df, [({}, 0.0, 0.0, 0.0)])
+    monkeypatch.setattr(B, "boosting_grid_search", nothing)
+    monkeypatch.setattr(FO, "forest_grid_search", nothing)
+    assert Q.QUERIES["cv_grid"](spark, "/root/testdata/sf0.001").count() == 3 and len(made) == 1
