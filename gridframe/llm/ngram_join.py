@@ -19,11 +19,12 @@ Documents are sets of distinct five-word shingles; two are linked when
    size and cut into blocks; from the sizes, positions and numbers of shingles
    shared with other classes that a block holds, a probing set knows what it
    can share with any of them at most and skips the block whole.
-4. What two sets share follows mostly from what each shares with one leader
-   that both were compared with: at most the lesser of these two numbers, plus
-   the shingles they share outside the leader.  Sets that have a leader in
-   common are therefore paired only if the lesser number alone suffices, or
-   if they meet in an index of the shingles outside the leader.
+4. Two sets that were compared with one leader differ as their differences
+   from the leader do: the shingles of one and not the other.  How many of
+   these differences they must have in common follows from numbers that are
+   known.  Sets with a leader in common are therefore paired only if that is
+   none, or if they meet in an index of the differences, rare ones first, at
+   places with as many differences left as they need.
 5. Pairs that share enough index shingles are checked exactly on the whole
    sets, and the links' components computed by star contraction.
 
@@ -48,6 +49,7 @@ COUNT_BITS = 28
 FLUSH = 1 << 19          # shingles or index entries a task holds before it passes them on
 SHORT_LIST = 8           # lists up to this long are compared in full at once
 LEADERS = 2              # most central sets of a long list, by size band, that the others are first compared with
+LATE = 8                 # a set is compared with a group's leader late if it shares this part of its prefix with the group
 BLOCK = 64               # entries of an index list that are skipped together
 GROUP_ENTRIES = 1 << 17  # index entries per group of lists
 BLOOM_BITS = 22
@@ -285,9 +287,10 @@ def _first_pairs(table: pa.Table) -> pa.Table:
     return pa.Table.from_batches(out)
 
 
-_CLASSED = np.dtype([(name, "<i8") for name in ("fp", "root", "n", "pos", "most", "ref", "both")])
-# a set in the index of shingles outside its leader; pos: what it shares with the leader
-_OUTSIDE = np.dtype([(name, "<i8") for name in ("fp", "root", "n", "pos")])
+_CLASSED = np.dtype([(name, "<i8") for name in ("fp", "root", "n", "pos", "most", "ref", "both", "lack")])
+# a set in the index of differences from its leader; both: what it shares with the leader, lack: what of the
+# leader it lacks
+_APART = np.dtype([(name, "<i8") for name in ("fp", "root", "n", "pos", "both", "lack")])
 
 
 def _probe(entries: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -297,8 +300,8 @@ def _probe(entries: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     size, the most index shingles a set shares with another class, the most
     shingles after the position, and the class if it is one: an entry skips
     blocks that hold only its own class, sets of other sizes, or sets that
-    cannot share enough with it.  Two sets with the same leader need as much in
-    common with it as they need in common (``_outside_pairs`` finds the others)."""
+    cannot share enough with it.  Two sets with the same leader must be linked by
+    what they share with it alone (``_apart_pairs`` finds the others)."""
     entries = entries[np.lexsort((entries["root"], entries["n"]))]
     cuts = np.arange(0, len(entries), BLOCK)
     low, high = np.minimum.reduceat(entries["n"], cuts), np.maximum.reduceat(entries["n"], cuts)
@@ -321,35 +324,42 @@ def _probe(entries: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             shared, overlap = np.minimum(x["most"], y["most"]), _overlap(x["n"], y["n"])
             ok = (_sizes_fit(x["n"], y["n"]) & (shared >= least_shared(x["n"], y["n"]))
                   & (shared + np.minimum(x["n"] - x["pos"], y["n"] - y["pos"]) > overlap)
-                  & ((x["ref"] != y["ref"]) | (np.minimum(x["both"], y["both"]) >= overlap)))
+                  & ((x["ref"] != y["ref"]) | (x["both"] - y["lack"] >= overlap)))
             if ok.any():
                 yield x[ok], y[ok]
 
 
-def _probe_outside(entries: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of sets of different classes that share a shingle outside their
-    leader, if all their shingles outside it could make up what they lack."""
+def _probe_apart(entries: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of sets of different classes that share a difference from their
+    leader, if both have as many differences from there on as they must share.
+
+    Of the differences that two sets share, the first has all others after it;
+    so the lists of frequent differences, which come last, give few pairs."""
     if (entries["root"] == entries["root"][0]).all():
         return
-    entries = entries[np.lexsort((entries["n"], entries["root"]))]
+    size = entries["n"] - entries["both"] + entries["lack"]
+    order = np.lexsort((entries["root"], size))
+    entries, size = entries[order], size[order]
+    left = size - entries["pos"]
     cuts = np.arange(0, len(entries), BLOCK)
-    low, inside = np.minimum.reduceat(entries["n"], cuts), np.maximum.reduceat(entries["pos"], cuts)
-    outside = np.maximum.reduceat(entries["n"] - entries["pos"], cuts)
+    least, most_left, high = size[cuts], np.maximum.reduceat(left, cuts), np.maximum.reduceat(entries["n"], cuts)
     least_root, most_root = np.minimum.reduceat(entries["root"], cuts), np.maximum.reduceat(entries["root"], cuts)
     for k in range(len(cuts)):
-        own = entries[cuts[k]: cuts[k] + BLOCK]
+        own, own_left = entries[cuts[k]: cuts[k] + BLOCK], left[cuts[k]: cuts[k] + BLOCK]
         there = np.arange(k, len(cuts))
-        there = there[np.minimum(inside[k], inside[there]) + np.minimum(outside[k], outside[there]) >= _overlap(low[k], low[there])]
+        # linked sets differ in at most this many shingles, twice those needed less
+        differ = (high[k] + high[there]) * (DEN - NUM) // (NUM + DEN)
+        there = there[2 * np.minimum(most_left[k], most_left[there]) >= least[k] + least[there] - differ]
         if least_root[k] == most_root[k]:
             there = there[(least_root[there] != least_root[k]) | (most_root[there] != least_root[k])]
         for j in there.tolist():
-            other = entries[cuts[j]: cuts[j] + BLOCK]
+            other, other_left = entries[cuts[j]: cuts[j] + BLOCK], left[cuts[j]: cuts[j] + BLOCK]
             i, o = np.nonzero(own["root"][:, None] != other["root"][None, :])
             if j == k:
                 i, o = i[i < o], o[i < o]
             x, y = own[i], other[o]
-            most = np.minimum(x["pos"], y["pos"]) + np.minimum(x["n"] - x["pos"], y["n"] - y["pos"])
-            ok = _sizes_fit(x["n"], y["n"]) & (most >= _overlap(x["n"], y["n"]))
+            needed = _overlap(x["n"], y["n"]) - x["both"] + y["lack"]
+            ok = _sizes_fit(x["n"], y["n"]) & (needed > 0) & (np.minimum(own_left[i], other_left[o]) >= needed)
             if ok.any():
                 yield x[ok], y[ok]
 
@@ -522,60 +532,93 @@ def _check(pairs: DataFrame, texts: DataFrame, kind: type = np.uint64) -> DataFr
 
 
 def _leaders(compared: DataFrame) -> DataFrame:
-    """Per set (fp) one leader that holds at least half of it, as ``ref``, and
-    how many shingles it shares with it (``both``).
+    """Per set (fp) one leader that holds at least half of it, as ``ref``, how
+    many shingles it shares with it (``both``) and how many of it it lacks (``lack``).
 
     Of several it is the one that most sets were compared with, so that the
     sets of a group mostly name the same; a leader counts itself."""
     led = compared.where("leader is not null")
-    near = led.selectExpr("leader as ref", "if(leader = a, b, a) as fp", "both", "if(leader = a, nb, na) as n").where("2 * both >= n").select("ref", "fp", "both")
-    own = led.selectExpr("leader as ref", "leader as fp", "if(leader = a, na, nb) as both").distinct()
+    near = led.selectExpr("leader as ref", "if(leader = a, b, a) as fp", "both", "if(leader = a, nb, na) as n", "if(leader = a, na, nb) - both as lack").where("2 * both >= n").select("ref", "fp", "both", "lack")
+    own = led.selectExpr("leader as ref", "leader as fp", "if(leader = a, na, nb) as both", "0L as lack").distinct()
     known = near.groupBy("ref").agg(F.count("*").alias("times"))
     return (near.union(own).join(known, "ref").groupBy("fp")
-            .agg(F.max_by(F.struct("ref", "both"), F.struct("times", "ref")).alias("best")).select("fp", "best.ref", "best.both"))
+            .agg(F.max_by(F.struct("ref", "both", "lack"), F.struct("times", "ref")).alias("best")).select("fp", "best.ref", "best.both", "best.lack"))
 
 
-def _late_leaders(mixed: DataFrame, leaders: DataFrame, texts: DataFrame) -> DataFrame:
-    """Leaders (fp, ref, both) of the sets in ``mixed`` that have none yet: too
-    few shared index shingles kept them from a comparison.  Each is compared with
-    the leader that most sets of its lists name."""
-    named = mixed.select("list", "fp").join(leaders, "fp", "left")
+def _late_pairs(mixed: DataFrame, leaders: DataFrame) -> DataFrame:
+    """Pairs (a, b, leader) of the sets in ``mixed`` that have no leader yet with
+    the leader that most sets of their lists name, if these are lists of
+    ``1/LATE`` of the set's prefix.
+
+    A set that meets a group in fewer lists hardly has half of its shingles in
+    common with the leader, and needs none: a leader only tightens bounds."""
+    named = mixed.select("list", "fp", "n").join(leaders, "fp", "left")
     usual = (named.where("ref is not null").groupBy("list", "ref").agg(F.count("*").alias("times"))
              .groupBy("list").agg(F.max_by("ref", F.struct("times", "ref")).alias("usual")))
-    pairs = (named.where("ref is null").join(usual, "list").groupBy("fp", "usual").agg(F.count("*").alias("lists"))
-             .groupBy("fp").agg(F.max_by("usual", F.struct("lists", "usual")).alias("leader"))
-             .selectExpr("least(fp, leader) as a", "greatest(fp, leader) as b", "leader"))
-    compared = _check(materialise(pairs, "late"), texts)
-    return (compared.selectExpr("if(leader = a, b, a) as fp", "leader as ref", "both", "if(leader = a, nb, na) as n")
-            .where("2 * both >= n").select("fp", "ref", "both"))
+    return (named.where("ref is null").join(usual, "list").groupBy("fp", "n", "usual").agg(F.count("*").alias("lists"))
+            .where(f"{LATE} * lists > n + floor(-{NUM} * n / {DEN})").groupBy("fp")
+            .agg(F.max_by("usual", F.struct("lists", "usual")).alias("leader"))
+            .selectExpr("least(fp, leader) as a", "greatest(fp, leader) as b", "leader"))
 
 
-def _outside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row per shingle that a set has outside its leader."""
-    names = ["fp", "root", "n", "both"]
-    for batch in batches:
-        refs = batch.column("ref").to_numpy()
-        for k, (x, y) in enumerate(zip(batch.column("x"), batch.column("y"))):
-            x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-            more = np.setdiff1d(x, y, assume_unique=True)
-            if len(more):
-                lists = mix64(more + refs[k: k + 1].view(np.uint64))
-                own = [pa.array(np.full(len(more), batch.column(c)[k].as_py(), np.int64)) for c in names]
-                yield pa.RecordBatch.from_arrays([_int64(lists), *own], ["list", "fp", "root", "n", "pos"])
-
-
-def _outside_pairs(sets: DataFrame, texts: DataFrame) -> DataFrame:
-    """Pairs (a, b) of sets with one leader that can be linked by what they share
-    outside it.  ``sets``: fp, root, n, ref, both."""
+def _late_leaders(mixed: DataFrame, leaders: DataFrame, texts: DataFrame) -> DataFrame:
+    """Leaders (fp, ref, both, lack) of the sets in ``mixed`` that have none yet: too
+    few shared index shingles kept them from a comparison."""
+    compared = _check(materialise(_late_pairs(mixed, leaders), "late"), texts)
+    return (compared.selectExpr("if(leader = a, b, a) as fp", "leader as ref", "both", "if(leader = a, nb, na) as n", "if(leader = a, na, nb) - both as lack")
+            .where("2 * both >= n").select("fp", "ref", "both", "lack"))
+
+
+def _differences(x: np.ndarray, y: np.ndarray, counters: np.ndarray, docs: np.ndarray) -> np.ndarray:
+    """The first differences of the set ``x`` from its leader ``y``, in an order
+    that depends on the leader only: by how many sets of the group are likely to
+    have them, which for a shingle outside the leader are the documents that hold
+    it and for one of the leader's those that don't.
+
+    Linked sets differ in at most a third of their sizes, so the first difference
+    they share is one of those given here."""
+    def held(found: np.ndarray) -> np.ndarray:
+        if not len(counters):
+            return np.zeros(len(found), np.int64)
+        own = found >> _U64(64 - COUNT_BITS)
+        where = np.minimum(np.searchsorted(counters, own), len(counters) - 1)
+        return np.where(counters[where] == own, docs[where], 0).astype(np.int64)
+
+    more, lack = np.setdiff1d(x, y, assume_unique=True), np.setdiff1d(y, x, assume_unique=True)
+    found = np.concatenate([more, lack])
+    times = np.concatenate([held(more), 1 + held(y).max(initial=0) - held(lack)])
+    return found[np.lexsort((found, times))][: len(x) * (DEN - NUM) // NUM + 1]
+
+
+def _apart(shared):
+    """A row per difference of a set from its leader."""
+    names = [name for name in _APART.names if name != "pos"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            refs = batch.column("ref").to_numpy()
+            for k, (x, y) in enumerate(zip(batch.column("x"), batch.column("y"))):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                found = _differences(x, y, *shared.value)
+                if len(found):
+                    own = {c: pa.array(np.full(len(found), batch.column(c)[k].as_py(), np.int64)) for c in names}
+                    own["pos"] = _int64(np.arange(len(found)))
+                    yield pa.RecordBatch.from_arrays(
+                        [_int64(mix64(found + refs[k: k + 1].view(np.uint64))), *(own[c] for c in _APART.names)], ["list", *_APART.names])
+
+    return run
+
+
+def _apart_pairs(sets: DataFrame, texts: DataFrame, shared) -> DataFrame:
+    """Pairs (a, b) of sets with one leader that can be linked by the differences
+    from it that they share.  ``sets``: fp, root, n, ref, both, lack."""
     sets = sets.where("ref <> fp")
     whole = _whole_sets(sets.select(F.explode(F.array("fp", "ref")).alias("fp")), texts)
     x, y = whole.select("fp", F.col("members").alias("x")), whole.select(F.col("fp").alias("ref"), F.col("members").alias("y"))
-    lists = (sets.join(x, "fp").join(y, "ref").select("fp", "root", "n", "ref", "both", "x", "y")
-             .mapInArrow(_outside, "list long, fp long, root long, n long, pos long")
-             .select("list", F.lit(0).cast("long").alias("lead"), *_OUTSIDE.names).repartition("list").sortWithinPartitions("list"))
-    return (lists.mapInArrow(_second_pairs(list(_OUTSIDE.names), _probe_outside), _PAIR_TYPE)
-            .groupBy("a", "b", "na", "nb", "pa", "pb").agg(F.sum("shared").alias("shared"))
-            .where(f"least(pa, pb) + shared >= -floor(-{NUM} * (na + nb) / {NUM + DEN})").select("a", "b"))
+    lists = (sets.join(x, "fp").join(y, "ref").select("fp", "root", "n", "ref", "both", "lack", "x", "y")
+             .mapInArrow(_apart(shared), "list long, " + ", ".join(f"{c} long" for c in _APART.names))
+             .select("list", F.lit(0).cast("long").alias("lead"), *_APART.names).repartition("list").sortWithinPartitions("list"))
+    return lists.mapInArrow(_second_pairs(list(_APART.names), _probe_apart), _PAIR_TYPE).select("a", "b").distinct()
 
 
 def _summed(listed: DataFrame) -> DataFrame:
@@ -661,7 +704,7 @@ def _rows_and_classes(source: DataFrame, sql_type: str, arrow_type: pa.DataType)
     most = (mixed.groupBy("fp").agg(F.count("*").alias("k"), F.first("root").alias("root"), F.first("n").alias("n"))
             .join(across.select(F.explode(F.array("a", "b")).alias("fp"), "k").groupBy("fp").agg(F.max("k").alias("k2")), "fp", "left")
             .join(leaders, "fp", "left")
-            .selectExpr("fp", "root", "n", "k + coalesce(k2, 0) as most", "coalesce(ref, fp) as ref", "coalesce(both, n) as both"))
+            .selectExpr("fp", "root", "n", "k + coalesce(k2, 0) as most", "coalesce(ref, fp) as ref", "coalesce(both, n) as both", "coalesce(lack, 0) as lack"))
     most = materialise(most, "most")
     probed = (mixed.join(most.drop("root", "n"), "fp").select("list", "lead", *_CLASSED.names)
               .repartition("lead").sortWithinPartitions("lead", "list")
@@ -669,7 +712,7 @@ def _rows_and_classes(source: DataFrame, sql_type: str, arrow_type: pa.DataType)
     probed = materialise(probed, "probed")
     if not most.isEmpty():
         pairs = _summed(listed_pairs.withColumn("probed", F.lit(False)).union(probed.withColumn("probed", F.lit(True))))
-        pairs = materialise(pairs.where("probed and enough").select("a", "b").union(_outside_pairs(most, texts)).distinct(), "pairs")
+        pairs = materialise(pairs.where("probed and enough").select("a", "b").union(_apart_pairs(most, texts, shared)).distinct(), "pairs")
         # few of these pairs are linked: half of each shingle's bits tell most of the others
         pairs = materialise(_check(pairs, texts, np.uint32).where(_LINKED).select("a", "b"), "pairs")
         links = materialise(_check(pairs, texts).where(_LINKED).select("a", "b"), "links")

@@ -9,7 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 pytest.importorskip("gridframe.llm")
-from gridframe.llm import ann, bpe, chat, packing, pii, topk, toxicity, url_filter, warc  # noqa: E402
+from gridframe.llm import ann, bpe, chat, ngram_join, packing, pii, topk, toxicity, url_filter, warc  # noqa: E402
+from gridframe.llm.common import mix64  # noqa: E402
 from gridframe.llm.ngram_join import jaccard_components  # noqa: E402
 from gridframe.llm.queries import URL_RULES, held_out, tokenizer_path  # noqa: E402
 
@@ -88,6 +89,64 @@ def test_ngram_join_copies_around_a_leader(spark):
     assert sorted(map(tuple, jaccard_components(df).collect()), key=repr) == _components(rows)
 
 
+def test_ngram_join_no_original(spark):
+    """Groups whose leader is an edited copy: its own edit is a difference of all others."""
+    rng = np.random.default_rng(5)
+    rows = []
+    for edits, vocabulary in [(5, 10**6), (7, 40), (9, 6)]:
+        base = rng.integers(0, 10**6, 90).tolist()
+        for _ in range(50):
+            w = list(base)
+            for p in rng.choice(90, int(rng.integers(2, edits)), replace=False):
+                w[p] = int(rng.integers(0, vocabulary))
+            rows.append((len(rows), " ".join(map(str, w))))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, jaccard_components(df).collect()), key=repr) == _components(rows)
+
+
+def test_ngram_join_differences_from_a_leader():
+    """Sets around a leader that lacks what all others have give few pairs, and none that is linked gets lost."""
+    rng = np.random.default_rng(2)
+
+    def edited(words, edits):
+        words = words.copy()
+        words[rng.choice(150, edits, replace=False)] = rng.integers(1, 2**40, edits)
+        return np.unique(mix64(sum(words[k: 146 + k].astype(np.uint64) << np.uint64(5 * k) for k in range(5))))
+
+    base = rng.integers(1, 2**40, 150)
+    leader, whole = edited(base, 1), edited(base, 0)
+    sets = [edited(base, edits) for edits in rng.integers(3, 14, 300)]
+    # the shingles that most documents hold, as their counters mark them
+    marked, docs = np.unique(np.concatenate([x[np.isin(x, whole)] for x in sets]) >> np.uint64(64 - ngram_join.COUNT_BITS), return_counts=True)
+    lists = {}
+    for k, x in enumerate(sets):
+        both = len(np.intersect1d(x, leader))
+        for pos, s in enumerate(ngram_join._differences(x, leader, marked, docs.astype(np.uint64)).tolist()):
+            lists.setdefault(s, []).append((k, k, len(x), pos, both, len(leader) - both))
+    found = set()
+    for rows in lists.values():
+        for x, y in ngram_join._probe_apart(np.array(rows, ngram_join._APART)):
+            found |= set(zip(np.minimum(x["fp"], y["fp"]).tolist(), np.maximum(x["fp"], y["fp"]).tolist()))
+    linked = set()
+    for i, x in enumerate(sets):
+        for j in range(i + 1, len(sets)):
+            both = len(np.intersect1d(x, sets[j]))
+            needed = -(-75 * (len(x) + len(sets[j])) // 175)
+            own = [len(np.setxor1d(s, leader)) for s in (x, sets[j])]
+            if both >= needed and sum(own) > len(x) + len(sets[j]) - 2 * needed:
+                linked.add((i, j))
+    assert linked and linked <= found
+    # all pairs share the leader's own edit
+    assert len(found) < len(sets) ** 2 / 8
+
+
+def test_ngram_join_late_leaders(spark):
+    """A set that meets a group in one list only is not compared with the group's leader."""
+    mixed = spark.createDataFrame([(k, fp, n) for k in range(14) for fp, n in ((1, 400), (2, 400)) if fp == 1 or k] + [(0, 3, 400), (0, 4, 16)], "list long, fp long, n long")
+    leaders = spark.createDataFrame([(1, 1, 400, 0)], "fp long, ref long, both long, lack long")
+    assert sorted(map(tuple, ngram_join._late_pairs(mixed, leaders).collect())) == [(1, 2, 1), (1, 4, 1)]
+
+
 def test_ngram_join_empty_table(edge):
     assert jaccard_components(edge.limit(0)).count() == 0
 
